@@ -71,7 +71,11 @@ def scan_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nda
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     if lower:
         buf = LOWER[buf]
-    gap = SPACE[buf]
+    return buf, *hashed_runs(buf, SPACE[buf], raw)
+
+
+def hashed_runs(buf: np.ndarray, gap: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, bounds) of the runs of buf outside of `gap`; raw: the texts, each followed by a gap."""
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if len(gap) and not gap[0]:
         edge = np.concatenate([[0], edge])
@@ -79,14 +83,13 @@ def scan_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nda
     text_end = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
     bounds = np.concatenate([[0], np.searchsorted(starts, text_end)]).astype(np.int64)
     if not len(starts):
-        return buf, starts, ends, np.zeros(0, np.uint64), bounds
+        return starts, ends, np.zeros(0, np.uint64), bounds
     lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
     inside = np.flatnonzero(~gap)
-    offset = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    offset = np.arange(len(inside)) - np.repeat(first, lengths)
     terms = BYTE_VALUE[buf[inside]] * powers(int(lengths.max()) + 1)[offset]
-    first = np.cumsum(lengths) - lengths
-    hashes = mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
-    return buf, starts, ends, hashes, bounds
+    return starts, ends, mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), bounds
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -109,3 +112,18 @@ def slabs(texts, most: int = 2_000_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+#: ASCII bytes that are no letters; every byte from 0x80 on counts as part of a letter.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
+
+
+def letter_words(texts: list[str], with_words: bool = False):
+    """Hashes of the runs of letters in texts, and bounds as in scan_words; with_words adds a function from place to word."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    starts, ends, hashes, bounds = hashed_runs(buf, NO_LETTER[buf], raw)
+    if with_words:
+        return hashes, bounds, lambda i: buf[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
+    return hashes, bounds
