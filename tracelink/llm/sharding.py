@@ -99,11 +99,11 @@ def assign_shards(docs: DataFrame, shards: int = 40, block: int = 4096) -> DataF
         level = level.withColumn("block", F.pmod(F.xxhash64("unit", F.lit(blocks)), F.lit(blocks)).cast("long"))
         dealt = level.groupBy("block").applyInPandas(_deal(shards), "block long, unit long, slot int, up_slot int")
         step = staged(level.join(dealt, ["block", "unit", "slot"]), "shard-level")
-        now = step.select("unit", "slot", F.col("block").alias("up"), "up_slot")
-        placed = now.withColumnRenamed("unit", "leaf").drop("slot") if placed is None else (
-            placed.join(now.withColumnsRenamed({"unit": "up", "slot": "up_slot", "up": "next", "up_slot": "next_slot"}), ["up", "up_slot"])
-            .select("leaf", F.col("next").alias("up"), F.col("next_slot").alias("up_slot"))
-        )
+        if placed is None:
+            placed = step.select(F.col("unit").alias("leaf"), F.col("block").alias("up"), "up_slot")
+        else:
+            now = step.select(F.col("unit").alias("up"), F.col("slot").alias("up_slot"), F.col("block").alias("next"), F.col("up_slot").alias("next_slot"))
+            placed = placed.join(now, ["up", "up_slot"]).select("leaf", F.col("next").alias("up"), F.col("next_slot").alias("up_slot"))
         if blocks == 1:
             break
         level = step.groupBy(F.col("block").alias("unit"), F.col("up_slot").alias("slot")).agg(F.sum("bytes").alias("bytes"))
