@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), byte_bpe(), window=1024, keep_ids=False).drop("token_ids")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelink.llm.dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_text=False).drop("spans", "kept")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelink.llm.quality import quality
 
@@ -48,6 +54,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelink.llm.scoring import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelink.llm.jaccard import link_documents
 
@@ -60,8 +72,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelink.llm.html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination}
+    return {"op1_packing": op1_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_scoring": op7_scoring, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination, "op10_html": op10_html, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
