@@ -10,7 +10,7 @@ probability by isotonic calibration over the examples' own left-out votes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,7 +78,6 @@ class BlockMaxIndex:
 @dataclass
 class Model:
     terms: np.ndarray  # sorted hashes of the chosen words
-    words: list[str]
     idf: np.ndarray
     index: BlockMaxIndex
     ids: np.ndarray  # doc_id of each example
@@ -95,47 +94,46 @@ def _vector(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return terms, w / np.sqrt((w * w).sum())
 
 
-def _codes(texts: list[str], terms: np.ndarray) -> Iterator[np.ndarray]:
-    """For each text the places in `terms` of those of its words that are there."""
+def _codes(texts: list[str], terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[int], str]]]:
+    """For each text the places in `terms` of those of its words that are there, where they stand, and the words there."""
     for a, b in slabs(texts):
-        hashes, bounds = letter_words(texts[a:b])
+        hashes, bounds, word = letter_words(texts[a:b], with_words=True)
         at = np.searchsorted(terms, hashes)
         found = at < len(terms)
         found[found] = terms[at[found]] == hashes[found]
         where = np.flatnonzero(found)
         cut = np.searchsorted(where, bounds)
         for i in range(b - a):
-            yield at[where[cut[i] : cut[i + 1]]]
+            mine = where[cut[i] : cut[i + 1]]
+            yield at[mine], mine, word
 
 
-def choose_terms(texts: list[str], toxic: np.ndarray, most: int = MAX_TERMS) -> tuple[np.ndarray, list[str]]:
-    """Words that mark the toxic class: odds at least 6 times as high, and 3.5 standard errors away from even."""
-    seen, place = [], []
-    names: dict[int, str] = {}
-    for a, b in slabs(texts):
-        hashes, bounds = letter_words(texts[a:b])
-        seen.append(hashes)
-        place.append(np.repeat(np.arange(a, b), np.diff(bounds)))
-    hashes, place = np.concatenate(seen or [np.zeros(0, np.uint64)]), np.concatenate(place or [np.zeros(0, np.int64)])
-    terms, code = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(code.astype(np.int64) * max(1, len(texts)) + place)
-    of, doc = pairs // max(1, len(texts)), pairs % max(1, len(texts))
-    a = np.bincount(of, weights=toxic[doc], minlength=len(terms)) + 0.5
-    b = np.bincount(of, weights=1 - toxic[doc], minlength=len(terms)) + 0.5
-    n1, n0 = toxic.sum() + 1, (1 - toxic).sum() + 1
-    odds = np.log(a * (n0 - b)) - np.log((n1 - a) * b)
-    z = odds / np.sqrt(1 / a + 1 / b + 1 / (n1 - a) + 1 / (n0 - b))
-    good = np.flatnonzero((z >= 3.5) & (odds >= math.log(6)) & (a > 3))
-    good = np.sort(good[np.lexsort((terms[good], -z[good]))][:most])
-    chosen = terms[good]
-    for a_, b_ in slabs(texts):
-        if len(names) == len(chosen):
-            break
-        hashes, _, words = letter_words(texts[a_:b_], with_words=True)
-        for h in np.intersect1d(np.unique(hashes), chosen):
-            if int(h) not in names:
-                names[int(h)] = words(int(np.flatnonzero(hashes == h)[0]))
-    return chosen, [names.get(int(h), "") for h in chosen]
+def choose_terms(labelled: DataFrame, toxic: int, clean: int, most: int = MAX_TERMS) -> np.ndarray:
+    """Hashes of words that mark the toxic class, counted over all labelled rows (text, toxic) of the two classes.
+
+    Their odds are at least 6 times as high as in the clean class, and 3.5 standard errors away from even.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, y, seen, label = [t.lower() for t in batch["text"].array], batch["toxic"].to_numpy(np.int64), [], []
+            for a, b in slabs(texts):
+                hashes, bounds = letter_words(texts[a:b])
+                for i in range(b - a):
+                    mine = np.unique(hashes[bounds[i] : bounds[i + 1]])
+                    seen.append(mine)
+                    label.append(np.full(len(mine), y[a + i]))
+            if seen:
+                terms, code = np.unique(np.concatenate(seen), return_inverse=True)
+                label = np.concatenate(label)
+                yield pd.DataFrame({"term": terms.view(np.int64), "a": np.bincount(code, label, len(terms)).astype(np.int64), "b": np.bincount(code, 1 - label, len(terms)).astype(np.int64)})
+
+    counts = labelled.select("text", "toxic").mapInPandas(run, "term long, a long, b long").groupBy("term").agg((F.sum("a") + 0.5).alias("a"), (F.sum("b") + 0.5).alias("b"))
+    rest = lambda n, c: F.lit(n + 1.0) - F.col(c)
+    odds = F.log(F.col("a") * rest(clean, "b") / (rest(toxic, "a") * F.col("b")))
+    error = F.sqrt(1 / F.col("a") + 1 / F.col("b") + 1 / rest(toxic, "a") + 1 / rest(clean, "b"))
+    chosen = counts.where("a > 3").withColumns({"odds": odds, "z": odds / error}).where((F.col("z") >= 3.5) & (F.col("odds") >= math.log(6)))
+    return np.sort(chosen.orderBy(F.desc("z"), "term").limit(most).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,27 +154,34 @@ def _vote(model: Model, rows: np.ndarray, cos: np.ndarray) -> float:
 
 
 def fit(labelled: DataFrame, docs: DataFrame, k: int = 15, toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> Model:
-    """Fits on labelled rows (doc_id, text, toxic), of which a bounded sample by hash of the id is taken per class.
+    """Fits on labelled rows (doc_id, text, toxic).
 
-    Document frequencies of the chosen words are counted over all of `docs`.
+    The marking words are chosen by counts over all labelled rows; the examples are a sample by hash of the id, bounded per
+    class. Document frequencies of the words are counted over all of `docs`.
     """
     labelled = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     bound = {1: toxic_examples, 0: clean_examples}
     there = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     share = {y: min(1.0, bound[y] / max(there.get(y, 0), 1)) for y in (0, 1)}
+    terms = choose_terms(labelled, there.get(1, 0), there.get(0, 0))
+
+    def vectors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [codes for codes, _, _ in _codes([t.lower() for t in batch["text"].array], terms)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "codes": found})
+
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
-    sample = labelled.where(pick).limit(2 * (toxic_examples + clean_examples)).toPandas().sort_values("doc_id", kind="stable")
-    texts, toxic = [t.lower() for t in sample["text"]], sample["toxic"].to_numpy(np.int64)
-    terms, words = choose_terms(texts, toxic)
+    sample = labelled.where(pick).mapInPandas(vectors_of, "doc_id long, toxic int, codes array<long>").limit(2 * (toxic_examples + clean_examples)).toPandas().sort_values("doc_id", kind="stable")
+    toxic = sample["toxic"].to_numpy(np.int64)
     n, df = document_frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)) + 1
     prior = np.where(toxic == 1, 1 / max(share[1], 1e-9), 1 / max(share[0], 1e-9))
-    vectors = [_vector(c, idf) if len(c) else None for c in _codes(texts, terms)]
+    vectors = [_vector(np.asarray(c, np.int64), idf) if len(c) else None for c in sample["codes"]]
     marked = [i for i, v in enumerate(vectors) if v is not None]
     marked.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), len(vectors[i][0]), i))
     bare = np.array([v is None for v in vectors], bool)
     model = Model(
-        terms, words, idf, BlockMaxIndex([vectors[i] for i in marked]), sample["doc_id"].to_numpy()[marked], toxic[marked], prior[marked],
+        terms, idf, BlockMaxIndex([vectors[i] for i in marked]), sample["doc_id"].to_numpy()[marked], toxic[marked], prior[marked],
         float((prior[bare] * toxic[bare]).sum() / prior[bare].sum()) if bare.any() else 0.0, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), k,
     )
     left_out = [(model.index.search(*vectors[i], k, without=at), at) for at, i in enumerate(marked)]
@@ -195,7 +200,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         for batch in batches:
             texts = [t.lower() if isinstance(t, str) else "" for t in batch["text"].array]
             n += len(texts)
-            for codes in _codes(texts, terms):
+            for codes, _, _ in _codes(texts, terms):
                 df[np.unique(codes)] += 1
         yield pd.DataFrame({"term": np.append(np.arange(len(terms)), -1), "n": np.append(df, n)}).query("n > 0")
 
@@ -225,10 +230,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = [t.lower() if isinstance(t, str) else "" for t in batch["text"].array]
             rows = []
-            for doc, codes in zip(batch["doc_id"].array, _codes(texts, m.terms)):
+            for doc, (codes, where, word) in zip(batch["doc_id"].array, _codes(texts, m.terms)):
                 found, cos = m.index.search(*_vector(codes, m.idf), m.k) if len(codes) else (np.zeros(0, np.int64), np.zeros(0))
                 p = float(np.interp(_vote(m, found, cos), *m.knots)) if len(found) else m.unmarked
-                rows.append((doc, min(max(p, 0.0), 1.0), m.ids[found], cos, [m.words[c] for c in np.unique(codes)]))
+                rows.append((doc, min(max(p, 0.0), 1.0), m.ids[found], cos, [word(i) for i in where[np.unique(codes, return_index=True)[1]]]))
             yield pd.DataFrame(rows, columns=["doc_id", "score", "neighbours", "similarities", "evidence"])
 
     return docs.select("doc_id", "text").mapInPandas(run, SCORES)
@@ -239,12 +244,17 @@ def held_out(parts: int, part: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part
 
 
+def join_labels(docs: DataFrame, labels: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """Labelled rows that are not held out: (doc_id, text, toxic). Labels are broadcast only if they are no more than `most`."""
+    seen = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").where(~held_out(4, 2))
+    rows = docs.select("doc_id", "text").where(~held_out(4, 2))
+    return rows.join(F.broadcast(seen) if seen.count() <= most else seen, "doc_id")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int = 15) -> DataFrame:
     """Learns from the labelled rows that are not held out and scores every document; see `score`.
 
     Adds held_out and predicted (1 from `threshold` on). Without any toxic label all scores are 0.
     """
-    seen = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").where(~held_out(4, 2)).join(seen, "doc_id")
-    model = fit(labelled, docs, k)
+    model = fit(join_labels(docs, labels), docs, k)
     return score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")
