@@ -112,38 +112,74 @@ def anchors(raw: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.
     return doc, a - starts[doc], lo, hi, core, context
 
 
-ANCHORS = "core long, context long, doc_id long, at long, least int, most int"
+ANCHORS = "core long, context long, doc_id long, at long, least int, most int, kind byte"
+#: Kinds of rows: an anchor, the first of several of one text that have one context, and a span that such ones cover.
+ALONE, SEVERAL, SPAN = 0, 1, 2
 
 
 def _anchor_rows(docs: DataFrame, shape: Shape) -> DataFrame:
+    """Anchors of all texts. A text of few patterns has very many anchors of one context; they come as one row, and their
+    strings, which are repeats anyway, as merged spans (at, and the size in most)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(np.int64), [t if isinstance(t, str) else "" for t in batch["text"].array]
             for a, b in slabs(texts):
                 doc, at, lo, hi, core, context = anchors([raw_bytes(t) for t in texts[a:b]], shape)
-                yield pd.DataFrame({"core": core.view(np.int64), "context": context.view(np.int64), "doc_id": ids[a:b][doc], "at": at, "least": lo.astype(np.int32), "most": hi.astype(np.int32)})
+                by = np.lexsort((at, context, core, doc))
+                doc, at, lo, hi, core, context = (x[by] for x in (doc, at, lo, hi, core, context))
+                new = np.ones(len(by), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (core[1:] != core[:-1]) | (context[1:] != context[:-1])
+                first = np.flatnonzero(new)
+                several = np.diff(np.append(first, len(by))) > 1
+                within = np.repeat(several, np.diff(np.append(first, len(by))))
+                owner, start, stop = merged(doc[within], at[within] - hi[within], at[within] - lo[within] + shape.length)
+                kind = np.concatenate([np.where(several, SEVERAL, ALONE), np.full(len(owner), SPAN)])
+                both = lambda x, y: np.concatenate([x[first], y])
+                yield pd.DataFrame(
+                    {
+                        "core": both(core, mix(start.astype(np.uint64) + mix(ids[a:b][owner].view(np.uint64)))).view(np.int64), "context": both(context, np.zeros(len(owner), np.uint64)).view(np.int64),
+                        "doc_id": ids[a:b][both(doc, owner)], "at": both(at, start), "least": both(lo, np.zeros(len(owner), np.int64)).astype(np.int32), "most": both(hi, stop - start).astype(np.int32), "kind": kind.astype(np.int8),
+                    }
+                )
 
     return docs.mapInPandas(run, ANCHORS)
 
 
+def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs that intervals of one size or another cover, per owner."""
+    by = np.lexsort((start, owner))
+    owner, start, stop = owner[by], start[by], stop[by]
+    if not len(by):
+        return owner, start, stop
+    # Furthest stop so far within the owner: owners are kept apart by a shift beyond all places.
+    shift = (np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]]))) * (int(stop.max()) + 1)
+    far = np.maximum.accumulate(stop + shift) - shift
+    new = np.ones(len(by), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > far[:-1])
+    first = np.flatnonzero(new)
+    return owner[first], start[first], far[np.append(first[1:], len(by)) - 1]
+
+
 def _grouped(docs: DataFrame, shape: Shape) -> DataFrame:
     """Anchors whose core occurs twice: whether the context does (twice), whether the row stands for its context (first),
     and how many contexts the core has (1 to HOT + 1)."""
     by = Window.partitionBy("core").orderBy("context")
     before, after = F.lag("context").over(by), F.lead("context").over(by)
     rows = _anchor_rows(docs, shape).withColumns({"before": before, "after": after, "number": F.dense_rank().over(by)})
-    rows = rows.where(F.col("before").isNotNull() | F.col("after").isNotNull())
+    rows = rows.where(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("kind") != ALONE))
     contexts = F.max("number").over(Window.partitionBy("core"))
     same = lambda c: F.coalesce(F.col(c) == F.col("context"), F.lit(False))
-    return rows.withColumns({"twice": same("before") | same("after"), "first": ~same("before"), "contexts": F.least(contexts, F.lit(HOT + 1))}).drop("before", "after", "number")
+    return rows.withColumns({"twice": same("before") | same("after") | (F.col("kind") != ALONE), "first": ~same("before"), "contexts": F.least(contexts, F.lit(HOT + 1))}).drop("before", "after", "number")
 
 
-def _members(rows: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
+def _members(rows: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataFrame:
     """One row for each context of a core that has several, with the context's bytes beside the core.
 
-    Of hot cores a row for each string instead, with its hash as core and nothing else.
+    hot: those of hot cores, with a row for each string instead, its hash as core and nothing else.
     """
-    wanted = rows.where("first AND contexts > 1").groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "least", "most", "twice", (F.col("contexts") > HOT).alias("hot"))).alias("rows"))
+    which = F.col("contexts") > HOT if hot else F.col("contexts").between(2, HOT)
+    wanted = rows.where(which & F.col("first") & (F.col("kind") != SPAN)).groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "least", "most", "twice")).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,15 +188,15 @@ def _members(rows: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
                 prefix = None
                 for r in wanted:
                     core, at, lo, hi = r["core"], r["at"], r["least"], r["most"]
-                    if r["hot"]:
+                    if hot:
                         prefix = prefix or Prefix(np.frombuffer(raw, np.uint8))
                         start = at - np.arange(lo, hi + 1)
-                        out += [(int(h), doc, at, int(k), int(k), r["twice"], None, None, True) for h, k in zip(prefix(start, start + shape.length).view(np.int64), at - start)]
+                        out += [(int(h), doc, at, int(k), int(k), r["twice"], None, None) for h, k in zip(prefix(start, start + shape.length).view(np.int64), at - start)]
                     else:
-                        out.append((core, doc, at, lo, hi, r["twice"], raw[at - hi : at], raw[at + shape.core : at - lo + shape.length], False))
-                yield pd.DataFrame(out, columns=["core", "doc_id", "at", "least", "most", "twice", "left", "right", "hot"])
+                        out.append((core, doc, at, lo, hi, r["twice"], raw[at - hi : at], raw[at + shape.core : at - lo + shape.length]))
+                yield pd.DataFrame(out, columns=["core", "doc_id", "at", "least", "most", "twice", "left", "right"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "rows").mapInPandas(run, "core long, doc_id long, at long, least int, most int, twice boolean, left binary, right binary, hot boolean")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "rows").mapInPandas(run, "core long, doc_id long, at long, least int, most int, twice boolean, left binary, right binary")
 
 
 def repeated(members: pd.DataFrame, shape: Shape) -> pd.DataFrame:
@@ -243,13 +279,13 @@ def _compared(members: DataFrame, shape: Shape, most: int = 12_000) -> DataFrame
         if len(rows):
             yield repeated(rows, shape)
 
-    rows = members.where("NOT hot").drop("hot").repartition("core").sortWithinPartitions("core")
+    rows = members.repartition("core").sortWithinPartitions("core")
     return rows.mapInPandas(run, "doc_id long, start long, stop long")
 
 
 def _counted(members: DataFrame, shape: Shape) -> DataFrame:
     """The same for hot cores: strings that occur twice, by hash."""
-    rows = members.where("hot").select("core", "doc_id", "twice", (F.col("at") - F.col("least")).alias("start"))
+    rows = members.select("core", "doc_id", "twice", (F.col("at") - F.col("least")).alias("start"))
     often = rows.groupBy("core").agg((F.count("*") + F.count_if("twice")).alias("n")).where("n > 1").select("core")
     return rows.where("NOT twice").join(often, "core", "left_semi").select("doc_id", "start", (F.col("start") + shape.length).alias("stop"))
 
@@ -269,15 +305,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = True) -
     shape = Shape(length)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     rows = staged(_grouped(docs, shape), "anchors")
-    whole = rows.where("twice").select("doc_id", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + length).alias("stop"))
-    found = whole
-    if not rows.where("contexts > 1").isEmpty():
-        members = _members(rows, docs, shape)
-        if rows.where(F.col("contexts") > HOT).isEmpty():
-            found = whole.unionByName(_compared(members, shape))
-        else:
-            members = staged(members, "members")
-            found = whole.unionByName(_compared(members, shape)).unionByName(_counted(members, shape))
+    anchor = F.col("kind") != SPAN
+    start = F.when(anchor, F.col("at") - F.col("most")).otherwise(F.col("at"))
+    stop = F.when(anchor, F.col("at") - F.col("least") + length).otherwise(F.col("at") + F.col("most"))
+    found = rows.where("twice").select("doc_id", start.alias("start"), stop.alias("stop"))
+    # One plan holds both joins with the texts, so Spark shuffles these once.
+    most = rows.agg(F.max("contexts")).first()[0] or 0
+    if most > 1:
+        found = found.unionByName(_compared(_members(rows, docs, shape, False), shape))
+    if most > HOT:
+        found = found.unionByName(_counted(_members(rows, docs, shape, True), shape))
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
