@@ -137,7 +137,8 @@ def bootstrap_ci(s, d):
 
 
 def bootstrap_ratio(s, d):
-    rows = rated(s, d).agg(F.count_if("lang = 'en' AND toxic = 1").alias("k1"), F.count_if("lang = 'en'").alias("n1"), F.count_if("lang <> 'en' AND toxic = 1").alias("k0"), F.count_if("lang <> 'en'").alias("n0"))
+    counts = {"k1": "lang = 'en' AND toxic = 1", "n1": "lang = 'en'", "k0": "lang <> 'en' AND toxic = 1", "n0": "lang <> 'en'"}
+    rows = rated(s, d).agg(*[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()])
     return intervals.bootstrap_ratio(rows, 2000)
 
 
