@@ -15,6 +15,11 @@ def mixed_year(c: Column | str, formats: tuple[str, ...] = FORMATS) -> Column:
     return F.year(F.coalesce(*[F.try_to_timestamp(col(c), F.lit(f)) for f in formats]))
 
 
+def digit_year(c: Column | str) -> Column:
+    """A year of digits alone, else null."""
+    return F.when(F.trim(col(c)).rlike("^[0-9]+$"), F.trim(col(c))).try_cast("int")
+
+
 def paper_year(year: Column | str, volume_year: Column | str) -> Column:
     """The paper's year, or where it has none the volume's."""
     return F.coalesce(blank_to_null(year), col(volume_year)).try_cast("int")

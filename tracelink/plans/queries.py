@@ -447,6 +447,29 @@ def labelled_coverage(s, d):
     return audit.labelled_coverage(t(s, d, "labels"), t(s, d, "documents"), "doc_id", "toxic").withColumn("coverage", r6("coverage"))
 
 
+def absent_count(s, d):
+    rows = t(s, d, "part").select("p_partkey", F.when(F.col("p_size") < 5, True).when(F.col("p_size") < 10, False).alias("_absent"))
+    return audit.absent(rows)
+
+
+def digit_years(s, d):
+    """Awards with a year of digits and a usable abstract."""
+    shown = F.when(F.col("doc_id") % 3 == 0, "n/a").otherwise(F.concat(F.lit(" "), (F.col("doc_id") % 5 + 2015).cast("string")))
+    rows = t(s, d, "documents").where(F.length("text") >= 50).select(dates.digit_year(shown).alias("year")).where("year IS NOT NULL")
+    return rows.groupBy("year").agg(F.count("*").alias("n"))
+
+
+def omnibus_chi_square(s, d):
+    """Whether languages differ in their share of toxic rows (an extension)."""
+    return contingency.chi_square(rated(s, d), "lang", "toxic").select(r6("statistic").alias("statistic"), "df", "n")
+
+
+def in_text_links(s, d):
+    """Links whose citation is (also) in the body, against all."""
+    e = edges(s, d)
+    return e.groupBy("reftype").agg(F.count_if(F.col("wherefound").isin("O", "both")).alias("in_text"), F.count("*").alias("n"))
+
+
 def lookup_default(s, d):
     rows = t(s, d, "customer").join(t(s, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
     return rows.groupBy(F.coalesce("n_name", F.lit("")).alias("nation")).agg(F.count("*").alias("n"))
@@ -490,6 +513,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         reweighted_share, arm_compare, arm_standardised, arm_mh, arm_mh_p, arm_single, arm_membership, arm_reach, upsert_first_last, kappa_ac1, confusion_prf, f1_interval, consensus_rates,
         flip_rates, flip_consistency, stacked_arms, crosstab_label_class, class_codes, assignees, missing_by_year, missing_by_branch, kth_mention, award_arms, term_three_level, term_snippets,
         dedup_first, last_turn, doi_norm_join, work_ids, paper_ids, year_parse, label_clean, html_fields, html_unescape, json_extract, prompts, md5_cache_miss, rule_labels, representativeness,
-        id_set_sizes, labelled_coverage, lookup_default, chained_membership, triple_coded, stream_links,
+        id_set_sizes, labelled_coverage, lookup_default, chained_membership, triple_coded, stream_links, absent_count, digit_years, omnibus_chi_square, in_text_links,
     ]
     return {f.__name__: f for f in found}

@@ -176,6 +176,12 @@ def oracle_sql() -> dict[str, str]:
           SELECT year, count(*) AS n, count(w.oaid) AS cited FROM papers LEFT JOIN w USING (oaid) GROUP BY 1""",
         "triple_coded": """SELECT lang, quality::VARCHAR AS a, toxic::VARCHAR AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE doc_id % 4 <> 1 AND doc_id % 10 <> 0 GROUP BY 1, 2, 3""",
         "stream_links": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY 1",
+        "absent_count": "SELECT count(*) AS n, count(*) FILTER (p_size < 5) AS absent FROM part",
+        "digit_years": "SELECT (doc_id % 5 + 2015)::INT AS year, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 AND length(text) >= 50 GROUP BY 1",
+        "omnibus_chi_square": """WITH r AS (SELECT lang, toxic FROM documents JOIN labels USING (doc_id)), c AS (SELECT lang, toxic, count(*) AS n FROM r GROUP BY 1, 2),
+          e AS (SELECT a.lang, b.toxic, a.n * b.n / t.n AS e FROM (SELECT lang, count(*) AS n FROM r GROUP BY 1) a, (SELECT toxic, count(*) AS n FROM r GROUP BY 1) b, (SELECT count(*) AS n FROM r) t)
+          SELECT round(sum((coalesce(n, 0) - e) ** 2 / e), 6) AS statistic, (count(DISTINCT lang) - 1) * (count(DISTINCT toxic) - 1) AS df, (SELECT count(*) FROM r) AS n FROM e LEFT JOIN c USING (lang, toxic)""",
+        "in_text_links": "SELECT l_returnflag AS reftype, count(*) FILTER (l_linestatus IN ('O', 'both')) AS in_text, count(*) AS n FROM lineitem GROUP BY 1",
     }
     return sql
 

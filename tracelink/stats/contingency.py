@@ -61,6 +61,19 @@ def mantel_haenszel(strata: DataFrame, correction: float = 0.5) -> DataFrame:
     )
 
 
+def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pearson's statistic of independence of two columns, with its degrees of freedom and the number of rows."""
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
+    of_a, of_b = cells.groupBy(a).agg(F.sum("n").alias("na")), cells.groupBy(b).agg(F.sum("n").alias("nb"))
+    total = of_a.agg(F.sum("na").alias("total"), F.count("*").alias("ka"))
+    margins = of_b.agg(F.count("*").alias("kb"))
+    # Sum of n^2 / (na nb) over the cells that occur gives the statistic, as empty cells add nothing to it.
+    share = cells.join(of_a, a).join(of_b, b).agg(F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("s"))
+    one = [x.withColumn("_k", F.lit(1)) for x in (share, total, margins)]  # single rows
+    out = one[0].join(one[1], "_k").join(one[2], "_k")
+    return out.select((F.col("total") * (F.col("s") - 1)).alias("statistic"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"), F.col("total").alias("n"))
+
+
 def agreement(rows: DataFrame, a: str, b: str, domain: Sequence) -> DataFrame:
     """Raw agreement, Cohen's kappa and Gwet's AC1 of two raters over a fixed domain, from one aggregation."""
     n = F.count("*")
