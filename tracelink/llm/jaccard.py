@@ -8,9 +8,9 @@ neighbours: a missing token breaks at most two pairs and an added one a single p
 extension (see `signatures`). So a signature shared by very many dissimilar documents does not occur unless nearly all
 of a document is common text.
 
-Candidates are verified exactly, on the texts. Copies collapse to one set first. Inside a signature's group the sets are
-compared with the first one only; sets that end up in one component need no further comparison, and what is left apart
-is compared by representatives of components and at last pair by pair, so no link is lost and no group is expanded.
+Candidates are verified exactly, on the texts. Copies collapse to one set first. The sets of a small signature group are
+compared pair by pair. Larger groups, and what they hold together, are never expanded: tasks count the overlaps of whole
+blocks of sets with an inverted index, and give out no more links than it takes to connect what is linked.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelink.llm.shared import mix, ngram_hashes, scan_words, slabs, staged
@@ -31,6 +31,8 @@ ZONE = int(0.3 * 2**64)
 #: Sets up to this size also index single frequent tokens, as an extension needs some room.
 SMALL = 12
 BLOOM_BITS = 1 << 25
+#: Groups of a signature with more sets are compared inside of tasks, so many sets against as many at a time.
+GROUP, BLOCK = 8, 1024
 
 
 def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
@@ -58,7 +60,9 @@ def _spare(n: np.ndarray | int, percent: int):
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted token set, and the place in the order of the token each stands for (-1: a pair).
+    """Signatures of a sorted token set, and the place in the order of the token each stands for.
+
+    Places are -1 for pairs, and for all signatures of a set whose rare tokens do not fill the prefix.
 
     With s = floor((1 - t) n) and c rare tokens in the prefix: if c = s + 1 one of them is shared. Else, of D missing and I
     added tokens, D + t I <= (1 - t) n; c missing ones break the rare tokens, the rest at most 2 ((1 - t) n - c) pairs (added
@@ -73,6 +77,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     rare = tokens[~common][:need]
     sigs, places = [rare], [np.arange(len(rare))]
     if len(rare) < need:
+        places = [np.full(len(rare), -1)]
         often = tokens[common]
         if n <= SMALL:
             more = often[: need - len(rare)]
@@ -121,15 +126,17 @@ def _signature_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
+        often, seen = shared.value, set()  # copies inside a task's input give rows once
         for batch in batches:
             sig, place, sid, size, held = [], [], [], [], 0
             for tokens in shingle_sets(_texts(batch), n):
-                if len(tokens):
+                own = set_id(tokens)
+                if len(tokens) and own not in seen:
+                    seen.add(own)
                     s, p = signatures(tokens, often, percent)
                     sig.append(s)
                     place.append(p)
-                    sid.append(np.full(len(s), set_id(tokens)))
+                    sid.append(np.full(len(s), own))
                     size.append(np.full(len(s), len(tokens), np.int32))
                     held += len(s)
                     if held > 500_000:
@@ -150,11 +157,18 @@ def _near(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _reach(percent: int):
-    """What is left behind two shared places is enough for the overlap that a link needs; places of pairs are unknown."""
-    overlap = F.ceil((F.col("a_size") + F.col("b_size")) * percent / (100 + percent))
-    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
-    return (F.col("a_place") < 0) | (F.col("b_place") < 0) | (left >= overlap)
+def _possible(percent: int):
+    """Whether a pair that shares `both` tokens of its prefixes, the last at places a_last and b_last, can still link.
+
+    Up to its last shared token each set has tokens that the other lacks; behind it, the set whose prefix ends first has
+    all the rest of its prefix. With D tokens missing in the other set and I added ones, D + t I <= (1 - t) n must hold.
+    """
+    need = lambda c: F.col(c) - F.floor((percent * F.col(c) + 99) / 100) + 1
+    missing, added = F.col("a_last") + 1 - F.col("both"), F.col("b_last") + 1 - F.col("both")
+    rest_a, rest_b = need("a_size") - F.col("a_last") - 1, need("b_size") - F.col("b_last") - 1
+    room = (100 - percent) * F.col("a_size")
+    fits = lambda d, i: 100 * d + percent * i <= room
+    return (F.col("least") < 0) | fits(missing + rest_a, added) | fits(missing, added + rest_b)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,12 +176,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _either(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staged(large, "large-star")
         first = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(first, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(first.withColumnRenamed("m", "v"))
+        small = _either(large.join(first, "u"), ("v", "m"), ("u", "m")).where("u <> v")
         edges = staged(small.distinct(), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -175,6 +189,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _either(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (u, v) for each of the pairs of columns."""
+    return rows.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")).select("e.*")
+
+
 def _bloom(ids: DataFrame, column: str):
     """A filter of fixed size over the ids, as a predicate on doc_id; it may let others through."""
     spot = lambda k: F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(BLOOM_BITS))
@@ -219,43 +238,28 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     A text of fewer than n words is one shingle; a null text, or one without words, has the empty set and links with
     nothing. Returns one row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links) and
     copies, the number of documents with the same set. Rows of a repeated doc_id (which must have one text) come back
-    once; an empty table gives no rows; other columns are not read.
+    once; rows without doc_id are left out; an empty table gives no rows; other columns are not read.
     """
     census = staged(_census(docs, n), "census")
     sets = census.where("kind = 1").select(F.col("key").alias("doc_id"), "sid", "size")
     often = census.where("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key").toPandas()["key"].to_numpy(np.int64)
     rows = _signature_rows(docs, np.sort(often.view(np.uint64)), n, percent)
 
-    by = Window.partitionBy("sig").orderBy("sid")
-    first = F.first(F.struct("sid", "size", "place")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    grouped = rows.withColumn("f", first).where("sid <> f.sid")
-    shared = staged(grouped.select("sig", F.col("f.sid").alias("a"), F.col("f.size").alias("a_size"), F.col("f.place").alias("a_place"), F.col("sid").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place")).distinct(), "shared")
+    # Signatures are counted before anything else moves; from here on only those of several sets are joined.
+    repeated = staged(rows.select("sig").groupBy("sig").count().where("count > 1").select("sig"), "repeated")
+    hits = staged(rows.join(repeated, "sig", "left_semi").distinct(), "hits")
+    groups = staged(hits.groupBy("sig").agg(F.count("*").alias("m"), F.min("sid").alias("first")).where("m > 1"), "groups")
     known = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    involved = shared.select(F.col("b").alias("sid")).unionByName(shared.select(F.col("a").alias("sid"))).distinct().join(known, "sid").select("sid", "doc_id")
-    involved = staged(involved, "involved")
+    pairs = staged(_pairs(hits.join(groups.where(F.col("m") <= GROUP).select("sig"), "sig", "left_semi"), percent), "pairs")
+    clusters = staged(_spanned(hits.join(groups.where(F.col("m") > GROUP).select("sig", "first"), "sig").select(F.col("sid").alias("a"), F.col("first").alias("b"))), "clusters")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(clusters.select(F.col("node").alias("sid"))).distinct()
+    involved = staged(wanted.join(known, "sid").select("sid", "doc_id"), "involved")
     texts = docs.select("doc_id", "text").where(_bloom(involved, "doc_id")).join(involved, "doc_id")
     texts = staged(texts.select("sid", "text"), "texts")
 
-    tried = staged(shared.where(_near("a_size", "b_size", percent)).where(_reach(percent)).select("a", "b").distinct(), "tried")
-    links = staged(_verified(tried, texts, n, percent), "links")
-    roots = components(links)
-    members = shared.select("sig", F.col("a").alias("sid"), F.col("a_size").alias("size"), F.col("a_place").alias("place")).unionByName(shared.select("sig", F.col("b").alias("sid"), F.col("b_size").alias("size"), F.col("b_place").alias("place"))).distinct()
-    for last in (False, False, True):
-        placed = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        open_sigs = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.approx_count_distinct("sid").alias("n")).where("lo <> hi").select("sig")
-        members = staged(placed.join(open_sigs, "sig", "left_semi"), "open")
-        if last:
-            left = members
-        else:  # one set for each component in the group
-            left = members.groupBy("sig", "root").agg(F.min(F.struct("sid", "size", "place")).alias("s")).select("sig", "root", "s.*")
-        pairs = _across(left, percent, star=not last).join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        more = staged(_verified(pairs, texts, n, percent), "more-links")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(more)
-        members = members.drop("root")
-        if not more.isEmpty():
-            roots = components(links)
+    few = staged(_verified(pairs, texts, n, percent), "links")
+    many = staged(_crowded(clusters, texts, n, percent), "crowded-links")
+    roots = components(few.unionByName(many))
     least = roots.join(known.withColumnRenamed("sid", "node"), "node").groupBy("root").agg(F.min("doc_id").alias("low"))
     least = roots.select("root").distinct().join(known.withColumnRenamed("sid", "root"), "root").select("root", F.col("doc_id").alias("own")).join(least, "root").select("root", F.least("own", "low").alias("component_id"))
     class_of = known.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(least, "root", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), "copies")
@@ -263,13 +267,77 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _across(rows: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs of sets of different components in a signature's group: with the group's first set, or all of them."""
-    b = rows.select("sig", "root", F.col("sid").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"))
-    a = rows.select("sig", F.col("root").alias("a_root"), F.col("sid").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"))
-    if star:
-        a = a.groupBy("sig").agg(F.min(F.struct("a_root", "a", "a_size", "a_place")).alias("f")).select("sig", "f.*")
-    pairs = a.join(b, "sig").where("a_root <> root").where(_near("a_size", "b_size", percent)).where(_reach(percent))
-    if not star:
-        pairs = pairs.where("a < b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that share signatures of small groups, if these can be enough.
+
+    A pair that shares one of a large group as well may be left out here: its cluster holds it.
+    """
+    as_ = lambda c: members.select("sig", F.col("sid").alias(c), F.col("size").alias(f"{c}_size"), F.col("place").alias(f"{c}_place"))
+    rows = as_("a").join(as_("b"), "sig").where("a < b").where(_near("a_size", "b_size", percent))
+    pairs = rows.groupBy("a", "b", "a_size", "b_size").agg(
+        F.count("*").alias("both"), F.max("a_place").alias("a_last"), F.max("b_place").alias("b_last"), F.min(F.least("a_place", "b_place")).alias("least")
+    )
+    return pairs.where(_possible(percent)).select("a", "b")
+
+
+def _spanned(edges: DataFrame) -> DataFrame:
+    """Clusters of sets that large groups hold together: (node, root), roots included."""
+    clusters = components(edges)
+    return clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _crowded(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links inside clusters, as far as they connect: a task counts the overlaps of two blocks of sets.
+
+    No pair leaves a task but one that joins two parts. A cluster of m sets takes (m / BLOCK)^2 / 2 tasks.
+    """
+    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.select("root", "block", F.col("node").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.join(texts, "sid").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("sid").sort_values("sid", kind="stable")
+        sid, block = group["sid"].to_numpy(), group["block"].to_numpy()
+        return pd.DataFrame(connecting_links(sid, list(shingle_sets(_texts(group), n)), percent, None if (block == block[0]).all() else block), columns=["a", "b"])
+
+    return rows.groupBy("root", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def connecting_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets (with side: between sets of different sides), by an inverted index."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets])
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    keep = df[code] > 1
+    code, row = code[keep], row[keep]
+    by = np.argsort(code, kind="stable")
+    posting, begin = row[by], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(df)))])
+    cut = np.searchsorted(row, np.arange(m + 1))
+    parent = list(range(m))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i in range(m):
+        mine = code[cut[i] : cut[i + 1]]
+        if not len(mine):
+            continue
+        lo, count = begin[mine], begin[mine + 1] - begin[mine]
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(posting[at], minlength=m)
+        linked = 100 * both >= percent * (size[i] + size - both)
+        linked[: i + 1] = False
+        if side is not None:
+            linked &= side != side[i]
+        for j in np.flatnonzero(linked).tolist():
+            x, y = root(i), root(j)
+            if x != y:
+                parent[y] = x
+                out.append((int(ids[i]), int(ids[j])))
+    return out
