@@ -7,7 +7,8 @@ def test_stream_agrees_with_batch(spark, data):
     events = spark.read.parquet(f"{data}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(data).withColumn("ts", F.col("ts").cast("timestamp"))
     wanted = spark.read.parquet(f"{data}/customer.parquet").where("c_nationkey < 12").selectExpr("c_custkey AS user_id")
-    out = links.counts(links.once(links.cited_by(stream, wanted, "user_id"), ["event_id"], "ts", "1 hour"), "ts", "1 day", "1 hour", "event_type")
+    stream = links.watermarked(links.cited_by(stream, wanted, "user_id"), "ts", "1 hour")
+    out = links.counts(links.once(stream, ["event_id"]), "ts", "1 day", "event_type")
     query = out.writeStream.outputMode("append").format("memory").queryName("seen").trigger(availableNow=True).start()
     query.awaitTermination()
     batch = events.join(wanted.distinct(), "user_id", "left_semi")

@@ -11,11 +11,16 @@ def cited_by(stream: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return stream.join(wanted.select(key).distinct(), key, "left_semi")
 
 
-def once(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Drops edges that were seen within the watermark's delay; the state is bounded by it."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def watermarked(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """The stream with its one watermark, which bounds the state of what follows."""
+    return stream.withWatermark(time, delay)
 
 
-def counts(stream: DataFrame, time: str, width: str, delay: str, *keys: str) -> DataFrame:
-    """Edges per window and key; late ones count until the watermark has passed the window."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
+def once(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Drops edges of a watermarked stream that were seen within the watermark's delay."""
+    return stream.dropDuplicatesWithinWatermark(keys)
+
+
+def counts(stream: DataFrame, time: str, width: str, *keys: str) -> DataFrame:
+    """Edges of a watermarked stream per window and key; late ones count until the watermark has passed the window."""
+    return stream.groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
