@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelink.llm.grouping import suffix_array
-from tracelink.llm.shared import BYTE_VALUE, mix, powers, slabs, staged
+from tracelink.llm.shared import BYTE_VALUE, mix, powers, slabs, small_batches, staged
 
 #: A core with more different contexts is handled by counting strings.
 HOT = 4096
@@ -133,12 +133,12 @@ def _anchor_rows(docs: DataFrame, shape: Shape) -> DataFrame:
                 first = np.flatnonzero(new)
                 several = np.diff(np.append(first, len(by))) > 1
                 within = np.repeat(several, np.diff(np.append(first, len(by))))
-                owner, start, stop = merged(doc[within], at[within] - hi[within], at[within] - lo[within] + shape.length)
+                owner, start, stop, lead = merged(doc[within], at[within] - hi[within], at[within] - lo[within] + shape.length)
                 kind = np.concatenate([np.where(several, SEVERAL, ALONE), np.full(len(owner), SPAN)])
                 both = lambda x, y: np.concatenate([x[first], y])
                 yield pd.DataFrame(
                     {
-                        "core": both(core, mix(start.astype(np.uint64) + mix(ids[a:b][owner].view(np.uint64)))).view(np.int64), "context": both(context, np.zeros(len(owner), np.uint64)).view(np.int64),
+                        "core": both(core, core[within][lead]).view(np.int64), "context": both(context, np.zeros(len(owner), np.uint64)).view(np.int64),
                         "doc_id": ids[a:b][both(doc, owner)], "at": both(at, start), "least": both(lo, np.zeros(len(owner), np.int64)).astype(np.int32), "most": both(hi, stop - start).astype(np.int32), "kind": kind.astype(np.int8),
                     }
                 )
@@ -146,31 +146,35 @@ def _anchor_rows(docs: DataFrame, shape: Shape) -> DataFrame:
     return docs.mapInPandas(run, ANCHORS)
 
 
-def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The maximal runs that intervals of one size or another cover, per owner."""
+def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs that intervals cover, per owner, and the place of each run's first interval."""
     by = np.lexsort((start, owner))
     owner, start, stop = owner[by], start[by], stop[by]
     if not len(by):
-        return owner, start, stop
+        return owner, start, stop, by
     # Furthest stop so far within the owner: owners are kept apart by a shift beyond all places.
     shift = (np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]]))) * (int(stop.max()) + 1)
     far = np.maximum.accumulate(stop + shift) - shift
     new = np.ones(len(by), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > far[:-1])
     first = np.flatnonzero(new)
-    return owner[first], start[first], far[np.append(first[1:], len(by)) - 1]
+    return owner[first], start[first], far[np.append(first[1:], len(by)) - 1], by[first]
 
 
-def _grouped(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Anchors whose core occurs twice: whether the context does (twice), whether the row stands for its context (first),
-    and how many contexts the core has (1 to HOT + 1)."""
-    by = Window.partitionBy("core").orderBy("context")
-    before, after = F.lag("context").over(by), F.lead("context").over(by)
-    rows = _anchor_rows(docs, shape).withColumns({"before": before, "after": after, "number": F.dense_rank().over(by)})
-    rows = rows.where(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("kind") != ALONE))
-    contexts = F.max("number").over(Window.partitionBy("core"))
-    same = lambda c: F.coalesce(F.col(c) == F.col("context"), F.lit(False))
-    return rows.withColumns({"twice": same("before") | same("after") | (F.col("kind") != ALONE), "first": ~same("before"), "contexts": F.least(contexts, F.lit(HOT + 1))}).drop("before", "after", "number")
+def _grouped(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """Anchors (and spans) whose core occurs twice, and the contexts of cores that have several of these.
+
+    Cores are counted first, with partial sums, so that only the repeated ones are brought together with their anchors;
+    all steps after that are counts or joins, which Spark sums or splits where one core or context is frequent.
+    """
+    twice = F.when(F.col("kind") == SEVERAL, 2).otherwise(1)
+    cores = _anchor_rows(docs, shape).where(F.col("kind") != SPAN).groupBy("core").agg(F.sum(twice).alias("n")).where("n > 1").select("core")
+    rows = staged(_anchor_rows(docs, shape).join(staged(cores, "cores"), "core", "left_semi"), "anchors")
+    one = [F.first(c).alias(c) for c in ("doc_id", "at", "least", "most")]
+    contexts = staged(rows.where(F.col("kind") != SPAN).groupBy("core", "context").agg(F.sum(twice).alias("n"), *one), "contexts")
+    several = staged(contexts.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
+    whole = rows.join(contexts.where("n > 1").select("core", "context"), ["core", "context"], "left_semi").unionByName(rows.where(F.col("kind") == SPAN))
+    return whole, contexts.join(several, "core").withColumn("twice", F.col("n") > 1)
 
 
 def _members(rows: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataFrame:
@@ -178,8 +182,7 @@ def _members(rows: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataF
 
     hot: those of hot cores, with a row for each string instead, its hash as core and nothing else.
     """
-    which = F.col("contexts") > HOT if hot else F.col("contexts").between(2, HOT)
-    wanted = rows.where(which & F.col("first") & (F.col("kind") != SPAN)).groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "least", "most", "twice")).alias("rows"))
+    wanted = rows.where(F.col("contexts") > HOT if hot else F.col("contexts") <= HOT).groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "least", "most", "twice")).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -302,19 +305,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = True) -
     Returns n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, spans and, on request,
     kept, the remaining text (halves of characters at a cut are dropped).
     """
+    small_batches(docs.sparkSession)
     shape = Shape(length)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    rows = staged(_grouped(docs, shape), "anchors")
+    whole, contexts = _grouped(docs, shape)
     anchor = F.col("kind") != SPAN
     start = F.when(anchor, F.col("at") - F.col("most")).otherwise(F.col("at"))
     stop = F.when(anchor, F.col("at") - F.col("least") + length).otherwise(F.col("at") + F.col("most"))
-    found = rows.where("twice").select("doc_id", start.alias("start"), stop.alias("stop"))
+    found = whole.select("doc_id", start.alias("start"), stop.alias("stop"))
     # One plan holds both joins with the texts, so Spark shuffles these once.
-    most = rows.agg(F.max("contexts")).first()[0] or 0
+    most = contexts.agg(F.max("contexts")).first()[0] or 0
     if most > 1:
-        found = found.unionByName(_compared(_members(rows, docs, shape, False), shape))
+        found = found.unionByName(_compared(_members(contexts, docs, shape, False), shape))
     if most > HOT:
-        found = found.unionByName(_counted(_members(rows, docs, shape, True), shape))
+        found = found.unionByName(_counted(_members(contexts, docs, shape, True), shape))
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,6 +35,43 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, records: int = 500) -> None:
+    """Bounds the rows that go to a Python worker at once, for this session: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > records:
+        spark.conf.set(key, str(records))
+
+
+class Tally:
+    """Sums of counts per key, for partial aggregation in a task; it is given out whenever it has grown to `most` entries."""
+
+    def __init__(self, columns: int, most: int = 1_000_000):
+        self.columns, self.most = columns, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, *counts: np.ndarray) -> bool:
+        """Adds keys with a count in each column; true if the tally is full."""
+        self.keys.append(keys)
+        self.counts.append(np.stack(counts))
+        self.size += len(keys)
+        return self.size >= self.most
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys and (columns, keys) sums; the tally is empty after."""
+        if not self.keys:
+            return np.zeros(0, np.uint64), np.zeros((self.columns, 0), np.int64)
+        keys, code = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.concatenate(self.counts, axis=1)
+        self.clear()
+        return keys, np.stack([np.bincount(code, c, len(keys)) for c in counts]).astype(np.int64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes (splitmix64)."""
     h = h ^ (h >> np.uint64(30))
@@ -102,7 +139,7 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def slabs(texts, most: int = 2_000_000):
+def slabs(texts, most: int = 1_000_000):
     """Cuts a sequence of texts into runs (start, stop) of about `most` characters, so that arrays stay small."""
     start, size = 0, 0
     for i, t in enumerate(texts):
