@@ -15,6 +15,7 @@ blocks of sets with an inverted index, and give out no more links than it takes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import mix, ngram_hashes, scan_words, slabs, staged
+from tracelink.llm.shared import Tally, mix, ngram_hashes, scan_words, slabs, small_batches, staged
 
 #: Tokens of the frequent class: counted in at least so many documents; the most frequent ones, at most so many (16 MB).
 FREQUENT, MAX_FREQUENT = 8, 1 << 21
@@ -32,7 +33,7 @@ ZONE = int(0.3 * 2**64)
 SMALL = 12
 BLOOM_BITS = 1 << 25
 #: Groups of a signature with more sets are compared inside of tasks, so many sets against as many at a time.
-GROUP, BLOCK = 8, 1024
+GROUP, BLOCK, SHINGLES = 8, 1024, 400_000
 
 
 def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
@@ -98,27 +99,24 @@ def _census(docs: DataFrame, n: int) -> DataFrame:
     """One aggregation over all documents: token counts (kind 0) and each document's set (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zone = np.uint64(ZONE)
+        zone, tally = np.uint64(ZONE), Tally(1)
         for batch in batches:
-            sets, parts, held = [], [], 0
+            sets = []
             for tokens in shingle_sets(_texts(batch), n):
                 sets.append((set_id(tokens) if len(tokens) else None, len(tokens)))
-                parts.append(tokens[: np.searchsorted(tokens, zone)])
-                held += len(parts[-1])
-                if held > 2_000_000:
-                    yield _counted(parts)
-                    parts, held = [], 0
-            if parts:
-                yield _counted(parts)
+                low = tokens[: np.searchsorted(tokens, zone)]
+                if tally.add(low, np.ones(len(low), np.int32)):
+                    yield _counted(tally)
             yield pd.DataFrame({"kind": np.int8(1), "key": batch["doc_id"].to_numpy(np.int64), "n": 1, "sid": pd.array([s for s, _ in sets], dtype="Int64"), "size": np.array([k for _, k in sets], np.int32)})
+        yield _counted(tally)
 
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "kind byte, key long, n int, sid long, size int")
     out = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("sid").alias("sid"), F.max("size").alias("size"))
     return out.where((F.col("kind") == 1) | (F.col("n") >= FREQUENT))
 
 
-def _counted(parts: list[np.ndarray]) -> pd.DataFrame:
-    tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+def _counted(tally: Tally) -> pd.DataFrame:
+    tokens, (n,) = tally.take()
     return pd.DataFrame({"kind": np.int8(0), "key": tokens.view(np.int64), "n": n.astype(np.int32), "sid": pd.array([None], dtype="Int64").repeat(len(tokens)), "size": np.int32(0)})
 
 
@@ -127,8 +125,8 @@ def _signature_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, seen = shared.value, set()  # copies inside a task's input give rows once
+        sig, place, sid, size, held = [], [], [], [], 0
         for batch in batches:
-            sig, place, sid, size, held = [], [], [], [], 0
             for tokens in shingle_sets(_texts(batch), n):
                 own = set_id(tokens)
                 if len(tokens) and own not in seen:
@@ -139,11 +137,11 @@ def _signature_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int)
                     sid.append(np.full(len(s), own))
                     size.append(np.full(len(s), len(tokens), np.int32))
                     held += len(s)
-                    if held > 500_000:
+                    if held > 200_000:
                         yield _frame(sig, place, sid, size)
                         sig, place, sid, size, held = [], [], [], [], 0
-            if sig:
-                yield _frame(sig, place, sid, size)
+        if sig:
+            yield _frame(sig, place, sid, size)
 
     return docs.select("text").mapInPandas(run, "sig long, place int, sid long, size int")
 
@@ -240,6 +238,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     copies, the number of documents with the same set. Rows of a repeated doc_id (which must have one text) come back
     once; rows without doc_id are left out; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     census = staged(_census(docs, n), "census")
     sets = census.where("kind = 1").select(F.col("key").alias("doc_id"), "sid", "size")
     often = census.where("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key").toPandas()["key"].to_numpy(np.int64)
@@ -251,7 +250,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     groups = staged(hits.groupBy("sig").agg(F.count("*").alias("m"), F.min("sid").alias("first")).where("m > 1"), "groups")
     known = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     pairs = staged(_pairs(hits.join(groups.where(F.col("m") <= GROUP).select("sig"), "sig", "left_semi"), percent), "pairs")
-    clusters = staged(_spanned(hits.join(groups.where(F.col("m") > GROUP).select("sig", "first"), "sig").select(F.col("sid").alias("a"), F.col("first").alias("b"))), "clusters")
+    clusters = staged(_spanned(hits.join(groups.where(F.col("m") > GROUP).select("sig", "first"), "sig")), "clusters")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(clusters.select(F.col("node").alias("sid"))).distinct()
     involved = staged(wanted.join(known, "sid").select("sid", "doc_id"), "involved")
     texts = docs.select("doc_id", "text").where(_bloom(involved, "doc_id")).join(involved, "doc_id")
@@ -280,32 +279,42 @@ def _pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_possible(percent)).select("a", "b")
 
 
-def _spanned(edges: DataFrame) -> DataFrame:
-    """Clusters of sets that large groups hold together: (node, root), roots included."""
-    clusters = components(edges)
-    return clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+def _spanned(rows: DataFrame) -> DataFrame:
+    """Clusters of the sets (sid, size, first) that large groups hold together: (node, root, size)."""
+    sizes = rows.select(F.col("sid").alias("node"), "size").distinct()
+    clusters = components(rows.select(F.col("sid").alias("a"), F.col("first").alias("b")))
+    return sizes.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _crowded(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links inside clusters, as far as they connect: a task counts the overlaps of two blocks of sets.
 
-    No pair leaves a task but one that joins two parts. A cluster of m sets takes (m / BLOCK)^2 / 2 tasks.
+    Linked sets are of like size, so a cluster falls into levels of sizes, each with the sets of its own and the level
+    below. A block has BLOCK sets or SHINGLES shingles; a level of m blocks takes m^2 / 2 tasks. No pair leaves a task but
+    one that joins two parts.
     """
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    rows = rows.select("root", "block", F.col("node").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    width = math.log(100 / percent) * 1.000001  # sets that can link are at most one level apart, rounding included
+    own = F.floor(F.log("size") / F.lit(width)).cast("int")
+    rows = clusters.withColumn("own", own).withColumn("level", F.explode(F.array("own", F.col("own") + 1)))
+    shape = rows.groupBy("root", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks"), F.count_if(F.col("own") == F.col("level")).alias("top"))
+    rows = rows.join(shape.where("top > 0"), ["root", "level"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.select("root", "level", "block", (F.col("own") < F.col("level")).alias("below"), F.col("node").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.join(texts, "sid").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("sid").sort_values("sid", kind="stable")
-        sid, block = group["sid"].to_numpy(), group["block"].to_numpy()
-        return pd.DataFrame(connecting_links(sid, list(shingle_sets(_texts(group), n)), percent, None if (block == block[0]).all() else block), columns=["a", "b"])
+        sid, block, below = (group[c].to_numpy() for c in ("sid", "block", "below"))
+        single = group["i"].iloc[0] == group["j"].iloc[0]
+        return pd.DataFrame(connecting_links(sid, list(shingle_sets(_texts(group), n)), percent, below, None if single else block), columns=["a", "b"])
 
-    return rows.groupBy("root", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("root", "level", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def connecting_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (with side: between sets of different sides), by an inverted index."""
+def connecting_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, below: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets, by an inverted index.
+
+    Pairs that are both below are left out, and with side those of one side.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets])
     _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -333,6 +342,8 @@ def connecting_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, side
         both = np.bincount(posting[at], minlength=m)
         linked = 100 * both >= percent * (size[i] + size - both)
         linked[: i + 1] = False
+        if below[i]:
+            linked &= ~below
         if side is not None:
             linked &= side != side[i]
         for j in np.flatnonzero(linked).tolist():
