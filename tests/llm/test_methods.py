@@ -332,6 +332,7 @@ def test_links_of_edited_copies(spark, monkeypatch, group, block):
     """Groups of copies with edits around the threshold, common passages, and short texts; also with tiny groups and blocks."""
     monkeypatch.setattr(jaccard, "GROUP", group)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SHINGLES", block * 60)
     rng = np.random.default_rng(group)
     words = [f"w{i}" for i in range(3000)]
     fresh = lambda n: list(rng.choice(words, n))
