@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_by(rows: DataFrame, keys: list[str] | str, *order: str | Column) -> DataFrame:
-    """Keep-first: the row of each key that comes first in an explicit order (end it with a unique column)."""
+def first_by(rows: DataFrame, keys: list[str] | str, *order: str, last: bool = False) -> DataFrame:
+    """Keep-first: the row of each key that comes first (or last) in an explicit order; end it with a unique column.
+
+    An aggregate and not a window, so a task passes on one row per key and a frequent key does not meet in one task.
+    """
     keys = [keys] if isinstance(keys, str) else keys
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    rest = [c for c in rows.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    found = rows.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r")) if rest else rows.select(*keys).distinct()
+    return found.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in rows.columns])
 
 
-def resolve(papers: DataFrame, works: DataFrame, key: str, *order: str | Column) -> DataFrame:
+def resolve(papers: DataFrame, works: DataFrame, key: str, *order: str) -> DataFrame:
     """papers left join works, of which the first one of each key counts. Null keys match nothing."""
     return papers.join(first_by(works.where(F.col(key).isNotNull()), key, *order), key, "left")
 

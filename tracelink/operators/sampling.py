@@ -24,10 +24,19 @@ def control_sample(rows: DataFrame, treated: DataFrame, key: str, n: int, seed:
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, take: Mapping[str, int | None], seed: str | int) -> DataFrame:
-    """Up to take[s] rows of each stratum s in sample order (None: all). Strata that are not named give nothing."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(order_key(key, seed), key))
-    quota = F.create_map(*[F.lit(x) for s, q in take.items() for x in (s, -1 if q is None else q)])[F.col(stratum)]
-    return rows.withColumns({"_place": place, "_quota": quota}).where("_quota < 0 OR _place <= _quota").drop("_place", "_quota")
+    """Up to take[s] rows of each stratum s in sample order (None: all). Strata that are not named give nothing.
+
+    The largest quota bounds the places by a literal, so Spark cuts each task's rows of a stratum before it shuffles them.
+    """
+    whole = [s for s, q in take.items() if q is None]
+    quotas = {s: q for s, q in take.items() if q is not None}
+    out = rows.where(F.col(stratum).isin(whole)) if whole else rows.limit(0)
+    if quotas:
+        place = F.row_number().over(Window.partitionBy(stratum).orderBy(order_key(key, seed), key))
+        quota = F.create_map(*[F.lit(x) for s, q in quotas.items() for x in (s, q)])[F.col(stratum)]
+        some = rows.where(F.col(stratum).isin(list(quotas))).withColumn("_place", place).where(F.col("_place") <= max(quotas.values()))
+        out = out.unionByName(some.where(F.col("_place") <= quota).drop("_place"))
+    return out
 
 
 def sheet(rows: DataFrame, key: str, seed: str | int, coder: str) -> DataFrame:

@@ -265,8 +265,8 @@ def arm_reach(s, d):
 
 def upsert_first_last(s, d):
     e = edges(s, d).select("oaid", "arm_key", "ord")
-    first = links.first_by(e, "oaid", "ord").select("oaid", F.col("arm_key").alias("first_arm"))
-    last = links.first_by(e, "oaid", F.desc("ord")).select("oaid", F.col("arm_key").alias("last_arm"))
+    first = links.first_by(e, "oaid", "ord", "arm_key").select("oaid", F.col("arm_key").alias("first_arm"))
+    last = links.first_by(e, "oaid", "ord", "arm_key", last=True).select("oaid", F.col("arm_key").alias("last_arm"))
     return first.join(last, "oaid")
 
 
@@ -339,7 +339,7 @@ def missing_by_branch(s, d):
 
 def kth_mention(s, d):
     rows = t(s, d, "events").select("event_type", F.expr("user_id % 2").alias("arm"), F.dayofyear("ts").alias("day"), "event_id")
-    found = awards.kth_smallest(rows, ["event_type", "arm"], "day", (1, 5, 25, 100), "event_id")
+    found = awards.kth_smallest(rows, ["event_type", "arm"], "day", (1, 5, 25, 100))
     return found.withColumns({c: or_minus(c) for c in ("k1", "k5", "k25", "k100")})
 
 
@@ -365,7 +365,7 @@ def dedup_first(s, d):
 
 
 def last_turn(s, d):
-    return links.first_by(t(s, d, "conversations").select("conv_id", "turn", "role"), "conv_id", F.desc("turn")).select("conv_id", "turn", "role")
+    return links.first_by(t(s, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", last=True).select("conv_id", "turn", "role")
 
 
 def doi_norm_join(s, d):

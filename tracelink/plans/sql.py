@@ -122,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "arm_single": f"WITH {_EDGES} SELECT oaid, min(arm_key) AS arm_key FROM edges GROUP BY 1",
         "arm_membership": f"WITH {_EDGES} SELECT arm_key, count(DISTINCT oaid) AS n_works FROM edges GROUP BY 1",
         "arm_reach": f"""WITH {_EDGES}, f AS (SELECT arm_key, oaid, bool_or(confscore >= 40) AS c FROM edges GROUP BY 1, 2) SELECT arm_key, count(*) AS n_works, round(count(*) FILTER (c) / count(*), 6) AS share FROM f GROUP BY 1""",
-        "upsert_first_last": f"WITH {_EDGES} SELECT oaid, arg_min(arm_key, ord) AS first_arm, arg_max(arm_key, ord) AS last_arm FROM edges GROUP BY 1",
+        "upsert_first_last": f"WITH {_EDGES} SELECT oaid, arg_min(arm_key, ord * 100000000 + arm_key) AS first_arm, arg_max(arm_key, ord * 100000000 + arm_key) AS last_arm FROM edges GROUP BY 1",
         "kappa_ac1": """WITH x AS (SELECT count(*) AS n, avg((quality = toxic)::INT) AS raw, avg((quality = 0)::INT) AS a0, avg((quality = 1)::INT) AS a1, avg((toxic = 0)::INT) AS b0, avg((toxic = 1)::INT) AS b1 FROM labels),
           y AS (SELECT n, raw, a0 * b0 + a1 * b1 AS e, (a0 + b0) / 2 * (1 - (a0 + b0) / 2) + (a1 + b1) / 2 * (1 - (a1 + b1) / 2) AS g FROM x)
           SELECT n, round(raw, 6) AS raw, round(CASE WHEN e < 1 THEN (raw - e) / (1 - e) ELSE 1 END, 6) AS kappa, round(CASE WHEN g < 1 THEN (raw - g) / (1 - g) ELSE 1 END, 6) AS ac1 FROM y""",
