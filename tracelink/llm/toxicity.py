@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import letter_words, slabs
+from tracelink.llm.shared import Tally, letter_words, slabs, small_batches
 
 #: Bounds of the labelled sample that is fitted on: at most about so many rows of either class.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 6_000, 8_000
@@ -115,18 +115,21 @@ def choose_terms(labelled: DataFrame, toxic: int, clean: int, most: int = MAX_TE
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally(2)
+
+        def frame() -> pd.DataFrame:
+            terms, (a, b) = tally.take()
+            return pd.DataFrame({"term": terms.view(np.int64), "a": a, "b": b})
+
         for batch in batches:
-            texts, y, seen, label = [t.lower() for t in batch["text"].array], batch["toxic"].to_numpy(np.int64), [], []
+            texts, y = [t.lower() for t in batch["text"].array], batch["toxic"].to_numpy(np.int64)
             for a, b in slabs(texts):
                 hashes, bounds = letter_words(texts[a:b])
                 for i in range(b - a):
                     mine = np.unique(hashes[bounds[i] : bounds[i + 1]])
-                    seen.append(mine)
-                    label.append(np.full(len(mine), y[a + i]))
-            if seen:
-                terms, code = np.unique(np.concatenate(seen), return_inverse=True)
-                label = np.concatenate(label)
-                yield pd.DataFrame({"term": terms.view(np.int64), "a": np.bincount(code, label, len(terms)).astype(np.int64), "b": np.bincount(code, 1 - label, len(terms)).astype(np.int64)})
+                    if tally.add(mine, np.full(len(mine), y[a + i]), np.full(len(mine), 1 - y[a + i])):
+                        yield frame()
+        yield frame()
 
     counts = labelled.select("text", "toxic").mapInPandas(run, "term long, a long, b long").groupBy("term").agg((F.sum("a") + 0.5).alias("a"), (F.sum("b") + 0.5).alias("b"))
     rest = lambda n, c: F.lit(n + 1.0) - F.col(c)
@@ -159,6 +162,7 @@ def fit(labelled: DataFrame, docs: DataFrame, k: int = 15, toxic_examples: int =
     The marking words are chosen by counts over all labelled rows; the examples are a sample by hash of the id, bounded per
     class. Document frequencies of the words are counted over all of `docs`.
     """
+    small_batches(docs.sparkSession)
     labelled = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     bound = {1: toxic_examples, 0: clean_examples}
     there = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
@@ -221,8 +225,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores (doc_id, text): score (0 to 1), the nearest labelled examples, their cosines and the marking words found.
 
     A null or empty text, or one without any marking word, has no neighbours and gets the share of toxic rows among such
-    examples. Repeated rows get equal scores; an empty table gives no rows; other columns are not read.
+    examples. Repeated rows get equal scores; rows without doc_id are left out; an empty table gives no rows; other columns are not
+    read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +242,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 rows.append((doc, min(max(p, 0.0), 1.0), m.ids[found], cos, [word(i) for i in where[np.unique(codes, return_index=True)[1]]]))
             yield pd.DataFrame(rows, columns=["doc_id", "score", "neighbours", "similarities", "evidence"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCORES)
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, SCORES)
 
 
 def held_out(parts: int, part: int):
