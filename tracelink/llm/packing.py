@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tracelink.llm.shared import small_batches
+
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, token_ids array<int>"
 )
@@ -163,8 +165,8 @@ def pack(docs: DataFrame, encode: tuple[str, str | None, str | None], window: in
     """Packs (doc_id, text) into sequences of at most `window` tokens.
 
     encode: the files of `Encoder`. pool: the number of document rests at which windows are filled; a quarter stays for
-    the next ones. A null or empty text is `end_id` alone. Repeated rows are packed as often as they occur; an empty table
-    gives no rows; other columns are not read. Returns a row for each piece, with its token ids unless keep_ids is false.
+    the next ones. A null or empty text is `end_id` alone. Repeated rows are packed as often as they occur; rows without
+    doc_id are left out; an empty table gives no rows; other columns are not read. Returns a row for each piece, with its token ids unless keep_ids is false.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,4 +185,5 @@ def pack(docs: DataFrame, encode: tuple[str, str | None, str | None], window: in
         if packer.rows:
             yield pd.DataFrame(packer.rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, PIECES)
