@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import NO_LETTER, hashed_runs, ngram_hashes, slabs
+from tracelink.llm.shared import NO_LETTER, hashed_runs, ngram_hashes, slabs, small_batches
 
 #: Items that are broadcast at once; a larger benchmark is taken in blocks of so many.
 ITEMS_AT_ONCE = 20_000
@@ -128,10 +128,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: flo
     score is the alignment's score over that of the whole item (1: every word in order); pairs of at least min_score come
     back, each once, with the best alignment's words (places among the document's words of letters and digits) and the
     number of seed hits. Items of fewer than `least_words` words, empty and null texts match nothing. Repeated documents
-    each get their pairs; an empty table on either side gives no rows; other columns are not read.
+    each get their pairs; rows without an id are left out; an empty table on either side gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    small_batches(spark)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     blocks = max(1, math.ceil(items.count() / ITEMS_AT_ONCE))
     out = None
     for b in range(blocks):
@@ -178,7 +179,7 @@ def _align(docs: DataFrame, shared, min_score: float) -> DataFrame:
                 found += leaks_of(m, hashes, bounds, ids[a:b], min_score)
             yield pd.DataFrame(found, columns=[c.split()[0] for c in MATCHES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(run, MATCHES)
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, MATCHES)
 
 
 def leaks_of(m: Items, hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, min_score: float) -> list[tuple]:
