@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import LOWER, NO_LETTER, hashed_runs, mix, slabs
+from tracelink.llm.shared import LOWER, NO_LETTER, hashed_runs, mix, slabs, small_batches
 from tracelink.llm.toxicity import held_out
 
 #: Bound of the sample that is fitted on: at most about so many documents of each language.
@@ -203,14 +203,16 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
 
     lang_pred is the label with the largest share of the text's letters, weighted by the words' marginals; score is that
     share. n_switches counts the neighbouring words whose most likely labels differ. A null text, or one without a letter,
-    is 'und' with score 0. Repeated rows get equal results, an empty table gives no rows, other columns are not read.
+    is 'und' with score 0. Repeated rows get equal results, rows without doc_id are left out, an empty table gives no rows,
+    other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         names = np.array(m.labels, object)
-        for batch in batches:
+        for batch in gathered(batches):
             by = np.argsort(batch["text"].str.len().fillna(0).to_numpy(), kind="stable")  # chains of a slab are of a length
             batch = batch.iloc[by]
             texts = [t if isinstance(t, str) else "" for t in batch["text"].array]
@@ -234,7 +236,20 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, PREDICTIONS)
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, PREDICTIONS)
+
+
+def gathered(batches: Iterator[pd.DataFrame], most: int = 6_000_000) -> Iterator[pd.DataFrame]:
+    """Joins batches up to `most` characters: the more texts to choose from, the more alike the chains that step together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += int(batch["text"].str.len().sum())
+        if size >= most:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def has_letter(text: str) -> bool:
