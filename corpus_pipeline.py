@@ -1,6 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage takes (spark, docs, sf_dir), with docs the documents that the stage before kept, and works on all of them.
+Each stage takes (spark, docs, sf_dir), with docs the documents that the stage before kept, and works on all of them. All
+but the last return the columns of documents. Null and empty texts pass the filters; rows without doc_id end with the near
+duplicates; rows of a repeated doc_id count as copies of one document.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from tracelink.llm.dedup import remove_repeats
 from tracelink.llm.jaccard import link_documents
 from tracelink.llm.packing import pack
 from tracelink.llm.queries import byte_bpe, table
-from tracelink.llm.shared import staged
+from tracelink.llm.shared import scratch, staged
 from tracelink.llm.toxicity import fit, join_labels, score
 
 
@@ -63,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -170,15 +170,18 @@ def _possible(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b): (node, root), root the least node. Large-star and small-star in turn."""
+    """Connected components of (a, b): (node, root), root the least node. Large-star and small-star in turn.
+
+    Minima are staged before they are joined: Spark splits the rows of a frequent node in a join of two plain shuffles.
+    """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = _either(edges, ("u", "v"), ("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staged(large, "large-star")
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
+        first = staged(large.groupBy("u").agg(F.min("v").alias("m")), "first")
         small = _either(large.join(first, "u"), ("v", "m"), ("u", "m")).where("u <> v")
         edges = staged(small.distinct(), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back: a cut of the lineage that outlives executors."""
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that operators have staged inside; what they feed must be written by then."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df to the shared folder as Parquet and reads it back: a cut of the lineage that outlives executors.
+
+    The table stays until the end of the surrounding `scratch`, if there is one; with keep it stays anyway.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelink/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
