@@ -407,6 +407,47 @@ def test_edited_copies_are_found(spark, data):
     assert not any(r.doc_id >= 1000 for r in got) and all(40 <= r.word_start < r.word_end <= 160 for r in got)
 
 
+@pytest.mark.parametrize("min_score", [0.5, 0.8])
+def test_all_pairs_of_the_least_score_are_found(min_score):
+    """Heavily edited copies, some without three or two words in a row left, against aligning every pair."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array([f"w{x}" for x in range(300)])
+    word = lambda n: list(vocabulary[np.minimum(rng.geometric(0.02, n), 300) - 1])
+    items = [word(rng.integers(5, 40)) for _ in range(30)]
+    texts = []
+    for k in range(240):
+        copy = []
+        for place, w in enumerate(items[k % 30]):
+            kind = rng.random() if k % 4 else 0.4 if place % 3 == 2 else 1
+            copy += [] if kind < (k % 7) / 40 else word(1) if kind < (k % 7) / 12 else [w, *word(1)] if kind < (k % 7) / 9 else [w]
+        texts.append(word(rng.integers(0, 60)) + copy + word(rng.integers(0, 60)))
+    texts.append([y for x in items[0] for y in (x, "of")])
+    m = decontamination.Items(np.arange(30), [" ".join(x) for x in items], min_score, 5)
+    hashes, bounds = decontamination._words([" ".join(t) for t in texts])
+    for counts in (np.bincount(np.searchsorted(m.all, hashes[np.isin(hashes, m.all)]), minlength=len(m.all)), np.zeros(len(m.all), np.int64)):
+        m.choose_seeds(counts)
+        got = {(t, i): score for t, i, score, *_ in decontamination.leaks_of(m, hashes, bounds, np.arange(len(texts)), min_score)}
+        want = {}
+        for t, i in itertools.product(range(len(texts)), range(30)):
+            score = decontamination.smith_waterman([m.words[i]], [hashes[bounds[t] : bounds[t + 1]]])[0][0] / (2 * len(items[i]))
+            if score >= min_score:
+                want[t, i] = score
+        assert got == want and len(want) > 20
+
+
+def test_copies_without_seeds_of_several_words(spark):
+    words = [f"w{x}" for x in range(20)]
+    texts = [
+        " ".join(w + " of" for w in words),  # no two words in a row are left
+        " ".join("of" if k % 4 == 3 else w for k, w in enumerate(words)),  # half of the 3-grams are in no document
+        "of " * 40,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, round(r.score, 3)) for r in decontamination.find_leaks(docs, items).collect()}
+    assert got == {0: (7, 0.525), 1: (7, 0.65)}
+
+
 def test_word_hashes_follow_the_pattern():
     for text in ["", " a  bC d\te\n", "É é x" * 3, "\x0b\x0c\r word"]:
         _, starts, ends, hashes, bounds = shared.scan_words([text, text])

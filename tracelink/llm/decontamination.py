@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Each benchmark item keeps the rarer half of its word n-grams, by document frequency over the whole corpus, as seeds; so
-an item copied into very many documents still has seeds, and common phrases never become any. Documents are scanned
-once against the seeds; around each run of hits, the item and a window of the document are aligned word by word, so
-edited and paraphrased copies score as long as one seed survives.
+Seeds are n-grams of one word: a copy can reach the least score without two words in a row left, so longer ones would lose
+it. Of each benchmark item the rarest words over the whole corpus are seeds, as many as make sure that every alignment
+of the least score matches several of them (see `Items`); which ones they are affects the work, never the result. Documents
+are scanned once against the seeds. Where enough of them lie close together, and enough of all the item's words do, the
+item and that window of the document are aligned word by word. Neither bound drops an alignment of the least score.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import NO_LETTER, hashed_runs, ngram_hashes, slabs, small_batches
+from tracelink.llm.shared import NO_LETTER, hashed_runs, mix, slabs, small_batches
 
 #: Items that are broadcast at once; a larger benchmark is taken in blocks of so many.
 ITEMS_AT_ONCE = 20_000
+#: Bounds of what is held at once: seed hits or words of windows, and words of windows while they are aligned.
+HITS_AT_ONCE, CELLS_AT_ONCE = 2_000_000, 10_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 MATCHES = "doc_id long, item_id long, score double, word_start long, word_end long, n_seeds long"
 
@@ -37,56 +40,88 @@ _GAP[48:58] = False
 
 
 class Items:
-    """A block of benchmark items and their n-grams."""
+    """A block of benchmark items, their words, and the seeds among them.
 
-    def __init__(self, ids: np.ndarray, texts: list[str], n: int):
-        self.ids, self.n = ids, n
+    An alignment of the least score matches at least `need` words of an item of `length` words, and covers at most `span`
+    words of a document. So of any length - need + least of its words, it matches at least `least`.
+    """
+
+    def __init__(self, ids: np.ndarray, texts: list[str], min_score: float, least_words: int):
+        self.ids = ids
         hashes, bounds = _words(texts)
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        # An item of fewer words is one gram, and only a document's run of as many words can hit it.
-        grams = [(i, ngram_hashes(w, min(n, len(w))), min(n, len(w))) for i, w in enumerate(self.words) if len(w)]
-        self.gram = np.concatenate([g for _, g, _ in grams] or [np.zeros(0, np.uint64)])
-        self.item = np.concatenate([np.full(len(g), i) for i, g, _ in grams] or [np.zeros(0, np.int64)])
-        self.place = np.concatenate([np.arange(len(g)) for _, g, _ in grams] or [np.zeros(0, np.int64)])
-        self.size = np.concatenate([np.full(len(g), k) for _, g, k in grams] or [np.zeros(0, np.int64)])
-        self.keep(np.arange(len(self.gram)))
-
-    def keep(self, chosen: np.ndarray) -> None:
-        """Keeps the chosen grams, sorted for search."""
-        chosen = chosen[np.argsort(self.gram[chosen], kind="stable")]
-        self.gram, self.item, self.place, self.size = self.gram[chosen], self.item[chosen], self.place[chosen], self.size[chosen]
-        self.all = np.unique(self.gram)
-
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Keeps of each item the rarer half of its grams (ties: earlier ones); df is aligned with self.all."""
-        freq = df[np.searchsorted(self.all, self.gram)]
-        by = np.lexsort((self.place, freq, self.item))
-        rank = np.arange(len(by)) - np.searchsorted(self.item[by], self.item[by])
-        half = np.ceil(np.bincount(self.item, minlength=len(self.words)) / 2)
-        self.keep(by[rank < half[self.item[by]]])
-
-    def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, word, index of a seed) of all seed occurrences; several seeds may share a gram."""
-        texts, words, seeds = [], [], []
-        for k in np.unique(self.size):
-            g = ngram_hashes(hashes, int(k))
-            at = np.searchsorted(self.all, g)
-            ok = at < len(self.all)
-            ok[ok] = self.all[at[ok]] == g[ok]
-            where = np.flatnonzero(ok)
-            text = np.searchsorted(bounds, where, side="right") - 1
-            inside = where + k <= bounds[text + 1]
-            where, text = where[inside], text[inside]
-            lo, hi = np.searchsorted(self.gram, g[where], side="left"), np.searchsorted(self.gram, g[where], side="right")
-            n = hi - lo
-            seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            same = self.size[seed] == k
-            texts.append(np.repeat(text, n)[same])
-            words.append(np.repeat(where, n)[same])
-            seeds.append(seed[same])
-        if not texts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(texts), np.concatenate(words), np.concatenate(seeds)
+        self.length = np.diff(bounds)
+        self.need = np.maximum(1, np.ceil(min_score * self.length - 1e-9)).astype(np.int64)
+        self.span = np.floor((3 - 2 * min_score) * self.length + 1e-9).astype(np.int64)
+        self.least = 1 + self.need // 4
+        item = np.repeat(np.arange(len(texts)), self.length)
+        known = (self.length >= max(1, least_words))[item]
+        self.word, self.item = hashes[known], item[known]
+        self.all = np.unique(self.word)
+        self.held = np.unique(_of_item(self.word, self.item))
+
+    def choose_seeds(self, counts: np.ndarray) -> None:
+        """Seeds are the rarest length - need + least words of each item (ties: by hash); counts is aligned with self.all."""
+        by = np.lexsort((self.word, counts[np.searchsorted(self.all, self.word)], self.item))
+        word, item = self.word[by], self.item[by]
+        rank = np.arange(len(by)) - np.searchsorted(item, item)
+        few = rank < (self.length - self.need + self.least)[item]
+        seeds = pd.DataFrame({"word": word[few], "item": item[few]}).drop_duplicates().sort_values(["word", "item"])
+        self.seed, self.seed_item = seeds["word"].to_numpy(np.uint64), seeds["item"].to_numpy(np.int64)
+        self.seeds, self.seed_at = np.unique(self.seed, return_index=True)
+        self.seed_end = np.append(self.seed_at[1:], len(self.seed))
+
+    def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, word, item) of all seeds' occurrences, some texts at a time."""
+        where, at = _found(self.seeds, hashes)
+        n = (self.seed_end - self.seed_at)[at]
+        total, edges = np.concatenate([[0], np.cumsum(n)]), np.searchsorted(where, bounds)
+        for a, b in slabs_of(total[edges], HITS_AT_ONCE):
+            part = slice(edges[a], edges[b])
+            n_part, first = n[part], self.seed_at[at[part]]
+            k = np.repeat(first - np.cumsum(n_part) + n_part, n_part) + np.arange(n_part.sum())
+            word = np.repeat(where[part], n_part)
+            yield np.searchsorted(bounds, word, side="right") - 1, word, self.seed_item[k]
+
+
+def _found(values: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes that are among the sorted values, and the values' places."""
+    at = np.searchsorted(values, hashes)
+    ok = at < len(values)
+    ok[ok] = values[at[ok]] == hashes[ok]
+    return np.flatnonzero(ok), at[ok]
+
+
+def _of_item(words: np.ndarray, items: np.ndarray) -> np.ndarray:
+    return mix(words ^ mix(items.astype(np.uint64) + np.uint64(1)))
+
+
+def slabs_of(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts len(total) - 1 things, total[i] the weight before the i-th, into runs of `most` at most, or of a single one."""
+    a = 0
+    while a < len(total) - 1:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def _windows(group: np.ndarray, place: np.ndarray, least: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, begin, stop) of windows around places first to last of one group; group and place are sorted.
+
+    Whatever covers `span` words at most and at least `least` of a group's places lies inside one of them.
+    """
+    i = np.arange(len(group))
+    i = i[i + least - 1 < len(group)]
+    j = i + least[i] - 1
+    i = i[(group[j] == group[i]) & (place[j] - place[i] < span[i])]
+    j = i + least[i] - 1
+    begin, stop = place[j] - span[i] + 1, place[i] + span[i]
+    # Begins and stops of one group both ascend: windows that overlap are one.
+    new = np.ones(len(i), bool)
+    new[1:] = (group[i[1:]] != group[i[:-1]]) | (begin[1:] >= stop[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i))[: len(first)] - 1
+    return i[first], j[last], begin[first], stop[last]
 
 
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,10 +157,10 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[
     return best // shift, np.where(best >= shift, shift - 1 - best % shift, 0), best_end
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0.5, least_words: int = 5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, least_words: int = 5) -> DataFrame:
     """Pairs of documents (doc_id, text) and benchmark items (item_id, text) that the document holds a copy of.
 
-    score is the alignment's score over that of the whole item (1: every word in order); pairs of at least min_score come
+    score is the alignment's score over that of the whole item (1: every word in order); all pairs of at least min_score come
     back, each once, with the best alignment's words (places among the document's words of letters and digits) and the
     number of seed hits. Items of fewer than `least_words` words, empty and null texts match nothing. Repeated documents
     each get their pairs; rows without an id are left out; an empty table on either side gives no rows; other columns are not read.
@@ -137,34 +172,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: flo
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas().drop_duplicates().sort_values("item_id", kind="stable")
-        block = Items(part["item_id"].to_numpy(), list(part["text"]), n)
-        length = np.array([len(w) for w in block.words], np.int64)
-        block.keep(np.flatnonzero(length[block.item] >= least_words))
-        block.keep_rare(gram_frequencies(docs, block))
+        block = Items(part["item_id"].to_numpy(), list(part["text"]), min_score, least_words)
+        block.choose_seeds(word_counts(docs, block))
         found = _align(docs, spark.sparkContext.broadcast(block), min_score)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def gram_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """Document frequencies over all documents of the items' n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often all documents hold each of the items' words."""
+    shared = docs.sparkSession.sparkContext.broadcast(items.all)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        df = np.zeros(len(m.all), np.int64)
+        words = shared.value
+        n = np.zeros(len(words), np.int64)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"].array]
             for a, b in slabs(texts):
-                text, _, seed = m.hits(*_words(texts[a:b]))
-                pairs = np.unique(text * max(1, len(m.all)) + np.searchsorted(m.all, m.gram[seed]))
-                df += np.bincount(pairs % max(1, len(m.all)), minlength=len(m.all)).astype(np.int64)[: len(m.all)]
-        yield pd.DataFrame({"gram": np.flatnonzero(df), "n": df[df > 0]})
+                n += np.bincount(_found(words, _words(texts[a:b])[0])[1], minlength=len(words))
+        yield pd.DataFrame({"word": np.flatnonzero(n), "n": n[n > 0]})
 
     out = np.zeros(len(items.all), np.int64)
     if len(items.all):
-        for r in docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            out[r["gram"]] = r["n"]
+        for r in docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            out[r["word"]] = r["n"]
     return out
 
 
@@ -182,30 +213,42 @@ def _align(docs: DataFrame, shared, min_score: float) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, MATCHES)
 
 
+def candidates(m: Items, text: np.ndarray, word: np.ndarray, item: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, begin, stop, seed hits) of the windows that hold all alignments of the least score.
+
+    Seeds that lie close enough give windows; those stay where enough of all the item's words lie close enough.
+    """
+    by = np.lexsort((word, item, text))
+    text, item, word = text[by], item[by], word[by]
+    i, j, begin, stop = _windows(text * len(m.ids) + item, word, m.least[item], m.span[item])
+    text, item, n = text[i], item[i], j - i + 1
+    begin, stop = np.maximum(begin, bounds[text]), np.minimum(stop, bounds[text + 1])
+    found = [(np.zeros(0, np.int64),) * 3]
+    for a, b in slabs_of(np.concatenate([[0], np.cumsum(stop - begin)]), HITS_AT_ONCE):
+        size = stop[a:b] - begin[a:b]
+        which = np.repeat(np.arange(a, b), size)
+        at = np.arange(size.sum()) + np.repeat(begin[a:b] - np.cumsum(size) + size, size)
+        held = _found(m.held, _of_item(hashes[at], item[which]))[0]
+        which, at = which[held], at[held]
+        i, _, x, y = _windows(which, at, m.need[item[which]], m.span[item[which]])
+        found.append((which[i], np.maximum(x, begin[which[i]]), np.minimum(y, stop[which[i]])))
+    which, begin, stop = (np.concatenate(x) for x in zip(*found))
+    return text[which], item[which], begin, stop, n[which]
+
+
 def leaks_of(m: Items, hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, min_score: float) -> list[tuple]:
     """Aligned pairs of a slab of texts."""
-    text, word, seed = m.hits(hashes, bounds)
-    if not len(text):
-        return []
-    item = m.item[seed]
-    origin = word - m.place[seed]  # where the item would start, were nothing inserted
-    by = np.lexsort((origin, item, text))
-    text, item, origin = text[by], item[by], origin[by]
-    slack = np.array([len(w) for w in m.words])[item]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (origin[1:] - origin[:-1] > slack[1:])])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(text)) - 1
-    begin = np.maximum(origin[first] - slack[first] // 2 - 4, bounds[text[first]])
-    stop = np.minimum(origin[last] + slack[first] + slack[first] // 2 + 4, bounds[text[first] + 1])
     best: dict[tuple, tuple] = {}
-    order = np.argsort((stop - begin) * slack[first], kind="stable")
-    for part in np.array_split(order, max(1, math.ceil(len(order) / 64))):
-        score, start, end = smith_waterman([m.words[item[first[c]]] for c in part], [hashes[begin[c] : stop[c]] for c in part])
-        for c, s, x, y in zip(part, score, start, end):
-            f = first[c]
-            share = float(s) / (MATCH * len(m.words[item[f]]))
-            if share >= min_score:
-                key, at = (int(text[f]), int(item[f])), int(begin[c] - bounds[text[f]])
-                row = (share, -(at + int(x)), at + int(y), int(last[c] - first[c] + 1))
-                best[key] = max(best.get(key, row), row)
+    for hits in m.hits(hashes, bounds):
+        text, item, begin, stop, seeds = candidates(m, *hits, hashes, bounds)
+        order = np.lexsort((m.length[item], stop - begin))
+        for a, b in slabs_of(np.concatenate([[0], np.cumsum((stop - begin)[order])]), CELLS_AT_ONCE):
+            part = order[a:b]
+            score, start, end = smith_waterman([m.words[k] for k in item[part]], [hashes[x:y] for x, y in zip(begin[part], stop[part])])
+            for c, s, x, y in zip(part, score, start, end):
+                share = float(s) / (MATCH * int(m.length[item[c]]))
+                if share >= min_score:
+                    key, at = (int(text[c]), int(item[c])), int(begin[c] - bounds[text[c]])
+                    row = (share, -(at + int(x)), at + int(y), int(seeds[c]))
+                    best[key] = max(best.get(key, row), row)
     return [(ids[t], m.ids[i], share, -neg, end, n) for (t, i), (share, neg, end, n) in sorted(best.items())]
