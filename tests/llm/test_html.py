@@ -39,6 +39,21 @@ def test_classes_share_vectors(spark):
     assert len({s["class"] for s in slots}) == 1 and all(s["pages"] == 5 for s in slots)
 
 
+def texts_of(spark, pages):
+    rows = [(k, f"http://h.example/{k}", f"<html><body>{p}</body></html>") for k, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_classes_decide(spark):
+    """A line with the vector of the site's elements is of the template, at any depth; one in an element that comes with a single article is not."""
+    bodies = [" ".join(f"{w}{k}" for w in FILLER) for k in range(6)]
+    row = lambda k: "".join(f"<div class='r'><p>{x} line of the site</p></div>" for x in ("First", "Second"))
+    got = texts_of(spark, [f"<div class='c'><p>{b}</p></div><div class='z'>{row(k)}</div>" for k, b in enumerate(bodies)])
+    assert got == dict(enumerate(bodies))
+    special = [f"<div class='c{' own' if k < 4 else ''}'><p>{bodies[0 if k < 4 else k]}</p></div><div class='y'>x {k}</div><div class='z'>{row(k)}</div>" for k in range(6)]
+    assert texts_of(spark, special) == {k: f"{bodies[0 if k < 4 else k]} x {k}" for k in range(6)}
+
+
 def test_pages_of_the_tables(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = html.extract_text(pages).toPandas().set_index("page_id")["text"]

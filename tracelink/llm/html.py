@@ -1,11 +1,16 @@
 """Main text of web pages by deducing each host's template.
 
-A page is read as tokens: elements, told apart by their path of structural tags with class and id, and text nodes under
-them. Over the pages of a host every element has an occurrence vector, how often it is on each page; elements that share a
-vector form an equivalence class, and the large classes whose elements come at most once on a page are the template: by
-their paths they nest, and the elements of a class are there or missing together. What lies between template elements
-are slots. A slot whose text mostly repeats on other pages, or is mostly links, or whose element is a menu, form, advert,
-comment section and so on, is part of the site; the others hold the article and are extracted.
+A page is read as tokens: elements, told apart by their path of structural tags with class and id, and blocks of text under
+them. Over the pages of a host every token has an occurrence vector, how often it is on each page; tokens that share a
+vector form an equivalence class. A class is large if it has two tokens or more, one of them an element, and valid if each
+is at most once on a page and its pages hold several articles (or it is the host's most frequent one): copies of an article
+share its tokens too, but are no template. The elements of the large valid classes are the template, and nest by their
+paths. An element outside of it, and its text, belong to the slot of the template element around it.
+
+A text is repeated if it is in a class of the template, or in several articles: pages of equal main text count as one article.
+From a slot that is mostly repeated only the repeated blocks go, so an article stays, on its copies as well. Slots that are
+mostly links go, and so do menus, forms, adverts, comment sections and so on; what is left is extracted. Marked articles
+and names of classes limit where slots are looked at.
 
 Vectors are compared by fingerprints (exclusive or of hashes of page and count), which aggregate like counts, so no
 task ever holds the pages of a host.
@@ -21,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelink.llm.shared import small_batches
 
@@ -162,7 +168,17 @@ def _path(node: Node) -> int:
     return _hash("\x00".join(node.path))
 
 
-TOKENS = "host string, path long, text long, n int, chars long, linked long, page long"
+TOKENS = "host string, path long, parent long, text long, n int, chars long, linked long, page long, article long"
+
+
+def _article(blocks: list[tuple[Node, str, int]]) -> int:
+    """What copies of an article have in common: the element with the most text in what may be the article, links aside."""
+    size: dict[tuple, list] = {}
+    for node, text, linked in _shown(blocks):
+        found = size.setdefault(node.path, [0, []])
+        found[0] += len(text) - min(linked, len(text))
+        found[1].append(text)
+    return _hash("\x00".join(max(size.values(), key=lambda x: x[0])[1])) if size else 0
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
@@ -176,66 +192,132 @@ def _tokens(pages: DataFrame) -> DataFrame:
                     continue
                 host, page_hash = host_of(url), _hash(f"{page_id}\x00{url}")
                 blocks, nodes = parse(page)
+                article = _article(blocks)
                 counts: dict[int, int] = {}
+                parents: dict[int, int] = {}
                 for node in nodes:
                     p = _path(node)
                     counts[p] = counts.get(p, 0) + 1
-                out += [(host, p, None, n, 0, 0, page_hash) for p, n in counts.items()]
+                    if p not in parents:
+                        parents[p] = _hash("\x00".join(node.path[:-1]))
+                out += [(host, p, parents[p], None, n, 0, 0, page_hash, article) for p, n in counts.items()]
                 texts: dict[tuple[int, int], list[int]] = {}
                 for node, text, linked in blocks:
                     t = texts.setdefault((_path(node), _hash(text)), [0, 0])
                     t[0] += len(text)
                     t[1] += min(linked, len(text))
-                out += [(host, p, t, 1, chars, linked, page_hash) for (p, t), (chars, linked) in texts.items()]
-            frame = pd.DataFrame(out, columns=["host", "path", "text", "n", "chars", "linked", "page"])
-            yield frame.astype({"text": "Int64"})
+                out += [(host, p, 0, t, 1, chars, linked, page_hash, article) for (p, t), (chars, linked) in texts.items()]
+            if out:
+                columns = dict(zip((c.split()[0] for c in TOKENS.split(", ")), zip(*out)))
+                yield pd.DataFrame(columns | {"text": pd.array(columns["text"], "Int64")})  # by way of floats hashes would be rounded
 
     return pages.select("page_id", "url", "html").mapInPandas(run, TOKENS)
 
 
 def deduce(pages: DataFrame, least_pages: int = 2) -> DataFrame:
-    """Templates: (host, slots), for every template element its path, class and what its slot is like.
+    """Templates: (host, slots), for every element on several pages its path, parent, class, and the text directly in it.
 
-    repeated and linked are the shares of the slot's characters whose text is on several pages of the host under the
-    same element, and in links.
+    chars, shared and linked are characters: all, those of repeated texts (see above), and those in links; texts are the
+    repeated ones; single are texts in a class with elements whose pages hold one article, which count for the host's most
+    frequent class alone. large and varied tell if the element's class is large and if its pages hold several articles.
     """
-    tokens = _tokens(pages)
-    vectors = (
-        tokens.where("text IS NULL")
-        .groupBy("host", "path")
-        .agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("pages"), F.max("n").alias("most"))
-        .where((F.col("most") == 1) & (F.col("pages") >= least_pages))
+    tokens = _tokens(pages).groupBy("host", "path", "text").agg(
+        F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("pages"), F.min("article").alias("lo"), F.max("article").alias("hi"),
+        F.max("n").alias("most"), F.max("parent").alias("parent"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
     )
-    texts = tokens.where("text IS NOT NULL").groupBy("host", "path", "text").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    slots = texts.groupBy("host", "path").agg(
-        F.sum("chars").alias("chars"), F.sum(F.when(F.col("pages") > 1, F.col("chars")).otherwise(0)).alias("shared"), F.sum("linked").alias("linked")
+    # Tokens of one page, and elements that repeat on a page, are in no class; they go along with their path.
+    alone = (F.col("pages") < least_pages) | (F.col("most") > 1)
+    element, several = F.col("text").isNull() & (F.col("pages") >= least_pages), F.col("lo") < F.col("hi")
+    paths = tokens.withColumn("class", F.when(alone, F.xxhash64("path")).otherwise(F.col("class"))).groupBy("host", "class", "path", alone.alias("alone")).agg(
+        F.count("*").alias("tokens"), F.max(F.when(element, F.col("pages"))).alias("on"), F.max(F.when(element, F.col("parent"))).alias("parent"),
+        F.max("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        F.collect_list(F.when(~alone & F.col("text").isNotNull(), F.struct("text", "chars", several.alias("several")))).alias("texts"),
     )
-    rows = vectors.join(slots, ["host", "path"], "left").select(
-        "host", F.struct("path", "class", "pages", (F.col("shared") / F.col("chars")).alias("repeated"), (F.col("linked") / F.col("chars")).alias("linked")).alias("slot")
+    of = Window.partitionBy("host", "class", "alone")
+    classes = paths.withColumns({
+        "large": ~F.col("alone") & (F.sum("tokens").over(of) > 1) & (F.count("on").over(of) > 0), "varied": F.min("lo").over(of) < F.max("hi").over(of),
+    })
+    repeated = F.when(F.col("large") & F.col("varied"), F.col("texts")).otherwise(F.filter("texts", lambda t: t["several"]))
+    single = F.when(F.col("large") & ~F.col("varied"), F.col("texts")).otherwise(F.filter("texts", lambda t: F.lit(False)))
+    total = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + t["chars"])
+    slots = classes.withColumns({"repeated": repeated, "single": single}).groupBy("host", "path").agg(
+        F.max(F.when(F.col("on").isNotNull(), F.struct(F.col("on").alias("pages"), "parent", "class", "large", "varied"))).alias("own"),
+        F.sum("chars").alias("chars"), F.sum(total(F.col("repeated"))).alias("shared"), F.sum("linked").alias("linked"),
+        F.flatten(F.collect_list(F.transform("repeated", lambda t: t["text"]))).alias("texts"),
+        F.flatten(F.collect_list(F.transform("single", lambda t: F.struct(t["text"].alias("text"), t["chars"].alias("chars"), F.col("pages").alias("pages"))))).alias("single"),
     )
+    rows = slots.where("own IS NOT NULL").select("host", F.struct("path", "own.*", "chars", "shared", "linked", "texts", "single").alias("slot"))
     return rows.groupBy("host").agg(F.collect_list("slot").alias("slots"))
 
 
-def main_text(page: str, slots: dict[int, tuple[float, float]]) -> str:
-    """The article's blocks. slots: path to (repeated, linked) of the host's template elements."""
-    blocks, _ = parse(page)
+TEMPLATE = "elements array<long>, slots array<long>, repeated array<double>, linked array<double>, texts array<long>"
+
+
+def _key(path: int, text: int) -> int:
+    return (((path * 0x9E3779B97F4A7C15) ^ text) & (2**64 - 1)) - 2**63
+
+
+def resolve(slots) -> tuple:
+    """TEMPLATE of a host's slots: template elements; shares by slot, which goes by its template element; keys of the texts that go."""
+    known = {s["path"]: s for s in slots}
+    top = max((s["pages"] for s in slots if s["large"]), default=0)
+    elements = {p for p, s in known.items() if s["large"] and (s["varied"] or s["pages"] == top)}
+    sums, texts = {}, {}
+    for p, s in known.items():
+        at = p
+        while at in known and at not in elements:
+            at = known[at]["parent"]
+        if not s["chars"] or at not in elements:
+            continue
+        single = [t for t in s["single"] if t["pages"] == top]
+        total = sums.setdefault(at, [0, 0, 0])
+        for k, n in enumerate((s["chars"], s["shared"] + sum(t["chars"] for t in single), s["linked"])):
+            total[k] += n
+        texts.setdefault(at, []).extend(_key(p, int(t)) for t in [*s["texts"], *(t["text"] for t in single)])
+    repeated = [shared / chars for chars, shared, _ in sums.values()]
+    gone = [t for at, share in zip(sums, repeated) if share > 0.5 for t in texts[at]]
+    return list(elements), list(sums), repeated, [linked / chars for chars, _, linked in sums.values()], gone
+
+
+class Template:
+    """A resolved template, for lookups."""
+
+    def __init__(self, elements=(), slots=(), repeated=(), linked=(), texts=()):
+        self.elements, self.texts = set(elements), set(texts)
+        self.shares = dict(zip(slots, zip(repeated, linked)))
+
+    def slot(self, node: Node) -> tuple[float, float] | None:
+        """(repeated, linked) of the slot that a node is in, if it is inside the template."""
+        for n in range(len(node.path), 0, -1):
+            p = _hash("\x00".join(node.path[:n]))
+            if p in self.elements:
+                return self.shares.get(p)
+        return None
+
+
+def _shown(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that tags and names leave: none of the site's, and of those in marked articles, if there are any."""
     shown = [b for b in blocks if not b[0].chrome]
     left = [b for b in shown if not b[0].hinted] or shown  # names may mislead, so they never take everything
+    level = max((b[0].content for b in left), default=0)
+    return [b for b in left if b[0].content == level]
+
+
+def main_text(page: str, template: Template) -> str:
+    """The article's blocks."""
+    left = _shown(parse(page)[0])
     if not left:
         return ""
-    level = max(b[0].content for b in left)
-    if level:
-        # Inside the marked article only template elements of their own, further in, can be part of the site.
-        left = [b for b in left if b[0].content == level]
-        outer = min(len(b[0].path) for b in left)
-        drop = lambda node, repeated, linked: len(node.path) > outer and (repeated > 0.5 or linked > 0.8)
-    else:
-        drop = lambda node, repeated, linked: repeated > 0.5 or linked > 0.5
+    # Inside the marked article only elements of their own, further in, can be part of the site.
+    marked = left[0][0].content > 0
+    outer = min(len(b[0].path) for b in left) if marked else 0
     kept, cache = [], {}
     for block in left:
         node = block[0]
-        p = cache.get(node) or cache.setdefault(node, _path(node))
-        if p not in slots or not drop(node, *slots[p]):
+        if node not in cache:
+            cache[node] = (_path(node), template.slot(node) if len(node.path) > outer else None)
+        p, slot = cache[node]
+        if slot is None or not (slot[1] > (0.8 if marked else 0.5) or (slot[0] > 0.5 and _key(p, _hash(block[1])) in template.texts)):
             kept.append(block)
     return " ".join(b[1] for b in (kept or left))
 
@@ -245,8 +327,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     A null or empty html gives an empty text. Pages with a null or malformed url share a nameless host;
     those without page_id are left out. Repeated rows get
-    equal texts (and make their host's text look repeated only where elements are not marked as an article); an empty
-    table gives no rows; other columns are not read.
+    equal texts and count as one article; an empty table gives no rows; other columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     small_batches(pages.sparkSession)
@@ -255,15 +336,23 @@ def extract_text(pages: DataFrame) -> DataFrame:
     # At most HOT_HOSTS hosts can hold so large a share of the pages; theirs are dealt to salts, and the templates copied.
     large = rows.groupBy("host").count().where(F.col("count") > max(pages.count() / HOT_HOSTS, 100)).select("host", F.lit(SALTS).alias("salts"))
     salted = rows.join(F.broadcast(large), "host", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("salts")), F.lit(0)).cast("int"))
-    templates = deduce(pages).join(F.broadcast(large), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    joined = salted.join(templates.select("host", "salt", "slots"), ["host", "salt"], "left").select("page_id", "url", "html", "slots")
+    columns = [c.split()[0] for c in TEMPLATE.split(", ")]
+
+    def resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(host, *resolve(slots)) for host, slots in zip(batch["host"].array, batch["slots"].array)], columns=["host", *columns])
+
+    templates = deduce(pages).mapInPandas(resolved, f"host string, {TEMPLATE}").join(F.broadcast(large), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    joined = salted.join(templates.select("host", "salt", *columns), ["host", "salt"], "left").select("page_id", "url", "html", *columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for page, slots in zip(batch["html"].array, batch["slots"].array):
-                found = {s["path"]: (s["repeated"] or 0.0, s["linked"] or 0.0) for s in slots} if slots is not None else {}
-                texts.append(main_text(page, found) if isinstance(page, str) else "")
+            host, template = None, Template([])
+            for page, url, *found in zip(batch["html"].array, batch["url"].array, *(batch[c].array for c in columns)):
+                if host_of(url) != host:
+                    host, template = host_of(url), Template(*found) if found[0] is not None else Template()
+                texts.append(main_text(page, template) if isinstance(page, str) else "")
             yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "url": batch["url"].array, "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
