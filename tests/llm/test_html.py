@@ -44,6 +44,16 @@ def texts_of(spark, pages):
     return {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_articles_stay_where_most_pages_are_copies(spark):
+    """Copies of an article in most of a host's slot, unmarked with a date apart and in an inner element of <article>."""
+    articles = [" ".join(f"{w}{k}" for w in FILLER) for k in (0, 0, 0, 0, 0, 1, 2)]
+    legal = "All rights are reserved by the owners of this site"
+    got = texts_of(spark, [f"<div class='d'>day {k}</div><div class='c'><h1>T{a[-1]}</h1><p>{a}</p></div><div class='z'><p>{legal}</p></div>" for k, a in enumerate(articles)])
+    assert got == {k: f"day {k} T{a[-1]} {a}" for k, a in enumerate(articles)}
+    got = texts_of(spark, [f"<article><h1>day {k}</h1><div class='c'><p>{a}</p></div><div class='z'><p>{legal}</p></div></article>" for k, a in enumerate(articles)])
+    assert got == {k: f"day {k} {a}" for k, a in enumerate(articles)}
+
+
 def test_classes_decide(spark):
     """A line with the vector of the site's elements is of the template, at any depth; one in an element that comes with a single article is not."""
     bodies = [" ".join(f"{w}{k}" for w in FILLER) for k in range(6)]
