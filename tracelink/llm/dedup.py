@@ -1,4 +1,4 @@
-"""Exact removal of long repeated substrings with suffix arrays.
+"""Removal of long repeated substrings with suffix arrays.
 
 Every byte that a string of `length` bytes covers which also starts elsewhere is removed. A suffix array of the whole
 corpus fits no machine, so the text is cut up by content first, without losing a match:
@@ -6,12 +6,14 @@ corpus fits no machine, so the text is cut up by content first, without losing a
 - The anchor of a string is the least hash of its first `window` k-grams. Equal strings have their anchors at the same
   place, so strings need only be compared if their anchors' cores (the bytes from the anchor that every string of the
   anchor holds) are equal. All strings of an anchor lie in its context: some bytes on the left, the core, some on the right.
-- Anchors meet by the hash of their core. Most are alone and go. Anchors of equal context are repeats of each other.
-- Contexts that differ under one core become short texts of block symbols, left blocks, core, right blocks, and one suffix
-  array over the texts of many cores (see `grouping`) finds the runs of symbols that occur twice. The few strings
-  inside such a run are then compared exactly.
-
-A core with very many different contexts is not brought to one task: its strings are counted by their hashes instead.
+- Anchors meet by the hash of their core. Most are alone and go.
+- The different contexts of the other cores become short texts of block symbols, left blocks, core, right blocks, a
+  context that occurs more than once as two texts, and one suffix array over the texts of many cores (see `grouping`)
+  brings the runs of symbols that occur twice together. The strings inside such a run are told apart by 64-bit hashes.
+  What is found for a context goes for all anchors that have it.
+
+Two cases do not need the order: a context that one text holds several times (periodic texts) is a repeat as it is read,
+and a core with more than HOT different contexts is dealt out by the hashes of its strings, as no task may hold it whole.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelink.llm.grouping import suffix_array
-from tracelink.llm.shared import BYTE_VALUE, mix, powers, slabs, small_batches, staged
+from tracelink.llm.shared import BYTE_VALUE, mix, named, powers, slabs, small_batches, staged, unnamed
 
-#: A core with more different contexts is handled by counting strings.
-HOT = 4096
-BLOCKS = 8
+#: A core with more different contexts is dealt out string by string; tasks hold whole cores below that.
+HOT = 1024
+BLOCKS = 4
+#: Bounds of what a Python worker holds at once: contexts and strings that are compared, and bytes of what it gives out.
+CONTEXTS_AT_ONCE, STRINGS_AT_ONCE, BYTES_AT_ONCE = 3_000, 200_000, 4_000_000
 _INVERSE = pow(int(powers(2)[1]), -1, 2**64)
 _inverses = np.ones(1, np.uint64)
 
@@ -112,18 +117,24 @@ def anchors(raw: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.
     return doc, a - starts[doc], lo, hi, core, context
 
 
-ANCHORS = "core long, context long, doc_id long, at long, least int, most int, kind byte"
+ANCHORS = "core long, context long, u long, v long, at long, least int, most int, kind byte"
 #: Kinds of rows: an anchor, the first of several of one text that have one context, and a span that such ones cover.
 ALONE, SEVERAL, SPAN = 0, 1, 2
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """Adds (u, v), 128 bits of hash that stand for a row: only rows of equal doc_id (null included) and text share them."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return docs.withColumns({"u": F.xxhash64(key, "text"), "v": F.xxhash64("text", F.lit(7), key)})
+
+
 def _anchor_rows(docs: DataFrame, shape: Shape) -> DataFrame:
     """Anchors of all texts. A text of few patterns has very many anchors of one context; they come as one row, and their
     strings, which are repeats anyway, as merged spans (at, and the size in most)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(np.int64), [t if isinstance(t, str) else "" for t in batch["text"].array]
+            u, v, texts = batch["u"].to_numpy(), batch["v"].to_numpy(), batch["text"].array
             for a, b in slabs(texts):
                 doc, at, lo, hi, core, context = anchors([raw_bytes(t) for t in texts[a:b]], shape)
                 by = np.lexsort((at, context, core, doc))
@@ -136,14 +147,15 @@ def _anchor_rows(docs: DataFrame, shape: Shape) -> DataFrame:
                 owner, start, stop, lead = merged(doc[within], at[within] - hi[within], at[within] - lo[within] + shape.length)
                 kind = np.concatenate([np.where(several, SEVERAL, ALONE), np.full(len(owner), SPAN)])
                 both = lambda x, y: np.concatenate([x[first], y])
+                place = both(doc, owner)
                 yield pd.DataFrame(
                     {
-                        "core": both(core, core[within][lead]).view(np.int64), "context": both(context, np.zeros(len(owner), np.uint64)).view(np.int64),
-                        "doc_id": ids[a:b][both(doc, owner)], "at": both(at, start), "least": both(lo, np.zeros(len(owner), np.int64)).astype(np.int32), "most": both(hi, stop - start).astype(np.int32), "kind": kind.astype(np.int8),
+                        "core": both(core, core[within][lead]).view(np.int64), "context": both(context, np.zeros(len(owner), np.uint64)).view(np.int64), "u": u[a:b][place], "v": v[a:b][place],
+                        "at": both(at, start), "least": both(lo, np.zeros(len(owner), np.int64)).astype(np.int32), "most": both(hi, stop - start).astype(np.int32), "kind": kind.astype(np.int8),
                     }
                 )
 
-    return docs.mapInPandas(run, ANCHORS)
+    return docs.where(F.octet_length("text") >= shape.length).select("text", "u", "v").mapInPandas(run, ANCHORS)
 
 
 def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,57 +174,70 @@ def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
 
 
 def _grouped(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Anchors (and spans) whose core occurs twice, and the contexts of cores that have several of these.
+    """Anchors (and spans) whose core occurs twice, and their different contexts with one place of each.
 
     Cores are counted first, with partial sums, so that only the repeated ones are brought together with their anchors;
     all steps after that are counts or joins, which Spark sums or splits where one core or context is frequent.
     """
     twice = F.when(F.col("kind") == SEVERAL, 2).otherwise(1)
-    cores = _anchor_rows(docs, shape).where(F.col("kind") != SPAN).groupBy("core").agg(F.sum(twice).alias("n")).where("n > 1").select("core")
-    rows = staged(_anchor_rows(docs, shape).join(staged(cores, "cores"), "core", "left_semi"), "anchors")
-    one = [F.first(c).alias(c) for c in ("doc_id", "at", "least", "most")]
+    every = staged(_anchor_rows(docs, shape), "all-anchors")
+    cores = every.where(F.col("kind") != SPAN).groupBy("core").agg(F.sum(twice).alias("n")).where("n > 1").select("core")
+    rows = staged(every.join(cores, "core", "left_semi"), "anchors")
+    one = [F.first(c).alias(c) for c in ("u", "v", "at", "least", "most")]
     contexts = staged(rows.where(F.col("kind") != SPAN).groupBy("core", "context").agg(F.sum(twice).alias("n"), *one), "contexts")
-    several = staged(contexts.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
-    whole = rows.join(contexts.where("n > 1").select("core", "context"), ["core", "context"], "left_semi").unionByName(rows.where(F.col("kind") == SPAN))
-    return whole, contexts.join(several, "core").withColumn("twice", F.col("n") > 1)
+    many = contexts.groupBy("core").agg((F.count("*") > HOT).alias("hot"))
+    return rows, contexts.join(many, "core").withColumn("times", F.least("n", F.lit(2)).cast("int"))
 
 
-def _members(rows: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataFrame:
-    """One row for each context of a core that has several, with the context's bytes beside the core.
+MEMBERS = "core long, context long, least int, most int, times int, left binary, right binary"
+STRINGS = "string long, core long, context long, back int, times int"
 
-    hot: those of hot cores, with a row for each string instead, its hash as core and nothing else.
-    """
-    wanted = rows.where(F.col("contexts") > HOT if hot else F.col("contexts") <= HOT).groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "least", "most", "twice")).alias("rows"))
+
+def _members(contexts: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataFrame:
+    """One row for each context, with its bytes beside the core; hot: one for each of its strings, with its hash."""
+    names = ["core", "context", "at", "least", "most", "times"]
+    wanted = contexts.groupBy("u", "v").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    joined = docs.select("text", "u", "v").join(wanted, ["u", "v"]).select("text", *[F.col(f"rows.{c}").alias(c) for c in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for batch in batches:
-            for doc, text, wanted in zip(batch["doc_id"].array, batch["text"].array, batch["rows"].array):
-                raw, out = raw_bytes(text), []
-                prefix = None
-                for r in wanted:
-                    core, at, lo, hi = r["core"], r["at"], r["least"], r["most"]
-                    if hot:
-                        prefix = prefix or Prefix(np.frombuffer(raw, np.uint8))
-                        start = at - np.arange(lo, hi + 1)
-                        out += [(int(h), doc, at, int(k), int(k), r["twice"], None, None) for h, k in zip(prefix(start, start + shape.length).view(np.int64), at - start)]
-                    else:
-                        out.append((core, doc, at, lo, hi, r["twice"], raw[at - hi : at], raw[at + shape.core : at - lo + shape.length]))
-                yield pd.DataFrame(out, columns=["core", "doc_id", "at", "least", "most", "twice", "left", "right"])
-
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "rows").mapInPandas(run, "core long, doc_id long, at long, least int, most int, twice boolean, left binary, right binary")
+            for text, *lists in zip(*(batch[c].array for c in ("text", *names))):
+                raw = raw_bytes(text)
+                if hot:
+                    prefix = Prefix(np.frombuffer(raw, np.uint8))
+                    for core, context, at, lo, hi, times in zip(*lists):
+                        back = np.arange(lo, hi + 1)
+                        key = prefix(at - back, at - back + shape.length).view(np.int64)
+                        out.append(pd.DataFrame({"string": key, "core": core, "context": context, "back": back, "times": times}))
+                        size += 40 * len(back)
+                else:
+                    for core, context, at, lo, hi, times in zip(*lists):
+                        left, right = raw[at - hi : at], raw[at + shape.core : at - lo + shape.length]
+                        out.append((core, context, lo, hi, times, left, right))
+                        size += 400 + len(left) + len(right)
+                if size > BYTES_AT_ONCE:
+                    yield pd.concat(out) if hot else pd.DataFrame(out, columns=[c.split()[0] for c in MEMBERS.split(", ")])
+                    out, size = [], 0
+        if out:
+            yield pd.concat(out) if hot else pd.DataFrame(out, columns=[c.split()[0] for c in MEMBERS.split(", ")])
+
+    return joined.mapInPandas(run, STRINGS if hot else MEMBERS)
 
 
 def repeated(members: pd.DataFrame, shape: Shape) -> pd.DataFrame:
-    """(doc_id, start, stop): bytes of the members' strings that occur in two members of one core.
+    """(core, context, low, high): the strings, by bytes before the anchor, that occur twice among the members of a core.
 
-    members: whole groups of equal core, sorted by core.
+    members: whole groups of equal core, each context once; one with times 2 stands for two members.
     """
     block, window = shape.block, shape.window
-    n = len(members)
-    core = members["core"].to_numpy()
-    least, most = members["least"].to_numpy(np.int64), members["most"].to_numpy(np.int64)
-    left = np.frombuffer(b"".join(x[::-1] for x in members["left"]), np.uint8)  # from the anchor outwards
-    right = np.frombuffer(b"".join(members["right"]), np.uint8)
+    source = np.repeat(np.arange(len(members)), members["times"].to_numpy())
+    n = len(source)
+    core = members["core"].to_numpy()[source]
+    least, most = members["least"].to_numpy(np.int64)[source], members["most"].to_numpy(np.int64)[source]
+    lefts, rights = members["left"].to_numpy(), members["right"].to_numpy()
+    left = np.frombuffer(b"".join([lefts[i][::-1] for i in source]), np.uint8)  # from the anchor outwards
+    right = np.frombuffer(b"".join([rights[i] for i in source]), np.uint8)
     left_size, right_size = most, window - 1 - least
     left_at, right_at = np.cumsum(left_size) - left_size, np.cumsum(right_size) - right_size
     hash_left, hash_right = Prefix(left), Prefix(right)
@@ -244,27 +269,41 @@ def repeated(members: pd.DataFrame, shape: Shape) -> pd.DataFrame:
     run[order] = np.cumsum(np.concatenate([[0], ~same]))
     run = run[start]
     often = np.flatnonzero(np.bincount(run, minlength=1)[run] > 1)
+    often = often[np.argsort(run[often], kind="stable")]
     owner, q, run = owner[often], q[often], run[often]
-    # The strings of a run, exactly: what is left of them beyond the common blocks, by hash.
-    owner, q, run = np.repeat(owner, block), np.repeat(q, block), np.repeat(run, block)
-    back = q * block + np.tile(np.arange(block), len(often))
-    ok = (back >= least[owner]) & (back <= most[owner])
-    owner, run, back = owner[ok], run[ok], back[ok]
-    key = hash_left(left_at[owner], left_at[owner] + back) * np.uint64(0x9E3779B97F4A7C15) + hash_right(right_at[owner], right_at[owner] + window - 1 - back)
-    key = mix(key + mix(run.astype(np.uint64)))
-    _, code, count = np.unique(key, return_inverse=True, return_counts=True)
-    hit = count[code] > 1
-    hit &= ~members["twice"].to_numpy(bool)[owner]  # those are removed as a whole already
-    owner, back = owner[hit], back[hit]
-    by = np.lexsort((-back, owner))
-    owner, at = owner[by], members["at"].to_numpy(np.int64)[owner[by]] - back[by]
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]) if len(owner) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(owner)) - 1 if len(owner) else first
-    return pd.DataFrame({"doc_id": members["doc_id"].to_numpy()[owner[first]], "start": at[first], "stop": at[last] + shape.length})
-
-
-def _compared(members: DataFrame, shape: Shape, most: int = 12_000) -> DataFrame:
+    # The strings of a run: what is left of them beyond the common blocks, by hash; whole runs at a time.
+    ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)) if len(run) else np.zeros(0, np.int64)
+    found, a = [], 0
+    while a < len(run):
+        b = ends[max(np.searchsorted(ends, a + STRINGS_AT_ONCE // block, side="right") - 1, np.searchsorted(ends, a, side="right"))]
+        own, of = np.repeat(owner[a:b], block), np.repeat(run[a:b], block)
+        back = np.repeat(q[a:b] * block, block) + np.tile(np.arange(block), b - a)
+        ok = (back >= least[own]) & (back <= most[own])
+        own, of, back = own[ok], of[ok], back[ok]
+        key = hash_left(left_at[own], left_at[own] + back) * np.uint64(0x9E3779B97F4A7C15) + hash_right(right_at[own], right_at[own] + window - 1 - back)
+        _, code, count = np.unique(mix(key + mix(of.astype(np.uint64))), return_inverse=True, return_counts=True)
+        hit = count[code] > 1
+        found.append((source[own[hit]].astype(np.int32), back[hit].astype(np.int16)))
+        a = b
+    if not found:
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int16))]
+    return _ranges(*(np.concatenate(x) for x in zip(*found)), members["core"].to_numpy(), members["context"].to_numpy())
+
+
+def _ranges(owner: np.ndarray, back: np.ndarray, core: np.ndarray, context: np.ndarray) -> pd.DataFrame:
+    """Maximal runs low to high of the backs of each owner."""
+    by = np.lexsort((back, owner))
+    owner, back = owner[by], back[by]
+    new, end = np.ones(len(by), bool), np.ones(len(by), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (back[1:] > back[:-1] + 1)
+    end[:-1] = new[1:]
+    return pd.DataFrame({"core": core[owner[new]], "context": context[owner[new]], "low": back[new].astype(np.int32), "high": back[end].astype(np.int32)})
+
+
+FOUND = "core long, context long, low int, high int"
+
+
+def _compared(members: DataFrame, shape: Shape) -> DataFrame:
     """repeated() over all cores; a task takes some groups at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +311,7 @@ def _compared(members: DataFrame, shape: Shape, most: int = 12_000) -> DataFrame
         for batch in batches:
             held.append(batch)
             size += len(batch)
-            if size >= most:
+            if size >= CONTEXTS_AT_ONCE:
                 rows = pd.concat(held, ignore_index=True)
                 cut = int(np.searchsorted(rows["core"].to_numpy(), rows["core"].iloc[-1]))
                 if cut:
@@ -283,64 +322,69 @@ def _compared(members: DataFrame, shape: Shape, most: int = 12_000) -> DataFrame
             yield repeated(rows, shape)
 
     rows = members.repartition("core").sortWithinPartitions("core")
-    return rows.mapInPandas(run, "doc_id long, start long, stop long")
+    return rows.mapInPandas(run, FOUND)
+
+
+def _counted(strings: DataFrame) -> DataFrame:
+    """The same for hot cores: strings that occur twice, by hash, as ranges."""
+    often = strings.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
+    of = Window.partitionBy("core", "context").orderBy("back")
+    hits = strings.join(often, "string", "left_semi").select("core", "context", "back").distinct()
+    runs = hits.withColumn("island", F.col("back") - F.row_number().over(of)).groupBy("core", "context", "island")
+    return runs.agg(F.min("back").alias("low"), F.max("back").alias("high")).drop("island")
 
 
-def _counted(members: DataFrame, shape: Shape) -> DataFrame:
-    """The same for hot cores: strings that occur twice, by hash."""
-    rows = members.select("core", "doc_id", "twice", (F.col("at") - F.col("least")).alias("start"))
-    often = rows.groupBy("core").agg((F.count("*") + F.count_if("twice")).alias("n")).where("n > 1").select("core")
-    return rows.where("NOT twice").join(often, "core", "left_semi").select("doc_id", "start", (F.col("start") + shape.length).alias("stop"))
+def _spans(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(u, v, starts, stops) of what is to be removed; spans may overlap."""
+    rows, contexts = _grouped(docs, shape)
+    contexts = staged(contexts, "members")
+    found = _compared(_members(contexts.where(~F.col("hot")), docs, shape, False), shape)
+    if not contexts.where("hot").isEmpty():
+        found = found.unionByName(_counted(_members(contexts.where("hot"), docs, shape, True)))
+    of_context = rows.where(F.col("kind") != SPAN).join(found, ["core", "context"])
+    of_context = of_context.select("u", "v", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + shape.length).alias("stop"))
+    spans = of_context.unionByName(rows.where(F.col("kind") == SPAN).select("u", "v", F.col("at").alias("start"), (F.col("at") + F.col("most")).alias("stop")))
+    spans = spans.groupBy("u", "v").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.select("u", "v", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept string"
+RESULT = "doc_id long, nameless boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept string"
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = True) -> DataFrame:
     """Removes from every text (doc_id, text) the bytes covered by strings of `length` bytes that start anywhere else too.
 
     Texts count as UTF-8 bytes, a null text as empty; strings lie within one text and are judged on the input. The places
-    may overlap and may be in one text. Repeated rows are repeats of each other, so from `length` bytes on nothing of them
-    stays. Rows without doc_id are left out; an empty table gives no rows; other columns are not read.
+    may overlap and may be in one text. Every row is a document of its own, rows without doc_id too: repeated rows are
+    repeats of each other, so from `length` bytes on nothing of them stays. An empty table gives no rows; other columns are
+    not read. Tables are staged in the shared folder, and jobs run, while the plan is made.
     Returns n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, spans and, on request,
     kept, the remaining text (halves of characters at a cut are dropped).
     """
     small_batches(docs.sparkSession)
-    shape = Shape(length)
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    whole, contexts = _grouped(docs, shape)
-    anchor = F.col("kind") != SPAN
-    start = F.when(anchor, F.col("at") - F.col("most")).otherwise(F.col("at"))
-    stop = F.when(anchor, F.col("at") - F.col("least") + length).otherwise(F.col("at") + F.col("most"))
-    found = whole.select("doc_id", start.alias("start"), stop.alias("stop"))
-    # One plan holds both joins with the texts, so Spark shuffles these once.
-    most = contexts.agg(F.max("contexts")).first()[0] or 0
-    if most > 1:
-        found = found.unionByName(_compared(_members(contexts, docs, shape, False), shape))
-    if most > HOT:
-        found = found.unionByName(_counted(_members(contexts, docs, shape, True), shape))
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    docs = _identified(docs.select("doc_id", "text"))
+    spans = _spans(docs, Shape(length))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RESULT.split(", ")]
         for batch in batches:
             out, held = [], 0
-            for doc, text, spans in zip(batch["doc_id"].array, batch["text"].array, batch["spans"].array):
-                raw, cut, parts, at = raw_bytes(text), [], [], 0
-                for s, e in sorted((x["start"], x["stop"]) for x in spans) if spans is not None else ():
-                    if cut and s <= cut[-1][1]:
-                        cut[-1] = (cut[-1][0], max(e, cut[-1][1]))
-                    else:
-                        cut.append((s, e))
-                for s, e in cut:
+            for doc, nameless, text, starts, stops in zip(*(batch[c].array for c in ("doc_id", "nameless", "text", "starts", "stops"))):
+                raw, parts, at, runs = raw_bytes(text), [], 0, ()
+                if starts is not None:
+                    starts, stops = np.asarray(starts, np.int64), np.asarray(stops, np.int64)
+                    _, starts, stops, _ = merged(np.zeros(len(starts), np.int64), starts, stops)
+                    runs = list(zip(starts.tolist(), stops.tolist()))
+                for s, e in runs:
                     parts.append(raw[at:s])
                     at = e
                 kept = b"".join([*parts, raw[at:]])
-                out.append((doc, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in cut], kept.decode("utf-8", "ignore") if keep_text else None))
-                held += len(kept)
-                if held > 8_000_000:
+                out.append((doc, nameless, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in runs], kept.decode("utf-8", "ignore") if keep_text else None))
+                held += len(raw) if keep_text else 200
+                if held > BYTES_AT_ONCE:
                     yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
             yield pd.DataFrame(out, columns=names)
 
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInPandas(run, RESULT)
+    joined = named(docs.join(spans, ["u", "v"], "left").select("doc_id", "text", "starts", "stops"))
+    return unnamed(joined.mapInPandas(run, RESULT))

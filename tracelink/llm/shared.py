@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Bytes 0x20 and 0x09-0x0D separate words; in UTF-8 they never occur inside another character.
 SPACE = np.zeros(256, bool)
@@ -68,6 +69,16 @@ def small_batches(spark: SparkSession, records: int = 500) -> None:
         spark.conf.set(key, str(records))
 
 
+def named(docs: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows without an id get 0 and the flag `nameless`, as pandas would make floats of a column with nulls."""
+    return docs.withColumns({"nameless": F.col(column).isNull(), column: F.coalesce(F.col(column).cast("long"), F.lit(0))})
+
+
+def unnamed(rows: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Gives the rows that `named` has flagged their null id again."""
+    return rows.withColumn(column, F.when(~F.col("nameless"), F.col(column))).drop("nameless")
+
+
 class Tally:
     """Sums of counts per key, for partial aggregation in a task; it is given out whenever it has grown to `most` entries."""
 
