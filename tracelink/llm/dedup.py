@@ -13,7 +13,8 @@ corpus fits no machine, so the text is cut up by content first, without losing a
   What is found for a context goes for all anchors that have it.
 
 Two cases do not need the order: a context that one text holds several times (periodic texts) is a repeat as it is read,
-and a core with more than HOT different contexts is dealt out by the hashes of its strings, as no task may hold it whole.
+and a core with more than HOT different contexts is dealt out by the hashes of its runs of blocks and then by those of its
+strings, as no task may hold it whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelink.llm.grouping import suffix_array
-from tracelink.llm.shared import BYTE_VALUE, mix, named, powers, slabs, small_batches, staged, unnamed
+from tracelink.llm.shared import BYTE_VALUE, identified, mix, named, powers, slabs, small_batches, staged, unnamed
 
 #: A core with more different contexts is dealt out string by string; tasks hold whole cores below that.
 HOT = 1024
@@ -117,17 +118,11 @@ def anchors(raw: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.
     return doc, a - starts[doc], lo, hi, core, context
 
 
-ANCHORS = "core long, context long, u long, v long, at long, least int, most int, kind byte"
+ANCHORS = "core long, context long, u long, v int, at long, least int, most int, kind byte"
 #: Kinds of rows: an anchor, the first of several of one text that have one context, and a span that such ones cover.
 ALONE, SEVERAL, SPAN = 0, 1, 2
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """Adds (u, v), 128 bits of hash that stand for a row: only rows of equal doc_id (null included) and text share them."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return docs.withColumns({"u": F.xxhash64(key, "text"), "v": F.xxhash64("text", F.lit(7), key)})
-
-
 def _anchor_rows(docs: DataFrame, shape: Shape) -> DataFrame:
     """Anchors of all texts. A text of few patterns has very many anchors of one context; they come as one row, and their
     strings, which are repeats anyway, as merged spans (at, and the size in most)."""
@@ -185,44 +180,74 @@ def _grouped(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
     rows = staged(every.join(cores, "core", "left_semi"), "anchors")
     one = [F.first(c).alias(c) for c in ("u", "v", "at", "least", "most")]
     contexts = staged(rows.where(F.col("kind") != SPAN).groupBy("core", "context").agg(F.sum(twice).alias("n"), *one), "contexts")
-    many = contexts.groupBy("core").agg((F.count("*") > HOT).alias("hot"))
-    return rows, contexts.join(many, "core").withColumn("times", F.least("n", F.lit(2)).cast("int"))
+    hot = staged(contexts.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("core", F.lit(True).alias("hot")), "hot-cores")
+    contexts = contexts.join(hot, "core", "left").withColumns({"hot": F.coalesce("hot", F.lit(False)), "times": F.least("n", F.lit(2)).cast("int")})
+    return rows, contexts
 
 
 MEMBERS = "core long, context long, least int, most int, times int, left binary, right binary"
+RUNS = "run long, core long, context long, q int, least int, most int, times int, left binary, right binary"
 STRINGS = "string long, core long, context long, back int, times int"
 
 
 def _members(contexts: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataFrame:
-    """One row for each context, with its bytes beside the core; hot: one for each of its strings, with its hash."""
+    """One row for each context, with its bytes beside the core; hot: one for each of its runs of blocks (those left of the
+    anchor, the core, those on the right), with the run's hash and the bytes beside it."""
     names = ["core", "context", "at", "least", "most", "times"]
     wanted = contexts.groupBy("u", "v").agg(F.collect_list(F.struct(*names)).alias("rows"))
-    joined = docs.select("text", "u", "v").join(wanted, ["u", "v"]).select("text", *[F.col(f"rows.{c}").alias(c) for c in names])
+    # doc_id goes along so that this join and the last one share a shuffle of the texts.
+    joined = docs.join(wanted, ["u", "v"]).select("doc_id", "text", *[F.col(f"rows.{c}").alias(c) for c in names])
+    columns = [c.split()[0] for c in (RUNS if hot else MEMBERS).split(", ")]
+    block = shape.block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size = [], 0
         for batch in batches:
             for text, *lists in zip(*(batch[c].array for c in ("text", *names))):
                 raw = raw_bytes(text)
-                if hot:
-                    prefix = Prefix(np.frombuffer(raw, np.uint8))
-                    for core, context, at, lo, hi, times in zip(*lists):
-                        back = np.arange(lo, hi + 1)
-                        key = prefix(at - back, at - back + shape.length).view(np.int64)
-                        out.append(pd.DataFrame({"string": key, "core": core, "context": context, "back": back, "times": times}))
-                        size += 40 * len(back)
-                else:
-                    for core, context, at, lo, hi, times in zip(*lists):
+                prefix = Prefix(np.frombuffer(raw, np.uint8)) if hot else None
+                for core, context, at, lo, hi, times in zip(*lists):
+                    if not hot:
                         left, right = raw[at - hi : at], raw[at + shape.core : at - lo + shape.length]
                         out.append((core, context, lo, hi, times, left, right))
                         size += 400 + len(left) + len(right)
+                        continue
+                    for q in range(lo // block, hi // block + 1):
+                        begin, end = at - q * block, at + shape.core + (BLOCKS - 1 - q) * block
+                        least, most = max(lo, q * block), min(hi, q * block + block - 1)
+                        key = mix(prefix(np.array([begin]), np.array([end])) + np.uint64(q))
+                        left, right = raw[at - most : begin], raw[end : at - least + shape.length]
+                        out.append((key.view(np.int64)[0], core, context, q, least, most, times, left, right))
+                        size += 400 + len(left) + len(right)
                 if size > BYTES_AT_ONCE:
-                    yield pd.concat(out) if hot else pd.DataFrame(out, columns=[c.split()[0] for c in MEMBERS.split(", ")])
+                    yield pd.DataFrame(out, columns=columns)
                     out, size = [], 0
         if out:
-            yield pd.concat(out) if hot else pd.DataFrame(out, columns=[c.split()[0] for c in MEMBERS.split(", ")])
+            yield pd.DataFrame(out, columns=columns)
+
+    return joined.mapInPandas(run, RUNS if hot else MEMBERS)
 
-    return joined.mapInPandas(run, STRINGS if hot else MEMBERS)
+
+def _strings(runs: DataFrame, shape: Shape) -> DataFrame:
+    """The strings of runs, by hash: the run's, and of the bytes beside it that the string has."""
+    block = shape.block
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            least, most = batch["least"].to_numpy(np.int64), batch["most"].to_numpy(np.int64)
+            left = np.frombuffer(b"".join([x[::-1] for x in batch["left"]]), np.uint8)
+            right = np.frombuffer(b"".join(batch["right"]), np.uint8)
+            left_at, right_at = np.cumsum(batch["left"].str.len().to_numpy()), np.cumsum(batch["right"].str.len().to_numpy())
+            left_at, right_at = np.append(0, left_at)[:-1], np.append(0, right_at)[:-1]
+            of = np.repeat(np.arange(len(batch)), most - least + 1)
+            back = np.arange(len(of)) - np.repeat(np.cumsum(most - least + 1) - (most - least + 1), most - least + 1) + least[of]
+            beyond = back - batch["q"].to_numpy(np.int64)[of] * block
+            key = Prefix(left)(left_at[of], left_at[of] + beyond) * np.uint64(0x9E3779B97F4A7C15) + Prefix(right)(right_at[of], right_at[of] + block - 1 - beyond)
+            key = mix(key + mix(batch["run"].to_numpy(np.int64).view(np.uint64)[of] + beyond.astype(np.uint64)))
+            take = lambda c: batch[c].to_numpy()[of]
+            yield pd.DataFrame({"string": key.view(np.int64), "core": take("core"), "context": take("context"), "back": back.astype(np.int32), "times": take("times")})
+
+    return runs.mapInPandas(run, STRINGS)
 
 
 def repeated(members: pd.DataFrame, shape: Shape) -> pd.DataFrame:
@@ -325,22 +350,22 @@ def _compared(members: DataFrame, shape: Shape) -> DataFrame:
     return rows.mapInPandas(run, FOUND)
 
 
-def _counted(strings: DataFrame) -> DataFrame:
-    """The same for hot cores: strings that occur twice, by hash, as ranges."""
-    often = strings.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
+def _counted(runs: DataFrame, shape: Shape) -> DataFrame:
+    """The same for hot cores, by hashes: runs that occur twice, then their strings that do, as ranges."""
+    runs = staged(runs, "runs")
+    again = lambda rows, key: rows.join(rows.groupBy(key).agg(F.sum("times").alias("n")).where("n > 1").select(key), key, "left_semi")
+    hits = again(_strings(again(runs, "run"), shape), "string").select("core", "context", "back").distinct()
     of = Window.partitionBy("core", "context").orderBy("back")
-    hits = strings.join(often, "string", "left_semi").select("core", "context", "back").distinct()
-    runs = hits.withColumn("island", F.col("back") - F.row_number().over(of)).groupBy("core", "context", "island")
-    return runs.agg(F.min("back").alias("low"), F.max("back").alias("high")).drop("island")
+    islands = hits.withColumn("island", F.col("back") - F.row_number().over(of)).groupBy("core", "context", "island")
+    return islands.agg(F.min("back").alias("low"), F.max("back").alias("high")).drop("island")
 
 
 def _spans(docs: DataFrame, shape: Shape) -> DataFrame:
     """(u, v, starts, stops) of what is to be removed; spans may overlap."""
     rows, contexts = _grouped(docs, shape)
-    contexts = staged(contexts, "members")
     found = _compared(_members(contexts.where(~F.col("hot")), docs, shape, False), shape)
     if not contexts.where("hot").isEmpty():
-        found = found.unionByName(_counted(_members(contexts.where("hot"), docs, shape, True)))
+        found = found.unionByName(_counted(_members(contexts.where("hot"), docs, shape, True), shape))
     of_context = rows.where(F.col("kind") != SPAN).join(found, ["core", "context"])
     of_context = of_context.select("u", "v", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + shape.length).alias("stop"))
     spans = of_context.unionByName(rows.where(F.col("kind") == SPAN).select("u", "v", F.col("at").alias("start"), (F.col("at") + F.col("most")).alias("stop")))
@@ -362,7 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = True) -
     kept, the remaining text (halves of characters at a cut are dropped).
     """
     small_batches(docs.sparkSession)
-    docs = _identified(docs.select("doc_id", "text"))
+    docs = identified(docs.select("doc_id", "text")).withColumn("v", F.col("v").bitwiseAND(0x7FFFFFFF).cast("int"))
     spans = _spans(docs, Shape(length))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
