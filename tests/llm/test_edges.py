@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from tracelink.llm import decontamination, dedup, html, jaccard, language, packing, quality, queries, scoring, sharding, toxicity
 
-LONG = " ".join(f"w{i % 977}" for i in range(40_000))
+LONG = " ".join(f"w{i % 977}" for i in range(200_000))  # over a megabyte
 TEXTS = [None, "", " \n\t ", "one", "a b c d e f g h", "a b c d e f g h", "A b c D e f g h i", "ÉCOLE straße \U0001f600 … “x”", LONG, "!!! ### 123", "same same same same " * 60, "same same same same " * 60, "x" * 3000, "\x00\x0b\x0c tab"]
 #: Names that operators use inside.
-CLASHING = ["sid", "key", "core", "size", "n", "words", "hash", "shard", "slot", "salt", "block", "unit", "kind", "root", "h", "rows", "spans", "score", "toxic_", "component_id"]
+CLASHING = ["sid", "key", "core", "size", "n", "words", "hash", "shard", "slot", "salt", "block", "unit", "kind", "root", "h", "rows", "spans", "score", "toxic_", "component_id", "left", "kept", "row", "doc", "u", "v", "nameless", "id", "group", "item_id", "toxic", "_k"]
 
 
 @pytest.fixture(scope="module")
@@ -49,15 +49,14 @@ NAMES = list(operators(None, None))
 
 @pytest.mark.parametrize("name", NAMES)
 def test_messy_rows(docs, labels, items, name):
-    got = operators(labels, items)[name](docs).collect()
-    ids = [r.doc_id for r in got if r.doc_id is not None]
-    assert len(ids) == len(got) - (name in ("quality", "sharding"))  # these keep rows without an id
-    if name == "jaccard":
-        assert sorted(ids) == sorted(range(len(TEXTS)))
-    elif name in ("packing", "decontamination"):
-        assert set(ids) <= set(range(len(TEXTS)))
+    """Every row is a document of its own, those of a repeated id and the one without an id too."""
+    ids = [r.doc_id for r in operators(labels, items)[name](docs).collect()]
+    want = [*range(len(TEXTS)), 4, 0, None]
+    order = lambda x: (x is None, x or 0)
+    if name in ("packing", "decontamination"):
+        assert set(ids) <= set(want) and None in ids and (name == "decontamination" or set(ids) == set(want))
     else:
-        assert sorted(ids) == sorted([*range(len(TEXTS)), 4, 0])
+        assert sorted(ids, key=order) == sorted(want, key=order)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -80,12 +79,13 @@ def test_defined_results(docs, labels, items):
     assert lang[0] == lang[1] == lang[2] == lang[9] == ("und", 0.0)
     near = {r.doc_id: (r.n_shingles, r.component_id) for r in ops["jaccard"](docs).collect()}
     assert near[0] == (0, 0) and near[2] == (0, 2) and near[3] == (1, 3)
-    assert near[5] == (4, 4) and near[6] == (5, 4) and near[11][1] == 10
+    assert near[5] == (4, 4) and near[6] == (5, 4) and near[11][1] == 10 and near[None] == (4, 4)
     cut = {r.doc_id: r for r in ops["dedup"](docs).collect()}
     assert (cut[0].n_bytes, cut[0].n_removed) == (0, 0)
     assert cut[12].n_removed == 3000 and cut[12].n_spans == 1 and cut[12].kept == ""
     leaks = {(r.doc_id, r.item_id) for r in ops["decontamination"](docs).collect()}
-    assert {(4, 1), (4, 5), (5, 1), (6, 1)} <= leaks and not any(i in (2, 3, 4) for _, i in leaks)
+    assert {(4, 1), (4, 5), (5, 1), (6, 1), (None, 1)} <= leaks and not any(i in (2, 3) for _, i in leaks)
+    assert {d for d, i in leaks if i == 4} == {3}  # an item of one word, whole
     scored = {r.doc_id: r for r in ops["scoring"](docs).collect()}
     assert scored[0].n_tokens == 0 and scored[0].per_token is None and scored[3].log_likelihood < 0
     q = {r.doc_id: r for r in ops["quality"](docs).collect()}
@@ -93,8 +93,9 @@ def test_defined_results(docs, labels, items):
 
 
 def test_pages(spark):
-    rows = [(1, None, None), (2, "no url", "<p>a&amp;b <b>c</b>\n d</p><p>e"), (3, "http://h/", ""), (3, "http://h/", ""), (None, "http://h/z", "<p>x"), (4, "http://h/x", "<script>x</script><nav>menu</nav><article><h1>T</h1><p>body<aside>no</aside></article>")]
+    rows = [(1, None, None), (2, "no url", "<p>a&amp;b <b>c</b>\n d</p><p>e"), (3, "http://h/", ""), (3, "http://h/", ""), (None, "http://k/z", "<p>x"), (5, "http://l/x", "<p>" + "long " * 300_000), (6, "http://l/x", "<p>tie"), (4, "http://h/x", "<script>x</script><nav>menu</nav><article><h1>T</h1><p>body<aside>no</aside></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "salt": F.lit(2), "slots": F.lit(3)})
     got = html.extract_text(pages).collect()
-    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "", 0), (2, "a&b c d e", 9), (3, "", 0), (3, "", 0), (4, "T body", 6)]
+    long = ("long " * 300_000).strip()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "x", 1), (1, "", 0), (2, "a&b c d e", 9), (3, "", 0), (3, "", 0), (4, "T body", 6), (5, long, len(long)), (6, "tie", 3)]
     assert html.extract_text(pages.limit(0)).count() == 0

@@ -123,6 +123,8 @@ def test_removal_of_edited_passages(spark, seed, monkeypatch):
                     p[rng.integers(len(p))] = 65
             parts += [word(int(rng.integers(0, 30))), bytes(p)]
         raw[d] = b"".join(parts)
+    for d in range(70, 90):  # one core with many contexts
+        raw[d] = word(int(rng.integers(0, 200))) + passages[0][: int(rng.integers(200, 240))] + word(150)
     raw[100], raw[101], raw[102] = b"ab" * 400, b"x" * 450, b"abc" * 90 + word(50) + b"abc" * 90
     check_removal(spark, raw, 240)
     monkeypatch.setattr(dedup, "HOT", 2)
@@ -171,7 +173,7 @@ def test_block_max_search_is_exact():
         w = rng.random(len(terms)) + 0.1
         rows.append((terms, w / np.sqrt((w * w).sum())))
     rows.sort(key=lambda r: r[0][0])
-    index = toxicity.BlockMaxIndex(rows)
+    index = toxicity.BlockMaxIndex(rows, 40)
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
@@ -196,6 +198,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert (got[got["predicted"] == 1]["evidence"].map(len) > 0).all()
 
 
+def test_scores_against_brute_force_neighbours(spark, data, docs, texts):
+    """Every text's neighbours and score from plain cosines over all words of the examples; most texts have neighbours."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).toPandas().set_index("doc_id")
+    assert (got["neighbours"].map(len) > 0).mean() > 0.95
+    words = {d: collections.Counter(toxicity.letter_words([t.lower()])[0].tolist()) for d, t in texts.items()}
+    place = {int(h): i for i, h in enumerate(model.terms)}
+
+    def vector(d):
+        v = np.zeros(len(model.terms))
+        for h, n in words[d].items():
+            if h in place:
+                v[place[h]] = (1 + np.log(n)) * model.gain[place[h]]
+        return v / max(np.sqrt((v * v).sum()), 1e-300)
+
+    examples = np.stack([vector(d) for d in model.ids])
+    for d in list(texts)[::3]:
+        cos = examples @ vector(d)
+        top = np.lexsort((np.arange(len(cos)), -np.round(cos, 12)))[:15]
+        top = top[cos[top] > 0]
+        assert np.allclose(got.loc[d, "similarities"], cos[top], atol=1e-9)
+        w = cos[top] ** 2 * model.prior[top]
+        rest = toxicity.FAR**2 * model.prior.mean()
+        p = np.interp(((w * model.toxic[top]).sum() + rest * model.base) / (w.sum() + rest), *model.knots) if len(top) else model.base
+        assert got.loc[d, "score"] == pytest.approx(p, abs=1e-6)
+
+
+def test_words_that_mark_the_class_weigh_more():
+    a, b = np.array([0, 5, 40, 40, 3]), np.array([0, 50, 0, 400, 0])
+    f = toxicity.class_factor(a, b, 100, 1000)
+    assert (f >= toxicity.FLOOR).all() and (f <= 1).all() and f[2] > 0.9 and f[[0, 1, 3]].max() < 0.03 and f[2] > f[4] > f[0]
+
+
 # Language
 
 
@@ -287,18 +323,41 @@ def test_context_never_holds_the_token_itself():
     assert got[0] == [pad, pad, 1, 2] and got[2] == [0, 1, pad, pad] and got[3] == [pad, pad, 4, 5] and got[5] == [3, 4, 6, pad]
 
 
+def test_every_text_gives_positions():
+    bounds = np.array([0, 3, 3, 4, 60, 61])
+    for turn in range(3):
+        where = scoring.sampled_positions(bounds, 24, turn)
+        text = np.searchsorted(bounds, where, side="right") - 1
+        assert set(text) == {0, 2, 3, 4} and len(where) == len(set(where)) and (np.diff(where[text == 3]) == 24).all()
+
+
 def test_scores_beat_word_order_and_unigrams(spark, docs, texts):
     rng = np.random.default_rng(0)
-    net, frequent = scoring.fit(docs)
+    net, lexicon, counts = scoring.fit(docs)
     shuffled = spark.createDataFrame([(d, " ".join(rng.permutation(t.split()))) for d, t in texts.items()], "doc_id long, text string")
     mean = lambda df: df.selectExpr("sum(log_likelihood) / sum(n_tokens)").first()[0]
-    assert mean(scoring.score(docs, net, frequent)) > mean(scoring.score(shuffled, net, frequent))
-    one = scoring.score(docs.where("doc_id = 1"), net, frequent).first()
-    tokens, bounds = scoring.classes([texts[1]], frequent)
+    scored = mean(scoring.score(docs, net, lexicon, counts))
+    assert scored > mean(scoring.score(shuffled, net, lexicon, counts))
+    n = collections.Counter(w.lower() for t in texts.values() for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+    unigrams = sum(k * np.log(k / sum(n.values())) for k in n.values()) / sum(n.values())
+    assert scored > unigrams + 0.1
+    one = scoring.score(docs.where("doc_id = 1"), net, lexicon, counts).first()
+    tokens, bounds, hashes, seen = scoring.classes([texts[1]], lexicon)
+    every = {r.word: r.n for r in counts.collect()}
     want = sum(net.log_probabilities(scoring.contexts(tokens, bounds, np.array([i])), tokens[i : i + 1])[0] for i in range(len(tokens)))
+    want += sum(np.log(every[int(h)] / lexicon.totals[c]) for h, c in zip(hashes.view(np.int64), tokens) if c >= scoring.FREQUENT)
     assert one.log_likelihood == pytest.approx(float(want), rel=1e-3) and one.n_tokens == len(tokens)
 
 
+@pytest.mark.parametrize("size", [1, 200])
+def test_counts_of_rare_words_are_joined(spark, docs, monkeypatch, size):
+    """The same scores whatever part of the words is in the lexicon."""
+    want = {r.doc_id: r.log_likelihood for r in scoring.pseudo_likelihood(docs).collect()}
+    monkeypatch.setattr(scoring, "LEXICON", scoring.FREQUENT + size)
+    got = {r.doc_id: r.log_likelihood for r in scoring.pseudo_likelihood(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
 # Jaccard join
 
 
@@ -361,12 +420,38 @@ def test_linked_sets_share_a_signature(data):
     a = set(data.draw(st.lists(st.integers(0, 2**63), min_size=n, max_size=n, unique=True)))
     gone = data.draw(st.sets(st.sampled_from(sorted(a)), max_size=max(1, n // 5)))
     b = (a - gone) | set(data.draw(st.lists(st.integers(0, 2**63), max_size=n // 4)))
-    often = np.array(sorted(data.draw(st.sets(st.sampled_from(sorted(a | b))))), np.uint64)
+    often = np.unique(jaccard.bucket(np.array(sorted(data.draw(st.sets(st.sampled_from(sorted(a | b))))), np.uint64)))
     if b and 100 * len(a & b) >= 80 * len(a | b):
         sides = [set(jaccard.signatures(np.array(sorted(s), np.uint64), often, 80)[0].tolist()) for s in (a, b)]
         assert sides[0] & sides[1]
 
 
+def test_frequent_tokens_come_in_pairs(spark):
+    """A corpus of groups of near copies: their shingles are frequent, and pairs of them are what brings them together."""
+    rng = np.random.default_rng(9)
+    texts = {}
+    for _ in range(8):
+        source = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        for _ in range(25):
+            t = list(source)
+            for _ in range(int(rng.integers(0, 5))):
+                t[rng.integers(len(t))] = f"e{rng.integers(10**6)}"
+            texts[len(texts)] = " ".join(t)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    counts = collections.Counter()
+    sets = list(jaccard.shingle_sets(list(texts.values()), 5))
+    for s in sets:
+        counts.update(jaccard.bucket(s).tolist())
+    often = jaccard.frequent_buckets(frame, 5)
+    assert often.tolist() == sorted(b for b, n in counts.items() if n >= jaccard.FREQUENT)
+    rows = jaccard._set_rows(jaccard.identified(frame), often, 5, 80).where("kind = 0").toPandas()
+    single = {int(x) for s in sets for x in s.view(np.int64)}
+    pairs = rows[~rows["sig"].isin(single)]
+    assert pairs["sid"].nunique() > 0.9 * rows["sid"].nunique() and (pairs["place"] == -1).all()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(frame).collect()}
+    assert got == brute_components(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 200), (5, 5)]
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -426,7 +511,7 @@ def test_all_pairs_of_the_least_score_are_found(min_score):
     hashes, bounds = decontamination._words([" ".join(t) for t in texts])
     for counts in (np.bincount(np.searchsorted(m.all, hashes[np.isin(hashes, m.all)]), minlength=len(m.all)), np.zeros(len(m.all), np.int64)):
         m.choose_seeds(counts)
-        got = {(t, i): score for t, i, score, *_ in decontamination.leaks_of(m, hashes, bounds, np.arange(len(texts)), min_score)}
+        got = {(t, i): score for t, i, score, *_ in decontamination.leaks_of(m, hashes, bounds, [(t,) for t in range(len(texts))])}
         want = {}
         for t, i in itertools.product(range(len(texts)), range(30)):
             score = decontamination.smith_waterman([m.words[i]], [hashes[bounds[t] : bounds[t + 1]]])[0][0] / (2 * len(items[i]))

@@ -83,3 +83,45 @@ def test_run_packs_what_is_left(spark, planted):
     assert sum(kind[d] == "clean" for d in left) >= 297 and not any(kind[d] in ("leak", "copy") for d in left)
     assert (got.groupby("sequence_id")["length"].sum() <= 1024).all()
     assert all(g["length"].sum() == g["doc_tokens"].iloc[0] for _, g in got.groupby("doc_id"))
+
+
+@pytest.fixture(scope="module")
+def messy(spark, tmp_path_factory):
+    """Nulls, empty, very long and repeated texts, repeated and absent ids, and extra columns with names used inside."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    same = prose(90)
+    texts = [None, "", " \n", "one", same, same, same + " more", prose(60_000), prose(30)]
+    rows = [(i, t, "en", None, 1) for i, t in enumerate(texts)] + [(4, same, "en", None, 1), (4, prose(20), None, "s", 2), (None, same, None, None, None), (None, prose(25), None, None, None), (None, None, None, None, None)]
+    names = ["left", "kept", "row", "doc", "u", "v", "sid", "key", "core", "score", "component_id", "nameless", "spans", "a.b"]
+    folder = str(tmp_path_factory.mktemp("messy"))
+    spark.createDataFrame([(8, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, same[:200]), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return out.selectExpr("*", *[f"'x' AS `{n}`" for n in names]), folder
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_on_messy_rows(spark, messy, name, stage):
+    docs, folder = messy
+    got = stage(spark, docs, folder)
+    assert got.columns == docs.columns and stage(spark, docs.limit(0), folder).count() == 0
+    rows = got.select("doc_id", "text", "left").collect()
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    every = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.select("doc_id").collect())
+    assert all(r.left == "x" for r in rows)
+    if name == "toxicity":
+        assert ids == every
+    elif name == "near_duplicates":  # the copies of one text, with ids and without, stay once; so do equal rows
+        assert sum(r.text is not None and r.text.startswith(docs.where("doc_id = 5").first().text[:300]) for r in rows) == 1
+        assert [x for x in ids if x == (False, 4)] == [(False, 4)] * 2 and (True, 0) in ids and len(ids) == len(every) - 4
+    elif name == "repeated_passages":  # of the copies nothing is left
+        assert len(ids) == len(every) - 4 and {3, 7, 8} <= {r.doc_id for r in rows}
+    elif name == "decontamination":
+        assert len(ids) == len(every) - 5 and {0, 1, 2, 3, 7, 8} <= {r.doc_id for r in rows}
+
+
+def test_packing_of_messy_rows(spark, messy):
+    docs, folder = messy
+    got = corpus_pipeline.packing_stage(spark, docs, folder)
+    assert got.where("start = 0").count() == docs.count() and corpus_pipeline.packing_stage(spark, docs.limit(0), folder).count() == 0

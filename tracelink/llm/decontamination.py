@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import NO_LETTER, hashed_runs, mix, slabs, small_batches
+from tracelink.llm.shared import NO_LETTER, hashed_runs, mix, named, slabs, small_batches, unnamed
 
 #: Items that are broadcast at once; a larger benchmark is taken in blocks of so many.
 ITEMS_AT_ONCE = 20_000
 #: Bounds of what is held at once: seed hits or words of windows, and words of windows while they are aligned.
 HITS_AT_ONCE, CELLS_AT_ONCE = 2_000_000, 10_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-MATCHES = "doc_id long, item_id long, score double, word_start long, word_end long, n_seeds long"
+MATCHES = "doc_id long, nameless boolean, item_id long, score double, word_start long, word_end long, n_seeds long"
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +51,11 @@ class Items:
         hashes, bounds = _words(texts)
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         self.length = np.diff(bounds)
-        self.need = np.maximum(1, np.ceil(min_score * self.length - 1e-9)).astype(np.int64)
-        self.span = np.floor((3 - 2 * min_score) * self.length + 1e-9).astype(np.int64)
+        self.score = np.where(self.length < least_words, 1.0, min_score)
+        self.need = np.maximum(1, np.ceil(self.score * self.length - 1e-9)).astype(np.int64)
+        self.span = np.floor((3 - 2 * self.score) * self.length + 1e-9).astype(np.int64)
         self.least = 1 + self.need // 4
-        item = np.repeat(np.arange(len(texts)), self.length)
-        known = (self.length >= max(1, least_words))[item]
-        self.word, self.item = hashes[known], item[known]
+        self.word, self.item = hashes, np.repeat(np.arange(len(texts)), self.length)
         self.all = np.unique(self.word)
         self.held = np.unique(_of_item(self.word, self.item))
 
@@ -162,8 +161,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, le
 
     score is the alignment's score over that of the whole item (1: every word in order); all pairs of at least min_score come
     back, each once, with the best alignment's words (places among the document's words of letters and digits) and the
-    number of seed hits. Items of fewer than `least_words` words, empty and null texts match nothing. Repeated documents
-    each get their pairs; rows without an id are left out; an empty table on either side gives no rows; other columns are not read.
+    number of seed hits. An item of fewer than `least_words` words must be there whole, all words in a row (score 1); empty
+    and null texts match nothing. Repeated documents each get their pairs, and so do those without doc_id; items without
+    item_id are no items; an empty table on either side gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -174,7 +174,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, le
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas().drop_duplicates().sort_values("item_id", kind="stable")
         block = Items(part["item_id"].to_numpy(), list(part["text"]), min_score, least_words)
         block.choose_seeds(word_counts(docs, block))
-        found = _align(docs, spark.sparkContext.broadcast(block), min_score)
+        found = _align(docs, spark.sparkContext.broadcast(block))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -199,18 +199,18 @@ def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def _align(docs: DataFrame, shared, min_score: float) -> DataFrame:
+def _align(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
-            texts, ids = [t if isinstance(t, str) else "" for t in batch["text"].array], batch["doc_id"].to_numpy()
+            texts, ids = [t if isinstance(t, str) else "" for t in batch["text"].array], list(zip(batch["doc_id"].array, batch["nameless"].array))
             found = []
             for a, b in slabs(texts):
                 hashes, bounds = _words(texts[a:b])
-                found += leaks_of(m, hashes, bounds, ids[a:b], min_score)
+                found += leaks_of(m, hashes, bounds, ids[a:b])
             yield pd.DataFrame(found, columns=[c.split()[0] for c in MATCHES.split(", ")])
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, MATCHES)
+    return unnamed(named(docs.select("doc_id", "text")).select("doc_id", "nameless", "text").mapInPandas(run, MATCHES))
 
 
 def candidates(m: Items, text: np.ndarray, word: np.ndarray, item: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -236,7 +236,7 @@ def candidates(m: Items, text: np.ndarray, word: np.ndarray, item: np.ndarray, h
     return text[which], item[which], begin, stop, n[which]
 
 
-def leaks_of(m: Items, hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, min_score: float) -> list[tuple]:
+def leaks_of(m: Items, hashes: np.ndarray, bounds: np.ndarray, ids: list[tuple]) -> list[tuple]:
     """Aligned pairs of a slab of texts."""
     best: dict[tuple, tuple] = {}
     for hits in m.hits(hashes, bounds):
@@ -247,8 +247,8 @@ def leaks_of(m: Items, hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray,
             score, start, end = smith_waterman([m.words[k] for k in item[part]], [hashes[x:y] for x, y in zip(begin[part], stop[part])])
             for c, s, x, y in zip(part, score, start, end):
                 share = float(s) / (MATCH * int(m.length[item[c]]))
-                if share >= min_score:
+                if share >= m.score[item[c]]:
                     key, at = (int(text[c]), int(item[c])), int(begin[c] - bounds[text[c]])
                     row = (share, -(at + int(x)), at + int(y), int(seeds[c]))
                     best[key] = max(best.get(key, row), row)
-    return [(ids[t], m.ids[i], share, -neg, end, n) for (t, i), (share, neg, end, n) in sorted(best.items())]
+    return [(*ids[t], m.ids[i], share, -neg, end, n) for (t, i), (share, neg, end, n) in sorted(best.items())]

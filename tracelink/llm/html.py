@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelink.llm.shared import small_batches
+from tracelink.llm.shared import named, small_batches, unnamed
 
 # Kinds of elements and words in class and id names, by their meaning in HTML and common use.
 RAW = "script style noscript template svg math iframe object textarea select option title head".split()
@@ -325,14 +325,13 @@ def main_text(page: str, template: Template) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """Main text of pages (page_id, url, html): page_id, url, text and n_chars.
 
-    A null or empty html gives an empty text. Pages with a null or malformed url share a nameless host;
-    those without page_id are left out. Repeated rows get
-    equal texts and count as one article; an empty table gives no rows; other columns are not read.
+    A null or empty html gives an empty text. Pages with a null or malformed url share a nameless host; pages without
+    page_id are extracted too. Repeated rows get equal texts and count as one article; an empty table gives no rows; other columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     small_batches(pages.sparkSession)
-    pages = pages.where("page_id IS NOT NULL")
-    rows = pages.select("page_id", "url", "html").withColumn("host", host)
+    pages = named(pages.select("page_id", "url", "html"), "page_id")
+    rows = pages.withColumn("host", host)
     # At most HOT_HOSTS hosts can hold so large a share of the pages; theirs are dealt to salts, and the templates copied.
     large = rows.groupBy("host").count().where(F.col("count") > max(pages.count() / HOT_HOSTS, 100)).select("host", F.lit(SALTS).alias("salts"))
     salted = rows.join(F.broadcast(large), "host", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("salts")), F.lit(0)).cast("int"))
@@ -343,7 +342,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame([(host, *resolve(slots)) for host, slots in zip(batch["host"].array, batch["slots"].array)], columns=["host", *columns])
 
     templates = deduce(pages).mapInPandas(resolved, f"host string, {TEMPLATE}").join(F.broadcast(large), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    joined = salted.join(templates.select("host", "salt", *columns), ["host", "salt"], "left").select("page_id", "url", "html", *columns)
+    joined = salted.join(templates.select("host", "salt", *columns), ["host", "salt"], "left").select("page_id", "nameless", "url", "html", *columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -353,6 +352,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 if host_of(url) != host:
                     host, template = host_of(url), Template(*found) if found[0] is not None else Template()
                 texts.append(main_text(page, template) if isinstance(page, str) else "")
-            yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "url": batch["url"].array, "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
+            yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "nameless": batch["nameless"].to_numpy(), "url": batch["url"].array, "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
 
-    return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return unnamed(joined.mapInPandas(run, "page_id long, nameless boolean, url string, text string, n_chars long"), "page_id")

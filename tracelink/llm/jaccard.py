@@ -8,6 +8,9 @@ neighbours: a missing token breaks at most two pairs and an added one a single p
 extension (see `signatures`). So a signature shared by very many dissimilar documents does not occur unless nearly all
 of a document is common text.
 
+The tokens of all sets are counted, by the upper half of their hash, and the frequent class is what heads the counts: a
+token in it has at least FREQUENT sets and 2^-20 of all tokens, so the class has a bound at any size.
+
 Candidates are verified exactly, on the texts. Copies collapse to one set first. The sets of a small signature group are
 compared pair by pair. Larger groups, and what they hold together, are never expanded: tasks count the overlaps of whole
 blocks of sets with an inverted index, and give out no more links than it takes to connect what is linked.
@@ -23,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import Tally, mix, ngram_hashes, scan_words, slabs, small_batches, staged
+from tracelink.llm.shared import identified, mix, named, ngram_hashes, scan_words, slabs, small_batches, staged, unnamed
 
-#: Tokens of the frequent class: counted in at least so many documents; the most frequent ones, at most so many (16 MB).
-FREQUENT, MAX_FREQUENT = 8, 1 << 21
-#: Tokens below this hash are counted; the others always belong to the rare class.
-ZONE = int(0.3 * 2**64)
+#: A token is frequent if it is in so many sets at least, and in one of so many of all tokens of all sets.
+FREQUENT, HEAVY = 8, 1 << 20
+#: Counts are dealt to tasks by so many ranges of hashes; a task gives out so many tokens at a time.
+RANGES, TOKENS_AT_ONCE = 1024, 2_000_000
 #: Sets up to this size also index single frequent tokens, as an extension needs some room.
 SMALL = 12
 BLOOM_BITS = 1 << 25
@@ -60,8 +63,13 @@ def _spare(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100
 
 
+def bucket(tokens: np.ndarray) -> np.ndarray:
+    """What tokens are counted by."""
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted token set, and the place in the order of the token each stands for.
+    """Signatures of a sorted token set, and the place in the order of the token each stands for; frequent: sorted buckets.
 
     Places are -1 for pairs, and for all signatures of a set whose rare tokens do not fill the prefix.
 
@@ -71,10 +79,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     """
     n = len(tokens)
     need = _spare(n, percent) + 1
-    at = np.searchsorted(frequent, tokens)
+    mine = bucket(tokens)
+    at = np.searchsorted(frequent, mine)
     common = np.zeros(n, bool)
     near = at < len(frequent)
-    common[near] = frequent[at[near]] == tokens[near]
+    common[near] = frequent[at[near]] == mine[near]
     rare = tokens[~common][:need]
     sigs, places = [rare], [np.arange(len(rare))]
     if len(rare) < need:
@@ -95,59 +104,105 @@ def _texts(batch: pd.DataFrame) -> list[str]:
     return [t if isinstance(t, str) else "" for t in batch["text"].array]
 
 
-def _census(docs: DataFrame, n: int) -> DataFrame:
-    """One aggregation over all documents: token counts (kind 0) and each document's set (kind 1)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zone, tally = np.uint64(ZONE), Tally(1)
-        for batch in batches:
-            sets = []
-            for tokens in shingle_sets(_texts(batch), n):
-                sets.append((set_id(tokens) if len(tokens) else None, len(tokens)))
-                low = tokens[: np.searchsorted(tokens, zone)]
-                if tally.add(low, np.ones(len(low), np.int32)):
-                    yield _counted(tally)
-            yield pd.DataFrame({"kind": np.int8(1), "key": batch["doc_id"].to_numpy(np.int64), "n": 1, "sid": pd.array([s for s, _ in sets], dtype="Int64"), "size": np.array([k for _, k in sets], np.int32)})
-        yield _counted(tally)
+def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
+    """The buckets of the frequent class, sorted; counted over the sets of all documents.
 
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "kind byte, key long, n int, sid long, size int")
-    out = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("sid").alias("sid"), F.max("size").alias("size"))
-    return out.where((F.col("kind") == 1) | (F.col("n") >= FREQUENT))
+    Tasks send sorted runs of buckets, dealt by range; a range's runs are summed as they stream by, so what a task holds is
+    bounded by the buckets of a range.
+    """
 
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
 
-def _counted(tally: Tally) -> pd.DataFrame:
-    tokens, (n,) = tally.take()
-    return pd.DataFrame({"kind": np.int8(0), "key": tokens.view(np.int64), "n": n.astype(np.int32), "sid": pd.array([None], dtype="Int64").repeat(len(tokens)), "size": np.int32(0)})
+        def runs() -> pd.DataFrame:
+            keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+            cut = np.searchsorted(keys, np.arange(1, RANGES, dtype=np.uint64) * (2**32 // RANGES))
+            parts = [(k, x.tobytes()) for k, x in enumerate(np.split(keys, cut)) if len(x)]
+            return pd.DataFrame(parts, columns=["range", "keys"])
 
+        for batch in batches:
+            for tokens in shingle_sets(_texts(batch), n):
+                held.append(bucket(tokens))
+                size += len(tokens)
+                if size >= TOKENS_AT_ONCE:
+                    yield runs()
+                    held, size = [], 0
+        yield runs()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, keys, counts, held, size = -1, np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            every, code = np.unique(np.concatenate([keys, *held]), return_inverse=True)
+            total = np.bincount(code[len(keys) :], minlength=len(every))
+            total[code[: len(keys)]] += counts
+            return every, total
+
+        def frame() -> pd.DataFrame:
+            often = counts >= FREQUENT
+            return pd.DataFrame({"bucket": np.append(keys[often].astype(np.int64), -1), "n": np.append(counts[often], counts.sum())})
 
-def _signature_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
+        for batch in batches:
+            for r, raw in zip(batch["range"].array, batch["keys"].array):
+                if r != at or size >= TOKENS_AT_ONCE:
+                    if held:
+                        keys, counts = fold()
+                    held, size = [], 0
+                    if r != at:
+                        if len(keys):
+                            yield frame()
+                        at, keys, counts = r, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                held.append(np.frombuffer(raw, np.uint32))
+                size += len(held[-1])
+        if held:
+            keys, counts = fold()
+            yield frame()
+
+    sent = docs.select("text").mapInPandas(send, "range int, keys binary").repartition("range").sortWithinPartitions("range")
+    counts = staged(sent.mapInPandas(count, "bucket long, n long"), "token-counts")
+    total = counts.where("bucket < 0").agg(F.sum("n")).first()[0] or 0
+    heads = counts.where((F.col("bucket") >= 0) & (F.col("n") >= max(FREQUENT, total // HEAVY))).select("bucket").toPandas()
+    return np.sort(heads["bucket"].to_numpy(np.int64).astype(np.uint32))
+
+
+ROWS = "kind byte, sig long, place int, sid long, size int, doc_id long, nameless boolean, u long"
+
+
+def _set_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
+    """In one pass each document's set (kind 1; size 0: none) and the signatures of the sets (kind 0), once in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def frame(parts: list[tuple[np.ndarray, np.ndarray]], of: list[tuple[int, int]]) -> pd.DataFrame:
+        count = [len(s) for s, _ in parts]
+        return pd.DataFrame({
+            "kind": np.int8(0), "sig": np.concatenate([s for s, _ in parts]).view(np.int64), "place": np.concatenate([p for _, p in parts]).astype(np.int32),
+            "sid": np.repeat([i for i, _ in of], count), "size": np.repeat(np.array([k for _, k in of], np.int32), count), "doc_id": 0, "nameless": False, "u": 0,
+        })
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, seen = shared.value, set()  # copies inside a task's input give rows once
-        sig, place, sid, size, held = [], [], [], [], 0
+        often, seen = shared.value, set()  # copies inside a task's input give signatures once
+        parts, of, held = [], [], 0
         for batch in batches:
+            sets = []
             for tokens in shingle_sets(_texts(batch), n):
-                own = set_id(tokens)
-                if len(tokens) and own not in seen:
-                    seen.add(own)
-                    s, p = signatures(tokens, often, percent)
-                    sig.append(s)
-                    place.append(p)
-                    sid.append(np.full(len(s), own))
-                    size.append(np.full(len(s), len(tokens), np.int32))
-                    held += len(s)
+                own = (set_id(tokens), len(tokens)) if len(tokens) else (0, 0)
+                sets.append(own)
+                if len(tokens) and own[0] not in seen:
+                    seen.add(own[0])
+                    parts.append(signatures(tokens, often, percent))
+                    of.append(own)
+                    held += len(parts[-1][0])
                     if held > 200_000:
-                        yield _frame(sig, place, sid, size)
-                        sig, place, sid, size, held = [], [], [], [], 0
-        if sig:
-            yield _frame(sig, place, sid, size)
-
-    return docs.select("text").mapInPandas(run, "sig long, place int, sid long, size int")
-
+                        yield frame(parts, of)
+                        parts, of, held = [], [], 0
+            yield pd.DataFrame({
+                "kind": np.int8(1), "sig": 0, "place": np.int32(0), "sid": np.array([i for i, _ in sets], np.int64), "size": np.array([k for _, k in sets], np.int32),
+                "doc_id": batch["doc_id"].to_numpy(np.int64), "nameless": batch["nameless"].to_numpy(bool), "u": batch["u"].to_numpy(np.int64),
+            })
+        if parts:
+            yield frame(parts, of)
 
-def _frame(sig, place, sid, size) -> pd.DataFrame:
-    return pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "place": np.concatenate(place).astype(np.int32), "sid": np.concatenate(sid), "size": np.concatenate(size)})
+    return named(docs).select("doc_id", "nameless", "text", "u").mapInPandas(run, ROWS)
 
 
 def _near(a: str, b: str, percent: int):
@@ -196,7 +251,7 @@ def _either(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
 
 
 def _bloom(ids: DataFrame, column: str):
-    """A filter of fixed size over the ids, as a predicate on doc_id; it may let others through."""
+    """A filter of fixed size over the column, as a predicate on the column of that name; it may let others through."""
     spot = lambda k: F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(BLOOM_BITS))
     bits = ids.select(F.explode(F.array(spot(0), spot(1))).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS int))")).alias("set")).toPandas()
@@ -210,8 +265,7 @@ def _bloom(ids: DataFrame, column: str):
         hit = lambda x: t[x >> 5] >> (x & 31).astype(np.uint32) & 1
         return pd.Series((hit(a.to_numpy(np.int64)) & hit(b.to_numpy(np.int64))).astype(bool))
 
-    probe = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(BLOOM_BITS))
-    return maybe(probe(0), probe(1))
+    return maybe(spot(0), spot(1))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -238,30 +292,32 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     A text of fewer than n words is one shingle; a null text, or one without words, has the empty set and links with
     nothing. Returns one row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links) and
-    copies, the number of documents with the same set. Rows of a repeated doc_id (which must have one text) come back
-    once; rows without doc_id are left out; an empty table gives no rows; other columns are not read.
+    copies, the number of documents with the same set. Every row is a document of its own, rows of a repeated doc_id and
+    those without one too; these link like others but are no component_id (null where no linked row has an id). An empty table
+    gives no rows; other columns are not read. Tables are staged in the shared folder, and jobs run, while the plan is made.
     """
     small_batches(docs.sparkSession)
-    census = staged(_census(docs, n), "census")
-    sets = census.where("kind = 1").select(F.col("key").alias("doc_id"), "sid", "size")
-    often = census.where("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).select("key").toPandas()["key"].to_numpy(np.int64)
-    rows = _signature_rows(docs, np.sort(often.view(np.uint64)), n, percent)
+    docs = identified(docs.select("doc_id", "text"))
+    every = staged(_set_rows(docs, frequent_buckets(docs, n), n, percent), "sets")
+    sets = unnamed(every.where("kind = 1").select("doc_id", "nameless", "u", F.expr("CASE WHEN size > 0 THEN sid END").alias("sid"), "size"))
+    rows = every.where("kind = 0").select("sig", "place", "sid", "size")
 
     # Signatures are counted before anything else moves; from here on only those of several sets are joined.
-    repeated = staged(rows.select("sig").groupBy("sig").count().where("count > 1").select("sig"), "repeated")
+    repeated = staged(rows.groupBy("sig").count().where("count > 1").select("sig"), "repeated")
     hits = staged(rows.join(repeated, "sig", "left_semi").distinct(), "hits")
     groups = staged(hits.groupBy("sig").agg(F.count("*").alias("m"), F.min("sid").alias("first")).where("m > 1"), "groups")
-    known = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    known = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("u").alias("u"), F.count("*").alias("copies"))
     pairs = staged(_pairs(hits.join(groups.where(F.col("m") <= GROUP).select("sig"), "sig", "left_semi"), percent), "pairs")
     clusters = staged(_spanned(hits.join(groups.where(F.col("m") > GROUP).select("sig", "first"), "sig")), "clusters")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(clusters.select(F.col("node").alias("sid"))).distinct()
-    involved = staged(wanted.join(known, "sid").select("sid", "doc_id"), "involved")
-    texts = docs.select("doc_id", "text").where(_bloom(involved, "doc_id")).join(involved, "doc_id")
+    involved = staged(wanted.join(known, "sid").select("sid", "u"), "involved")
+    texts = docs.select("u", "text").where(_bloom(involved, "u")).join(involved, "u")
     texts = staged(texts.select("sid", "text"), "texts")
 
     few = staged(_verified(pairs, texts, n, percent), "links")
     many = staged(_crowded(clusters, texts, n, percent), "crowded-links")
     roots = components(few.unionByName(many))
+    known = known.drop("u")
     least = roots.join(known.withColumnRenamed("sid", "node"), "node").groupBy("root").agg(F.min("doc_id").alias("low"))
     least = roots.select("root").distinct().join(known.withColumnRenamed("sid", "root"), "root").select("root", F.col("doc_id").alias("own")).join(least, "root").select("root", F.least("own", "low").alias("component_id"))
     class_of = known.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(least, "root", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), "copies")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import LOWER, NO_LETTER, hashed_runs, mix, slabs, small_batches
+from tracelink.llm.shared import LOWER, NO_LETTER, hashed_runs, mix, named, slabs, small_batches, unnamed
 from tracelink.llm.toxicity import held_out
 
 #: Bound of the sample that is fitted on: at most about so many documents of each language.
@@ -195,7 +195,7 @@ def fit(labelled: DataFrame, per_language: int = DOCUMENTS_PER_LANGUAGE) -> Crf:
     return train(list(sample["text"]), sample["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(np.int64), names)
 
 
-PREDICTIONS = "doc_id long, lang_pred string, score double, n_words long, n_switches long, share map<string,double>"
+PREDICTIONS = "doc_id long, nameless boolean, lang_pred string, score double, n_words long, n_switches long, share map<string,double>"
 
 
 def predict(docs: DataFrame, model: Crf) -> DataFrame:
@@ -203,8 +203,8 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
 
     lang_pred is the label with the largest share of the text's letters, weighted by the words' marginals; score is that
     share. n_switches counts the neighbouring words whose most likely labels differ. A null text, or one without a letter,
-    is 'und' with score 0. Repeated rows get equal results, rows without doc_id are left out, an empty table gives no rows,
-    other columns are not read.
+    is 'und' with score 0. Repeated rows get equal results, rows without doc_id are predicted too, an empty table gives no
+    rows, other columns are not read.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -234,9 +234,10 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
                     rows.append((names[y], float(min(share[y], 1.0)), int(hi - lo), int(change[hi] - change[lo + 1]), dict(zip(m.labels, share.tolist()))))
             out = pd.DataFrame(rows, columns=["lang_pred", "score", "n_words", "n_switches", "share"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "nameless", batch["nameless"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, PREDICTIONS)
+    return unnamed(named(docs.select("doc_id", "text")).select("doc_id", "nameless", "text").mapInPandas(run, PREDICTIONS))
 
 
 def gathered(batches: Iterator[pd.DataFrame], most: int = 6_000_000) -> Iterator[pd.DataFrame]:
@@ -257,6 +258,9 @@ def has_letter(text: str) -> bool:
 
 
 def language(docs: DataFrame) -> DataFrame:
-    """Learns from the rows of (doc_id, text, lang) that are not held out and predicts all rows; see `predict`."""
+    """Learns from the rows of (doc_id, text, lang) that are not held out and predicts all rows; see `predict`.
+
+    Rows without doc_id are not learned from, and not held out.
+    """
     model = fit(docs.select("doc_id", "text", "lang").where(~held_out(5, 0)))
-    return predict(docs, model).withColumn("held_out", held_out(5, 0))
+    return predict(docs, model).withColumn("held_out", F.coalesce(held_out(5, 0), F.lit(False)))

@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tracelink.llm.shared import small_batches
+from tracelink.llm.shared import named, small_batches, unnamed
 
 PIECES = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, token_ids array<int>"
+    "doc_id long, nameless boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, token_ids array<int>"
 )
 _encoders: dict[tuple, object] = {}
 
@@ -106,7 +106,7 @@ class Packer:
     def put(self, piece: tuple, offset: int) -> int:
         doc, start, ids, doc_tokens = piece
         raw = ids.tobytes()
-        self.rows.append((doc, start, len(ids), zlib.crc32(raw), doc_tokens, self.sequence, offset, ids.astype(np.int32) if self.keep_ids else None))
+        self.rows.append((*doc, start, len(ids), zlib.crc32(raw), doc_tokens, self.sequence, offset, ids.astype(np.int32) if self.keep_ids else None))
         return offset + len(ids)
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -165,8 +165,8 @@ def pack(docs: DataFrame, encode: tuple[str, str | None, str | None], window: in
     """Packs (doc_id, text) into sequences of at most `window` tokens.
 
     encode: the files of `Encoder`. pool: the number of document rests at which windows are filled; a quarter stays for
-    the next ones. A null or empty text is `end_id` alone. Repeated rows are packed as often as they occur; rows without
-    doc_id are left out; an empty table gives no rows; other columns are not read. Returns a row for each piece, with its token ids unless keep_ids is false.
+    the next ones. A null or empty text is `end_id` alone. Rows are packed as often as they occur, those
+    without doc_id too; an empty table gives no rows; other columns are not read. Returns a row for each piece, with its token ids unless keep_ids is false.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,8 +174,8 @@ def pack(docs: DataFrame, encode: tuple[str, str | None, str | None], window: in
         packer = Packer(window, TaskContext.get().partitionId() << 40, keep_ids)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].array, batch["text"].array):
-                packer.add(doc, np.concatenate([to_ids(text), end]) if isinstance(text, str) and text else end)
+            for *doc, text in zip(batch["doc_id"].array, batch["nameless"].array, batch["text"].array):
+                packer.add(tuple(doc), np.concatenate([to_ids(text), end]) if isinstance(text, str) and text else end)
                 if packer.n >= pool:
                     packer.pack(pool // 4)
                 if len(packer.rows) >= 8192:
@@ -186,4 +186,4 @@ def pack(docs: DataFrame, encode: tuple[str, str | None, str | None], window: in
             yield pd.DataFrame(packer.rows, columns=names)
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, PIECES)
+    return unnamed(named(docs.select("doc_id", "text")).select("doc_id", "nameless", "text").mapInPandas(run, PIECES))

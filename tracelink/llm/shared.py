@@ -20,12 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a single process, one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracelink-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -42,23 +44,30 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.remove(paths)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+            remove(spark, p)
 
 
-def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back: a cut of the lineage that outlives executors.
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    The table stays until the end of the surrounding `scratch`, if there is one; with keep it stays anyway.
-    """
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder as Parquet and reads it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelink/{name}-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The same; the table stays until the end of the surrounding `scratch`, if there is one."""
+    out, path = stored(df, name)
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
 
 
 def small_batches(spark: SparkSession, records: int = 500) -> None:
@@ -69,6 +78,12 @@ def small_batches(spark: SparkSession, records: int = 500) -> None:
         spark.conf.set(key, str(records))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """Adds (u, v), 128 bits of hash that stand for a row: only rows of equal doc_id (null included) and text share them."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return docs.withColumns({"u": F.xxhash64(key, "text"), "v": F.xxhash64("text", F.lit(7), key)})
+
+
 def named(docs: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows without an id get 0 and the flag `nameless`, as pandas would make floats of a column with nulls."""
     return docs.withColumns({"nameless": F.col(column).isNull(), column: F.coalesce(F.col(column).cast("long"), F.lit(0))})

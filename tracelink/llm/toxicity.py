@@ -1,15 +1,15 @@
 """Toxicity by nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over the words that mark the toxic class among the labelled rows (chosen by
-log-odds, so no word list is needed). The examples stand in a block-max inverted index: each posting list is cut into
-blocks of examples with the largest weight of the block, so that the blocks' upper bounds decide which blocks must be
-scored at all; the k nearest by cosine are exact. Votes of the neighbours, weighted by similarity, are mapped to a
-probability by isotonic calibration over the examples' own left-out votes.
+Examples and documents are TF-IDF vectors over all words of the examples; a word's weight is also scaled by how surely it
+goes with the toxic class among the labelled rows (its log-odds and their standard error, as a smooth factor that is never
+0, so no word list is needed and every text with known words has neighbours). The examples stand in a block-max inverted
+index: each posting list is cut into blocks of examples with the largest weight of the block, so that the blocks' upper
+bounds decide which blocks must be scored at all; the k nearest by cosine are exact. Votes of the neighbours, weighted by
+similarity, are mapped to a probability by isotonic calibration over the examples' own left-out votes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,79 +18,88 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import Tally, letter_words, slabs, small_batches
+from tracelink.llm.shared import letter_words, named, slabs, small_batches, unnamed
 
-#: Bounds of the labelled sample that is fitted on: at most about so many rows of either class.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES = 6_000, 8_000
-MAX_TERMS = 4_096
+#: Bounds of the labelled sample that is fitted on, about so many rows of either class: for the words' weights, and of
+#: these the examples in the index.
+LABELLED, EXAMPLES = 20_000, 1_000
+#: What a word weighs that says nothing of the class, against 1 for one that surely marks it.
+FLOOR = 0.02
+#: The share of toxic rows at large votes like an example of this cosine.
+FAR = 0.2
 
 
 class BlockMaxIndex:
     """Exact cosine search over sparse unit vectors."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], block: int = 32):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 32):
         """rows: (terms, weights) of each example, unit length. Similar rows should be neighbours, as blocks are runs."""
         self.block, self.n = block, len(rows)
-        lengths = [len(t) for t, _ in rows]
         term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        row = np.repeat(np.arange(len(rows)), lengths)
+        row = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
         by = np.lexsort((row, term))
-        self.row, self.weight, term = row[by], weight[by], term[by]
+        self.row, self.weight, term = row[by].astype(np.int32), weight[by], term[by]
+        # A list's entries are its blocks: (term, block of rows), the postings first to last, and their largest weight.
         key = term * (len(rows) // block + 1) + self.row // block
         self.first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.last = np.append(self.first[1:], len(key))
         self.most = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
         self.of_block = self.row[self.first] // block
-        ends = np.flatnonzero(np.concatenate([[True], np.diff(term[self.first]) != 0])) if len(key) else np.zeros(0, np.int64)
-        self.lists = {int(term[self.first[a]]): (int(a), int(b)) for a, b in zip(ends, np.append(ends[1:], len(self.first)))}
+        self.begin = np.searchsorted(term[self.first], np.arange(terms + 1))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine above 0 (ties: lower row first) and their cosines. without: a row to leave out."""
-        bound = np.zeros(self.n // self.block + 1)
-        lists = [(*self.lists[t], w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.lists]
-        for a, b, w in lists:
-            bound[self.of_block[a:b]] += w * self.most[a:b]
+        entry, of = _spread(self.begin[terms], self.begin[terms + 1])
+        w, block = weights[of], self.of_block[entry]
+        bound = np.bincount(block, w * self.most[entry], self.n // self.block + 1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for at in range(0, len(order), step):
-            if len(best) >= k and bound[order[at]] < best[k - 1] - 1e-9:
-                break
+        at, step = 0, 2
+        while at < len(order) and not (len(best) >= k and bound[order[at]] < best[k - 1] - 1e-9):
             part = order[at : at + step]
-            scores = np.zeros(step * self.block)
             place = np.full(len(bound), -1)
             place[part] = np.arange(len(part))
-            for a, b, w in lists:
-                for s in np.flatnonzero(place[self.of_block[a:b]] >= 0) + a:
-                    lo, hi = self.first[s], self.last[s]
-                    scores[place[self.of_block[s]] * self.block + self.row[lo:hi] % self.block] += w * self.weight[lo:hi]
+            mine = np.flatnonzero(place[block] >= 0)
+            posting, of = _spread(self.first[entry[mine]], self.last[entry[mine]])
+            of = mine[of]
+            slot = place[block[of]] * self.block + self.row[posting] % self.block
+            scores = np.bincount(slot, w[of] * self.weight[posting], len(part) * self.block)
             hit = np.flatnonzero(scores > 0)
             rows = part[hit // self.block] * self.block + hit % self.block
             keep = rows != without
             best_row, best = np.concatenate([best_row, rows[keep]]), np.concatenate([best, scores[hit][keep]])
             top = np.lexsort((best_row, -np.round(best, 12)))[: k]
             best_row, best = best_row[top], best[top]
+            at, step = at + step, step * 2
         return best_row, best
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo to hi, and the range each is of."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (lo - np.cumsum(n) + n)[of], of
+
+
 @dataclass
 class Model:
-    terms: np.ndarray  # sorted hashes of the chosen words
-    idf: np.ndarray
+    terms: np.ndarray  # sorted hashes of the examples' words
+    gain: np.ndarray  # idf times the factor of the class
+    marking: np.ndarray  # words whose factor is nearer to 1
     index: BlockMaxIndex
     ids: np.ndarray  # doc_id of each example
     toxic: np.ndarray
     prior: np.ndarray  # rows of the labelled table that an example stands for
-    unmarked: float  # share of toxic rows among examples without any chosen word
+    base: float  # share of toxic rows
     knots: tuple[np.ndarray, np.ndarray]  # isotonic map from vote to probability
     k: int
 
 
-def _vector(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _vector(codes: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms, n = np.unique(codes, return_counts=True)
-    w = (1 + np.log(n)) * idf[terms]
+    w = (1 + np.log(n)) * gain[terms]
     return terms, w / np.sqrt((w * w).sum())
 
 
@@ -108,35 +117,17 @@ def _codes(texts: list[str], terms: np.ndarray) -> Iterator[tuple[np.ndarray, np
             yield at[mine], mine, word
 
 
-def choose_terms(labelled: DataFrame, toxic: int, clean: int, most: int = MAX_TERMS) -> np.ndarray:
-    """Hashes of words that mark the toxic class, counted over all labelled rows (text, toxic) of the two classes.
+def class_factor(a: np.ndarray, b: np.ndarray, toxic: float, clean: float) -> np.ndarray:
+    """FLOOR to 1 by how surely words that are in a of the toxic and b of the clean rows mark the toxic class.
 
-    Their odds are at least 6 times as high as in the clean class, and 3.5 standard errors away from even.
+    Half where the odds are 6 times as high as in the clean class, or 3.5 standard errors away from even.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = Tally(2)
-
-        def frame() -> pd.DataFrame:
-            terms, (a, b) = tally.take()
-            return pd.DataFrame({"term": terms.view(np.int64), "a": a, "b": b})
-
-        for batch in batches:
-            texts, y = [t.lower() for t in batch["text"].array], batch["toxic"].to_numpy(np.int64)
-            for a, b in slabs(texts):
-                hashes, bounds = letter_words(texts[a:b])
-                for i in range(b - a):
-                    mine = np.unique(hashes[bounds[i] : bounds[i + 1]])
-                    if tally.add(mine, np.full(len(mine), y[a + i]), np.full(len(mine), 1 - y[a + i])):
-                        yield frame()
-        yield frame()
-
-    counts = labelled.select("text", "toxic").mapInPandas(run, "term long, a long, b long").groupBy("term").agg((F.sum("a") + 0.5).alias("a"), (F.sum("b") + 0.5).alias("b"))
-    rest = lambda n, c: F.lit(n + 1.0) - F.col(c)
-    odds = F.log(F.col("a") * rest(clean, "b") / (rest(toxic, "a") * F.col("b")))
-    error = F.sqrt(1 / F.col("a") + 1 / F.col("b") + 1 / rest(toxic, "a") + 1 / rest(clean, "b"))
-    chosen = counts.where("a > 3").withColumns({"odds": odds, "z": odds / error}).where((F.col("z") >= 3.5) & (F.col("odds") >= math.log(6)))
-    return np.sort(chosen.orderBy(F.desc("z"), "term").limit(most).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+    a, b = a + 0.5, b + 0.5
+    rest_a, rest_b = np.maximum(toxic + 1 - a, 0.5), np.maximum(clean + 1 - b, 0.5)
+    odds = np.log(a * rest_b / (rest_a * b))
+    z = odds / np.sqrt(1 / a + 1 / b + 1 / rest_a + 1 / rest_b)
+    half = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return FLOOR + (1 - FLOOR) * half(3 * (z - 3.5)) * half(4 * (odds - np.log(6)))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,80 +143,89 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _vote(model: Model, rows: np.ndarray, cos: np.ndarray) -> float:
-    w = cos**2 * model.prior[rows]
-    return float((w * model.toxic[rows]).sum() / w.sum())
+    """The toxic share of the neighbours' votes; far neighbours give way to the share of toxic rows at large."""
+    w, rest = cos**2 * model.prior[rows], FAR**2 * model.prior.mean()
+    return float(((w * model.toxic[rows]).sum() + rest * model.base) / (w.sum() + rest))
 
 
-def fit(labelled: DataFrame, docs: DataFrame, k: int = 15, toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> Model:
-    """Fits on labelled rows (doc_id, text, toxic).
+def fit(docs: DataFrame, labels: DataFrame, k: int = 15, labelled: int = LABELLED, examples: int = EXAMPLES) -> Model:
+    """Fits on the labelled rows of (doc_id, text) and (doc_id, toxic) that are not held out.
 
-    The marking words are chosen by counts over all labelled rows; the examples are a sample by hash of the id, bounded per
-    class. Document frequencies of the words are counted over all of `docs`.
+    Of each class at most about `labelled` rows, by hash of the id, give the words' factors, and `examples` of these are
+    the neighbours. Document frequencies of the words are counted over all of `docs`. Runs jobs.
     """
     small_batches(docs.sparkSession)
-    labelled = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    bound = {1: toxic_examples, 0: clean_examples}
-    there = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    share = {y: min(1.0, bound[y] / max(there.get(y, 0), 1)) for y in (0, 1)}
-    terms = choose_terms(labelled, there.get(1, 0), there.get(0, 0))
-
-    def vectors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    there = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    share = {(m, y): min(1.0, m / max(there.get(y, 0), 1)) for m in (labelled, examples) for y in (0, 1)}
+    one = 1 << 30
+    within = lambda m: F.pmod(F.xxhash64("doc_id"), F.lit(one)) < F.when(F.col("toxic") == 1, F.lit(int(share[m, 1] * one))).otherwise(F.lit(int(share[m, 0] * one)))
+    # The sample has a bound, so it is what is broadcast, whatever the number of labels.
+    known = F.broadcast(labels.where(within(labelled)))
+    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
+
+    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [codes for codes, _, _ in _codes([t.lower() for t in batch["text"].array], terms)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "codes": found})
-
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
-    sample = labelled.where(pick).mapInPandas(vectors_of, "doc_id long, toxic int, codes array<long>").limit(2 * (toxic_examples + clean_examples)).toPandas().sort_values("doc_id", kind="stable")
-    toxic = sample["toxic"].to_numpy(np.int64)
-    n, df = document_frequencies(docs, terms)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    prior = np.where(toxic == 1, 1 / max(share[1], 1e-9), 1 / max(share[0], 1e-9))
-    vectors = [_vector(np.asarray(c, np.int64), idf) if len(c) else None for c in sample["codes"]]
-    marked = [i for i, v in enumerate(vectors) if v is not None]
-    marked.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), len(vectors[i][0]), i))
-    bare = np.array([v is None for v in vectors], bool)
-    model = Model(
-        terms, idf, BlockMaxIndex([vectors[i] for i in marked]), sample["doc_id"].to_numpy()[marked], toxic[marked], prior[marked],
-        float((prior[bare] * toxic[bare]).sum() / prior[bare].sum()) if bare.any() else 0.0, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), k,
-    )
-    left_out = [(model.index.search(*vectors[i], k, without=at), at) for at, i in enumerate(marked)]
+            texts, found = [t.lower() for t in batch["text"].array], []
+            for a, b in slabs(texts):
+                hashes, bounds = letter_words(texts[a:b])
+                found += [np.unique(hashes[lo:hi], return_counts=True) for lo, hi in zip(bounds[:-1], bounds[1:])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [w.view(np.int64) for w, _ in found], "n": [n for _, n in found]})
+
+    chosen = sample.where(within(examples)).mapInPandas(words_of, "doc_id long, toxic int, words array<long>, n array<long>").toPandas()
+    chosen = chosen[chosen["words"].map(len) > 0].sort_values("doc_id", kind="stable").reset_index(drop=True)
+    terms = np.unique(np.concatenate([np.zeros(0, np.int64), *chosen["words"]]).view(np.uint64))
+    seen = _frequencies(sample.select("text", "toxic"), terms)
+    every = _frequencies(docs.select("text", F.lit(0).alias("toxic")), terms)
+    factor = class_factor(seen[1][:-1], seen[0][:-1], seen[1][-1], seen[0][-1])
+    gain = (np.log((every[0][-1] + 1) / (every[0][:-1] + 1)) + 1) * factor
+    vectors = []
+    for words, n in zip(chosen["words"], chosen["n"]):
+        at = np.searchsorted(terms, np.asarray(words, np.int64).view(np.uint64))
+        w = (1 + np.log(np.asarray(n, np.float64))) * gain[at]
+        by = np.argsort(at)
+        vectors.append((at[by], (w / np.sqrt((w * w).sum()))[by]))
+    order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), len(vectors[i][0]), i))
+    toxic = chosen["toxic"].to_numpy(np.int64)[order]
+    prior = np.where(toxic == 1, 1 / share[examples, 1], 1 / share[examples, 0])
+    base = float((prior * toxic).sum() / prior.sum()) if len(prior) else 0.0
+    model = Model(terms, gain, factor > 0.5, BlockMaxIndex([vectors[i] for i in order], len(terms)), chosen["doc_id"].to_numpy()[order], toxic, prior, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), k)
+    left_out = [(model.index.search(*vectors[i], k, without=at), at) for at, i in enumerate(order)]
     left_out = [(_vote(model, rows, cos), at) for (rows, cos), at in left_out if len(rows)]
     if left_out:
         x, at = np.array([v for v, _ in left_out]), np.array([a for _, a in left_out])
-        model.knots = isotonic(x, model.toxic[at].astype(float), model.prior[at])
+        model.knots = isotonic(x, toxic[at].astype(float), prior[at])
     return model
 
 
-def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those with each term, over all documents."""
+def _frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """For toxic 0 and 1 the number of rows (text, toxic) with each term, and at the end that of all rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, df = 0, np.zeros(len(terms), np.int64)
+        n = np.zeros((2, len(shared.value) + 1), np.int64)
         for batch in batches:
-            texts = [t.lower() if isinstance(t, str) else "" for t in batch["text"].array]
-            n += len(texts)
-            for codes, _, _ in _codes(texts, terms):
-                df[np.unique(codes)] += 1
-        yield pd.DataFrame({"term": np.append(np.arange(len(terms)), -1), "n": np.append(df, n)}).query("n > 0")
+            y = batch["toxic"].to_numpy(np.int64)
+            for i, (codes, _, _) in enumerate(_codes([t.lower() if isinstance(t, str) else "" for t in batch["text"].array], shared.value)):
+                n[y[i], np.unique(codes)] += 1
+            n[:, -1] += np.bincount(y, minlength=2)
+        toxic, term = np.nonzero(n)
+        yield pd.DataFrame({"toxic": toxic, "term": term, "n": n[toxic, term]})
 
-    out = np.zeros(len(terms), np.int64)
-    total = 0
-    for r in docs.select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            out[r["term"]] = r["n"]
-    return total, out
+    out = np.zeros((2, len(terms) + 1), np.int64)
+    got = docs.mapInPandas(run, "toxic long, term long, n long").groupBy("toxic", "term").agg(F.sum("n").alias("n")).toPandas()
+    out[got["toxic"].to_numpy(), got["term"].to_numpy()] = got["n"]
+    return out
 
 
-SCORES = "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence array<string>"
+SCORES = "doc_id long, nameless boolean, score double, neighbours array<long>, similarities array<double>, evidence array<string>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores (doc_id, text): score (0 to 1), the nearest labelled examples, their cosines and the marking words found.
 
-    A null or empty text, or one without any marking word, has no neighbours and gets the share of toxic rows among such
-    examples. Repeated rows get equal scores; rows without doc_id are left out; an empty table gives no rows; other columns are not
+    A null or empty text, or one without any word of the examples, has no neighbours and gets the share of toxic labels.
+    Repeated rows get equal scores; rows without doc_id are scored too; an empty table gives no rows; other columns are not
     read.
     """
     small_batches(docs.sparkSession)
@@ -236,13 +236,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = [t.lower() if isinstance(t, str) else "" for t in batch["text"].array]
             rows = []
-            for doc, (codes, where, word) in zip(batch["doc_id"].array, _codes(texts, m.terms)):
-                found, cos = m.index.search(*_vector(codes, m.idf), m.k) if len(codes) else (np.zeros(0, np.int64), np.zeros(0))
-                p = float(np.interp(_vote(m, found, cos), *m.knots)) if len(found) else m.unmarked
-                rows.append((doc, min(max(p, 0.0), 1.0), m.ids[found], cos, [word(i) for i in where[np.unique(codes, return_index=True)[1]]]))
-            yield pd.DataFrame(rows, columns=["doc_id", "score", "neighbours", "similarities", "evidence"])
+            for doc, nameless, (codes, where, word) in zip(batch["doc_id"].array, batch["nameless"].array, _codes(texts, m.terms)):
+                found, cos = m.index.search(*_vector(codes, m.gain), m.k) if len(codes) else (np.zeros(0, np.int64), np.zeros(0))
+                p = float(np.interp(_vote(m, found, cos), *m.knots)) if len(found) else m.base
+                marking = m.marking[codes]
+                evidence = [word(i) for i in where[marking][np.unique(codes[marking], return_index=True)[1]]]
+                rows.append((doc, nameless, min(max(p, 0.0), 1.0), m.ids[found], cos, evidence))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCORES.split(", ")])
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, SCORES)
+    return unnamed(named(docs).select("doc_id", "nameless", "text").mapInPandas(run, SCORES))
 
 
 def held_out(parts: int, part: int):
@@ -250,17 +252,10 @@ def held_out(parts: int, part: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part
 
 
-def join_labels(docs: DataFrame, labels: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """Labelled rows that are not held out: (doc_id, text, toxic). Labels are broadcast only if they are no more than `most`."""
-    seen = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").where(~held_out(4, 2))
-    rows = docs.select("doc_id", "text").where(~held_out(4, 2))
-    return rows.join(F.broadcast(seen) if seen.count() <= most else seen, "doc_id")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int = 15) -> DataFrame:
-    """Learns from the labelled rows that are not held out and scores every document; see `score`.
+    """Learns from the labelled rows that are not held out and scores every document; see `fit` and `score`.
 
-    Adds held_out and predicted (1 from `threshold` on). Without any toxic label all scores are 0.
+    Adds held_out (false without a doc_id) and predicted (1 from `threshold` on). Without any toxic label all scores are 0.
     """
-    model = fit(join_labels(docs, labels), docs, k)
-    return score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")
+    out = score(docs, fit(docs, labels, k))
+    return out.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")
