@@ -23,6 +23,12 @@ def test_archive_to_papers(spark, tmp_path):
     ]
 
 
+def test_collection_without_id_goes_by_its_file(spark):
+    raw = b"<collection><volume><paper><title>T</title></paper></volume><x><volume id='2'><paper id='1'><title>not a child</title></paper></volume></x></collection>"
+    rows = readers.volume_papers(spark.createDataFrame([("2020.x.xml", raw)], readers.VOLUMES)).collect()
+    assert [(r.acl_id, r.collection_id) for r in rows] == [("2020.x-.", "2020.x")]
+
+
 def test_works(spark, tmp_path):
     page = {"meta": {"count": 3}, "results": [{"id": "https://x/W1", "doi": "https://doi.org/10.1/A", "title": "t", "publication_year": 2020, "ids": {"mag": "5"}}, {"id": "W2", "primary_location": {"source": {"display_name": "V"}}}]}
     (tmp_path / "1.json").write_text(json.dumps(page))
@@ -31,6 +37,13 @@ def test_works(spark, tmp_path):
     assert readers.incomplete_pages(spark, str(tmp_path)).count() == 1
 
 
+def test_a_query_does_not_hide_another(spark, tmp_path):
+    for query, count, landed in (("a", 1, 3), ("b", 3, 1)):
+        (tmp_path / query).mkdir()
+        (tmp_path / query / "1.json").write_text(json.dumps({"meta": {"count": count}, "results": [{"id": f"W{i}"} for i in range(landed)]}))
+    assert [tuple(r) for r in readers.incomplete_pages(spark, f"{tmp_path}/*").collect()] == [("b", 3, 1)]
+
+
 def test_citations(spark, tmp_path):
     (tmp_path / "c.csv").write_text("RefType , confscore,oaid,patent,wherefound\napp, 10 ,1,us-1, both\nexm,x,2,us-2,bodyonly\napp,3\n")
     rows = readers.citations(spark, str(tmp_path / "c.csv")).orderBy("oaid").collect()
@@ -42,6 +55,8 @@ def test_awards(spark, tmp_path):
     row = readers.awards(spark, str(tmp_path / "a.csv")).first()
     assert (row.agency, row.year, row.abstract, row.solicitation, row.branch) == ("DOD", "2020", 'two\nlines, "quoted"', "S1", None)
     assert readers.pick(["My Abstract", "abstract"], "Abstract") == "abstract"
+    assert readers.pick(["Solicitation X", "a Solicitation Number"], "Solicitation Number", "Solicitation") == "a Solicitation Number"
+    assert readers.pick(["x", "y"], "z") is None and readers.pick(["year", "Award Year"], "Award Year", "Year") == "Award Year"
 
 
 def test_patents(spark, tmp_path):
@@ -52,8 +67,12 @@ def test_patents(spark, tmp_path):
     html = "<title>A &amp; B - US1</title><div>Abstract:</div><div><p>Some <b>text</b></p></div>"
     row = readers.patent_pages(spark.createDataFrame([("us-1", html)], "patent_id string, html string")).first()
     assert (row.title, row.abstract, row.assignee) == ("A & B", "Some text", None)
-    body = json.dumps({"results": {"cluster": [{"result": [{"id": "patent/US1B2/en", "patent": {"title": "hit"}}, {"id": "patent/US2", "patent": {"title": "no"}}]}]}})
-    assert readers.patent_search(spark.createDataFrame([("us-1-b2", body)], "patent_id string, body string")).first().title == "hit"
+    html = "<div>Assignee:</div><div>Nobody</div>"
+    assert readers.patent_pages(spark.createDataFrame([("us-1", html)], "patent_id string, html string")).count() == 0
+    hits = [{"id": "x"}, {"patent": {"publication_number": "US10494607B2", "title": "neighbour"}}, {"patent": {"publication_number": "us-1049460", "title": "hit"}}, {"patent": {"publication_number": "US1049460", "title": "second"}}]
+    body = json.dumps({"results": {"cluster": [{}, {"result": hits}]}})
+    rows = readers.patent_search(spark.createDataFrame([("us-1049460", body), ("us-2", body), ("us-3", "{")], "patent_id string, body string")).collect()
+    assert [(r.patent_id, r.title) for r in rows] == [("us-1049460", "hit")]
 
 
 def test_writers(spark, tmp_path):

@@ -40,6 +40,11 @@ def patent_number(c: Column | str) -> Column:
     return F.regexp_extract(col(c), r"(\d{6,})", 1).try_cast("bigint")
 
 
+def url_number(c: Column | str) -> Column:
+    """A patent id as page addresses have it: without the country's prefix, the kind code and punctuation."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"^US|[A-Z]\d?$", ""), "[^0-9A-Z]", "")
+
+
 def grant_era(c: Column | str) -> Column:
     """The era of a patent id: by number for utility patents, else application or design/other; null is design/other."""
     pid = patent_id(F.coalesce(col(c).cast("string"), F.lit("")))

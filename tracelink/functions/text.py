@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,6 +50,13 @@ def clean_html(c: Column | str) -> Column:
     return blank_to_null(squash(unescape(F.regexp_replace(col(c), r"<[^>]+>", " "))))
 
 
+def clean_fields(fields: Mapping[str, Column]) -> Column:
+    """A struct of clean_html of each field, with a single call for all of a row's character references."""
+    markup = F.array(*[F.coalesce(F.regexp_replace(c, r"<[^>]+>|\x00", " "), F.lit("")) for c in fields.values()])
+    parts = F.split(unescape(F.array_join(markup, "\0")), "\0")  # no reference decodes to a null character
+    return F.struct(*[blank_to_null(squash(F.get(parts, F.lit(i)))).alias(name) for i, name in enumerate(fields)])
+
+
 def clean_markup(c: Column | str) -> Column:
     """clean_html with the five predefined references alone, without Python."""
     out = F.regexp_replace(col(c), r"<[^>]+>", " ")
@@ -58,9 +66,13 @@ def clean_markup(c: Column | str) -> Column:
     return blank_to_null(squash(out))
 
 
+# Fixed value: how pages mark up a labelled field.
+LABELLED = r"(?si){name}:?\s*</div>\s*<div[^>]*>(.*?)</div>"
+
+
 def labelled_field(page: Column | str, name: str) -> Column:
     """The raw content of the div that follows a div ending in `name`, or null."""
-    found = F.regexp_extract(col(page), rf"(?si){name}:?\s*</div>\s*<div[^>]*>(.*?)</div>", 1)
+    found = F.regexp_extract(col(page), LABELLED.replace("{name}", name), 1)
     return blank_to_null(found)
 
 

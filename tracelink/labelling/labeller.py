@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,16 +77,41 @@ def misses(records: DataFrame, cache: DataFrame, model: str, redact: bool = True
     return keyed.join(cache.select("key"), "key", "left_anti")
 
 
-def respond(missing: DataFrame, labeller: Labeller) -> DataFrame:
-    """(key, raw) of each missing prompt once, to append to the cache; prompts that fail (None) are left out."""
+def respond(missing: DataFrame, labeller: Labeller, tries: int = 5) -> DataFrame:
+    """(key, raw) of each missing prompt once, to append to the cache.
+
+    Prompts that fail (None) are asked again, `tries` times in all; what fails then is left out, so it is asked in the next run.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "raw": list(labeller(list(batch["prompt"])))})
+            raw = [None] * len(batch)
+            prompts = list(batch["prompt"])
+            for _ in range(tries):
+                left = [i for i, r in enumerate(raw) if r is None]
+                if not left:
+                    break
+                for i, r in zip(left, labeller([prompts[i] for i in left])):
+                    raw[i] = r
+            yield pd.DataFrame({"key": batch["key"], "raw": raw})
 
     return missing.select("key", "prompt").dropDuplicates(["key"]).mapInPandas(run, "key string, raw string").where("raw IS NOT NULL")
 
 
+def within_budget(missing: DataFrame, cost: Column, most: float) -> DataFrame:
+    """The prompts (key, prompt) that are asked before the cost reaches `most`, in order of key, with cost and spent (the
+    sum before each).
+
+    Costs are summed by the first three digits of the md5 key, and only then inside of these, so no task orders all prompts.
+    """
+    rows = missing.select("key", "prompt").dropDuplicates(["key"]).select("key", "prompt", cost.cast("double").alias("cost"), F.substring("key", 1, 3).alias("part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over 4096 rows at most
+    parts = rows.groupBy("part").agg(F.sum("cost").alias("total")).withColumn("earlier", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    inside = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.col("earlier") + F.coalesce(F.sum("cost").over(inside), F.lit(0.0))
+    return rows.join(F.broadcast(parts.select("part", "earlier")), "part").withColumn("spent", spent).where(F.col("spent") <= most).select("key", "prompt", "cost", "spent")
+
+
 def labels(records: DataFrame, cache: DataFrame, model: str, redact: bool = True, domain: Sequence[str] = LABEL_DOMAIN) -> DataFrame:
     """Labels of the records whose response is cached, with schemas.LABELS' columns; a label outside of the domain is
     null and keeps its response in unparsed."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,8 +57,9 @@ def link_summary(edges: DataFrame, links: DataFrame, applicant: Column, confiden
 
 def frequency(rows: DataFrame, value: str) -> DataFrame:
     """Rows of each value, null included, and their share."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    counts = rows.groupBy(value).agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    total = counts.agg(F.sum("n").alias("_total")).withColumn("_k", F.lit(1))  # a single row
+    return counts.join(F.broadcast(total), "_k").select(value, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def top(rows: DataFrame, value: str, k: int) -> DataFrame:
@@ -69,3 +70,8 @@ def top(rows: DataFrame, value: str, k: int) -> DataFrame:
 def unlinked(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """Distinct keys that are not taken."""
     return rows.select(key).where(F.col(key).isNotNull()).distinct().join(taken.select(key), key, "left_anti")
+
+
+def distinct_lists(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The distinct values of each key, in order, as one array; for keys with few values."""
+    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelink.stats.intervals import excludes, jeffreys
@@ -64,3 +64,9 @@ def missing(rows: DataFrame, key: str, usable: Column, least: int = 0, gap: floa
 def worst(groups: DataFrame, key: str, k: int = 12, least: int = 200) -> DataFrame:
     """The k groups of at least `least` rows with the largest missing share; ties go by key."""
     return groups.where(F.col("total") >= least).orderBy(F.desc("share"), key).limit(k)
+
+
+def ranked(rates: DataFrame, rate: str, key: str) -> DataFrame:
+    """Adds place, from 1: the largest rate first, groups without a rate last, ties by key. For few groups: the window is
+    global."""
+    return rates.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(rate), key)))

@@ -127,19 +127,20 @@ def tag_jeffreys(s, d):
     rows = tagged(s, d).join(t(s, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
     base = t(s, d, "labels").agg((F.sum("toxic") / F.count("*")).alias("base"))
     found = rates.with_interval(rates.tag_rates(rows, "hit")).join(F.broadcast(base))
-    return rates.flag_extreme(found, F.col("base")).select("tag", "n", "hits", "interval.low", "interval.high", "excludes_base")
+    return rates.flag_extreme(found, F.col("base")).select("tag", "n", "hits", r6("interval.low").alias("low"), r6("interval.high").alias("high"), "excludes_base")
 
 
 def bootstrap_ci(s, d):
     rows = tagged(s, d).join(t(s, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
     found = rates.tag_rates(rows, "hit").withColumn("i", intervals.bootstrap_mean(2000)("hits", "n"))
-    return found.select("tag", "n", "hits", "i.low", "i.high")
+    return found.select("tag", "n", "hits", r6("i.low").alias("low"), r6("i.high").alias("high"))
 
 
 def bootstrap_ratio(s, d):
     counts = {"k1": "lang = 'en' AND toxic = 1", "n1": "lang = 'en'", "k0": "lang <> 'en' AND toxic = 1", "n0": "lang <> 'en'"}
     rows = rated(s, d).agg(*[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()])
-    return intervals.bootstrap_ratio(rows, 2000)
+    out = intervals.bootstrap_ratio(rows, 2000)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
 def _tag_tests(s, d) -> DataFrame:
@@ -244,7 +245,7 @@ def arm_mh(s, d):
 
 
 def arm_mh_p(s, d):
-    return compare.pooled(_arm_table(s, d)).select("p")
+    return compare.pooled(_arm_table(s, d)).select(r6("p").alias("p"))
 
 
 def arm_single(s, d):
@@ -282,14 +283,66 @@ def confusion_prf(s, d):
 
 def f1_interval(s, d):
     out = contingency.per_class(t(s, d, "labels"), "quality", "toxic", [0, 1]).withColumn("i", intervals.bootstrap_f1(2000)("tp", "fp", "fn", "n"))
-    return out.select("class", "f1", "i.low", "i.high", (F.col("f1") >= 0.60).alias("gate"))
+    return out.select("class", r6("f1").alias("f1"), r6("i.low").alias("low"), r6("i.high").alias("high"), (F.col("f1") >= 0.60).alias("gate"))
+
+
+def _consensus(s, d) -> DataFrame:
+    """A third rater (the document's length) beside the two, where these agree."""
+    return rated(s, d).withColumn("long", (F.length("text") > 2000).cast("int")).where(F.col("quality") == F.col("toxic"))
 
 
 def consensus_rates(s, d):
-    """A third rater (the document's length) against the two, where these agree."""
-    rows = rated(s, d).withColumn("long", (F.length("text") > 2000).cast("int")).where(F.col("quality") == F.col("toxic"))
-    out = contingency.per_class(rows, "quality", "long", [0, 1])
-    return out.select("class", "tp", "fp", "fn", r6("f1").alias("f1"))
+    """The third rater against the consensus, by class, with the interval of F1 and the gate."""
+    out = contingency.per_class(_consensus(s, d), "quality", "long", [0, 1]).withColumn("i", intervals.bootstrap_f1(2000)("tp", "fp", "fn", "n"))
+    return out.select("class", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], r6("i.low").alias("low"), r6("i.high").alias("high"), (F.col("f1") >= 0.60).alias("gate"))
+
+
+def consensus_agreement(s, d):
+    """Raw agreement, kappa and AC1 of the third rater with the consensus."""
+    out = contingency.agreement(_consensus(s, d), "quality", "long", [0, 1])
+    return out.select("n", *[r6(c).alias(c) for c in ("raw", "kappa", "ac1")])
+
+
+def rate_ranking(s, d):
+    """Tags by rate, largest first, those of too few rows last and without one."""
+    rows = tagged(s, d).join(t(s, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
+    found = rates.tag_rates(rows, "hit").withColumn("rate", F.when(F.col("n") >= 20, F.col("rate")))
+    return rates.ranked(found, "rate", "tag").select("place", "tag", or_minus(r6("rate")).alias("rate"))
+
+
+def distinct_lists(s, d):
+    """The nations of each market segment in order."""
+    found = links.distinct_lists(t(s, d, "customer"), "c_mktsegment", "c_nationkey")
+    return found.select(F.col("c_mktsegment").alias("segment"), F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("nations"))
+
+
+def link_fanout(s, d):
+    """Links of works that several papers resolve to: more links than edges, the same patents."""
+    wanted = papers(s, d).where("year <= 1998")
+    wanted = wanted.unionByName(wanted.where("oaid % 5 = 0"))
+    found = links.cited_by(edges(s, d), wanted, "oaid")
+    out = links.link_summary(found, links.with_papers(found, wanted, "oaid"), F.col("reftype") == "A", F.col("confscore") >= 5, "oaid", "patent")
+    return out.select("n_links", "n_edges", "n_works", "n_patents")
+
+
+def spend_cap(s, d):
+    """Prompts that are asked before their cost reaches a cap, in order of their key."""
+    keyed = t(s, d, "documents").select(F.col("text").alias("prompt"), ids.content_key(F.lit("model"), "text").alias("key"))
+    found = labeller.within_budget(keyed, F.length("prompt") / 1000, 100.0)
+    return found.select("key", r6("cost").alias("cost"), r6("spent").alias("spent"))
+
+
+def flaky_labels(s, d):
+    """A labeller that fails at first for every other prompt and always for some: retries, and what fails is not cached."""
+    asked: dict[str, int] = {}
+
+    def flaky(prompts):
+        for p in prompts:
+            asked[p] = asked.get(p, 0) + 1
+        return [None if p.endswith("7") or (asked[p] < 3 and len(p) % 2) else "ok" for p in prompts]
+
+    rows = t(s, d, "part").select(F.col("p_partkey").cast("string").alias("prompt"), F.md5(F.col("p_partkey").cast("string")).alias("key"))
+    return labeller.respond(rows, flaky).select("key", "raw")
 
 
 def _flips(s, d) -> DataFrame:
@@ -346,7 +399,7 @@ def kth_mention(s, d):
 def award_arms(s, d):
     """Agency to arm, and methods found in abstracts, without electrical homonyms."""
     agency = F.when(F.col("doc_id") % 5 == 0, "Department of Defense").when(F.col("doc_id") % 5 == 1, "NASA").when(F.col("doc_id") % 5 == 2, "DOD").when(F.col("doc_id") % 5 == 3, "Energy")
-    abstract = F.concat(F.when(F.col("doc_id") % 3 == 0, "a power transformer with voltage ").otherwise("a transformer for neural text "), F.substring("text", 1, 50))
+    abstract = F.concat(F.when(F.col("doc_id") % 3 == 0, "a power transformer with voltage ").otherwise("a transformer for neural text "), "text")
     rows = t(s, d, "documents").select(rules.agency_arm(agency).alias("arm"), F.lit("transformer").alias("method"), abstract.alias("abstract"))
     return rows.where("arm IS NOT NULL").where(~rules.is_homonym("method", "abstract")).groupBy("arm").agg(F.count("*").alias("n"))
 
@@ -485,25 +538,27 @@ def chained_membership(s, d):
 def triple_coded(s, d):
     """Three-way inner join with both labels inside the domain."""
     a = t(s, d, "labels").select("doc_id", F.concat(F.lit(" "), F.col("quality").cast("string")).alias("a"))
-    b = t(s, d, "labels").where("doc_id % 4 <> 1").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "odd").otherwise(F.col("toxic").cast("string")).alias("b"))
+    b = t(s, d, "labels").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "odd").otherwise(F.col("toxic").cast("string")).alias("b"))
     key = t(s, d, "documents").select("doc_id", "lang")
     rows = a.join(b, "doc_id").join(key, "doc_id").select("lang", text.clean_label("a").alias("a"), text.clean_label("b").alias("b"))
     return rows.where(F.col("a").isin("0", "1") & F.col("b").isin("0", "1")).groupBy("lang", "a", "b").agg(F.count("*").alias("n"))
 
 
 def stream_links(s, d):
-    """The link join over a file stream, run to the end of what is there."""
+    """The link join over a file stream, written as it comes and run to the end of what is there."""
     import uuid
 
+    from tracelink.session import shared_folder
     from tracelink.streaming import links as streaming
 
     source = t(s, d, "events").schema
     stream = s.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"links_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(s)}/tracelink/stream-{uuid.uuid4().hex}"
     wanted = t(s, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("user_id"))
-    query = streaming.cited_by(stream, wanted, "user_id").groupBy("event_type").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    found = streaming.cited_by(stream, wanted, "user_id").select("event_id", "event_type")
+    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.table(name)
+    return s.read.schema(found.schema).parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -514,5 +569,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         flip_rates, flip_consistency, stacked_arms, crosstab_label_class, class_codes, assignees, missing_by_year, missing_by_branch, kth_mention, award_arms, term_three_level, term_snippets,
         dedup_first, last_turn, doi_norm_join, work_ids, paper_ids, year_parse, label_clean, html_fields, html_unescape, json_extract, prompts, md5_cache_miss, rule_labels, representativeness,
         id_set_sizes, labelled_coverage, lookup_default, chained_membership, triple_coded, stream_links, absent_count, digit_years, omnibus_chi_square, in_text_links,
+        consensus_agreement, rate_ranking, distinct_lists, link_fanout, spend_cap, flaky_labels,
     ]
     return {f.__name__: f for f in found}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracelink.functions.rules import AI_CONTEXT_SHORT, ELECTRICAL
 from tracelink.plans.queries import BUCKETS, RULES, TERMS
 
 _PAPERS = "papers AS (SELECT o_orderkey AS oaid, year(o_orderdate)::INT AS year, o_orderpriority AS venue FROM orders)"
@@ -71,6 +72,41 @@ ranked AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, tag)
 adjusted AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p, tag ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ranked)"""
 
 
+def _uniform(stream: str) -> tuple[str, str]:
+    """A number for each of 2,000 resamples, as stats.intervals.uniforms draws them."""
+    return "(SELECT unnest(range(2000)) AS b)", f"('0x' || substr(md5('0:{stream}:' || b), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+def _draws(name: str, source: str, keys: str, k: str, n: str, stream: str) -> str:
+    """A binomial count of each resample for the rows (keys, k of n) of a table: the least whose distribution function
+    reaches the resample's number."""
+    rows, u = _uniform(stream)
+    return f"""{name}_u AS (SELECT b, {u} AS u FROM {rows}),
+{name}_k AS (SELECT {keys}, {n} AS m, {k} / {n}::DOUBLE AS p, unnest(range(0, {n} + 1)) AS x FROM {source} WHERE {n} > 0),
+{name}_f AS (SELECT {keys}, x, sum(CASE WHEN p <= 0 THEN (x = 0)::INT WHEN p >= 1 THEN (x = m)::INT
+   ELSE exp(lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1) + x * ln(p) + (m - x) * ln(1 - p)) END) OVER (PARTITION BY {keys} ORDER BY x) AS f FROM {name}_k),
+{name} AS (SELECT {keys}, b, least(count(*) FILTER (f < u), max(x)) AS x FROM {name}_f, {name}_u GROUP BY ALL)"""
+
+
+#: I_x(a, b) as a continued fraction of 200 steps, from the end.
+_BETA = """(exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a / list_reduce(list_reverse(range(1, 201)), lambda acc, i: 1 +
+  (CASE WHEN i % 2 = 1 THEN -(a + i // 2) * (a + b + i // 2) * x / ((a + 2 * (i // 2)) * (a + 2 * (i // 2) + 1)) ELSE (i // 2) * (b - i // 2) * x / ((a + 2 * (i // 2) - 1) * (a + 2 * (i // 2))) END) / acc, 1.0::DOUBLE))"""
+_HITS = "hits AS (SELECT tag, count(*) AS n, count(*) FILTER (toxic = 1) AS hits FROM tagged JOIN labels USING (doc_id) GROUP BY 1)"
+
+
+def _f1(rows: str, ref: str, hyp: str) -> str:
+    """Counts per class and the resampled F1."""
+    return f"""{_per_class(rows, ref, hyp)}, all_rows AS (SELECT count(*) AS n FROM {rows}),
+cells AS (SELECT class, tp, fp, fn, n FROM counts, all_rows), {_draws("r", "cells", "class", "tp", "n", "a")},
+rest AS (SELECT DISTINCT r.class, r.x AS tp_x, n - r.x AS left_over, (fp + fn) / greatest(n - tp, 1)::DOUBLE AS p FROM r JOIN cells USING (class)),
+wk AS (SELECT *, unnest(range(0, left_over + 1)) AS w FROM rest),
+wf AS (SELECT class, tp_x, w, left_over, sum(CASE WHEN p <= 0 THEN (w = 0)::INT WHEN p >= 1 THEN (w = left_over)::INT
+   ELSE exp(lgamma(left_over + 1) - lgamma(w + 1) - lgamma(left_over - w + 1) + w * ln(p) + (left_over - w) * ln(1 - p)) END) OVER (PARTITION BY class, tp_x ORDER BY w) AS f FROM wk),
+wu AS (SELECT b, {_uniform("b")[1]} AS u FROM {_uniform("b")[0]}),
+wx AS (SELECT r.class, r.b, r.x, least(count(*) FILTER (f < u), max(w)) AS w FROM r JOIN wu USING (b) JOIN wf ON wf.class = r.class AND wf.tp_x = r.x GROUP BY ALL),
+boot AS (SELECT class, quantile_cont(2 * x / greatest(2 * x + w, 1)::DOUBLE, 0.025) AS low, quantile_cont(2 * x / greatest(2 * x + w, 1)::DOUBLE, 0.975) AS high FROM wx GROUP BY 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     terms = " UNION ALL ".join(
         f"SELECT '{n}' AS term, count(*) FILTER (raw) AS raw, count(*) FILTER (raw AND hit) AS boundary, count(*) FILTER (raw AND hit AND ctx) AS strict FROM "
@@ -99,6 +135,20 @@ def oracle_sql() -> dict[str, str]:
         "tag_counts": f"WITH {_TAGS} SELECT tag, count(*) AS n FROM tagged GROUP BY 1",
         "tag_rates": f"WITH {_TAGS} SELECT tag, count(*) AS n, count(*) FILTER (toxic = 1) AS hits, round(count(*) FILTER (toxic = 1) / count(*), 6) AS rate FROM tagged JOIN labels USING (doc_id) GROUP BY 1",
         "tag_reach": f"WITH {_TAGS} SELECT tag, count(DISTINCT source || '/' || lang) AS reached FROM tagged GROUP BY 1",
+        "tag_jeffreys": f"""WITH RECURSIVE {_TAGS}, {_HITS}, base AS (SELECT sum(toxic) / count(*) AS base FROM labels),
+          bis(tag, n, hits, side, i, lo, hi) AS (SELECT tag, n, hits, unnest([0.025, 0.975])::DOUBLE, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM hits
+          UNION ALL SELECT tag, n, hits, side, i + 1, CASE WHEN f < side THEN mid ELSE lo END, CASE WHEN f < side THEN hi ELSE mid END FROM (SELECT *, CASE WHEN turned THEN 1 - {_BETA} ELSE {_BETA} END AS f FROM
+            (SELECT *, (lo + hi) / 2 AS mid, mid > (hits + 1.5) / (n + 3) AS turned, CASE WHEN turned THEN n - hits + 0.5 ELSE hits + 0.5 END::DOUBLE AS a, CASE WHEN turned THEN hits + 0.5 ELSE n - hits + 0.5 END::DOUBLE AS b,
+             CASE WHEN turned THEN 1 - mid ELSE mid END AS x FROM bis WHERE i < 50))),
+          q AS (SELECT tag, n, hits, max((lo + hi) / 2) FILTER (side < 0.5) AS low, max((lo + hi) / 2) FILTER (side > 0.5) AS high FROM bis WHERE i = 50 GROUP BY ALL),
+          e AS (SELECT tag, n, hits, CASE WHEN hits = 0 THEN 0 ELSE low END AS low, CASE WHEN hits = n THEN 1 ELSE high END AS high FROM q)
+          SELECT tag, n, hits, round(low, 6) AS low, round(high, 6) AS high, low > base OR high < base AS excludes_base FROM e, base""",
+        "bootstrap_ci": f"""WITH {_TAGS}, {_HITS}, {_draws("r", "hits", "tag, n, hits", "hits", "n", "a")}
+          SELECT tag, n, hits, round(quantile_cont(x / n::DOUBLE, 0.025), 6) AS low, round(quantile_cont(x / n::DOUBLE, 0.975), 6) AS high FROM r GROUP BY ALL""",
+        "bootstrap_ratio": f"""WITH c AS (SELECT count(*) FILTER (lang = 'en' AND toxic = 1) AS k1, count(*) FILTER (lang = 'en') AS n1, count(*) FILTER (lang <> 'en' AND toxic = 1) AS k0,
+          count(*) FILTER (lang <> 'en') AS n0 FROM documents JOIN labels USING (doc_id)), {_draws("one", "c", "n1", "k1", "n1", "a")}, {_draws("zero", "c", "n0", "k0", "n0", "b")},
+          q AS (SELECT (one.x / n1::DOUBLE) / (zero.x / n0::DOUBLE) AS q FROM one JOIN zero USING (b) WHERE zero.x > 0)
+          SELECT round(avg(q), 6) AS ratio, round(quantile_cont(q, 0.025), 6) AS low, round(quantile_cont(q, 0.975), 6) AS high FROM q""",
         "rare_tag_fisher_bh": f"WITH {_TAGS}, {_FISHER} SELECT tag, n, a, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM adjusted",
         "era_case": f"WITH {_ERA} SELECT p_partkey, pid, era, coalesce(try_cast(nullif(regexp_extract(raw, '([0-9]{{6,}})', 1), '') AS BIGINT), -1) AS number FROM eras",
         "record_types": f"WITH {_ERA} SELECT CASE WHEN era IN ('application', 'design/other') THEN era ELSE 'granted utility' END AS kind, count(*) AS n FROM eras GROUP BY 1",
@@ -119,6 +169,10 @@ def oracle_sql() -> dict[str, str]:
           z AS (SELECT sum(r)::DOUBLE AS r, sum(s)::DOUBLE AS s, sum(p * r)::DOUBLE AS pr, sum(p * s + q * r)::DOUBLE AS pq, sum(q * s)::DOUBLE AS qs, count(*) AS strata FROM y),
           e AS (SELECT *, 1.959963984540054 * sqrt(pr / (2 * r * r) + pq / (2 * r * s) + qs / (2 * s * s)) AS w FROM z)
           SELECT round(r / s, 6) AS odds_ratio, round(exp(ln(r / s) - w), 6) AS low, round(exp(ln(r / s) + w), 6) AS high, strata FROM e""",
+        "arm_mh_p": f"""WITH {_ARMS}, x AS (SELECT k1 + 0.5 AS a, n1 - k1 + 0.5 AS b, k0 + 0.5 AS c, n0 - k0 + 0.5 AS d, a + b + c + d AS n FROM cells WHERE n1 > 0 AND n0 > 0),
+          y AS (SELECT sum(a - (a + b) * (a + c) / n)::DOUBLE AS over, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1)))::DOUBLE AS variance FROM x),
+          z AS (SELECT sqrt(over * over / variance / 2) AS z FROM y)
+          SELECT round(1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(z) + i * ln(2) - (lgamma(2 * i + 2) - lgamma(i + 1) - i * ln(2))))), 6) AS p FROM z""",
         "arm_single": f"WITH {_EDGES} SELECT oaid, min(arm_key) AS arm_key FROM edges GROUP BY 1",
         "arm_membership": f"WITH {_EDGES} SELECT arm_key, count(DISTINCT oaid) AS n_works FROM edges GROUP BY 1",
         "arm_reach": f"""WITH {_EDGES}, f AS (SELECT arm_key, oaid, bool_or(confscore >= 40) AS c FROM edges GROUP BY 1, 2) SELECT arm_key, count(*) AS n_works, round(count(*) FILTER (c) / count(*), 6) AS share FROM f GROUP BY 1""",
@@ -127,8 +181,25 @@ def oracle_sql() -> dict[str, str]:
           y AS (SELECT n, raw, a0 * b0 + a1 * b1 AS e, (a0 + b0) / 2 * (1 - (a0 + b0) / 2) + (a1 + b1) / 2 * (1 - (a1 + b1) / 2) AS g FROM x)
           SELECT n, round(raw, 6) AS raw, round(CASE WHEN e < 1 THEN (raw - e) / (1 - e) ELSE 1 END, 6) AS kappa, round(CASE WHEN g < 1 THEN (raw - g) / (1 - g) ELSE 1 END, 6) AS ac1 FROM y""",
         "confusion_prf": f"WITH {_per_class('labels', 'quality', 'toxic')} SELECT class, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf",
-        "consensus_rates": f"""WITH r AS (SELECT quality, (length(text) > 2000)::INT AS long FROM documents JOIN labels USING (doc_id) WHERE quality = toxic), {_per_class("r", "quality", "long")}
-          SELECT class, tp, fp, fn, round(f1, 6) AS f1 FROM prf""",
+        "f1_interval": f"""WITH {_f1("labels", "quality", "toxic")} SELECT class, round(f1, 6) AS f1, round(low, 6) AS low, round(high, 6) AS high, f1 >= 0.60 AS gate FROM prf JOIN boot USING (class)""",
+        "consensus_rates": f"""WITH r0 AS (SELECT quality, (length(text) > 2000)::INT AS long FROM documents JOIN labels USING (doc_id) WHERE quality = toxic), {_f1("r0", "quality", "long")}
+          SELECT class, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(low, 6) AS low, round(high, 6) AS high, f1 >= 0.60 AS gate FROM prf JOIN boot USING (class)""",
+        "consensus_agreement": """WITH r AS (SELECT quality AS q, (length(text) > 2000)::INT AS t FROM documents JOIN labels USING (doc_id) WHERE quality = toxic),
+          x AS (SELECT count(*) AS n, avg((q = t)::INT) AS raw, avg((q = 0)::INT) AS a0, avg((q = 1)::INT) AS a1, avg((t = 0)::INT) AS b0, avg((t = 1)::INT) AS b1 FROM r),
+          y AS (SELECT n, raw, a0 * b0 + a1 * b1 AS e, (a0 + b0) / 2 * (1 - (a0 + b0) / 2) + (a1 + b1) / 2 * (1 - (a1 + b1) / 2) AS g FROM x)
+          SELECT n, round(raw, 6) AS raw, round(CASE WHEN e < 1 THEN (raw - e) / (1 - e) ELSE 1 END, 6) AS kappa, round(CASE WHEN g < 1 THEN (raw - g) / (1 - g) ELSE 1 END, 6) AS ac1 FROM y""",
+        "rate_ranking": f"""WITH {_TAGS}, {_HITS}, r AS (SELECT tag, CASE WHEN n >= 20 THEN hits / n END AS rate FROM hits)
+          SELECT row_number() OVER (ORDER BY rate DESC NULLS LAST, tag)::INT AS place, tag, coalesce(round(rate, 6), -1) AS rate FROM r""",
+        "distinct_lists": "SELECT c_mktsegment AS segment, string_agg(c_nationkey::VARCHAR, ',' ORDER BY c_nationkey) AS nations FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) GROUP BY 1",
+        "link_fanout": f"""WITH {_PAPERS}, {_EDGES}, wanted AS (SELECT * FROM papers WHERE year <= 1998), two AS (SELECT * FROM wanted UNION ALL SELECT * FROM wanted WHERE oaid % 5 = 0),
+          f AS (SELECT * FROM edges SEMI JOIN two USING (oaid)), j AS (SELECT f.* FROM f LEFT JOIN two USING (oaid))
+          SELECT count(*) AS n_links, (SELECT count(*) FROM f) AS n_edges, count(DISTINCT oaid) AS n_works, count(DISTINCT patent) AS n_patents FROM j""",
+        "spend_cap": """WITH k AS (SELECT DISTINCT md5('model|' || text) AS key, length(text) / 1000 AS cost FROM documents),
+          c AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM k)
+          SELECT key, round(cost, 6) AS cost, round(spent, 6) AS spent FROM c WHERE spent <= 100""",
+        "flaky_labels": "SELECT md5(p_partkey::VARCHAR) AS key, 'ok' AS raw FROM part WHERE p_partkey % 10 <> 7",
+        "html_unescape": r"""WITH x AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS h FROM pages)
+          SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')))::INT AS n FROM x""",
         "flip_rates": f"""WITH {_FLIPS}, m AS (SELECT flipped, unnest(['all', 'shown_b', 'english']) AS mask, unnest([true, coalesce(shown = 'b', false), coalesce(lang = 'en', false)]) AS inside FROM flips)
           SELECT mask, count(*) AS n, count(*) FILTER (flipped) AS flips, round(count(*) FILTER (flipped) / count(*), 6) AS rate FROM m WHERE inside GROUP BY 1""",
         "flip_consistency": f"WITH {_FLIPS} SELECT consistent, flipped, count(*) AS n FROM flips GROUP BY 1, 2",
@@ -143,7 +214,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT branch, missing, total, round(missing / total, 6) AS share FROM g WHERE total >= 20 ORDER BY missing / total DESC, branch LIMIT 12""",
         "kth_mention": """WITH r AS (SELECT event_type, user_id % 2 AS arm, dayofyear(ts)::INT AS day, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY dayofyear(ts), event_id) AS k FROM events)
           SELECT event_type, arm, count(*) AS n, coalesce(max(day) FILTER (k = 1), -1) AS k1, coalesce(max(day) FILTER (k = 5), -1) AS k5, coalesce(max(day) FILTER (k = 25), -1) AS k25, coalesce(max(day) FILTER (k = 100), -1) AS k100 FROM r GROUP BY 1, 2""",
-        "award_arms": """SELECT CASE WHEN doc_id % 5 IN (0, 2) THEN 'defence' ELSE 'civilian' END AS arm, count(*) AS n FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 3 <> 0 GROUP BY 1""",
+        "award_arms": f"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a power transformer with voltage ' ELSE 'a transformer for neural text ' END || text AS abstract FROM documents)
+          SELECT CASE WHEN doc_id % 5 IN (0, 2) THEN 'defence' ELSE 'civilian' END AS arm, count(*) AS n FROM a WHERE doc_id % 5 <> 4
+          AND NOT (regexp_matches(abstract, '{ELECTRICAL}', 'i') AND NOT regexp_matches(abstract, '{AI_CONTEXT_SHORT}', 'i')) GROUP BY 1""",
         "term_three_level": terms,
         "term_snippets": r"""WITH h AS (SELECT doc_id, text, regexp_extract(text, 'licen[cs]e', 0, 'i') AS m FROM documents WHERE regexp_matches(text, 'licen[cs]e', 'i')),
           p AS (SELECT doc_id, text, m, instr(text, m) AS pos FROM h), q AS (SELECT doc_id, text, m, pos, greatest(pos - 30, 1) AS b FROM p)
@@ -174,7 +247,7 @@ def oracle_sql() -> dict[str, str]:
         "lookup_default": "SELECT coalesce(n_name, '') AS nation, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey GROUP BY 1",
         "chained_membership": f"""WITH {_PAPERS}, {_EDGES}, w AS (SELECT DISTINCT oaid FROM edges WHERE patent IN (SELECT p_partkey FROM part WHERE p_size <= 3))
           SELECT year, count(*) AS n, count(w.oaid) AS cited FROM papers LEFT JOIN w USING (oaid) GROUP BY 1""",
-        "triple_coded": """SELECT lang, quality::VARCHAR AS a, toxic::VARCHAR AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE doc_id % 4 <> 1 AND doc_id % 10 <> 0 GROUP BY 1, 2, 3""",
+        "triple_coded": """SELECT lang, quality::VARCHAR AS a, toxic::VARCHAR AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 <> 0 GROUP BY 1, 2, 3""",
         "stream_links": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY 1",
         "absent_count": "SELECT count(*) AS n, count(*) FILTER (p_size < 5) AS absent FROM part",
         "digit_years": "SELECT (doc_id % 5 + 2015)::INT AS year, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 AND length(text) >= 50 GROUP BY 1",

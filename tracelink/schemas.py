@@ -19,7 +19,7 @@ PATENT_META = (
 )
 #: A response of the patent search.
 PATENT_SEARCH = (
-    "results struct<cluster: array<struct<result: array<struct<id: string, patent: struct<title: string, snippet: string, assignee: string, "
+    "results struct<cluster: array<struct<result: array<struct<id: string, patent: struct<publication_number: string, title: string, snippet: string, assignee: string, "
     "inventor: string, grant_date: string, filing_date: string, priority_date: string>>>>>>"
 )
 LABELS = (

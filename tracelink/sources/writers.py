@@ -15,7 +15,9 @@ def sheet(rows: DataFrame, path: str) -> None:
 
 
 def table_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV as `readers.table_csv` reads it; blanks at the ends of fields stay."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**options).csv(path)
 
 
 def summary(rows: DataFrame, path: str) -> None:

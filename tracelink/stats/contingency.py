@@ -96,7 +96,3 @@ def per_class(rows: DataFrame, reference: str, predicted: str, domain: Sequence)
     counts = sides.groupBy("class").agg(F.count_if(F.col("h") & F.col("r")).alias("tp"), F.count_if(F.col("h") & ~F.col("r")).alias("fp"), F.count_if(~F.col("h") & F.col("r")).alias("fn"), F.count("*").alias("n"))
     precision, recall = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
     return counts.withColumns({"precision": precision, "recall": recall}).withColumn("f1", F.expr("2 * precision * recall / greatest(precision + recall, 1e-9D)"))
-
-
-def risk(k: Column, n: Column) -> Column:
-    return F.when(n > 0, k / n)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,12 @@ def excludes(interval: str, base: Column) -> Column:
     return (F.col(f"{interval}.low") > base) | (F.col(f"{interval}.high") < base)
 
 
+@functools.lru_cache(maxsize=16)
+def uniforms(resamples: int, seed: int, stream: str) -> np.ndarray:
+    """A number in [0, 1) for each resample, from the md5 of seed, stream and its number: any engine can draw the same."""
+    return np.array([int(hashlib.md5(f"{seed}:{stream}:{b}".encode()).hexdigest()[:13], 16) for b in range(resamples)]) / 2.0**52
+
+
 def bootstrap_mean(resamples: int = 10_000, seed: int = 0):
     """Percentile interval of a 0/1 mean. A resample of n rows with k ones has a binomial count, so rows are not drawn."""
 
@@ -33,7 +42,7 @@ def bootstrap_mean(resamples: int = 10_000, seed: int = 0):
             if b == 0:
                 out.append((np.nan, np.nan))
                 continue
-            draws = np.random.default_rng(seed).binomial(int(b), a / b, resamples) / b
+            draws = special.binomial_quantiles(int(b), a / b, uniforms(resamples, seed, "a")) / b
             out.append(tuple(np.percentile(draws, [2.5, 97.5])))
         return pd.DataFrame(out, columns=["low", "high"])
 
@@ -47,8 +56,8 @@ def bootstrap_ratio(rows: DataFrame, resamples: int = 10_000, seed: int = 0) ->
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                rng = np.random.default_rng(seed)
-                top, bottom = rng.binomial(r.n1, r.k1 / r.n1, resamples) / r.n1, rng.binomial(r.n0, r.k0 / r.n0, resamples) / r.n0
+                top = special.binomial_quantiles(r.n1, r.k1 / r.n1, uniforms(resamples, seed, "a")) / r.n1
+                bottom = special.binomial_quantiles(r.n0, r.k0 / r.n0, uniforms(resamples, seed, "b")) / r.n0
                 ratio = top[bottom > 0] / bottom[bottom > 0]
                 low, high = np.percentile(ratio, [2.5, 97.5]) if len(ratio) else (np.nan, np.nan)
                 out.append((float(ratio.mean()) if len(ratio) else np.nan, low, high))
@@ -58,7 +67,8 @@ def bootstrap_ratio(rows: DataFrame, resamples: int = 10_000, seed: int = 0) ->
 
 
 def bootstrap_f1(resamples: int = 10_000, seed: int = 0):
-    """Interval of F1 from the counts (tp, fp, fn, n): resampled rows have multinomial confusion cells."""
+    """Interval of F1, 2 tp / (2 tp + fp + fn), from the counts (tp, fp, fn, n): a resample's tp is binomial, and of the
+    other rows the number of wrong ones is."""
 
     @F.pandas_udf(INTERVAL)
     def interval(tp: pd.Series, fp: pd.Series, fn: pd.Series, n: pd.Series) -> pd.DataFrame:
@@ -67,10 +77,11 @@ def bootstrap_f1(resamples: int = 10_000, seed: int = 0):
             if m == 0:
                 out.append((np.nan, np.nan))
                 continue
-            cells = np.random.default_rng(seed).multinomial(int(m), [a / m, b / m, c / m, max(0.0, 1 - (a + b + c) / m)], resamples)
-            p = cells[:, 0] / np.maximum(cells[:, 0] + cells[:, 1], 1)
-            r = cells[:, 0] / np.maximum(cells[:, 0] + cells[:, 2], 1)
-            out.append(tuple(np.percentile(2 * p * r / np.maximum(p + r, 1e-9), [2.5, 97.5])))
+            right = special.binomial_quantiles(int(m), a / m, uniforms(resamples, seed, "a"))
+            wrong, u = np.zeros(resamples, np.int64), uniforms(resamples, seed, "b")
+            for k in np.unique(right):
+                wrong[right == k] = special.binomial_quantiles(int(m - k), (b + c) / max(m - a, 1), u[right == k])
+            out.append(tuple(np.percentile(2 * right / np.maximum(2 * right + wrong, 1), [2.5, 97.5])))
         return pd.DataFrame(out, columns=["low", "high"])
 
     return interval

@@ -1,8 +1,10 @@
-"""The incomplete beta function and hypergeometric probabilities, from the standard library alone."""
+"""The incomplete beta function, hypergeometric and binomial probabilities, without scipy."""
 
 from __future__ import annotations
 
-from math import exp, lgamma, log, log1p
+from math import exp, lgamma, log, log1p, sqrt
+
+import numpy as np
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -66,3 +68,16 @@ def jeffreys(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
     low = 0.0 if k == 0 else beta_quantile(tail, k + 0.5, n - k + 0.5)
     high = 1.0 if k == n else beta_quantile(1 - tail, k + 0.5, n - k + 0.5)
     return low, high
+
+
+def binomial_quantiles(n: int, p: float, u: np.ndarray) -> np.ndarray:
+    """For each u the least k whose binomial distribution function reaches it.
+
+    The function is summed within 12 standard deviations of the mean, beyond which nothing is left of it.
+    """
+    if n == 0 or p <= 0 or p >= 1:
+        return np.full(len(u), n if n and p >= 1 else 0)
+    reach = 12 * sqrt(n * p * (1 - p)) + 12
+    lo, hi = max(0, int(n * p - reach)), min(n, int(n * p + reach) + 1)
+    terms = [exp(log_choose(n, k) + k * log(p) + (n - k) * log1p(-p)) for k in range(lo, hi + 1)]
+    return lo + np.minimum(np.searchsorted(np.cumsum(terms), u, side="left"), hi - lo)
