@@ -26,10 +26,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelink.llm.grouping import suffix_array
-from tracelink.llm.shared import BYTE_VALUE, identified, mix, named, powers, slabs, small_batches, staged, unnamed
+from tracelink.llm.shared import BYTE_VALUE, identified, mix, named, powers, release, remove, slabs, small_batches, staged, stored, unnamed
 
 #: A core with more different contexts is dealt out string by string; tasks hold whole cores below that.
 HOT = 1024
@@ -61,7 +60,7 @@ class Prefix:
 
 class Shape:
     def __init__(self, length: int = 400, window: int = 192, gram: int = 16):
-        if length < window + gram - 1 or window % BLOCKS:
+        if length < window + gram - 1 or window % (BLOCKS * STEPS[0]):
             raise ValueError("a string must hold its window, and blocks must fill it")
         self.length, self.window, self.gram = length, window, gram
         self.core, self.block = length - window + 1, window // BLOCKS
@@ -175,9 +174,11 @@ def _grouped(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
     all steps after that are counts or joins, which Spark sums or splits where one core or context is frequent.
     """
     twice = F.when(F.col("kind") == SEVERAL, 2).otherwise(1)
-    every = staged(_anchor_rows(docs, shape), "all-anchors")
+    every, path = stored(_anchor_rows(docs, shape), "all-anchors")
     cores = every.where(F.col("kind") != SPAN).groupBy("core").agg(F.sum(twice).alias("n")).where("n > 1").select("core")
     rows = staged(every.join(cores, "core", "left_semi"), "anchors")
+    remove(docs.sparkSession, path)
+    release(docs.sparkSession)
     one = [F.first(c).alias(c) for c in ("u", "v", "at", "least", "most")]
     contexts = staged(rows.where(F.col("kind") != SPAN).groupBy("core", "context").agg(F.sum(twice).alias("n"), *one), "contexts")
     hot = staged(contexts.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("core", F.lit(True).alias("hot")), "hot-cores")
@@ -186,13 +187,14 @@ def _grouped(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
 
 
 MEMBERS = "core long, context long, least int, most int, times int, left binary, right binary"
-RUNS = "run long, core long, context long, q int, least int, most int, times int, left binary, right binary"
-STRINGS = "string long, core long, context long, back int, times int"
+RUNS = "key long, core long, context long, least int, most int, times int, left binary, right binary"
+#: Runs of hot cores are taken apart in these steps, from blocks to single strings.
+STEPS = (8, 1)
 
 
 def _members(contexts: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataFrame:
     """One row for each context, with its bytes beside the core; hot: one for each of its runs of blocks (those left of the
-    anchor, the core, those on the right), with the run's hash and the bytes beside it."""
+    anchor, the core, those on the right), with the run's hash, its strings (least to most) and the bytes beside it."""
     names = ["core", "context", "at", "least", "most", "times"]
     wanted = contexts.groupBy("u", "v").agg(F.collect_list(F.struct(*names)).alias("rows"))
     # doc_id goes along so that this join and the last one share a shuffle of the texts.
@@ -217,7 +219,7 @@ def _members(contexts: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> D
                         least, most = max(lo, q * block), min(hi, q * block + block - 1)
                         key = mix(prefix(np.array([begin]), np.array([end])) + np.uint64(q))
                         left, right = raw[at - most : begin], raw[end : at - least + shape.length]
-                        out.append((key.view(np.int64)[0], core, context, q, least, most, times, left, right))
+                        out.append((key.view(np.int64)[0], core, context, least, most, times, left, right))
                         size += 400 + len(left) + len(right)
                 if size > BYTES_AT_ONCE:
                     yield pd.DataFrame(out, columns=columns)
@@ -228,26 +230,33 @@ def _members(contexts: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> D
     return joined.mapInPandas(run, RUNS if hot else MEMBERS)
 
 
-def _strings(runs: DataFrame, shape: Shape) -> DataFrame:
-    """The strings of runs, by hash: the run's, and of the bytes beside it that the string has."""
-    block = shape.block
+def _refined(runs: DataFrame, width: int, finer: int) -> DataFrame:
+    """Runs of blocks of `width` bytes as runs of blocks of `finer` bytes.
+
+    What all strings of a run have in common grows by the bytes beside it that all those of the finer run have.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             least, most = batch["least"].to_numpy(np.int64), batch["most"].to_numpy(np.int64)
-            left = np.frombuffer(b"".join([x[::-1] for x in batch["left"]]), np.uint8)
-            right = np.frombuffer(b"".join(batch["right"]), np.uint8)
-            left_at, right_at = np.cumsum(batch["left"].str.len().to_numpy()), np.cumsum(batch["right"].str.len().to_numpy())
-            left_at, right_at = np.append(0, left_at)[:-1], np.append(0, right_at)[:-1]
-            of = np.repeat(np.arange(len(batch)), most - least + 1)
-            back = np.arange(len(of)) - np.repeat(np.cumsum(most - least + 1) - (most - least + 1), most - least + 1) + least[of]
-            beyond = back - batch["q"].to_numpy(np.int64)[of] * block
-            key = Prefix(left)(left_at[of], left_at[of] + beyond) * np.uint64(0x9E3779B97F4A7C15) + Prefix(right)(right_at[of], right_at[of] + block - 1 - beyond)
-            key = mix(key + mix(batch["run"].to_numpy(np.int64).view(np.uint64)[of] + beyond.astype(np.uint64)))
-            take = lambda c: batch[c].to_numpy()[of]
-            yield pd.DataFrame({"string": key.view(np.int64), "core": take("core"), "context": take("context"), "back": back.astype(np.int32), "times": take("times")})
-
-    return runs.mapInPandas(run, STRINGS)
+            lefts, rights = [x[::-1] for x in batch["left"]], list(batch["right"])  # both outwards
+            size = lambda xs: np.array([len(x) for x in xs], np.int64)
+            left_at, right_at = np.cumsum(size(lefts)) - size(lefts), np.cumsum(size(rights)) - size(rights)
+            n = most // finer - least // finer + 1
+            of = np.repeat(np.arange(len(batch)), n)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + least[of] // finer) * finer
+            inner = start - least[of] // width * width  # bytes of the left side that become common, and of the right one
+            outer = width - inner - finer
+            grown = Prefix(np.frombuffer(b"".join(lefts), np.uint8))(left_at[of], left_at[of] + inner) * np.uint64(0x9E3779B97F4A7C15)
+            grown += Prefix(np.frombuffer(b"".join(rights), np.uint8))(right_at[of], right_at[of] + outer)
+            key = mix(grown + mix(batch["key"].to_numpy().view(np.uint64)[of] + inner.astype(np.uint64)))
+            low, high = np.maximum(start, least[of]), np.minimum(start + finer - 1, most[of])
+            yield pd.DataFrame({
+                "key": key.view(np.int64), **{c: batch[c].to_numpy()[of] for c in ("core", "context")}, "least": low.astype(np.int32), "most": high.astype(np.int32), "times": batch["times"].to_numpy()[of],
+                "left": [lefts[i][a : a + k][::-1] for i, a, k in zip(of, inner, high - start)], "right": [rights[i][a : a + k] for i, a, k in zip(of, outer, start + finer - 1 - low)],
+            })
+
+    return runs.mapInPandas(run, RUNS)
 
 
 def repeated(members: pd.DataFrame, shape: Shape) -> pd.DataFrame:
@@ -351,13 +360,21 @@ def _compared(members: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _counted(runs: DataFrame, shape: Shape) -> DataFrame:
-    """The same for hot cores, by hashes: runs that occur twice, then their strings that do, as ranges."""
-    runs = staged(runs, "runs")
-    again = lambda rows, key: rows.join(rows.groupBy(key).agg(F.sum("times").alias("n")).where("n > 1").select(key), key, "left_semi")
-    hits = again(_strings(again(runs, "run"), shape), "string").select("core", "context", "back").distinct()
-    of = Window.partitionBy("core", "context").orderBy("back")
-    islands = hits.withColumn("island", F.col("back") - F.row_number().over(of)).groupBy("core", "context", "island")
-    return islands.agg(F.min("back").alias("low"), F.max("back").alias("high")).drop("island")
+    """The same for hot cores: from blocks to single strings, runs that are equal with all their strings are repeats, and
+    one of each goes on, to be taken apart, where another run has the same key."""
+    found, width = None, shape.block
+    for finer in (*STEPS, 0):
+        runs = staged(runs, "runs").withColumn("same", F.xxhash64("key", "least", "most", "left", "right"))
+        one = [F.first(c).alias(c) for c in ("key", "core", "context", "least", "most", "left", "right")]
+        groups = staged(runs.groupBy("same").agg(F.sum("times").alias("n"), *one), "run-groups")
+        whole = runs.join(groups.where("n > 1").select("same"), "same", "left_semi").select("core", "context", F.col("least").alias("low"), F.col("most").alias("high"))
+        found = whole if found is None else found.unionByName(whole)
+        if finer:
+            groups = groups.withColumn("times", F.least("n", F.lit(2)).cast("int"))
+            again = groups.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
+            runs = _refined(groups.join(again, "key", "left_semi").select(*[c.split()[0] for c in RUNS.split(", ")]), width, finer)
+            width = finer
+    return found
 
 
 def _spans(docs: DataFrame, shape: Shape) -> DataFrame:

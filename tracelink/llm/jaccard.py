@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import identified, mix, named, ngram_hashes, scan_words, slabs, small_batches, staged, unnamed
+from tracelink.llm.shared import identified, mix, named, ngram_hashes, release, remove, scan_words, slabs, small_batches, staged, stored, unnamed
 
 #: A token is frequent if it is in so many sets at least, and in one of so many of all tokens of all sets.
 FREQUENT, HEAVY = 8, 1 << 20
@@ -298,13 +298,20 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = identified(docs.select("doc_id", "text"))
-    every = staged(_set_rows(docs, frequent_buckets(docs, n), n, percent), "sets")
+    spark = docs.sparkSession
+    often = frequent_buckets(docs, n)
+    release(spark)
+    every, path = stored(_set_rows(docs, often, n, percent), "sets-and-signatures")
     sets = unnamed(every.where("kind = 1").select("doc_id", "nameless", "u", F.expr("CASE WHEN size > 0 THEN sid END").alias("sid"), "size"))
+    sets = staged(sets, "sets")
     rows = every.where("kind = 0").select("sig", "place", "sid", "size")
 
     # Signatures are counted before anything else moves; from here on only those of several sets are joined.
     repeated = staged(rows.groupBy("sig").count().where("count > 1").select("sig"), "repeated")
+    release(spark)
     hits = staged(rows.join(repeated, "sig", "left_semi").distinct(), "hits")
+    remove(spark, path)
+    release(spark)
     groups = staged(hits.groupBy("sig").agg(F.count("*").alias("m"), F.min("sid").alias("first")).where("m > 1"), "groups")
     known = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("u").alias("u"), F.count("*").alias("copies"))
     pairs = staged(_pairs(hits.join(groups.where(F.col("m") <= GROUP).select("sig"), "sig", "left_semi"), percent), "pairs")
@@ -314,6 +321,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select("u", "text").where(_bloom(involved, "u")).join(involved, "u")
     texts = staged(texts.select("sid", "text"), "texts")
 
+    release(spark)
     few = staged(_verified(pairs, texts, n, percent), "links")
     many = staged(_crowded(clusters, texts, n, percent), "crowded-links")
     roots = components(few.unionByName(many))

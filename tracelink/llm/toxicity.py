@@ -222,7 +222,8 @@ SCORES = "doc_id long, nameless boolean, score double, neighbours array<long>, s
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Scores (doc_id, text): score (0 to 1), the nearest labelled examples, their cosines and the marking words found.
+    """Scores (doc_id, text): score (0 to 1), the nearest labelled examples, their cosines and, as evidence, the words that
+    mark the class, or without any the three that weigh most.
 
     A null or empty text, or one without any word of the examples, has no neighbours and gets the share of toxic labels.
     Repeated rows get equal scores; rows without doc_id are scored too; an empty table gives no rows; other columns are not
@@ -239,8 +240,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for doc, nameless, (codes, where, word) in zip(batch["doc_id"].array, batch["nameless"].array, _codes(texts, m.terms)):
                 found, cos = m.index.search(*_vector(codes, m.gain), m.k) if len(codes) else (np.zeros(0, np.int64), np.zeros(0))
                 p = float(np.interp(_vote(m, found, cos), *m.knots)) if len(found) else m.base
-                marking = m.marking[codes]
-                evidence = [word(i) for i in where[marking][np.unique(codes[marking], return_index=True)[1]]]
+                terms, first = np.unique(codes, return_index=True)
+                marking = m.marking[terms]
+                if not marking.any():
+                    marking = np.argsort(-m.gain[terms], kind="stable")[:3]
+                evidence = [word(i) for i in where[first[marking]]]
                 rows.append((doc, nameless, min(max(p, 0.0), 1.0), m.ids[found], cos, evidence))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCORES.split(", ")])
 
