@@ -39,7 +39,8 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
         row = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
         by = np.lexsort((row, term))
-        self.row, self.weight, term = row[by].astype(np.int32), weight[by], term[by]
+        self.row, self.weight, term = row[by], weight[by], term[by]
+        self.offset = self.row % block
         # A list's entries are its blocks: (term, block of rows), the postings first to last, and their largest weight.
         key = term * (len(rows) // block + 1) + self.row // block
         self.first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -50,8 +51,8 @@ class BlockMaxIndex:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine above 0 (ties: lower row first) and their cosines. without: a row to leave out."""
-        entry, of = _spread(self.begin[terms], self.begin[terms + 1])
-        w, block = weights[of], self.of_block[entry]
+        entry, n = _spread(self.begin[terms], self.begin[terms + 1])
+        w, block = np.repeat(weights, n), self.of_block[entry]
         bound = np.bincount(block, w * self.most[entry], self.n // self.block + 1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -60,12 +61,12 @@ class BlockMaxIndex:
         while at < len(order) and not (len(best) >= k and bound[order[at]] < best[k - 1] - 1e-9):
             part = order[at : at + step]
             place = np.full(len(bound), -1)
-            place[part] = np.arange(len(part))
-            mine = np.flatnonzero(place[block] >= 0)
-            posting, of = _spread(self.first[entry[mine]], self.last[entry[mine]])
-            of = mine[of]
-            slot = place[block[of]] * self.block + self.row[posting] % self.block
-            scores = np.bincount(slot, w[of] * self.weight[posting], len(part) * self.block)
+            place[part] = np.arange(len(part)) * self.block
+            slot = place[block]
+            mine = np.flatnonzero(slot >= 0)
+            posting, n = _spread(self.first[entry[mine]], self.last[entry[mine]])
+            slot = np.repeat(slot[mine], n) + self.offset[posting]
+            scores = np.bincount(slot, np.repeat(w[mine], n) * self.weight[posting], len(part) * self.block)
             hit = np.flatnonzero(scores > 0)
             rows = part[hit // self.block] * self.block + hit % self.block
             keep = rows != without
@@ -77,10 +78,10 @@ class BlockMaxIndex:
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges lo to hi, and the range each is of."""
+    """All numbers of the ranges lo to hi, and how many each range has."""
     n = hi - lo
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) + (lo - np.cumsum(n) + n)[of], of
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) + np.repeat(lo - ends + n, n), n
 
 
 @dataclass
