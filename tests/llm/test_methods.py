@@ -260,6 +260,25 @@ def test_language_on_held_out_rows(spark, docs):
     assert (got["lang"] == got["lang_pred"]).mean() > 0.97
 
 
+def test_predictions_against_plain_chains(spark, docs, texts):
+    """The query's predictions from sums over neighbouring labels, in logs, one word after another."""
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    k = len(model.labels)
+    log_sum = lambda v: max(v) + np.log(sum(np.exp(x - max(v)) for x in v))
+    for d in sorted(texts, key=lambda d: len(texts[d]))[20:40]:
+        words = language.Words([texts[d]])
+        emit = words.emissions(model.weights).astype(float)[words.word]
+        ahead, back = [list(model.start + emit[0])], [[0.0] * k]
+        for e in emit[1:]:
+            ahead.append([e[y] + log_sum([ahead[-1][x] + model.transitions[x, y] for x in range(k)]) for y in range(k)])
+        for e in emit[:0:-1]:
+            back.append([log_sum([model.transitions[y, z] + e[z] + back[-1][z] for z in range(k)]) for y in range(k)])
+        whole = log_sum(ahead[-1])
+        share = sum(n * np.exp(np.add(a, b) - whole) for n, a, b in zip(words.lengths, ahead, back[::-1])) / words.lengths.sum()
+        assert got[d].lang_pred == model.labels[int(share.argmax())] and got[d].score == pytest.approx(float(share.max()), abs=1e-6)
+
+
 def test_words_of_mixed_text_switch(docs):
     rows = docs.select("text", "lang").toPandas()
     names = sorted(rows["lang"].unique())
@@ -413,6 +432,12 @@ def test_links_of_edited_copies(spark, monkeypatch, group, block):
     assert got == brute_components(texts)
 
 
+def bitmap(buckets):
+    out = np.zeros((1 << jaccard.BITS) // 8, np.uint8)
+    np.bitwise_or.at(out, buckets >> 3, (1 << (buckets & 7)).astype(np.uint8))
+    return out
+
+
 @given(st.data())
 @settings(max_examples=300, deadline=None)
 def test_linked_sets_share_a_signature(data):
@@ -420,7 +445,7 @@ def test_linked_sets_share_a_signature(data):
     a = set(data.draw(st.lists(st.integers(0, 2**63), min_size=n, max_size=n, unique=True)))
     gone = data.draw(st.sets(st.sampled_from(sorted(a)), max_size=max(1, n // 5)))
     b = (a - gone) | set(data.draw(st.lists(st.integers(0, 2**63), max_size=n // 4)))
-    often = np.unique(jaccard.bucket(np.array(sorted(data.draw(st.sets(st.sampled_from(sorted(a | b))))), np.uint64)))
+    often = bitmap(jaccard.bucket(np.array(sorted(data.draw(st.sets(st.sampled_from(sorted(a | b))))), np.uint64)))
     if b and 100 * len(a & b) >= 80 * len(a | b):
         sides = [set(jaccard.signatures(np.array(sorted(s), np.uint64), often, 80)[0].tolist()) for s in (a, b)]
         assert sides[0] & sides[1]
@@ -443,7 +468,7 @@ def test_frequent_tokens_come_in_pairs(spark):
     for s in sets:
         counts.update(jaccard.bucket(s).tolist())
     often = jaccard.frequent_buckets(frame, 5)
-    assert often.tolist() == sorted(b for b, n in counts.items() if n >= jaccard.FREQUENT)
+    assert (often == bitmap(np.array([b for b, n in counts.items() if n >= jaccard.FREQUENT]))).all()
     rows = jaccard._set_rows(jaccard.identified(frame), often, 5, 80).where("kind = 0").toPandas()
     single = {int(x) for s in sets for x in s.view(np.int64)}
     pairs = rows[~rows["sig"].isin(single)]
@@ -520,6 +545,15 @@ def test_all_pairs_of_the_least_score_are_found(min_score):
         assert got == want and len(want) > 20
 
 
+def test_a_benchmark_in_blocks(spark, data, docs, monkeypatch):
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    want = {tuple(r)[:3] for r in decontamination.find_leaks(docs, items).drop("n_seeds").collect()}
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 15)
+    assert want and {tuple(r)[:3] for r in decontamination.find_leaks(docs, items).drop("n_seeds").collect()} == want
+    monkeypatch.setattr(decontamination, "ITEM_BYTES_AT_ONCE", 3_000)
+    assert {tuple(r)[:3] for r in decontamination.find_leaks(docs, items).drop("n_seeds").collect()} == want
+
+
 def test_copies_without_seeds_of_several_words(spark):
     words = [f"w{x}" for x in range(20)]
     texts = [

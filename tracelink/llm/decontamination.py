@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tracelink.llm.shared import NO_LETTER, hashed_runs, mix, named, slabs, small_batches, unnamed
 
-#: Items that are broadcast at once; a larger benchmark is taken in blocks of so many.
-ITEMS_AT_ONCE = 20_000
+#: Items, and bytes of them, that are broadcast at once; a larger benchmark is taken in blocks.
+ITEMS_AT_ONCE, ITEM_BYTES_AT_ONCE = 20_000, 32_000_000
 #: Bounds of what is held at once: seed hits or words of windows, and words of windows while they are aligned.
 HITS_AT_ONCE, CELLS_AT_ONCE = 2_000_000, 10_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -168,7 +168,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, le
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    blocks = max(1, math.ceil(items.count() / ITEMS_AT_ONCE))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / ITEMS_AT_ONCE), math.ceil(size / ITEM_BYTES_AT_ONCE))
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas().drop_duplicates().sort_values("item_id", kind="stable")

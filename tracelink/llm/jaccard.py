@@ -8,12 +8,14 @@ neighbours: a missing token breaks at most two pairs and an added one a single p
 extension (see `signatures`). So a signature shared by very many dissimilar documents does not occur unless nearly all
 of a document is common text.
 
-The tokens of all sets are counted, by the upper half of their hash, and the frequent class is what heads the counts: a
-token in it has at least FREQUENT sets and 2^-20 of all tokens, so the class has a bound at any size.
+The tokens of all sets are counted, in buckets by the upper bits of their hash; a bucket of FREQUENT tokens or more is of
+the frequent class. So the class is a bitmap of fixed size, and a token of the rare class is in fewer than FREQUENT sets at
+any size of the corpus; the larger that is, the more tokens share buckets and are indexed in pairs.
 
 Candidates are verified exactly, on the texts. Copies collapse to one set first. The sets of a small signature group are
-compared pair by pair. Larger groups, and what they hold together, are never expanded: tasks count the overlaps of whole
-blocks of sets with an inverted index, and give out no more links than it takes to connect what is linked.
+compared pair by pair. Larger groups, and what they hold together, are never expanded: all sets of a group are held
+against one of them first, and where that leaves a cluster in parts, tasks count the overlaps of whole blocks of sets
+with an inverted index, all but those of the largest part with itself, and give out no more links than connect it.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from tracelink.llm.shared import identified, mix, named, ngram_hashes, release, remove, scan_words, slabs, small_batches, staged, stored, unnamed
 
-#: A token is frequent if it is in so many sets at least, and in one of so many of all tokens of all sets.
-FREQUENT, HEAVY = 8, 1 << 20
-#: Counts are dealt to tasks by so many ranges of hashes; a task gives out so many tokens at a time.
+#: Tokens are counted in 2^BITS buckets; a bucket with so many is frequent.
+BITS, FREQUENT = 27, 8
+#: Counts are dealt to tasks by so many ranges of buckets; a task gives out so many tokens at a time.
 RANGES, TOKENS_AT_ONCE = 1024, 2_000_000
 #: Sets up to this size also index single frequent tokens, as an extension needs some room.
 SMALL = 12
@@ -65,11 +67,11 @@ def _spare(n: np.ndarray | int, percent: int):
 
 def bucket(tokens: np.ndarray) -> np.ndarray:
     """What tokens are counted by."""
-    return (tokens >> np.uint64(32)).astype(np.uint32)
+    return (tokens >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted token set, and the place in the order of the token each stands for; frequent: sorted buckets.
+    """Signatures of a sorted token set, and the place in the order of the token each stands for; frequent: the bitmap.
 
     Places are -1 for pairs, and for all signatures of a set whose rare tokens do not fill the prefix.
 
@@ -80,10 +82,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     n = len(tokens)
     need = _spare(n, percent) + 1
     mine = bucket(tokens)
-    at = np.searchsorted(frequent, mine)
-    common = np.zeros(n, bool)
-    near = at < len(frequent)
-    common[near] = frequent[at[near]] == mine[near]
+    common = (frequent[mine >> 3] >> (mine & 7) & 1).astype(bool)
     rare = tokens[~common][:need]
     sigs, places = [rare], [np.arange(len(rare))]
     if len(rare) < need:
@@ -105,18 +104,19 @@ def _texts(batch: pd.DataFrame) -> list[str]:
 
 
 def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
-    """The buckets of the frequent class, sorted; counted over the sets of all documents.
+    """The bitmap of the frequent class; counted over the sets of all documents.
 
     Tasks send sorted runs of buckets, dealt by range; a range's runs are summed as they stream by, so what a task holds is
     bounded by the buckets of a range.
     """
+    wide = (1 << BITS) // RANGES
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def runs() -> pd.DataFrame:
             keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
-            cut = np.searchsorted(keys, np.arange(1, RANGES, dtype=np.uint64) * (2**32 // RANGES))
+            cut = np.searchsorted(keys, np.arange(1, RANGES, dtype=np.uint32) * np.uint32(wide))
             parts = [(k, x.tobytes()) for k, x in enumerate(np.split(keys, cut)) if len(x)]
             return pd.DataFrame(parts, columns=["range", "keys"])
 
@@ -130,39 +130,27 @@ def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
         yield runs()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, keys, counts, held, size = -1, np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            every, code = np.unique(np.concatenate([keys, *held]), return_inverse=True)
-            total = np.bincount(code[len(keys) :], minlength=len(every))
-            total[code[: len(keys)]] += counts
-            return every, total
+        at, counts = -1, np.zeros(wide, np.int64)
 
         def frame() -> pd.DataFrame:
-            often = counts >= FREQUENT
-            return pd.DataFrame({"bucket": np.append(keys[often].astype(np.int64), -1), "n": np.append(counts[often], counts.sum())})
+            return pd.DataFrame({"range": [at], "bits": [np.packbits(counts >= FREQUENT, bitorder="little").tobytes()]})
 
         for batch in batches:
-            for r, raw in zip(batch["range"].array, batch["keys"].array):
-                if r != at or size >= TOKENS_AT_ONCE:
-                    if held:
-                        keys, counts = fold()
-                    held, size = [], 0
-                    if r != at:
-                        if len(keys):
-                            yield frame()
-                        at, keys, counts = r, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                held.append(np.frombuffer(raw, np.uint32))
-                size += len(held[-1])
-        if held:
-            keys, counts = fold()
+            for r, part in batch.groupby("range", sort=True):
+                if r != at:
+                    if at >= 0:
+                        yield frame()
+                    at, counts = r, np.zeros(wide, np.int64)
+                keys = np.frombuffer(b"".join(part["keys"]), np.uint32) - np.uint32(r * wide)
+                counts += np.bincount(keys, minlength=wide)
+        if at >= 0:
             yield frame()
 
     sent = docs.select("text").mapInPandas(send, "range int, keys binary").repartition("range").sortWithinPartitions("range")
-    counts = staged(sent.mapInPandas(count, "bucket long, n long"), "token-counts")
-    total = counts.where("bucket < 0").agg(F.sum("n")).first()[0] or 0
-    heads = counts.where((F.col("bucket") >= 0) & (F.col("n") >= max(FREQUENT, total // HEAVY))).select("bucket").toPandas()
-    return np.sort(heads["bucket"].to_numpy(np.int64).astype(np.uint32))
+    out = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in sent.mapInPandas(count, "range int, bits binary").collect():  # 16 MB at any size
+        out[r["range"] * wide // 8 : (r["range"] + 1) * wide // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 ROWS = "kind byte, sig long, place int, sid long, size int, doc_id long, nameless boolean, u long"
@@ -315,16 +303,22 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     groups = staged(hits.groupBy("sig").agg(F.count("*").alias("m"), F.min("sid").alias("first")).where("m > 1"), "groups")
     known = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("u").alias("u"), F.count("*").alias("copies"))
     pairs = staged(_pairs(hits.join(groups.where(F.col("m") <= GROUP).select("sig"), "sig", "left_semi"), percent), "pairs")
-    clusters = staged(_spanned(hits.join(groups.where(F.col("m") > GROUP).select("sig", "first"), "sig")), "clusters")
+    crowd = staged(hits.join(groups.where(F.col("m") > GROUP).select("sig", "first"), "sig").select("sid", "size", "first").distinct(), "crowd")
+    clusters = staged(_spanned(crowd), "clusters")
+    # In a large group all are held against one; what that connects need not be compared again.
+    star = crowd.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    pairs = pairs.unionByName(star).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(clusters.select(F.col("node").alias("sid"))).distinct()
     involved = staged(wanted.join(known, "sid").select("sid", "u"), "involved")
     texts = docs.select("u", "text").where(_bloom(involved, "u")).join(involved, "u")
     texts = staged(texts.select("sid", "text"), "texts")
 
     release(spark)
-    few = staged(_verified(pairs, texts, n, percent), "links")
-    many = staged(_crowded(clusters, texts, n, percent), "crowded-links")
-    roots = components(few.unionByName(many))
+    few = components(staged(_verified(pairs, texts, n, percent), "links"))
+    release(spark)
+    many = staged(_crowded(_unsettled(clusters, few), texts, n, percent), "crowded-links")
+    release(spark)
+    roots = components(few.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(many))
     known = known.drop("u")
     least = roots.join(known.withColumnRenamed("sid", "node"), "node").groupBy("root").agg(F.min("doc_id").alias("low"))
     least = roots.select("root").distinct().join(known.withColumnRenamed("sid", "root"), "root").select("root", F.col("doc_id").alias("own")).join(least, "root").select("root", F.least("own", "low").alias("component_id"))
@@ -353,26 +347,44 @@ def _spanned(rows: DataFrame) -> DataFrame:
     return sizes.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _unsettled(clusters: DataFrame, found: DataFrame) -> DataFrame:
+    """Clusters (node, root, size) that the components found so far leave in parts, with `rest`, whether a set is outside of
+    its cluster's largest part."""
+    parts = clusters.join(found.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = staged(parts, "parts")
+    largest = parts.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    return parts.join(largest.where("parts > 1"), "root").select("node", "root", "size", (F.col("part") != F.col("main")).alias("rest"))
+
+
 def _crowded(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links inside clusters, as far as they connect: a task counts the overlaps of two blocks of sets.
 
-    Linked sets are of like size, so a cluster falls into levels of sizes, each with the sets of its own and the level
-    below. A block has BLOCK sets or SHINGLES shingles; a level of m blocks takes m^2 / 2 tasks. No pair leaves a task but
-    one that joins two parts.
+    The rest of a cluster is held against its largest part and against itself. Linked sets are of like size, so a cluster
+    falls into levels of sizes, each with the sets of its own and the level below. A block has BLOCK sets or SHINGLES
+    shingles. No pair leaves a task but one that joins two parts.
     """
     width = math.log(100 / percent) * 1.000001  # sets that can link are at most one level apart, rounding included
     own = F.floor(F.log("size") / F.lit(width)).cast("int")
     rows = clusters.withColumn("own", own).withColumn("level", F.explode(F.array("own", F.col("own") + 1)))
-    shape = rows.groupBy("root", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks"), F.count_if(F.col("own") == F.col("level")).alias("top"))
-    rows = rows.join(shape.where("top > 0"), ["root", "level"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    rows = rows.select("root", "level", "block", (F.col("own") < F.col("level")).alias("below"), F.col("node").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.join(texts, "sid").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    blocks = lambda side: F.greatest(F.ceil(F.count_if(side) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(side, F.col("size"))), F.lit(0)) / SHINGLES)).cast("int")
+    shape = rows.groupBy("root", "level").agg(blocks(~F.col("rest")).alias("mains"), blocks(F.col("rest")).alias("rests"), F.count_if(F.col("own") == F.col("level")).alias("top"))
+    rows = rows.join(shape.where("top > 0 AND rests > 0"), ["root", "level"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    # Tasks (i, j): blocks i <= j of the rest, or block -1 - i of the largest part with block j of the rest.
+    each = lambda count, task: F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), task)).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    block = F.col("block")
+    with_rest = each(F.col("rests"), lambda o: F.when(F.col("rest"), pair(F.least(block, o), F.greatest(block, o))).otherwise(pair(-1 - block, o)))
+    with_main = F.when(F.col("rest"), each(F.col("mains"), lambda o: pair(-1 - o, block))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    rows = rows.select("root", "level", "block", "rest", (F.col("own") < F.col("level")).alias("below"), F.col("node").alias("sid"), F.explode(F.concat(with_rest, with_main)).alias("task"))
+    rows = rows.select("root", "level", "block", "rest", "below", "sid", "task.i", "task.j").join(texts, "sid")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("sid").sort_values("sid", kind="stable")
-        sid, block, below = (group[c].to_numpy() for c in ("sid", "block", "below"))
-        single = group["i"].iloc[0] == group["j"].iloc[0]
-        return pd.DataFrame(connecting_links(sid, list(shingle_sets(_texts(group), n)), percent, below, None if single else block), columns=["a", "b"])
+        sid, block, rest, below = (group[c].to_numpy() for c in ("sid", "block", "rest", "below"))
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        side = rest.astype(int) if i < 0 else None if i == j else block
+        return pd.DataFrame(connecting_links(sid, list(shingle_sets(_texts(group), n)), percent, below, side), columns=["a", "b"])
 
     return rows.groupBy("root", "level", "i", "j").applyInPandas(run, "a long, b long")
 
