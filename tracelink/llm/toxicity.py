@@ -67,7 +67,8 @@ class BlockMaxIndex:
             posting, n = _spread(self.first[entry[mine]], self.last[entry[mine]])
             slot = np.repeat(slot[mine], n) + self.offset[posting]
             scores = np.bincount(slot, np.repeat(w[mine], n) * self.weight[posting], len(part) * self.block)
-            hit = np.flatnonzero(scores > 0)
+            least = best[k - 1] - 1e-9 if len(best) >= k else 0.0
+            hit = np.flatnonzero((scores > 0) & (scores >= least))
             rows = part[hit // self.block] * self.block + hit % self.block
             keep = rows != without
             best_row, best = np.concatenate([best_row, rows[keep]]), np.concatenate([best, scores[hit][keep]])
@@ -98,10 +99,11 @@ class Model:
     k: int
 
 
-def _vector(codes: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms, n = np.unique(codes, return_counts=True)
+def _vector(codes: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, their weights at unit length, and where each term comes first."""
+    terms, first, n = np.unique(codes, return_index=True, return_counts=True)
     w = (1 + np.log(n)) * gain[terms]
-    return terms, w / np.sqrt((w * w).sum())
+    return terms, w / np.sqrt((w * w).sum()), first
 
 
 def _codes(texts: list[str], terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[int], str]]]:
@@ -239,12 +241,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = [t.lower() if isinstance(t, str) else "" for t in batch["text"].array]
             rows = []
             for doc, nameless, (codes, where, word) in zip(batch["doc_id"].array, batch["nameless"].array, _codes(texts, m.terms)):
-                found, cos = m.index.search(*_vector(codes, m.gain), m.k) if len(codes) else (np.zeros(0, np.int64), np.zeros(0))
+                terms, weights, first = _vector(codes, m.gain) if len(codes) else (codes, codes, codes)
+                found, cos = m.index.search(terms, weights, m.k) if len(codes) else (np.zeros(0, np.int64), np.zeros(0))
                 p = float(np.interp(_vote(m, found, cos), *m.knots)) if len(found) else m.base
-                terms, first = np.unique(codes, return_index=True)
-                marking = m.marking[terms]
-                if not marking.any():
-                    marking = np.argsort(-m.gain[terms], kind="stable")[:3]
+                marking = np.flatnonzero(m.marking[terms])
+                if not len(marking):
+                    marking = np.argsort(-m.gain[terms])[:3]
                 evidence = [word(i) for i in where[first[marking]]]
                 rows.append((doc, nameless, min(max(p, 0.0), 1.0), m.ids[found], cos, evidence))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCORES.split(", ")])
