@@ -78,6 +78,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelink.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,10 +91,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_scoring": op7_scoring, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination, "op10_html": op10_html, "pipeline": pipeline}
+    return {"op1_packing": op1_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_scoring": op7_scoring, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination, "op10_html": op10_html, "op13_filter_audit": op13_filter_audit, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tracelink.llm.audit import AUDIT_SQL
     from tracelink.llm.quality import QUALITY_SQL
 
-    return {"op3_quality": QUALITY_SQL}
+    return {"op3_quality": QUALITY_SQL, "op13_filter_audit": AUDIT_SQL}
