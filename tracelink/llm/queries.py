@@ -78,6 +78,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from tracelink.llm.bpe import Vocabulary, decode, encode
+
+    v = Vocabulary.read(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    ids = encode(table(spark, sf_dir, "documents"), v)
+    ids = ids.withColumns({"n_tokens": F.size("token_ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256)})
+    return decode(ids, v).select("doc_id", "n_tokens", "ids_sha256", F.sha2("content", 256).alias("decoded_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelink.llm.audit import audit
 
@@ -91,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_scoring": op7_scoring, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination, "op10_html": op10_html, "op13_filter_audit": op13_filter_audit, "pipeline": pipeline}
+    return {"op1_packing": op1_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_scoring": op7_scoring, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination, "op10_html": op10_html, "op12_bpe": op12_bpe, "op13_filter_audit": op13_filter_audit, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
