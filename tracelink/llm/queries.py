@@ -78,6 +78,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelink.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -102,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_scoring": op7_scoring, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination, "op10_html": op10_html, "op12_bpe": op12_bpe, "op13_filter_audit": op13_filter_audit, "pipeline": pipeline}
+    return {"op1_packing": op1_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_scoring": op7_scoring, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_decontamination": op9_decontamination, "op10_html": op10_html, "op11_conversation_trie": op11_conversation_trie, "op12_bpe": op12_bpe, "op13_filter_audit": op13_filter_audit, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
