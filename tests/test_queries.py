@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tracelink.plans import landed, queries, sql
+from tracelink.plans import landed, queries, sql, studies
 
-QUERIES, SQL = queries.queries() | landed.queries(), sql.oracle_sql() | landed.oracle_sql()
+QUERIES, SQL = queries.queries() | landed.queries() | studies.queries(), sql.oracle_sql() | landed.oracle_sql() | studies.oracle_sql()
 
 
 def plain(frame: pd.DataFrame) -> list:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelink.operators.ordering import Ordered, plain
 from tracelink.stats.intervals import excludes, jeffreys
 
 
@@ -67,6 +68,5 @@ def worst(groups: DataFrame, key: str, k: int = 12, least: int = 200) -> DataFra
 
 
 def ranked(rates: DataFrame, rate: str, key: str) -> DataFrame:
-    """Adds place, from 1: the largest rate first, groups without a rate last, ties by key. For few groups: the window is
-    global."""
-    return rates.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(rate), key)))
+    """Adds place, from 1: the largest rate first, groups without a rate last, ties by key; over range partitions."""
+    return plain(Ordered(rates, F.desc_nulls_last(rate), key).numbered("place")).withColumn("place", F.col("place").cast("int"))

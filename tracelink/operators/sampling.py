@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelink.operators.ordering import Ordered, plain
+
 
 def order_key(key: Column | str, seed: str | int, *salt: str) -> Column:
     c = F.col(key) if isinstance(key, str) else key
@@ -40,8 +42,8 @@ def stratified(rows: DataFrame, stratum: str, key: str, take: Mapping[str, int |
 
 
 def sheet(rows: DataFrame, key: str, seed: str | int, coder: str) -> DataFrame:
-    """A coder's own order of the rows: item numbers from 1 by a permutation per coder. For sheets: the window is global."""
-    return rows.withColumn("item", F.row_number().over(Window.orderBy(order_key(key, seed, coder), key)))
+    """A coder's own order of the rows: item numbers from 1 by a permutation per coder, over range partitions."""
+    return plain(Ordered(rows, order_key(key, seed, coder), key).numbered("item")).withColumn("item", F.col("item").cast("int"))
 
 
 def work_queue(rows: DataFrame, key: str, seed: str | int) -> DataFrame:

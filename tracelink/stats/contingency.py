@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from math import erfc, sqrt
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelink.operators.ordering import LEAST, Ordered, plain
 from tracelink.stats import special
 
 
@@ -26,12 +27,11 @@ def chi_square_p(x: pd.Series) -> pd.Series:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, key: str) -> DataFrame:
-    """Adds q: the running minimum of p m / rank from the largest p down, at most 1. Ties go by key. For few tests: the
-    window is global."""
-    order = Window.orderBy(p, key)
-    ranked = rows.withColumn("_raw", F.col(p) * F.count("*").over(Window.partitionBy()) / F.row_number().over(order))
-    down = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranked.withColumn("q", F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_raw")
+    """Adds q: the running minimum of p m / rank from the largest p down, at most 1. Ties go by key. Ranks and minima come from
+    range partitions, so there may be any number of tests."""
+    order = Ordered(rows, F.desc(p), F.desc(key))
+    down = order.numbered("_down").withColumn("_raw", F.col(p) * F.lit(order.n) / (F.lit(order.n + 1) - F.col("_down")))
+    return plain(order.running(down, "_raw", "q", LEAST)).withColumn("q", F.least("q", F.lit(1.0))).drop("_raw", "_down")
 
 
 def mantel_haenszel(strata: DataFrame, correction: float = 0.5) -> DataFrame:
