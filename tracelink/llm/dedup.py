@@ -194,18 +194,25 @@ STEPS = (8, 1)
 
 def _members(contexts: DataFrame, docs: DataFrame, shape: Shape, hot: bool) -> DataFrame:
     """One row for each context, with its bytes beside the core; hot: one for each of its runs of blocks (those left of the
-    anchor, the core, those on the right), with the run's hash, its strings (least to most) and the bytes beside it."""
+    anchor, the core, those on the right), with the run's hash, its strings (least to most) and the bytes beside it.
+
+    Rows of equal id and text come one after another, and only the first is cut up. If they are in several tasks, each
+    cuts one; their contexts count as repeats in any case.
+    """
     names = ["core", "context", "at", "least", "most", "times"]
     wanted = contexts.groupBy("u", "v").agg(F.collect_list(F.struct(*names)).alias("rows"))
     # doc_id goes along so that this join and the last one share a shuffle of the texts.
-    joined = docs.join(wanted, ["u", "v"]).select("doc_id", "text", *[F.col(f"rows.{c}").alias(c) for c in names])
+    joined = docs.join(wanted, ["u", "v"]).sortWithinPartitions("u", "v").select("doc_id", "text", "u", "v", *[F.col(f"rows.{c}").alias(c) for c in names])
     columns = [c.split()[0] for c in (RUNS if hot else MEMBERS).split(", ")]
     block = shape.block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, size = [], 0
+        out, size, last = [], 0, None
         for batch in batches:
-            for text, *lists in zip(*(batch[c].array for c in ("text", *names))):
+            for u, v, text, *lists in zip(*(batch[c].array for c in ("u", "v", "text", *names))):
+                if last == (u, v):
+                    continue
+                last = u, v
                 raw = raw_bytes(text)
                 prefix = Prefix(np.frombuffer(raw, np.uint8)) if hot else None
                 for core, context, at, lo, hi, times in zip(*lists):
@@ -386,7 +393,8 @@ def _spans(docs: DataFrame, shape: Shape) -> DataFrame:
     of_context = rows.where(F.col("kind") != SPAN).join(found, ["core", "context"])
     of_context = of_context.select("u", "v", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + shape.length).alias("stop"))
     spans = of_context.unionByName(rows.where(F.col("kind") == SPAN).select("u", "v", F.col("at").alias("start"), (F.col("at") + F.col("most")).alias("stop")))
-    spans = spans.groupBy("u", "v").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # Rows of equal id and text have the same spans; once each is enough for all of them.
+    spans = spans.distinct().groupBy("u", "v").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return spans.select("u", "v", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
 
 

@@ -310,7 +310,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = pairs.unionByName(star).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(clusters.select(F.col("node").alias("sid"))).distinct()
     involved = staged(wanted.join(known, "sid").select("sid", "u"), "involved")
-    texts = docs.select("u", "text").where(_bloom(involved, "u")).join(involved, "u")
+    # Rows of equal id and text share u; one text stands for a set, before anything is joined with it.
+    texts = docs.select("u", "text").where(_bloom(involved, "u")).dropDuplicates(["u"]).join(involved, "u")
     texts = staged(texts.select("sid", "text"), "texts")
 
     release(spark)

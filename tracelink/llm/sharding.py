@@ -72,15 +72,17 @@ def assign_shards(docs: DataFrame, shards: int = 40, block: int = 4096) -> DataF
 
     A document weighs its UTF-8 bytes plus 16; a null text weighs 16 and counts as equal to an empty one. Documents of
     equal text share a shard, unless together they weigh more than a whole shard: no balance is possible then, so such
-    a group (there are fewer of them than shards) is cut by document id into slices of about a quarter shard. Repeated
-    rows are documents of their own; an empty table gives no rows; other columns are not read.
+    a group (there are fewer of them than shards) is cut into slices of about a quarter shard. Rows are cut and numbered by a
+    number of their own, which is staged with them, so repeated rows, and rows without an id, are dealt like any others; an empty table
+    gives no rows; other columns are not read.
     Returns doc_id, size, text_crc32, shard and slot, the gapless place in the shard.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key")
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"), F.monotonically_increasing_id().alias("row")
     )
+    rows = staged(rows, "shard-documents")
     groups = staged(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     n, total = groups.agg(F.count("*"), F.sum("bytes")).first()
     if not n:
@@ -88,7 +90,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, block: int = 4096) -> DataF
     target = total / shards
     # At most `shards` groups weigh more than a shard, so this table has a fixed bound.
     large = groups.where(F.col("bytes") > F.lit(target)).select("key", F.ceil(F.col("bytes") * 4 / target).cast("int").alias("cuts"))
-    cut = rows.join(F.broadcast(large), "key", "left").withColumn("cut", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"), F.lit(0))).drop("cuts")
+    cut = rows.join(F.broadcast(large), "key", "left").withColumn("cut", F.coalesce(F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int"), F.lit(0))).drop("cuts")
     sliced = cut.join(F.broadcast(large.select("key")), "key", "left_semi").groupBy("key", "cut").agg(F.sum("size").alias("bytes"))
     whole = groups.where(F.col("bytes") <= F.lit(target)).select("key", F.lit(0).alias("cut"), "bytes")
     blocks = max(1, math.ceil(n / block))
@@ -109,18 +111,19 @@ def assign_shards(docs: DataFrame, shards: int = 40, block: int = 4096) -> DataF
         level = step.groupBy(F.col("block").alias("unit"), F.col("up_slot").alias("slot")).agg(F.sum("bytes").alias("bytes"))
         blocks = math.ceil(blocks * shards / (block * 8)) if blocks * shards > block * 8 else 1
     where = items.select("key", "cut", F.col("unit").alias("leaf")).join(placed, "leaf").select("key", "cut", F.col("up_slot").alias("shard"))
-    found = cut.join(where, ["key", "cut"]).select("doc_id", "size", "text_crc32", "shard")
+    found = cut.join(where, ["key", "cut"]).select("row", "doc_id", "size", "text_crc32", "shard")
     return with_slots(found)
 
 
 def with_slots(rows: DataFrame, per_slice: int = 50_000) -> DataFrame:
-    """Adds slot, a gapless number from 0 in each shard: counts of small slices first, then places inside each."""
+    """Adds slot, a gapless number from 0 in each shard: counts of small slices of the numbered rows first, then places inside
+    each."""
     rows = staged(rows, "shard-rows")
     slices = max(16, math.ceil(rows.count() / per_slice))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("shard", "slice").count().withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id"))
+    inside = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("row"))
     return (
         rows.withColumn("inside", inside)
         .join(first, ["shard", "slice"])
