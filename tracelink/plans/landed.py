@@ -1,17 +1,16 @@
 """Queries for the sources and sinks: each lands files in the shared folder and reads them back.
 
-The files hold the driver's tables, or small fixed ones (nation, region) where a source is a folder of single files.
+The files hold the driver's tables, and executors land them, folders of single files too.
 """
 
 from __future__ import annotations
 
 import io
-import json
 import tarfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracelink.functions import rules, text
@@ -34,25 +33,33 @@ def put(spark: SparkSession, path: str, data: str | bytes) -> None:
         out.close()
 
 
-def nations(s: SparkSession, d: str) -> list:
-    return sorted(t(s, d, "nation").collect(), key=lambda r: r.n_nationkey)  # a fixed table of 25 rows
+def put_rows(rows: DataFrame, path: str, *parts: str) -> None:
+    """Lands each row's `value` as a text file of its own, from the executors; parts: columns that name folders."""
+    out = rows.write.option("maxRecordsPerFile", 1)
+    (out.partitionBy(*parts) if parts else out).text(path)
 
 
 def archive_members(s, d):
-    """Archives of a region's nations, of each the first three XML members by name."""
-    folder, rows = landing(s), nations(s, d)
-    for region in sorted({r.n_regionkey for r in rows}):
+    """Archives of twenty suppliers each, packed by executors; of each the first three XML members by name."""
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
         packed = io.BytesIO()
-        with tarfile.open(fileobj=packed, mode="w:gz") as tar:
-            for r in (r for r in rows if r.n_regionkey == region):
-                for name in (f"x/data/xml/N{r.n_nationkey:02d}.xml", f"x/data/xml/N{r.n_nationkey:02d}.txt", f"x/other/A{r.n_nationkey:02d}.xml"):
-                    body = f"<collection id='{r.n_name}'/>".encode()
-                    info = tarfile.TarInfo(name)
+        with tarfile.open(fileobj=packed, mode="w") as tar:
+            for key, name in zip(rows["s_suppkey"], rows["s_name"]):
+                for path in (f"x/data/xml/S{key:09d}.xml", f"x/data/xml/S{key:09d}.txt", f"x/other/A{key:09d}.xml"):
+                    body = f"<collection id='{name}'/>".encode()
+                    info = tarfile.TarInfo(path)
                     info.size = len(body)
                     tar.addfile(info, io.BytesIO(body))
-        put(s, f"{folder}/{region}.tar.gz", packed.getvalue())
-    found = readers.volume_archives(s, f"{folder}/*.tar.gz", most=3)
-    return found.select("source", F.length("raw").alias("n_bytes"))
+        return pd.DataFrame({"value": [packed.getvalue()[:-1].decode("ascii")]})
+
+    # The archive's last byte, which is zero as all its padding, is the line separator.
+    folder = landing(s)
+    archive = F.floor(F.col("s_suppkey") / 20)
+    tars = t(s, d, "supplier").groupBy(archive).applyInPandas(pack, "value string")
+    tars.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").option("compression", "gzip").text(folder)
+    return readers.volume_archives(s, f"{folder}/part-*", most=3).select("source", F.length("raw").alias("n_bytes"))
 
 
 def volume_titles(s, d):
@@ -69,17 +76,20 @@ def volume_titles(s, d):
 
 
 def _works(s, d) -> str:
-    """Response pages, two of each region's query; odd regions announce a work more than they land."""
-    folder, rows = landing(s), nations(s, d)
-    for region in sorted({r.n_regionkey for r in rows}):
-        mine = [r for r in rows if r.n_regionkey == region]
-        for page in (0, 1):
-            results = [
-                {"id": f"https://x.org/W{r.n_nationkey}", "doi": f"https://doi.org/10.1/{r.n_name}" if r.n_nationkey % 2 else None, "title": r.n_name, "publication_year": 1990 + r.n_nationkey, "ids": {"mag": str(r.n_nationkey)}}
-                | ({"primary_location": {"source": {"display_name": "V"}}} if r.n_nationkey % 3 == 0 else {})
-                for r in mine[page::2]
-            ]
-            put(s, f"{folder}/q{region}/{page}.json", json.dumps({"meta": {"count": len(mine) + region % 2}, "results": results}, indent=1))
+    """Response pages of ten works each, landed by executors, for the query of each nation's suppliers; odd nations announce
+    a work more than they land."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    rows = t(s, d, "supplier")
+    name = F.concat(F.lit("https://doi.org/10.1/"), "s_name")
+    place = F.when(key % 3 == 0, F.struct(F.struct(F.lit("V").alias("display_name")).alias("source")))
+    work = F.struct(
+        F.concat(F.lit("https://x.org/W"), key).alias("id"), F.when(key % 2 == 1, name).alias("doi"), F.col("s_name").alias("title"), (key % 30 + 1990).alias("publication_year"),
+        F.struct(key.cast("string").alias("mag")).alias("ids"), place.alias("primary_location"),
+    )
+    announced = rows.groupBy("s_nationkey").agg((F.count("*") + nation % 2).alias("count"))
+    pages = rows.groupBy("s_nationkey", F.floor(key / 250).alias("page")).agg(F.collect_list(work).alias("results")).join(announced, "s_nationkey")
+    folder = landing(s)
+    put_rows(pages.select(F.concat(F.lit("q"), nation).alias("query"), F.to_json(F.struct(F.struct("count").alias("meta"), "results")).alias("value")), folder, "query")
     return folder
 
 
@@ -91,18 +101,32 @@ def works_landed(s, d):
 
 def incomplete_queries(s, d):
     """Queries that landed fewer works than they announced."""
-    return readers.incomplete_pages(s, f"{_works(s, d)}/*")
+    found = readers.incomplete_pages(s, f"{_works(s, d)}/*")
+    return found.select(F.substring_index("query", "=", -1).alias("query"), "announced", "landed")
 
 
-def citation_file(s, d):
-    """The edge file with an odd header, blanks, and rows without a patent."""
+def _citation_file(s, d) -> str:
+    """The edge file with an odd header, blanks of several kinds, and rows without a patent."""
     e = edges(s, d)
-    patent = F.when(F.col("oaid") % 11 != 0, F.concat(F.lit(" us-"), F.col("patent").cast("string")))
+    patent = F.when(F.col("oaid") % 11 != 0, F.concat(F.lit(" us-"), F.col("patent").cast("string"), F.lit("\t")))
     score = F.when(F.col("confscore") % 10 == 0, F.lit("n/a")).otherwise(F.col("confscore").cast("int").cast("string"))
     folder = landing(s)
     writers.table_csv(e.select(F.col("oaid").cast("string").alias(" OAID"), patent.alias("Patent"), F.concat("reftype", F.lit(" ")).alias("RefType"), score.alias("confscore"), F.col("wherefound").alias("WhereFound")), folder)
-    found = readers.citations(s, folder).groupBy("reftype", "wherefound")
-    return found.agg(F.count("*").alias("n"), F.countDistinct("patent").alias("patents"), F.coalesce(F.sum("confscore"), F.lit(0.0)).alias("score"))
+    return folder
+
+
+def citation_file(s, d):
+    """The edge file, by header."""
+    found = readers.citations(s, _citation_file(s, d)).groupBy("reftype", "wherefound")
+    return found.agg(F.count("*").alias("n"), F.countDistinct("patent").alias("patents"), F.coalesce(F.sum("confscore"), F.lit(0.0)).alias("score"), F.min(F.length("patent")).alias("shortest"))
+
+
+def row_counters(s, d):
+    """Rows of the edge file before and after the skip, observed while its one pass sums what is kept."""
+    read, kept = Observation("read"), Observation("kept")
+    total = readers.citations(s, _citation_file(s, d), read, kept).agg(F.coalesce(F.sum("confscore"), F.lit(0.0)).alias("score")).collect()  # one row
+    n, m = read.get["n"], kept.get["n"]
+    return s.createDataFrame([(n, m, n - m, total[0]["score"])], "read long, kept long, skipped long, score double")
 
 
 def award_file(s, d):
@@ -117,12 +141,12 @@ def award_file(s, d):
 
 
 def patent_records(s, d):
-    """A folder of JSON records, some absent, some missed, one broken."""
+    """A folder of JSON records, landed by executors, some absent, some missed, some broken."""
+    key = F.col("s_suppkey")
+    flags = [F.when(key % 5 == 0, True).alias("_absent"), F.when(key % 7 == 0, True).alias("_miss")]
+    record = F.to_json(F.struct(F.concat(F.lit("us-"), key).alias("patent_id"), F.col("s_name").alias("title"), *flags))
     folder = landing(s)
-    for r in nations(s, d):
-        flags = ({"_absent": True} if r.n_nationkey % 5 == 0 else {}) | ({"_miss": True} if r.n_nationkey % 7 == 0 else {})
-        put(s, f"{folder}/{r.n_nationkey}.json", json.dumps({"patent_id": f"us-{r.n_nationkey}", "title": r.n_name} | flags))
-    put(s, f"{folder}/broken.json", "{broken")
+    put_rows(t(s, d, "supplier").select(F.when(key % 11 == 3, F.lit("{broken")).otherwise(record).alias("value")), folder)
     return readers.patent_meta(s, folder).select("patent_id", "title")
 
 
@@ -189,7 +213,7 @@ def title_abstract_rules(s, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        archive_members, volume_titles, works_landed, incomplete_queries, citation_file, award_file, patent_records, patent_page_fields, patent_search_hits, csv_round_trip, parquet_round_trip,
+        archive_members, volume_titles, works_landed, incomplete_queries, citation_file, row_counters, award_file, patent_records, patent_page_fields, patent_search_hits, csv_round_trip, parquet_round_trip,
         summary_json, rule_file_tags, title_abstract_rules,
     ]
     return {f.__name__: f for f in found}
@@ -200,18 +224,20 @@ def oracle_sql() -> dict[str, str]:
 
     sql = plain()
     return {
-        "archive_members": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
-          SELECT 'N' || lpad(n_nationkey::VARCHAR, 2, '0') || '.xml' AS source, (length(n_name) + 19)::INT AS n_bytes FROM x WHERE k <= 3""",
+        "archive_members": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) AS k FROM supplier)
+          SELECT 'S' || lpad(s_suppkey::VARCHAR, 9, '0') || '.xml' AS source, (length(s_name) + 19)::INT AS n_bytes FROM x WHERE k <= 3""",
         "volume_titles": """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'P' ELSE 'c' END || p_partkey || '-1.1' AS acl_id, 'A ' || p_name AS title, 1999 AS year, 'P' || p_partkey AS venue_key, 'B' AS booktitle,
           false AS has_doi FROM part WHERE p_partkey % 7 <> 0""",
-        "works_landed": """SELECT 'W' || n_nationkey AS openalex_id, n_nationkey::VARCHAR AS mag_id, CASE WHEN n_nationkey % 2 = 1 THEN '10.1/' || lower(n_name) ELSE '' END AS doi_norm, n_name AS oa_title,
-          1990 + n_nationkey AS oa_year, CASE WHEN n_nationkey % 3 = 0 THEN 'V' ELSE '' END AS oa_source FROM nation""",
-        "incomplete_queries": "SELECT 'q' || n_regionkey AS query, count(*) + 1 AS announced, count(*) AS landed FROM nation WHERE n_regionkey % 2 = 1 GROUP BY n_regionkey",
+        "works_landed": """SELECT 'W' || s_suppkey AS openalex_id, s_suppkey::VARCHAR AS mag_id, CASE WHEN s_suppkey % 2 = 1 THEN '10.1/' || lower(s_name) ELSE '' END AS doi_norm, s_name AS oa_title,
+          (1990 + s_suppkey % 30)::INT AS oa_year, CASE WHEN s_suppkey % 3 = 0 THEN 'V' ELSE '' END AS oa_source FROM supplier""",
+        "incomplete_queries": "SELECT 'q' || s_nationkey AS query, count(*) + 1 AS announced, count(*) AS landed FROM supplier WHERE s_nationkey % 2 = 1 GROUP BY s_nationkey",
+        "row_counters": """SELECT count(*) AS read, count(*) FILTER (l_orderkey % 11 <> 0) AS kept, count(*) FILTER (l_orderkey % 11 = 0) AS skipped,
+          coalesce(sum(l_quantity) FILTER (l_orderkey % 11 <> 0 AND l_quantity % 10 <> 0), 0)::DOUBLE AS score FROM lineitem""",
         "citation_file": """SELECT l_returnflag AS reftype, l_linestatus AS wherefound, count(*) AS n, count(DISTINCT l_partkey) AS patents,
-          coalesce(sum(CASE WHEN l_quantity % 10 <> 0 THEN l_quantity END), 0)::DOUBLE AS score FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1, 2""",
+          coalesce(sum(CASE WHEN l_quantity % 10 <> 0 THEN l_quantity END), 0)::DOUBLE AS score, min(length(l_partkey::VARCHAR) + 3)::INT AS shortest FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1, 2""",
         "award_file": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'NASA' ELSE 'DOD' END AS agency, (doc_id % 9 + 2010)::VARCHAR AS year, count(*) AS n, sum(length(text) + 8)::BIGINT AS chars, count(*) AS solicited,
           0::BIGINT AS branches FROM documents GROUP BY 1, 2""",
-        "patent_records": "SELECT 'us-' || n_nationkey AS patent_id, n_name AS title FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0",
+        "patent_records": "SELECT 'us-' || s_suppkey AS patent_id, s_name AS title FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 3",
         "patent_page_fields": """SELECT 'US' || p_partkey || 'B2' AS patent_id, p_partkey::VARCHAR AS number, p_name || ' & Co - more' AS title, '<' || p_type || '> éé' AS abstract, '' AS assignee,
           CASE WHEN p_partkey % 2 = 0 THEN 'G10L' ELSE 'H04N' END AS ipc, '' AS cpc, '704/1' AS us_class FROM part WHERE p_partkey % 10 <> 0""",
         "patent_search_hits": "SELECT 'us-' || p_partkey || '-b2' AS patent_id, p_name AS title FROM part WHERE p_partkey % 3 <> 0",

@@ -49,6 +49,12 @@ def tagged(s: SparkSession, d: str) -> DataFrame:
     return rules.tag(t(s, d, "documents").select("doc_id", "text", "lang", "source"), RULES, F.col("text")).drop("text")
 
 
+def tagged_and_rated(s: SparkSession, d: str) -> DataFrame:
+    """Tags of the documents that have labels; only their texts are matched."""
+    docs = rated(s, d).select("doc_id", "text", (F.col("toxic") == 1).alias("hit"))
+    return rules.tag(docs, RULES, F.col("text")).drop("text")
+
+
 def rated(s: SparkSession, d: str) -> DataFrame:
     """Documents with their labels."""
     return t(s, d, "documents").join(t(s, d, "labels"), "doc_id")
@@ -114,7 +120,7 @@ def tag_counts(s, d):
 
 
 def tag_rates(s, d):
-    rows = tagged(s, d).join(t(s, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
+    rows = tagged_and_rated(s, d)
     return rates.tag_rates(rows, "hit").withColumn("rate", r6("rate"))
 
 
@@ -124,14 +130,14 @@ def tag_reach(s, d):
 
 
 def tag_jeffreys(s, d):
-    rows = tagged(s, d).join(t(s, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
+    rows = tagged_and_rated(s, d)
     base = t(s, d, "labels").agg((F.sum("toxic") / F.count("*")).alias("base"))
     found = rates.with_interval(rates.tag_rates(rows, "hit")).join(F.broadcast(base))
     return rates.flag_extreme(found, F.col("base")).select("tag", "n", "hits", r6("interval.low").alias("low"), r6("interval.high").alias("high"), "excludes_base")
 
 
 def bootstrap_ci(s, d):
-    rows = tagged(s, d).join(t(s, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
+    rows = tagged_and_rated(s, d)
     found = rates.tag_rates(rows, "hit").withColumn("i", intervals.bootstrap_mean(2000)("hits", "n"))
     return found.select("tag", "n", "hits", r6("i.low").alias("low"), r6("i.high").alias("high"))
 
@@ -305,7 +311,7 @@ def consensus_agreement(s, d):
 
 def rate_ranking(s, d):
     """Tags by rate, largest first, those of too few rows last and without one."""
-    rows = tagged(s, d).join(t(s, d, "labels"), "doc_id").withColumn("hit", F.col("toxic") == 1)
+    rows = tagged_and_rated(s, d)
     found = rates.tag_rates(rows, "hit").withColumn("rate", F.when(F.col("n") >= 20, F.col("rate")))
     return rates.ranked(found, "rate", "tag").select("place", "tag", or_minus(r6("rate")).alias("rate"))
 
@@ -332,19 +338,6 @@ def spend_cap(s, d):
     return found.select("key", r6("cost").alias("cost"), r6("spent").alias("spent"))
 
 
-def flaky_labels(s, d):
-    """A labeller that fails at first for every other prompt and always for some: retries, and what fails is not cached."""
-    asked: dict[str, int] = {}
-
-    def flaky(prompts):
-        for p in prompts:
-            asked[p] = asked.get(p, 0) + 1
-        return [None if p.endswith("7") or (asked[p] < 3 and len(p) % 2) else "ok" for p in prompts]
-
-    rows = t(s, d, "part").select(F.col("p_partkey").cast("string").alias("prompt"), F.md5(F.col("p_partkey").cast("string")).alias("key"))
-    return labeller.respond(rows, flaky).select("key", "raw")
-
-
 def _flips(s, d) -> DataFrame:
     rows = t(s, d, "documents").join(t(s, d, "labels"), "doc_id", "left")
     shown = F.when(F.col("toxic") == 1, "b").when(F.col("toxic") == 0, "a")
@@ -409,12 +402,15 @@ def term_three_level(s, d):
 
 
 def term_snippets(s, d):
-    hit = t(s, d, "documents").select("doc_id", rules.snippet("text", "licen[cs]e", 30).alias("snippet")).where("snippet IS NOT NULL").withColumn("term", F.lit("license"))
+    """Snippets of strict hits: the term matches, and a context word is in the text too."""
+    strict = t(s, d, "documents").where(rules.matches("text", r"\b(with|for|by|of)\b"))
+    hit = strict.select("doc_id", rules.snippet("text", "licen[cs]e", 30).alias("snippet")).where("snippet IS NOT NULL").withColumn("term", F.lit("license"))
     return awards.first_snippets(hit, "term", "doc_id")
 
 
 def dedup_first(s, d):
-    return links.first_by(t(s, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
+    """Of equal texts the least id; a digest is shuffled for each text."""
+    return links.first_by(t(s, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), "digest", "doc_id").select("doc_id")
 
 
 def last_turn(s, d):
@@ -538,7 +534,7 @@ def chained_membership(s, d):
 def triple_coded(s, d):
     """Three-way inner join with both labels inside the domain."""
     a = t(s, d, "labels").select("doc_id", F.concat(F.lit(" "), F.col("quality").cast("string")).alias("a"))
-    b = t(s, d, "labels").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "odd").otherwise(F.col("toxic").cast("string")).alias("b"))
+    b = t(s, d, "labels").select("doc_id", F.concat(F.col("toxic").cast("string"), F.lit("\t")).alias("b"))
     key = t(s, d, "documents").select("doc_id", "lang")
     rows = a.join(b, "doc_id").join(key, "doc_id").select("lang", text.clean_label("a").alias("a"), text.clean_label("b").alias("b"))
     return rows.where(F.col("a").isin("0", "1") & F.col("b").isin("0", "1")).groupBy("lang", "a", "b").agg(F.count("*").alias("n"))
@@ -569,6 +565,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         flip_rates, flip_consistency, stacked_arms, crosstab_label_class, class_codes, assignees, missing_by_year, missing_by_branch, kth_mention, award_arms, term_three_level, term_snippets,
         dedup_first, last_turn, doi_norm_join, work_ids, paper_ids, year_parse, label_clean, html_fields, html_unescape, json_extract, prompts, md5_cache_miss, rule_labels, representativeness,
         id_set_sizes, labelled_coverage, lookup_default, chained_membership, triple_coded, stream_links, absent_count, digit_years, omnibus_chi_square, in_text_links,
-        consensus_agreement, rate_ranking, distinct_lists, link_fanout, spend_cap, flaky_labels,
+        consensus_agreement, rate_ranking, distinct_lists, link_fanout, spend_cap,
     ]
     return {f.__name__: f for f in found}

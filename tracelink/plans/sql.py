@@ -197,7 +197,6 @@ def oracle_sql() -> dict[str, str]:
         "spend_cap": """WITH k AS (SELECT DISTINCT md5('model|' || text) AS key, length(text) / 1000 AS cost FROM documents),
           c AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM k)
           SELECT key, round(cost, 6) AS cost, round(spent, 6) AS spent FROM c WHERE spent <= 100""",
-        "flaky_labels": "SELECT md5(p_partkey::VARCHAR) AS key, 'ok' AS raw FROM part WHERE p_partkey % 10 <> 7",
         "html_unescape": r"""WITH x AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS h FROM pages)
           SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')))::INT AS n FROM x""",
         "flip_rates": f"""WITH {_FLIPS}, m AS (SELECT flipped, unnest(['all', 'shown_b', 'english']) AS mask, unnest([true, coalesce(shown = 'b', false), coalesce(lang = 'en', false)]) AS inside FROM flips)
@@ -218,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT CASE WHEN doc_id % 5 IN (0, 2) THEN 'defence' ELSE 'civilian' END AS arm, count(*) AS n FROM a WHERE doc_id % 5 <> 4
           AND NOT (regexp_matches(abstract, '{ELECTRICAL}', 'i') AND NOT regexp_matches(abstract, '{AI_CONTEXT_SHORT}', 'i')) GROUP BY 1""",
         "term_three_level": terms,
-        "term_snippets": r"""WITH h AS (SELECT doc_id, text, regexp_extract(text, 'licen[cs]e', 0, 'i') AS m FROM documents WHERE regexp_matches(text, 'licen[cs]e', 'i')),
+        "term_snippets": r"""WITH h AS (SELECT doc_id, text, regexp_extract(text, 'licen[cs]e', 0, 'i') AS m FROM documents WHERE regexp_matches(text, 'licen[cs]e', 'i') AND regexp_matches(text, '\b(with|for|by|of)\b', 'i')),
           p AS (SELECT doc_id, text, m, instr(text, m) AS pos FROM h), q AS (SELECT doc_id, text, m, pos, greatest(pos - 30, 1) AS b FROM p)
           SELECT doc_id, trim(regexp_replace(substring(text, b, pos - b + length(m) + 30), '\s+', ' ', 'g')) AS snippet, 'license' AS term, row_number() OVER (ORDER BY doc_id)::INT AS item FROM q QUALIFY item <= 2""",
         "dedup_first": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
@@ -247,7 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "lookup_default": "SELECT coalesce(n_name, '') AS nation, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey GROUP BY 1",
         "chained_membership": f"""WITH {_PAPERS}, {_EDGES}, w AS (SELECT DISTINCT oaid FROM edges WHERE patent IN (SELECT p_partkey FROM part WHERE p_size <= 3))
           SELECT year, count(*) AS n, count(w.oaid) AS cited FROM papers LEFT JOIN w USING (oaid) GROUP BY 1""",
-        "triple_coded": """SELECT lang, quality::VARCHAR AS a, toxic::VARCHAR AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 <> 0 GROUP BY 1, 2, 3""",
+        "triple_coded": """SELECT lang, quality::VARCHAR AS a, toxic::VARCHAR AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IN (0, 1) AND toxic IN (0, 1) GROUP BY 1, 2, 3""",
         "stream_links": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY 1",
         "absent_count": "SELECT count(*) AS n, count(*) FILTER (p_size < 5) AS absent FROM part",
         "digit_years": "SELECT (doc_id % 5 + 2015)::INT AS year, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 AND length(text) >= 50 GROUP BY 1",

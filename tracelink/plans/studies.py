@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tracelink.functions.ids import content_key
 from tracelink.labelling import labeller
 from tracelink.labelling.cache import ResponseCache
+from tracelink.operators import claims
 from tracelink.operators.ablation import threshold_ablation
 from tracelink.operators.ordering import Ordered, plain
 from tracelink.operators.titles import ACCENTS, PLAIN, match_titles
-from tracelink.plans.queries import edges, or_minus, papers, r6, t
+from tracelink.plans.queries import edges, or_minus, papers, r6, rated, t
 from tracelink.session import shared_folder
 from tracelink.stats.correlation import spearman
 from tracelink.stats.trend import logistic_trend
@@ -91,8 +92,26 @@ def stored_responses(s, d):
     return keyed.select("doc_id", "key").join(cache.find(keyed), "key").select("doc_id", labeller.parse_response("raw")["label"].alias("label"))
 
 
+def _claims(s) -> DataFrame:
+    """Published numbers: of links, of rates by language, and one that nothing measures. Fixed values."""
+    rows = [
+        ("one link in three is an applicant's", "applicant_pct", 33.0, 0), ("half of the links are in the text", "in_text_pct", 50.0, 0), ("most links are sure", "confident_pct", 99.9, 1), ("mean confidence", "mean_score", 25.5, 1),
+        ("patents, to the nearest thousand", "patents", 2000.0, -3), ("a tenth of German texts is toxic", "toxic_pct[de]", 10.0, 0), ("good English texts", "good_pct[en]", 90.0, -1), ("Latin texts", "toxic_pct[la]", 1.0, 0), ("nobody measures this", "readers", 7.0, 0),
+    ]
+    return s.createDataFrame(rows, "claim string, metric string, claimed double, decimals int")
+
+
+def published_claims(s, d):
+    """V1: every claim against what the tables give."""
+    pct = lambda c: F.count_if(c) * 100 / F.count("*")
+    links = {"applicant_pct": pct(F.col("reftype") == "A"), "in_text_pct": pct(F.col("wherefound") == "O"), "confident_pct": pct(F.col("confscore") >= 5), "mean_score": F.avg("confscore"), "patents": F.countDistinct("patent")}
+    found = claims.measured(edges(s, d), links).unionByName(claims.measured_by(rated(s, d), "lang", {"toxic_pct": pct(F.col("toxic") == 1), "good_pct": pct(F.col("quality") == 1)}))
+    out = claims.verdicts(_claims(s), found)
+    return out.select("claim", "metric", "claimed", F.round(or_minus("value"), 6).alias("value"), "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [grant_trend, title_fallback, rank_correlation, confidence_ablation, all_rows_in_order, stored_responses]
+    found = [grant_trend, title_fallback, rank_correlation, confidence_ablation, all_rows_in_order, stored_responses, published_claims]
     return {f.__name__: f for f in found}
 
 
@@ -153,6 +172,17 @@ FROM e JOIN a USING (setting), g GROUP BY setting, threshold
         "all_rows_in_order": f"""
 SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER w AS place, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM lineitem
 WINDOW w AS (ORDER BY {', '.join(ORDER)})
+""",
+        "published_claims": """
+WITH c(claim, metric, claimed, decimals) AS (VALUES ('one link in three is an applicant''s', 'applicant_pct', 33.0, 0), ('half of the links are in the text', 'in_text_pct', 50.0, 0), ('most links are sure', 'confident_pct', 99.9, 1),
+  ('mean confidence', 'mean_score', 25.5, 1), ('patents, to the nearest thousand', 'patents', 2000.0, -3), ('a tenth of German texts is toxic', 'toxic_pct[de]', 10.0, 0), ('good English texts', 'good_pct[en]', 90.0, -1),
+  ('Latin texts', 'toxic_pct[la]', 1.0, 0), ('nobody measures this', 'readers', 7.0, 0)),
+l AS (SELECT unnest(['applicant_pct', 'in_text_pct', 'confident_pct', 'mean_score', 'patents']) AS metric,
+  unnest([100 * avg((l_returnflag = 'A')::INT), 100 * avg((l_linestatus = 'O')::INT), 100 * avg((l_quantity >= 5)::INT), avg(l_quantity), count(DISTINCT l_partkey)]) AS value FROM lineitem),
+g AS (SELECT unnest(['toxic_pct[', 'good_pct[']) || lang || ']' AS metric, unnest([100 * avg((toxic = 1)::INT), 100 * avg((quality = 1)::INT)]) AS value FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang),
+m AS (SELECT * FROM l UNION ALL SELECT * FROM g)
+SELECT claim, c.metric, claimed::DOUBLE AS claimed, round(coalesce(value, -1), 6)::DOUBLE AS value,
+  CASE WHEN value IS NULL THEN 'missing' WHEN floor(value * pow(10, decimals) + 0.5 + 1e-9) = floor(claimed * pow(10, decimals) + 0.5 + 1e-9) THEN 'ok' ELSE 'failed' END AS verdict FROM c LEFT JOIN m ON c.metric = m.metric
 """,
         "stored_responses": """
 SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?i)licen[cs]e') THEN 'surveillance' WHEN contains(coalesce(text, ''), '!!') THEN 'dual_use_ambiguous' ELSE 'neither' END AS label FROM documents
