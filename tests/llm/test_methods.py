@@ -532,9 +532,10 @@ def test_all_pairs_of_the_least_score_are_found(min_score):
             copy += [] if kind < (k % 7) / 40 else word(1) if kind < (k % 7) / 12 else [w, *word(1)] if kind < (k % 7) / 9 else [w]
         texts.append(word(rng.integers(0, 60)) + copy + word(rng.integers(0, 60)))
     texts.append([y for x in items[0] for y in (x, "of")])
+    texts += [[y for k, x in enumerate(items[1]) for y in ([x, "of", "of"] if k % 2 else [x])], [x for k, x in enumerate(items[2]) if k % 4 != 3], ["of" if k % 4 == 3 else x for k, x in enumerate(items[3])]]
     m = decontamination.Items(np.arange(30), [" ".join(x) for x in items], min_score, 5)
     hashes, bounds = decontamination._words([" ".join(t) for t in texts])
-    for counts in (np.bincount(np.searchsorted(m.all, hashes[np.isin(hashes, m.all)]), minlength=len(m.all)), np.zeros(len(m.all), np.int64)):
+    for counts in (np.bincount(m.all.find(hashes, bounds)[1], minlength=len(m.all.values)), np.zeros(len(m.all.values), np.int64)):
         m.choose_seeds(counts)
         got = {(t, i): score for t, i, score, *_ in decontamination.leaks_of(m, hashes, bounds, [(t,) for t in range(len(texts))])}
         want = {}
@@ -545,6 +546,34 @@ def test_all_pairs_of_the_least_score_are_found(min_score):
         assert got == want and len(want) > 20
 
 
+def test_sure_pairs():
+    """No edit of the least score keeps fewer pairs, at most a word apart, than `sure`: all edits of small items."""
+    for n, score in itertools.product((5, 6), (0.5, 0.7)):
+        item = [f"w{i}" for i in range(n)]
+        m = decontamination.Items(np.arange(1), [" ".join(item)], score, 5)
+        least = n
+        for kinds in itertools.product(("keep", "drop", "swap", "one", "two"), repeat=n):
+            text = [y for w, k in zip(item, kinds) for y in {"keep": [w], "drop": [], "swap": ["x"], "one": [w, "x"], "two": [w, "x", "x"]}[k]]
+            cost = 2 * n * score
+            if sum({"keep": 2, "drop": -1, "swap": -1, "one": 1, "two": 0}[k] for k in kinds) + 2 >= cost:  # what is put in last is not in the alignment
+                hashes, bounds = decontamination._words([" ".join(text)])
+                if decontamination.smith_waterman([m.words[0]], [hashes])[0][0] >= cost:
+                    least = min(least, len(set(m.all.find(hashes, bounds)[0])) if m.paired[0] else m.sure[0])
+        assert least >= m.sure[0] >= 1
+
+
+def test_seed_hits_are_few(data, texts):
+    """Of 200 items, passages of the documents themselves, the seeds' hits per word of all documents; in 100 items about half as many."""
+    own = [" ".join(t.split()[20:55]) for t in texts.values() if t and len(t.split()) > 80]
+    hashes, bounds = decontamination._words([t or "" for t in texts.values()])
+    rate = {}
+    for n in (len(own[:200]) // 2, len(own[:200])):
+        m = decontamination.Items(np.arange(n), own[:n], 0.5, 5)
+        m.choose_seeds(np.bincount(m.all.find(hashes, bounds)[1], minlength=len(m.all.values)))
+        rate[n] = sum(len(w) for _, w, _ in m.hits(hashes, bounds)) / len(hashes)
+    assert max(rate.values()) < 0.2
+
+
 def test_a_benchmark_in_blocks(spark, data, docs, monkeypatch):
     items = spark.read.parquet(f"{data}/benchmark.parquet")
     want = {tuple(r)[:3] for r in decontamination.find_leaks(docs, items).drop("n_seeds").collect()}

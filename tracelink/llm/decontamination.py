@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are n-grams of one word: a copy can reach the least score without two words in a row left, so longer ones would lose
-it. Of each benchmark item the rarest words over the whole corpus are seeds, as many as make sure that every alignment
-of the least score matches several of them (see `Items`); which ones they are affects the work, never the result. Documents
+Seeds are pairs of words that follow each other in an item. In a document the words of a pair may have one other word
+between them: a copy can reach the least score with a word put in everywhere, but then few gaps are left for two. How many
+such pairs an alignment of the least score keeps at least follows from the scores (see `Items`); of each item so many of
+the pairs that are rarest over the whole corpus are seeds that several of them must be hit. Items for which no pair is
+sure to be kept, the shortest, have words as seeds. Which n-grams are seeds affects the work, never the result. Documents
 are scanned once against the seeds. Where enough of them lie close together, and enough of all the item's words do, the
 item and that window of the document are aligned word by word. Neither bound drops an alignment of the least score.
 """
@@ -39,11 +41,51 @@ _GAP = NO_LETTER.copy()
 _GAP[48:58] = False
 
 
+#: Two words that are neighbours in an item may be so far apart in a document.
+STEPS = (1, 2)
+_SPOTS = 22
+
+
+def _pairs(first: np.ndarray, second_mixed: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second_mixed)
+
+
+class Grams:
+    """A set of n-grams (hashes of words or pairs of words) to look for; a table of bits sorts out most others first."""
+
+    def __init__(self, values: np.ndarray, words: bool):
+        self.values, self.words = values, words
+        self.bits = np.zeros(1 << _SPOTS, bool)
+        self.bits[values >> np.uint64(64 - _SPOTS)] = True
+
+    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words at which n-grams begin, in order, and the n-grams' places among the values."""
+        mixed = mix(hashes)
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        streams = [hashes] if self.words else []
+        streams += [_pairs(hashes[:-k], mixed[k:]) for k in STEPS]
+        steps = [0] * self.words + list(STEPS)
+        where, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, grams in zip(steps, streams):
+            maybe = np.flatnonzero(self.bits[grams >> np.uint64(64 - _SPOTS)])
+            found, place = _found(self.values, grams[maybe])
+            found = maybe[found]
+            inside = found + k < end[found]  # n-grams end in the text they begin in
+            where.append(found[inside])
+            at.append(place[inside])
+        where, at = np.concatenate(where), np.concatenate(at)
+        by = np.argsort(where, kind="stable")
+        return where[by], at[by]
+
+
 class Items:
-    """A block of benchmark items, their words, and the seeds among them.
+    """A block of benchmark items, their words, and the seeds among their n-grams.
 
     An alignment of the least score matches at least `need` words of an item of `length` words, and covers at most `span`
-    words of a document. So of any length - need + least of its words, it matches at least `least`.
+    words of a document. Let X of the item's words inside of it be unmatched, U at its ends, and I words be put in: then 3 X +
+    2 U + I <= R = 2 (1 - score) length. Of the length - 1 pairs, X words break at most 2 X, U at most U, and I words drive
+    at most I / 2 pairs more than one word apart, 2 R / 3 at the most together. So at least `sure` pairs are kept (or, where
+    that is none, `need` words), and of any number - sure + least of an item's n-grams it keeps at least `least`.
     """
 
     def __init__(self, ids: np.ndarray, texts: list[str], min_score: float, least_words: int):
@@ -54,25 +96,36 @@ class Items:
         self.score = np.where(self.length < least_words, 1.0, min_score)
         self.need = np.maximum(1, np.ceil(self.score * self.length - 1e-9)).astype(np.int64)
         self.span = np.floor((3 - 2 * self.score) * self.length + 1e-9).astype(np.int64)
-        self.least = 1 + self.need // 4
-        self.word, self.item = hashes, np.repeat(np.arange(len(texts)), self.length)
-        self.all = np.unique(self.word)
-        self.held = np.unique(_of_item(self.word, self.item))
+        pairs = self.length - 1 - np.floor(4 * (1 - self.score) * self.length / 3 + 1e-9).astype(np.int64)
+        self.paired = pairs > 0
+        self.sure = np.where(self.paired, pairs, self.need)
+        self.number = self.length - self.paired  # n-grams of an item
+        self.least = 1 + self.sure // 4
+        item = np.repeat(np.arange(len(texts)), self.length)
+        self.held = np.unique(_of_item(hashes, item))
+        grams = hashes.copy()
+        grams[:-1] = np.where(self.paired[item[:-1]], _pairs(hashes[:-1], mix(hashes[1:])), hashes[:-1])
+        ends = np.zeros(len(hashes), bool)
+        ends[bounds[1:][self.length > 0] - 1] = True
+        begins = ~(ends & self.paired[item])  # no pair begins at an item's last word
+        self.gram, self.item = grams[begins], item[begins]
+        self.all = Grams(np.unique(self.gram), bool((~self.paired).any()))
 
     def choose_seeds(self, counts: np.ndarray) -> None:
-        """Seeds are the rarest length - need + least words of each item (ties: by hash); counts is aligned with self.all."""
-        by = np.lexsort((self.word, counts[np.searchsorted(self.all, self.word)], self.item))
-        word, item = self.word[by], self.item[by]
+        """Seeds are the rarest number - sure + least n-grams of each item (ties: by hash); counts is aligned with self.all."""
+        by = np.lexsort((self.gram, counts[np.searchsorted(self.all.values, self.gram)], self.item))
+        gram, item = self.gram[by], self.item[by]
         rank = np.arange(len(by)) - np.searchsorted(item, item)
-        few = rank < (self.length - self.need + self.least)[item]
-        seeds = pd.DataFrame({"word": word[few], "item": item[few]}).drop_duplicates().sort_values(["word", "item"])
-        self.seed, self.seed_item = seeds["word"].to_numpy(np.uint64), seeds["item"].to_numpy(np.int64)
-        self.seeds, self.seed_at = np.unique(self.seed, return_index=True)
+        few = rank < (self.number - self.sure + self.least)[item]
+        seeds = pd.DataFrame({"gram": gram[few], "item": item[few]}).drop_duplicates().sort_values(["gram", "item"])
+        self.seed, self.seed_item = seeds["gram"].to_numpy(np.uint64), seeds["item"].to_numpy(np.int64)
+        values, self.seed_at = np.unique(self.seed, return_index=True)
         self.seed_end = np.append(self.seed_at[1:], len(self.seed))
+        self.seeds = Grams(values, self.all.words)
 
     def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(text, word, item) of all seeds' occurrences, some texts at a time."""
-        where, at = _found(self.seeds, hashes)
+        where, at = self.seeds.find(hashes, bounds)
         n = (self.seed_end - self.seed_at)[at]
         total, edges = np.concatenate([[0], np.cumsum(n)]), np.searchsorted(where, bounds)
         for a, b in slabs_of(total[edges], HITS_AT_ONCE):
@@ -174,29 +227,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, le
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas().drop_duplicates().sort_values("item_id", kind="stable")
         block = Items(part["item_id"].to_numpy(), list(part["text"]), min_score, least_words)
-        block.choose_seeds(word_counts(docs, block))
+        block.choose_seeds(gram_counts(docs, block))
         found = _align(docs, spark.sparkContext.broadcast(block))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often all documents hold each of the items' words."""
+def gram_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often all documents hold each of the items' n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(items.all)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value
-        n = np.zeros(len(words), np.int64)
+        grams = shared.value
+        n = np.zeros(len(grams.values), np.int64)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"].array]
             for a, b in slabs(texts):
-                n += np.bincount(_found(words, _words(texts[a:b])[0])[1], minlength=len(words))
-        yield pd.DataFrame({"word": np.flatnonzero(n), "n": n[n > 0]})
+                n += np.bincount(grams.find(*_words(texts[a:b]))[1], minlength=len(n))
+        yield pd.DataFrame({"gram": np.flatnonzero(n), "n": n[n > 0]})
 
-    out = np.zeros(len(items.all), np.int64)
-    if len(items.all):
-        for r in docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-            out[r["word"]] = r["n"]
+    out = np.zeros(len(items.all.values), np.int64)
+    if len(out):
+        for r in docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+            out[r["gram"]] = r["n"]
     return out
 
 
