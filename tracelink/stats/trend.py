@@ -41,15 +41,17 @@ def logistic_trend(rows: DataFrame, y: str, x: Sequence[str] | str, cluster: str
             found = _newton(cells.select("n", "k", *scaled), xs, ones / n, steps, tolerance)
     finally:
         cells.unpersist()
-    clusters = used.select("g").distinct().count() if n else 0
-    blank = [(name, *[None] * 7, n, clusters) for name in ("intercept", *names)]
-    if found is None or clusters < 2 or n <= k:
-        return spark.createDataFrame(blank, COLUMNS)
+    nothing = lambda clusters: spark.createDataFrame([(name, *[None] * 7, n, clusters) for name in ("intercept", *names)], COLUMNS)
+    if found is None:
+        return nothing(used.select("g").distinct().count() if n else 0)
 
     beta, information = found
     left = F.col("y") - 1 / (1 + F.exp(-_linear(beta, xs)))
     scores = used.select("g", "y", *scaled).groupBy("g").agg(F.sum(left).alias("s0"), *[F.sum(left * F.col(c)).alias(f"s{i}") for i, c in enumerate(xs, 1)])
-    meat = _symmetric(scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(k) for j in range(i + 1)]).first(), k)
+    *products, clusters = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(k) for j in range(i + 1)], F.count("*")).first()
+    if clusters < 2 or n <= k:
+        return nothing(clusters)
+    meat = _symmetric(products, k)
     bread = np.linalg.inv(information)
     variance = bread @ meat @ bread * clusters / (clusters - 1) * (n - 1) / (n - k)
     back = np.eye(k)  # from scaled predictors to those given
