@@ -8,8 +8,9 @@ global. So the largest task holds a range partition, and the driver as many rows
 from __future__ import annotations
 
 import itertools
+import operator
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +19,21 @@ from tracelink.session import shared_folder
 
 _SHIFT = 33  # monotonically_increasing_id: the partition above these bits, the row's place in it below
 
-Fold = tuple[Callable[[Column], Column], Callable]
-SUM: Fold = (F.sum, lambda a, b: a + b)
-LEAST: Fold = (F.min, min)
+#: An aggregate, how the driver joins two of its values, and how columns do; no value is null.
+Fold = tuple[Callable[[Column], Column], Callable, Callable[[Column, Column], Column]]
+SUM: Fold = (F.sum, operator.add, lambda a, b: a + b)
+LEAST: Fold = (F.min, min, F.least)
+XOR: Fold = (F.bit_xor, operator.xor, lambda a, b: a.bitwiseXOR(b))
 
 
 class Ordered:
     """Rows in the order of `order`, which should end with a unique column; rows that tie otherwise come as the sort leaves them, nulls as
-    Spark sorts them. `n` is their number."""
+    Spark sorts them. `n` is their number. keep: the columns that are written (default: all), others only serve the order."""
 
-    def __init__(self, rows: DataFrame, *order: Column | str):
+    def __init__(self, rows: DataFrame, *order: Column | str, keep: Sequence[str] | None = None):
         spark = rows.sparkSession
         placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        placed = placed.select(*keep, "_at") if keep else placed
         path = f"{shared_folder(spark)}/tracelink/ordered-{uuid.uuid4().hex}"
         placed.write.parquet(path)
         self.rows = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", _SHIFT))
@@ -52,17 +56,12 @@ class Ordered:
     def running(self, rows: DataFrame, value: str, name: str, fold: Fold = SUM) -> DataFrame:
         """Adds the sum (or another fold) of `value` up to each row, itself included; nulls add nothing. rows: from `numbered`,
         or `self.rows`."""
-        of, join = fold
+        of, join, both = fold
         kind = rows.select(of(F.col(value)).alias("x")).schema["x"].dataType.simpleString()
         totals = dict(rows.groupBy("_part").agg(of(F.col(value)).alias("x")).collect())
         local = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = self._with_offsets(rows.withColumn("_own", of(F.col(value)).over(local)), totals, join, kind, "_before")
-        if of is F.sum:
-            both = F.coalesce("_before", F.lit(0)) + F.coalesce("_own", F.lit(0))
-            both = F.when(F.col("_before").isNotNull() | F.col("_own").isNotNull(), both)
-        else:
-            both = F.least("_before", "_own")  # skips nulls
-        return rows.withColumn(name, both).drop("_own", "_before")
+        return rows.withColumn(name, F.coalesce(both(F.col("_before"), F.col("_own")), "_before", "_own")).drop("_own", "_before")
 
 
 def plain(rows: DataFrame) -> DataFrame:
