@@ -82,6 +82,17 @@ def test_many_share_and_many_are_equal(spark):
     assert collected(trie.conversation_trie(docs, 100)) == want == collected(trie.conversation_trie(docs))
 
 
+def test_one_conversation_of_most_turns(spark):
+    """It is spread over tasks: no window goes by conversation."""
+    rows = [(40, t, "u", f"turn {t % 7}") for t in range(30_000)] + [(41 + c, t, "u", f"turn {t}") for c in range(25) for t in range(3)]
+    turns, convs = trie.rebuild(spark.createDataFrame(rows, SCHEMA))
+    plan = trie.prefixes(turns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "windowspecdefinition(conv_id" not in plan
+    nodes, _ = trie.prefix_trie(turns, convs)
+    want = by_hand(rows)
+    assert sorted(map(tuple, nodes.select("conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens").collect())) == sorted((c, d, n, k, m, s) for c, d, _, n, k, m, s, _ in want)
+
+
 def test_digest_over_chunks(spark):
     ends = spark.range(10_000).selectExpr("2L AS depth", "id % 2 AS u", "1L AS v", "id - 5000 AS conv_id").repartition(7)
     got = {r.u: r.ends_sha256 for r in trie.ends_digests(ends, chunk=16).collect()}

@@ -20,10 +20,11 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelink.llm.shared import staged
+from tracelink.operators.ordering import XOR, Ordered, plain
 
 SPACE = r"[\x20\x09-\x0D]+"
 KEY = ["depth", "u", "v"]
@@ -40,33 +41,44 @@ def rebuild(conversations: DataFrame, block: int = 20, modulus: int = 4) -> tupl
     there are fewer, and none if there is no such conversation. h: `shared_turns`.
 
     Turns are ordered by turn, nulls first, then role and text; null roles and texts are empty, and repeated rows are turns of
-    their own. Rows without conv_id belong to no conversation and are left out.
+    their own. Rows without conv_id belong to no conversation and are left out. Places come from an order of all turns over
+    range partitions, so a conversation of very many turns is spread like any others.
     Returns (turns, conversations): conv_id, depth from 1, a and b (hashes of role and text) and words; and all conv_ids.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")) - 1
     words = F.size(F.array_remove(F.split("text", SPACE), "")).cast("long")
-    turns = turns.select("conv_id", place.alias("place"), F.xxhash64("role", "text").alias("a"), F.xxhash64("text", F.lit(11), "role").alias("b"), words.alias("words"))
-    turns = staged(turns, "turns")
-
-    h = shared_turns(F.col("conv_id"), modulus)
-    convs = turns.where("place = 0").select("conv_id", h.alias("h"))
-    given = turns.where((F.col("conv_id") % block == 0) & (F.col("place") < modulus - 1)).withColumnRenamed("conv_id", "giver")
-    taken = convs.withColumn("giver", F.col("conv_id") - F.col("conv_id") % block).join(given, "giver").where("place < h")
-    own = turns.where(F.col("place") >= h)
-    both = own.unionByName(taken.select(*own.columns))
-    depth = F.row_number().over(Window.partitionBy("conv_id").orderBy("place")).cast("long")
-    return both.select("conv_id", depth.alias("depth"), "a", "b", "words"), convs.select("conv_id")
+    turns = turns.withColumns({"a": F.xxhash64("role", "text"), "b": F.xxhash64("text", F.lit(11), "role"), "words": words})
+    order = Ordered(turns, "conv_id", F.col("turn").asc_nulls_first(), "role", "text", keep=["conv_id", "a", "b", "words"])
+    turns = plain(order.numbered("n"))
+
+    convs = turns.groupBy("conv_id").agg(F.min("n").alias("first"), F.count("*").alias("size"))
+    convs = staged(convs.withColumns({"h": shared_turns(F.col("conv_id"), modulus), "giver": F.col("conv_id") - F.col("conv_id") % block}), "conversations")
+    givers = convs.where("conv_id = giver").select("giver", F.col("size").alias("given"))
+    known = convs.join(givers, "giver", "left").withColumn("taken", F.least("h", F.coalesce("given", F.lit(0))))
+    placed = turns.join(known.select("conv_id", "first", "h", "taken"), "conv_id").withColumn("place", F.col("n") - F.col("first"))
+    own = placed.where("place >= h").withColumn("depth", F.col("place") - F.col("h") + F.col("taken") + 1)
+    given = placed.where((F.col("conv_id") % block == 0) & (F.col("place") < modulus - 1)).select(F.col("conv_id").alias("giver"), (F.col("place") + 1).alias("depth"), "a", "b", "words")
+    taken = convs.join(given, "giver").where("depth <= h")
+    columns = ["conv_id", "depth", "a", "b", "words"]
+    return own.select(*columns).unionByName(taken.select(*columns)), convs.select("conv_id")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """Adds to turns (conv_id, depth, a, b, words) the key of their node (u, v), that of the parent (pu, pv), and `rest`, the
-    turns from there to the conversation's end."""
-    by = Window.partitionBy("conv_id").orderBy("depth")
-    rows = turns.withColumns({"u": F.bit_xor(F.xxhash64("a", "depth")).over(by), "v": F.bit_xor(F.xxhash64("depth", F.lit(5), "b")).over(by), "rest": F.count("*").over(Window.partitionBy("conv_id"))})
-    rows = rows.withColumns({"pu": F.lag("u", 1, 0).over(by), "pv": F.lag("v", 1, 0).over(by)})
-    return rows.select("conv_id", *KEY, "pu", "pv", "words", (F.col("rest") - F.col("depth") + 1).alias("rest"))
+    turns from there to the conversation's end.
+
+    A running exclusive or over all turns in order is a conversation's own once what came before its first turn is taken out
+    again, and a parent's once the turn's own hash is.
+    """
+    terms = turns.withColumns({"x": F.xxhash64("a", "depth"), "y": F.xxhash64("depth", F.lit(5), "b")})
+    order = Ordered(terms, "conv_id", "depth", keep=["conv_id", "depth", "words", "x", "y"])
+    rows = order.running(order.running(order.numbered("n"), "x", "all_x", XOR), "y", "all_y", XOR)
+    xor = lambda a, b: F.col(a).bitwiseXOR(F.col(b))
+    before = F.struct(xor("all_x", "x").alias("bx"), xor("all_y", "y").alias("by"))
+    of = rows.groupBy("conv_id").agg(F.min_by(before, "n").alias("before"), F.max("n").alias("last"))
+    rows = rows.join(of, "conv_id").withColumns({"u": xor("all_x", "before.bx"), "v": xor("all_y", "before.by")})
+    return rows.select("conv_id", *KEY, xor("u", "x").alias("pu"), xor("v", "y").alias("pv"), "words", (F.col("last") - F.col("n") + 1).alias("rest"))
 
 
 class Louds:
@@ -158,8 +170,10 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, limit: int | None = None, sh
     most = limit or min(max(rows.count() // 200, 1_000), 1_000_000)
     heavy = staged(rows.groupBy(*KEY).agg(F.sum("rest").alias("size")).where(F.col("size") > most).select(*KEY, F.lit(True).alias("heavy")), "heavy")
     marked = rows.join(_small(heavy), KEY, "left")
-    light = F.when(F.col("heavy").isNull(), F.struct(F.col("depth").alias("d"), F.col("u").alias("tu"), F.col("v").alias("tv")))
-    marked = marked.withColumn("at", F.first(light, ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("depth")))
+    # A conversation's first light node is the top of all its light ones.
+    top = F.struct(F.col("depth").alias("d"), F.col("u").alias("tu"), F.col("v").alias("tv"))
+    tops = marked.where("heavy IS NULL").groupBy("conv_id").agg(F.min_by(top, "depth").alias("top"))
+    marked = marked.join(tops, "conv_id", "left").withColumn("at", F.when(F.col("heavy").isNull(), F.col("top")))
     parent = F.min(F.struct("pu", "pv"))
     nodes = marked.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("words").alias("words"), parent.alias("p"), F.min("at").alias("at"))
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
