@@ -33,7 +33,9 @@ from tracelink.llm.shared import identified, mix, named, ngram_hashes, release,
 #: Tokens are counted in 2^BITS buckets; a bucket with so many is frequent.
 BITS, FREQUENT = 27, 8
 #: Counts are dealt to tasks by so many ranges of buckets; a task gives out so many tokens at a time.
-RANGES, TOKENS_AT_ONCE = 1024, 2_000_000
+RANGES, TOKENS_AT_ONCE = 1024, 500_000
+#: Characters of texts that are hashed at once; arrays take some 80 bytes for each.
+TEXT_AT_ONCE = 250_000
 #: Sets up to this size also index single frequent tokens, as an extension needs some room.
 SMALL = 12
 BLOOM_BITS = 1 << 25
@@ -43,7 +45,7 @@ GROUP, BLOCK, SHINGLES = 8, 1024, 400_000
 
 def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its n-word shingles; a shorter text is one shingle."""
-    for a, b in slabs(texts):
+    for a, b in slabs(texts, TEXT_AT_ONCE):
         _, _, _, hashes, bounds = scan_words(texts[a:b])
         grams = ngram_hashes(hashes, n)
         for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -180,7 +182,7 @@ def _set_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Da
                     parts.append(signatures(tokens, often, percent))
                     of.append(own)
                     held += len(parts[-1][0])
-                    if held > 200_000:
+                    if held > 100_000:
                         yield frame(parts, of)
                         parts, of, held = [], [], 0
             yield pd.DataFrame({
