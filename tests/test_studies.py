@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelink.labelling.cache import ResponseCache
-from tracelink.operators import rates, sampling
+from tracelink.operators import claims, rates, sampling
 from tracelink.operators.ablation import threshold_ablation
 from tracelink.operators.ordering import LEAST, Ordered, plain
 from tracelink.operators.titles import match_titles, normal_title
@@ -265,3 +265,19 @@ def test_first_write_wins_and_compaction_keeps_it(spark, tmp_path):
     cache.compact()
     assert len(cache.batches()) == 1 and len(list((tmp_path / "c").glob("batch=*"))) == 1
     assert {r.raw: r["count"] for r in cache.read().groupBy("raw").count().collect()} == {"first": 30, "fourth": 1}
+
+
+# Published claims
+
+
+def test_claims(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 4.0), (None, 9.0)], "g string, v double")
+    metrics = claims.measured(rows, {"mean": F.avg("v"), "none": F.avg(F.when(F.lit(False), F.col("v")))}).unionByName(claims.measured_by(rows, "g", {"sum": F.sum("v")}))
+    metrics = metrics.unionByName(spark.createDataFrame([("twice", 1.0), ("twice", 2.0), ("half", 0.125)], metrics.schema))
+    published = [
+        ("right", "mean", 4.0, 2), ("wrong", "mean", 4.1, 1), ("coarse", "sum[b]", 3.0, -1), ("group", "sum[a]", 3.0, 0), ("no value", "none", 1.0, 0), ("no metric", "sum[c]", 1.0, 0), ("no number", "mean", None, 0),
+        ("two values", "twice", 1.0, 0), ("half up", "half", 0.13, 2), ("again", "mean", 4.0, 2),
+    ]
+    got = {r.claim: (r.verdict, r.value) for r in claims.verdicts(spark.createDataFrame(published, "claim string, metric string, claimed double, decimals int"), metrics).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"right": "ok", "wrong": "failed", "coarse": "ok", "group": "ok", "no value": "missing", "no metric": "missing", "no number": "failed", "two values": "ambiguous", "half up": "ok", "again": "ok"}
+    assert got["group"][1] == 3.0 and got["two values"][1] is None

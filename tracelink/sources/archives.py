@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tarfile
 from collections.abc import Iterator
 
@@ -31,34 +32,30 @@ class _Blocks:
 
 
 def archive_members(spark: SparkSession, path: str, inside: str = "/data/xml/", ending: str = ".xml", block: int = BLOCK) -> DataFrame:
-    """(archive, name, raw): the files of tar archives (plain, or compressed as their ending says) under `inside` with the given `ending`.
+    """(archive, name, raw): the files of tar archives (plain, or compressed as their ending says) under `inside` with the given
+    `ending`; archive is a number for each of the archives that path (a file, folder or pattern) names.
 
-    Hadoop's input format decompresses an archive and hands it on block by block, from any store that Spark reads; a task holds one member of it at
-    a time, never an archive. An archive is a stream and so a task; what it holds is dealt out as it comes. block: bytes read at once; archives must
-    be a whole number of them (512 always are, 10240 if they were written in full records, as by default).
+    Hadoop's input format decompresses an archive and hands it on block by block, from any store that Spark reads; a task holds
+    one member of it at a time, never an archive. An archive is a stream and so a task; what it holds is dealt out as it comes.
+    block: bytes read at once; archives must be a whole number of them (512 always are, 10240 if they were written in full
+    records, as by default).
     """
-    conf = {"fixedlengthinputformat.record.length": str(block), "mapreduce.input.fileinputformat.split.minsize": str((1 << 63) - 1), "mapreduce.input.fileinputformat.input.dir.recursive": "true"}
+    conf = {"fixedlengthinputformat.record.length": str(block), "mapreduce.input.fileinputformat.split.minsize": str((1 << 63) - 1)}
     hadoop = "org.apache.hadoop"
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # names only: one an archive
-    if not files:
-        return spark.createDataFrame([], f"archive string, name string, {VOLUMES.split(', ')[1]}")
-
-    def members(name: str):
-        def run(blocks: Iterator[tuple[int, bytes]]) -> Iterator[Row]:
-            stream = _Blocks(bytes(b) for _, b in blocks)
-            with tarfile.open(fileobj=stream, mode="r|") as tar:
-                for m in tar:
-                    if m.isfile() and inside in f"/{m.name}" and m.name.endswith(ending):
-                        yield Row(archive=name, name=m.name, raw=tar.extractfile(m).read())
-                    tar.members = []  # the library keeps all it has seen otherwise
-
-        return run
-
-    parts = []
-    for f in files:
-        blocks = spark.sparkContext.newAPIHadoopFile(f, f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable", conf=conf)
-        parts.append(blocks.mapPartitions(members(f)))
-    rows = spark.createDataFrame(spark.sparkContext.union(parts), "archive string, name string, raw binary")
+    blocks = spark.sparkContext.newAPIHadoopFile(path, f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable", conf=conf)
+
+    def members(number: int, blocks: Iterator[tuple[int, bytes]]) -> Iterator[Row]:
+        first = next(blocks, None)
+        if first is None:
+            return
+        stream = _Blocks(bytes(b) for _, b in itertools.chain([first], blocks))
+        with tarfile.open(fileobj=stream, mode="r|") as tar:
+            for m in tar:
+                if m.isfile() and inside in f"/{m.name}" and m.name.endswith(ending):
+                    yield Row(archive=number, name=m.name, raw=tar.extractfile(m).read())
+                tar.members = []  # the library keeps all it has seen otherwise
+
+    rows = spark.createDataFrame(blocks.mapPartitionsWithIndex(members), "archive long, name string, raw binary")
     return rows.repartition("archive", "name")
 
 
