@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 from collections.abc import Mapping
 
 import pandas as pd
@@ -45,9 +47,20 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def clean_html(c: Column | str) -> Column:
-    """Markup to blanks, references decoded, white space collapsed; nothing left is null."""
-    return blank_to_null(squash(unescape(F.regexp_replace(col(c), r"<[^>]+>", " "))))
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[0-9A-Za-z]+);")
+
+
+@F.pandas_udf(T.StringType())
+def unescape_closed(s: pd.Series) -> pd.Series:
+    """The same for references that end in a semicolon; names without one, as browsers forgive them, stay text."""
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" else html.entities.html5.get(m[0][1:], m[0])
+    return s.map(lambda t: _CLOSED.sub(one, t), na_action="ignore")
+
+
+def clean_html(c: Column | str, closed: bool = False) -> Column:
+    """Markup to blanks, references decoded (closed: only those with a semicolon), white space collapsed; nothing left is null."""
+    decode = unescape_closed if closed else unescape
+    return blank_to_null(squash(decode(F.regexp_replace(col(c), r"<[^>]+>", " "))))
 
 
 def clean_fields(fields: Mapping[str, Column]) -> Column:
