@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Tar files are a whole number of these.
 BLOCK = 512
+#: Archives that a task reads one after another, where there are many.
+AT_ONCE = 256
 VOLUMES = "source string, raw binary"
 
 
@@ -36,7 +38,7 @@ def archive_members(spark: SparkSession, path: str, inside: str = "/data/xml/",
     `ending`; archive is a number for each of the archives that path (a file, folder or pattern) names.
 
     Hadoop's input format decompresses an archive and hands it on block by block, from any store that Spark reads; a task holds
-    one member of it at a time, never an archive. An archive is a stream and so a task; what it holds is dealt out as it comes.
+    one member of it at a time, never an archive. An archive is a stream, which one task reads; what it holds is dealt out as it comes.
     block: bytes read at once; archives must be a whole number of them (512 always are, 10240 if they were written in full
     records, as by default).
     """
@@ -44,18 +46,20 @@ def archive_members(spark: SparkSession, path: str, inside: str = "/data/xml/",
     hadoop = "org.apache.hadoop"
     blocks = spark.sparkContext.newAPIHadoopFile(path, f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable", conf=conf)
 
-    def members(number: int, blocks: Iterator[tuple[int, bytes]]) -> Iterator[Row]:
-        first = next(blocks, None)
-        if first is None:
-            return
-        stream = _Blocks(bytes(b) for _, b in itertools.chain([first], blocks))
-        with tarfile.open(fileobj=stream, mode="r|") as tar:
-            for m in tar:
-                if m.isfile() and inside in f"/{m.name}" and m.name.endswith(ending):
-                    yield Row(archive=number, name=m.name, raw=tar.extractfile(m).read())
-                tar.members = []  # the library keeps all it has seen otherwise
-
-    rows = spark.createDataFrame(blocks.mapPartitionsWithIndex(members), "archive long, name string, raw binary")
+    # Small archives share tasks: where a key, the block's place in its file, is 0, the next archive begins.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, blocks.getNumPartitions() // AT_ONCE)
+
+    def members(task: int, blocks: Iterator[tuple[int, bytes]]) -> Iterator[Row]:
+        numbered = itertools.accumulate(blocks, lambda last, block: (last[0] + (block[0] == 0), block[1]), initial=(0, b""))
+        for number, one in itertools.groupby(itertools.islice(numbered, 1, None), key=lambda x: x[0]):
+            stream = _Blocks(bytes(b) for _, b in one)
+            with tarfile.open(fileobj=stream, mode="r|") as tar:
+                for m in tar:
+                    if m.isfile() and inside in f"/{m.name}" and m.name.endswith(ending):
+                        yield Row(archive=(task << 32) + number, name=m.name, raw=tar.extractfile(m).read())
+                    tar.members = []  # the library keeps all it has seen otherwise
+
+    rows = spark.createDataFrame(blocks.coalesce(tasks).mapPartitionsWithIndex(members), "archive long, name string, raw binary")
     return rows.repartition("archive", "name")
 
 
