@@ -16,11 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of lines that go to a Python worker at once; it holds them a few times over, as records too.
+_BATCH = 4 << 20
 _PIECES = "file string, start long, owner long, whole boolean, first boolean, record string"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, value): lines, up to line feeds, with the split they are in; in a task they come in their order."""
+    """(file, start, value): lines, up to line feeds, with the split they are in; in a task they come in their order.
+
+    Bounds, for this session, the bytes that go to a Python worker at once: how many lines a split has says nothing of their size.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH))
     return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
