@@ -74,14 +74,24 @@ class ResponseCache:
 
     def fill(self, prompts: DataFrame, labeller: Labeller, rows_a_batch: int = 100_000, tries: int = 5) -> int:
         """Asks for what is not cached of (key, prompt), about rows_a_batch prompts a batch, and commits each batch; the
-        number of batches that were needed."""
-        wanted = prompts.select("key", "prompt").where("key IS NOT NULL").dropDuplicates(["key"])
-        missing = wanted.join(self.find(wanted).select("key"), "key", "left_anti")
-        n = missing.count()
-        parts = -(-n // rows_a_batch)
+        number of batches that were needed.
+
+        What is not cached is made once and put beside the cache until all batches are committed.
+        """
+        wanted = prompts.select("key", "prompt").where("key IS NOT NULL")
+        if self.batches():
+            wanted = wanted.join(self.read().select("key"), "key", "left_anti")
+        name = f"asked-{uuid.uuid4().hex}"
+        wanted.dropDuplicates(["key"]).write.parquet(f"{self.path}/{name}")
+        missing = self.spark.read.schema("key string, prompt string").parquet(f"{self.path}/{name}")
+        parts = -(-missing.count() // rows_a_batch)
         part = F.pmod(F.xxhash64("key"), F.lit(max(parts, 1)))
-        for i in range(parts):
-            self.append(respond(missing.where(part == i), labeller, tries))
+        try:
+            for i in range(parts):
+                self.append(respond(missing.where(part == i), labeller, tries, distinct=True))
+        finally:
+            at, fs = self._folder(name)
+            fs.delete(at, True)
         return parts
 
     def compact(self) -> None:

@@ -77,8 +77,8 @@ def misses(records: DataFrame, cache: DataFrame, model: str, redact: bool = True
     return keyed.join(cache.select("key"), "key", "left_anti")
 
 
-def respond(missing: DataFrame, labeller: Labeller, tries: int = 5) -> DataFrame:
-    """(key, raw) of each missing prompt once, to append to the cache.
+def respond(missing: DataFrame, labeller: Labeller, tries: int = 5, distinct: bool = False) -> DataFrame:
+    """(key, raw) of each missing prompt once, to append to the cache. distinct: no key occurs twice in missing.
 
     Prompts that fail (None) are asked again, `tries` times in all; what fails then is left out, so it is asked in the next run.
     """
@@ -95,7 +95,8 @@ def respond(missing: DataFrame, labeller: Labeller, tries: int = 5) -> DataFrame
                     raw[i] = r
             yield pd.DataFrame({"key": batch["key"], "raw": raw})
 
-    return missing.select("key", "prompt").dropDuplicates(["key"]).mapInPandas(run, "key string, raw string").where("raw IS NOT NULL")
+    rows = missing.select("key", "prompt")
+    return (rows if distinct else rows.dropDuplicates(["key"])).mapInPandas(run, "key string, raw string").where("raw IS NOT NULL")
 
 
 def within_budget(missing: DataFrame, cost: Column, most: float) -> DataFrame:

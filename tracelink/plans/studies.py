@@ -82,14 +82,17 @@ def _rules_but(failing: str, default: str) -> labeller.Labeller:
 
 def stored_responses(s, d):
     """Two runs over one cache: what fails in the first is asked in the second, and what it has stored stays."""
-    cache = ResponseCache(s, f"{shared_folder(s)}/tracelink/responses-{uuid.uuid4().hex}", digits=1)
+    folder = f"{shared_folder(s)}/tracelink/responses-{uuid.uuid4().hex}"
+    cache = ResponseCache(s, folder, digits=1)
     docs = t(s, d, "documents").select("doc_id", F.lit("x").alias("title"), F.lit("y").alias("assignee"), F.col("text").alias("abstract"))
     keyed = docs.withColumn("prompt", labeller.prompt()).withColumn("key", content_key(F.lit("rules"), "prompt"))
     half = max(1, -(-keyed.count() // 2))
     cache.fill(keyed, _rules_but("!!", "neither"), half, tries=1)
     cache.fill(keyed, _rules_but("", "dual_use_ambiguous"), half)
     cache.compact()
-    return keyed.select("doc_id", "key").join(cache.find(keyed), "key").select("doc_id", labeller.parse_response("raw")["label"].alias("label"))
+    keyed.select("doc_id", "key").write.parquet(f"{folder}-keys")  # prompts are made no more than once for it
+    keys = s.read.schema("doc_id long, key string").parquet(f"{folder}-keys")
+    return keys.join(cache.find(keys), "key").select("doc_id", labeller.parse_response("raw")["label"].alias("label"))
 
 
 def _claims(s) -> DataFrame:
