@@ -2,8 +2,8 @@
 
 Titles are normalised. What does not match as it is is looked up in a deletion neighbourhood: two titles within one edit of each
 other have a string in common that is either of them, or either with one character deleted (two edits: up to two characters).
-Only hashes of these strings are joined, with the year; the edit distance of what meets is then verified, so the result is that
-of comparing all pairs.
+Only hashes of these strings with the year are joined, each with a hash that stands for its title and year; the titles themselves
+are joined to what meets, and years and edit distance verified, so the result is that of comparing all pairs.
 
 Titles are counted before they are indexed, so one that thousands of works bear ("introduction") is a single row with a count,
 and a bucket of the index holds at most the distinct titles of a year that differ in one place.
@@ -50,10 +50,12 @@ def match_titles(papers: DataFrame, works: DataFrame, key: str, title: str, year
     known = known.groupBy("t", "y").agg(F.min("w").alias("w"), F.count("*").alias("n"))
     exact = wanted.join(known, ["t", "y"]).selectExpr("t", "y", "0 AS distance", "0L AS gap", "n", "w")
 
-    left = wanted.join(exact, ["t", "y"], "left_anti").select("t", "y", F.explode(F.sequence(F.col("y") - years, F.col("y") + years)).alias("at"))
-    left = left.select("t", "y", "at", F.explode(neighbourhood("t", edits)).alias("h"))
-    right = known.select(F.col("t").alias("wt"), F.col("y").alias("at"), "w", "n", F.explode(neighbourhood("t", edits)).alias("h"))
-    pairs = left.join(right, ["h", "at"]).select("t", "y", "at", "wt", "w", "n").distinct()
+    left = wanted.join(exact, ["t", "y"], "left_anti").withColumn("key", F.xxhash64("t", "y"))
+    right = known.select(F.col("t").alias("wt"), F.col("y").alias("at"), "w", "n").withColumn("work_key", F.xxhash64("wt", "at"))
+    spots = lambda rows, title, at, key: rows.select(key, at, F.explode(neighbourhood(title, edits)).alias("h")).select(key, F.xxhash64("h", "at").alias("spot"))
+    wide = left.withColumn("at", F.explode(F.sequence(F.col("y") - years, F.col("y") + years)))
+    pairs = spots(wide, "t", "at", "key").join(spots(right, "wt", "at", "work_key"), "spot").select("key", "work_key").distinct()
+    pairs = pairs.join(left, "key").join(right, "work_key").where(F.abs(F.col("at") - F.col("y")) <= years)
     near = pairs.withColumn("distance", F.levenshtein("t", "wt", edits)).where("distance >= 0")
     near = near.withColumn("gap", F.abs(F.col("at") - F.col("y")))
     # A title's candidates are few: those within the edits.
