@@ -39,6 +39,8 @@ TEXT_AT_ONCE = 250_000
 #: Sets up to this size also index single frequent tokens, as an extension needs some room.
 SMALL = 12
 BLOOM_BITS = 1 << 25
+#: The driver gets these bits as so many rows of bytes.
+BLOOM_RANGES = 256
 #: Groups of a signature with more sets are compared inside of tasks, so many sets against as many at a time.
 GROUP, BLOCK, SHINGLES = 8, 1024, 400_000
 
@@ -244,9 +246,29 @@ def _bloom(ids: DataFrame, column: str):
     """A filter of fixed size over the column, as a predicate on the column of that name; it may let others through."""
     spot = lambda k: F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(BLOOM_BITS))
     bits = ids.select(F.explode(F.array(spot(0), spot(1))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS int))")).alias("set")).toPandas()
-    table = np.zeros(BLOOM_BITS // 32, np.uint32)
-    table[words["word"].to_numpy()] = words["set"].to_numpy().astype(np.uint32)
+    wide = BLOOM_BITS // BLOOM_RANGES
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seen = -1, np.zeros(wide, bool)
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame({"range": [at], "bits": [np.packbits(seen, bitorder="little").tobytes()]})
+
+        for batch in batches:
+            for r, part in batch.groupby("range", sort=True):
+                if r != at:
+                    if at >= 0:
+                        yield frame()
+                    at, seen = r, np.zeros(wide, bool)
+                seen[part["bit"].to_numpy(np.int64) - r * wide] = True
+        if at >= 0:
+            yield frame()
+
+    bits = bits.distinct().withColumn("range", F.floor(F.col("bit") / wide).cast("int")).repartition("range").sortWithinPartitions("range")
+    filled = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in bits.mapInPandas(pack, "range int, bits binary").collect():  # 4 MB at any size
+        filled[r["range"] * wide // 8 : (r["range"] + 1) * wide // 8] = np.frombuffer(r["bits"], np.uint8)
+    table = filled.view("<u4")
     shared = ids.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
