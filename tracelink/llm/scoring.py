@@ -6,9 +6,10 @@ predicts, times that of the word within the class, by the counts of the whole co
 class of its own, the others share classes by their endings.
 
 Words are counted over the whole corpus. The most frequent ones have a bound and go to every task; the counts of the others
-are joined to the texts that hold them. Training is spread: each task trains a replica on a sample of the positions of each of
-its documents, replicas are averaged in a tree, and the average is the start of the next round, so the work and what is
-gathered grow with the corpus while the model and each task stay bounded. Scores depend, slightly, on the partitions.
+are joined to the texts that hold them. Training is spread: each task trains replicas on positions of all of its documents,
+replicas are averaged in a tree, and the average is the start of the next round, so the work and what is gathered grow with
+the corpus while the model and each task stay bounded. The rounds deal the positions among them, so every position of the
+corpus is trained on. Scores depend, slightly, on the partitions.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class Network:
         np.exp(z, out=z)
         return own - top - np.log(z.sum(axis=1))
 
-    def train(self, context: np.ndarray, target: np.ndarray, rate: float = 1.0, batch: int = 64) -> None:
+    def train(self, context: np.ndarray, target: np.ndarray, rate: float = 1.0, batch: int = 128) -> None:
         """One pass of stochastic gradient descent over the positions, in place."""
         emb, w1, b1, w2, b2 = self.parts()
         for at in range(0, len(target), batch):
@@ -192,8 +193,8 @@ def sampled_positions(bounds: np.ndarray, every: int, turn: int) -> np.ndarray:
     return bounds[text][of] + start[of] + (np.arange(len(of)) - (np.cumsum(n) - n)[of]) * every
 
 
-def fit(docs: DataFrame, rounds: int = 2, every: int = 24, replica_positions: int = 200_000) -> tuple[Network, Lexicon, DataFrame]:
-    """Trains on every `every`-th position of each document, another set in each round.
+def fit(docs: DataFrame, rounds: int = 2, replica_positions: int = 200_000) -> tuple[Network, Lexicon, DataFrame]:
+    """Trains on every position of each document, one in `rounds` in each round.
 
     A replica averages in with the number of its positions; one task trains at most replica_positions at a time and
     starts another replica beyond. Returns the network, the lexicon and the counts of all words. Runs jobs.
@@ -210,26 +211,23 @@ def fit(docs: DataFrame, rounds: int = 2, every: int = 24, replica_positions: in
             mine, seen = Network(start.value.copy()), 0
             task = TaskContext.get().partitionId()
             rng = np.random.default_rng(turn)
-            replicas = []
+            mean, total = np.zeros(len(mine.flat)), 0
             for batch in batches:
                 texts = [t if isinstance(t, str) else "" for t in batch["text"].array]
                 for a, b in slabs(texts):
                     tokens, bounds, _, _ = classes(texts[a:b], words.value)
-                    where = sampled_positions(bounds, every, turn)
+                    where = sampled_positions(bounds, rounds, turn)
                     if not len(where):
                         continue
                     where = rng.permutation(where)
                     mine.train(contexts(tokens, bounds, where), tokens[where], rate=1.0 / (1 + turn))
                     seen += len(where)
                     if seen >= replica_positions:
-                        replicas.append((mine.flat, seen))
+                        mean, total = mean + mine.flat * float(seen), total + seen
                         mine, seen = Network(start.value.copy()), 0
-            if seen:
-                replicas.append((mine.flat, seen))
-            if replicas:
-                total = sum(n for _, n in replicas)
-                mean = sum(f.astype(np.float64) * (n / total) for f, n in replicas)
-                yield pd.DataFrame({"part": [task], "n": [float(total)], "flat": [mean]})
+            mean, total = mean + mine.flat * float(seen), total + seen
+            if total:
+                yield pd.DataFrame({"part": [task], "n": [float(total)], "flat": [mean / total]})
 
         def average(rows: pd.DataFrame) -> pd.DataFrame:
             total = rows["n"].sum()
