@@ -3,8 +3,8 @@
 Examples and documents are TF-IDF vectors over all words of the examples; a word's weight is also scaled by how surely it
 goes with the toxic class among the labelled rows (its log-odds and their standard error, as a smooth factor that is never
 0, so no word list is needed and every text with known words has neighbours). The examples stand in a block-max inverted
-index: each posting list is cut into blocks of examples with the largest weight of the block, so that the blocks' upper
-bounds decide which blocks must be scored at all; the k nearest by cosine are exact. Votes of the neighbours, weighted by
+index: long posting lists are cut into blocks of examples with the largest weight of the block, so that the blocks' upper
+bounds decide in which blocks they must be summed at all; the k nearest by cosine are exact. Votes of the neighbours, weighted by
 similarity, are mapped to a probability by isotonic calibration over the examples' own left-out votes.
 """
 
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.llm.shared import letter_words, named, slabs, small_batches, unnamed
+from tracelink.llm.shared import letter_words, named, release, slabs, small_batches, unnamed
 
 #: Bounds of the labelled sample that is fitted on, about so many rows of either class: for the words' weights, and of
 #: these the examples in the index.
@@ -30,52 +30,81 @@ FAR = 0.2
 
 
 class BlockMaxIndex:
-    """Exact cosine search over sparse unit vectors."""
+    """Exact cosine search over sparse unit vectors, many queries at a time.
+
+    The lists of rare terms are postings. A list of over a 20th of the rows is kept in blocks of rows, dense, with the
+    largest weight of each block. A query's parts from rare terms are summed first; with the blocks' largest weights they
+    bound what a block can score, and its long lists are only summed in blocks that may hold one of the k nearest.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 32):
         """rows: (terms, weights) of each example, unit length. Similar rows should be neighbours, as blocks are runs."""
-        self.block, self.n = block, len(rows)
+        self.block, self.n, self.blocks = block, len(rows), len(rows) // block + 1
         term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
         row = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-        by = np.lexsort((row, term))
-        self.row, self.weight, term = row[by], weight[by], term[by]
-        self.offset = self.row % block
-        # A list's entries are its blocks: (term, block of rows), the postings first to last, and their largest weight.
-        key = term * (len(rows) // block + 1) + self.row // block
-        self.first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.last = np.append(self.first[1:], len(key))
-        self.most = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
-        self.of_block = self.row[self.first] // block
-        self.begin = np.searchsorted(term[self.first], np.arange(terms + 1))
+        long = np.flatnonzero(np.bincount(term, minlength=terms) > self.n / 20)
+        self.place = np.full(terms, -1, np.int32)
+        self.place[long] = np.arange(len(long))
+        place = self.place[term]
+        of = np.flatnonzero(place >= 0)
+        self.dense = np.zeros((self.blocks, len(long), block))
+        self.dense[row[of] // block, place[of], row[of] % block] = weight[of]
+        self.most = np.ascontiguousarray(self.dense.max(axis=2).T)
+        rest = np.flatnonzero(place < 0)
+        by = rest[np.lexsort((row[rest], term[rest]))]
+        self.row, self.weight = row[by].astype(np.int32), weight[by]
+        self.begin = np.searchsorted(term[by], np.arange(terms + 1)).astype(np.int32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine above 0 (ties: lower row first) and their cosines. without: a row to leave out."""
-        entry, n = _spread(self.begin[terms], self.begin[terms + 1])
-        w, block = np.repeat(weights, n), self.of_block[entry]
-        bound = np.bincount(block, w * self.most[entry], self.n // self.block + 1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 2
-        while at < len(order) and not (len(best) >= k and bound[order[at]] < best[k - 1] - 1e-9):
-            part = order[at : at + step]
-            place = np.full(len(bound), -1)
-            place[part] = np.arange(len(part)) * self.block
-            slot = place[block]
-            mine = np.flatnonzero(slot >= 0)
-            posting, n = _spread(self.first[entry[mine]], self.last[entry[mine]])
-            slot = np.repeat(slot[mine], n) + self.offset[posting]
-            scores = np.bincount(slot, np.repeat(w[mine], n) * self.weight[posting], len(part) * self.block)
-            least = best[k - 1] - 1e-9 if len(best) >= k else 0.0
-            hit = np.flatnonzero((scores > 0) & (scores >= least))
-            rows = part[hit // self.block] * self.block + hit % self.block
-            keep = rows != without
-            best_row, best = np.concatenate([best_row, rows[keep]]), np.concatenate([best, scores[hit][keep]])
-            top = np.lexsort((best_row, -np.round(best, 12)))[: k]
-            best_row, best = best_row[top], best[top]
-            at, step = at + step, step * 2
-        return best_row, best
+        return next(self.search_many([(terms, weights)], k, [without]))
+
+    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None, at_once: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of many queries (terms, weights)."""
+        for at in range(0, len(queries), at_once):
+            yield from self._nearest(queries[at : at + at_once], k, without[at : at + at_once] if without else [])
+
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, width = len(queries), self.blocks * self.block
+        of = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+        place = self.place[terms]
+        rare, long = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        posting, n = _spread(self.begin[terms[rare]], self.begin[terms[rare] + 1])
+        scores = np.bincount(np.repeat(of[rare] * width, n) + self.row[posting], np.repeat(weights[rare], n) * self.weight[posting], m * width)
+        scores = scores.astype(np.float64, copy=False).reshape(m, self.blocks, self.block)  # whole numbers if there is no posting
+        for i, row in enumerate(without):
+            if row >= 0:
+                scores[i, row // self.block, row % self.block] = -np.inf
+        query = np.zeros((m, self.most.shape[0]))
+        query[of[long], place[long]] = weights[long]
+        bound = scores.max(axis=2) + query @ self.most
+        # The most promising block of each query first. Parts of scores are least scores, and so is the k-th of them.
+        todo = np.zeros(bound.shape, bool)
+        todo[np.arange(m), bound.argmax(axis=1)] = True
+        self._sum_long(scores, query, todo)
+        least = _kth(scores.reshape(m, width), k)
+        self._sum_long(scores, query, (bound > 0) & (bound >= least[:, None] - 1e-9) & ~todo)
+        scores = scores.reshape(m, width)
+        of, row = np.nonzero((scores > 0) & (scores >= _kth(scores, k)[:, None] - 1e-9))
+        cos = scores[of, row]
+        by = np.lexsort((row, -np.round(cos, 12), of))
+        row, cos, cut = row[by], cos[by], np.searchsorted(of, np.arange(m + 1))
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            yield row[lo : min(hi, lo + k)], cos[lo : min(hi, lo + k)]
+
+    def _sum_long(self, scores: np.ndarray, query: np.ndarray, todo: np.ndarray) -> None:
+        """Adds what the long lists give to the blocks that are to do for each query."""
+        for b in np.flatnonzero(todo.any(axis=0)):
+            mine = np.flatnonzero(todo[:, b])
+            scores[mine, b] += query[mine] @ self.dense[b]
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, 0 at least."""
+    at = scores.shape[1] - k
+    return np.maximum(np.partition(scores, at, axis=1)[:, at], 0) if at >= 0 else np.zeros(len(scores))
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, labelled: int = LABELLE
     """Fits on the labelled rows of (doc_id, text) and (doc_id, toxic) that are not held out.
 
     Of each class at most about `labelled` rows, by hash of the id, give the words' factors, and `examples` of these are
-    the neighbours. Document frequencies of the words are counted over all of `docs`. Runs jobs.
+    the neighbours. Document frequencies of the words are counted over all of `docs`. Runs jobs. What comes to the driver
+    comes as arrays, without an object a row, and what earlier jobs left there goes first.
     """
+    release(docs.sparkSession)
     small_batches(docs.sparkSession)
     labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -175,26 +206,31 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 15, labelled: int = LABELLE
                 found += [np.unique(hashes[lo:hi], return_counts=True) for lo, hi in zip(bounds[:-1], bounds[1:])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [w.view(np.int64) for w, _ in found], "n": [n for _, n in found]})
 
-    chosen = sample.where(within(examples)).mapInPandas(words_of, "doc_id long, toxic int, words array<long>, n array<long>").toPandas()
-    chosen = chosen[chosen["words"].map(len) > 0].sort_values("doc_id", kind="stable").reset_index(drop=True)
-    terms = np.unique(np.concatenate([np.zeros(0, np.int64), *chosen["words"]]).view(np.uint64))
+    chosen = sample.where(within(examples)).mapInPandas(words_of, "doc_id long, toxic int, words array<long>, n array<long>").toArrow()
+    size = chosen["words"].combine_chunks().value_lengths().to_numpy()
+    start, words, n = np.cumsum(size) - size, chosen["words"].combine_chunks().flatten().to_numpy().view(np.uint64), chosen["n"].combine_chunks().flatten().to_numpy()
+    ids, toxic = chosen["doc_id"].to_numpy(), chosen["toxic"].to_numpy().astype(np.int64)
+    some = np.flatnonzero(size > 0)
+    some = some[np.argsort(ids[some], kind="stable")]
+    terms = np.unique(words)
     seen = _frequencies(sample.select("text", "toxic"), terms)
     every = _frequencies(docs.select("text", F.lit(0).alias("toxic")), terms)
     factor = class_factor(seen[1][:-1], seen[0][:-1], seen[1][-1], seen[0][-1])
     gain = (np.log((every[0][-1] + 1) / (every[0][:-1] + 1)) + 1) * factor
     vectors = []
-    for words, n in zip(chosen["words"], chosen["n"]):
-        at = np.searchsorted(terms, np.asarray(words, np.int64).view(np.uint64))
-        w = (1 + np.log(np.asarray(n, np.float64))) * gain[at]
+    for i in some:
+        mine = slice(start[i], start[i] + size[i])
+        at = np.searchsorted(terms, words[mine])
+        w = (1 + np.log(n[mine].astype(np.float64))) * gain[at]
         by = np.argsort(at)
         vectors.append((at[by], (w / np.sqrt((w * w).sum()))[by]))
     order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), len(vectors[i][0]), i))
-    toxic = chosen["toxic"].to_numpy(np.int64)[order]
+    ids, toxic = ids[some][order], toxic[some][order]
     prior = np.where(toxic == 1, 1 / share[examples, 1], 1 / share[examples, 0])
     base = float((prior * toxic).sum() / prior.sum()) if len(prior) else 0.0
-    model = Model(terms, gain, factor > 0.5, BlockMaxIndex([vectors[i] for i in order], len(terms)), chosen["doc_id"].to_numpy()[order], toxic, prior, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), k)
-    left_out = [(model.index.search(*vectors[i], k, without=at), at) for at, i in enumerate(order)]
-    left_out = [(_vote(model, rows, cos), at) for (rows, cos), at in left_out if len(rows)]
+    model = Model(terms, gain, factor > 0.5, BlockMaxIndex([vectors[i] for i in order], len(terms)), ids, toxic, prior, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), k)
+    left_out = model.index.search_many([vectors[i] for i in order], k, list(range(len(order))))
+    left_out = [(_vote(model, rows, cos), at) for at, (rows, cos) in enumerate(left_out) if len(rows)]
     if left_out:
         x, at = np.array([v for v, _ in left_out]), np.array([a for _, a in left_out])
         model.knots = isotonic(x, toxic[at].astype(float), prior[at])
@@ -216,8 +252,10 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
         yield pd.DataFrame({"toxic": toxic, "term": term, "n": n[toxic, term]})
 
     out = np.zeros((2, len(terms) + 1), np.int64)
-    got = docs.mapInPandas(run, "toxic long, term long, n long").groupBy("toxic", "term").agg(F.sum("n").alias("n")).toPandas()
-    out[got["toxic"].to_numpy(), got["term"].to_numpy()] = got["n"]
+    got = docs.mapInPandas(run, "toxic long, term long, n long").groupBy("toxic", "term").agg(F.sum("n").alias("n")).toArrow()
+    out[got["toxic"].to_numpy(), got["term"].to_numpy()] = got["n"].to_numpy()
+    shared.unpersist()
+    release(docs.sparkSession)
     return out
 
 
@@ -239,15 +277,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             texts = [t.lower() if isinstance(t, str) else "" for t in batch["text"].array]
-            rows = []
-            for doc, nameless, (codes, where, word) in zip(batch["doc_id"].array, batch["nameless"].array, _codes(texts, m.terms)):
-                terms, weights, first = _vector(codes, m.gain) if len(codes) else (codes, codes, codes)
-                found, cos = m.index.search(terms, weights, m.k) if len(codes) else (np.zeros(0, np.int64), np.zeros(0))
-                p = float(np.interp(_vote(m, found, cos), *m.knots)) if len(found) else m.base
+            rows, queries, words = [], [], []
+            for codes, where, word in _codes(texts, m.terms):
+                terms, weights, first = _vector(codes, m.gain) if len(codes) else (codes, np.zeros(0), codes)
                 marking = np.flatnonzero(m.marking[terms])
                 if not len(marking):
                     marking = np.argsort(-m.gain[terms])[:3]
-                evidence = [word(i) for i in where[first[marking]]]
+                queries.append((terms, weights))
+                words.append([word(i) for i in where[first[marking]]])
+            for doc, nameless, evidence, (found, cos) in zip(batch["doc_id"].array, batch["nameless"].array, words, m.index.search_many(queries, m.k)):
+                p = float(np.interp(_vote(m, found, cos), *m.knots)) if len(found) else m.base
                 rows.append((doc, nameless, min(max(p, 0.0), 1.0), m.ids[found], cos, evidence))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCORES.split(", ")])
 
