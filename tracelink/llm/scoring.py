@@ -8,7 +8,8 @@ class of its own, the others share classes by their endings.
 Words are counted over the whole corpus. The most frequent ones have a bound and go to every task; the counts of the others
 are joined to the texts that hold them. Training is spread: each task trains replicas on positions of all of its documents,
 replicas are averaged in a tree, and the average is the start of the next round, so the work and what is gathered grow with
-the corpus while the model and each task stay bounded. The rounds deal the positions among them, so every position of the
+the corpus while the model and each task stay bounded. Texts are read once for the counts and once to become a byte a word,
+which all rounds and the scores read. The rounds deal the positions among them, so every position of the
 corpus is trained on. Scores depend, slightly, on the partitions.
 """
 
@@ -29,6 +30,8 @@ WINDOW = 2  # tokens on either side
 EMBEDDING, HIDDEN = 12, 32
 FREQUENT, SHARED = 160, 96  # classes of frequent words, and of the others by ending
 CLASSES = FREQUENT + SHARED
+GROUPS = 8  # of classes, each of the same number
+WIDTH = CLASSES // GROUPS
 PAD = CLASSES  # beyond the text's edges
 #: Words whose counts go to every task; the others' counts are joined.
 LEXICON = 1 << 18
@@ -38,7 +41,8 @@ LEVELS = (1 << 15, 1 << 10, 1 << 5)
 
 @dataclass
 class Network:
-    """Embeddings of the window's tokens, a hidden layer, and a softmax over classes; parameters are one flat vector."""
+    """Embeddings of the window's tokens, a hidden layer, and a softmax over groups of classes and one over the classes of the
+    group, so that a position is held against GROUPS + WIDTH outputs; parameters are one flat vector."""
 
     flat: np.ndarray
 
@@ -52,50 +56,89 @@ class Network:
 
     @staticmethod
     def shapes() -> list[tuple]:
-        return [(CLASSES + 1, EMBEDDING), (2 * WINDOW * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+        # The hidden layer has a unit that is 1, for the biases of the outputs.
+        return [(CLASSES + 1, EMBEDDING), (2 * WINDOW * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN + 1, GROUPS), (GROUPS, HIDDEN + 1, WIDTH)]
 
     @classmethod
     def fresh(cls, counts: np.ndarray, seed: int = 5) -> Network:
         rng = np.random.default_rng(seed)
-        parts = [rng.normal(0, 1 / np.sqrt(s[0]) if len(s) == 2 else 0, s) for s in cls.shapes()]
+        parts = [rng.normal(0, 1 / np.sqrt(s[-2]) if len(s) > 1 else 0, s) for s in cls.shapes()]
         parts[0] = rng.normal(0, 0.3, parts[0].shape)
-        parts[4] = np.log(counts + 1.0) - np.log((counts + 1.0).sum())
+        of_class = counts.reshape(GROUPS, WIDTH) + 1.0
+        of_group = of_class.sum(axis=1)
+        parts[3][-1] = np.log(of_group / of_group.sum())
+        parts[4][:, -1] = np.log(of_class / of_group[:, None])
         return cls(np.concatenate([p.ravel() for p in parts]).astype(np.float32))
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        emb, w1, b1, w2, b2 = self.parts()
-        x = emb[context].reshape(len(context), -1)
-        h = np.tanh(x @ w1 + b1)
-        z = h @ w2
-        z += b2
-        return x, h, z
+    def forward(self, context: np.ndarray, group: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """For positions in order of their targets' groups: inputs, hidden units, outputs for the groups and for the classes
+        of the target's group, and where each group starts."""
+        emb, w1, b1, over, within = parts
+        x = emb.take(context.ravel(), axis=0).reshape(len(context), -1)
+        h = np.ones((len(context), HIDDEN + 1), np.float32)
+        a = x @ w1
+        a += b1
+        np.divide(a, 1 + np.abs(a), out=h[:, :-1])  # softsign, a fraction of the time of tanh
+        z = np.empty((len(context), WIDTH), np.float32)
+        cut = group.searchsorted(np.arange(GROUPS + 1)).tolist()
+        for g, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
+            if hi > lo:
+                np.matmul(h[lo:hi], within[g], out=z[lo:hi])
+        return x, h, h @ over, z, cut
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, z = self.forward(context)
-        own = z[np.arange(len(z)), target]
-        top = z.max(axis=1)
-        z -= top[:, None]
-        np.exp(z, out=z)
-        return own - top - np.log(z.sum(axis=1))
-
-    def train(self, context: np.ndarray, target: np.ndarray, rate: float = 1.0, batch: int = 128) -> None:
+        group = target // WIDTH
+        by = np.argsort(group, kind="stable")
+        group, inner, row = group[by], target[by] % WIDTH, np.arange(len(by))
+        _, _, over, z, _ = self.forward(context[by], group, self.parts())
+        out = np.empty(len(by), np.float32)
+        out[by] = over[row, group] - _log_sum(over) + z[row, inner] - _log_sum(z)
+        return out
+
+    def train(self, context: np.ndarray, target: np.ndarray, rate: float = 1.0, batch: int = 256) -> None:
         """One pass of stochastic gradient descent over the positions, in place."""
-        emb, w1, b1, w2, b2 = self.parts()
+        parts = self.parts()
+        emb, w1, b1, over, within = parts
+        place = np.arange(EMBEDDING)
+        # Positions go in order of their groups within each batch; a batch stays what it was.
+        by = np.argsort(target // WIDTH + np.arange(len(target)) // batch * GROUPS, kind="stable")
+        context, target = context[by], target[by]
+        group, inner, row = target // WIDTH, target % WIDTH, np.arange(batch)
         for at in range(0, len(target), batch):
-            c, t = context[at : at + batch], target[at : at + batch]
-            x, h, z = self.forward(c)
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(t)), t] -= 1
-            z /= len(t)
-            dh = (z @ w2.T) * (1 - h * h)
-            dx = (dh @ w1.T).reshape(-1, EMBEDDING)
-            w2 -= rate * (h.T @ z)
-            b2 -= rate * z.sum(axis=0)
-            w1 -= rate * (x.T @ dh)
-            b1 -= rate * dh.sum(axis=0)
-            np.subtract.at(emb, c.ravel(), rate * dx)
+            c, own = context[at : at + batch], group[at : at + batch]
+            n = len(c)
+            x, h, zg, z, cut = self.forward(c, own, parts)
+            _softmax(zg)
+            _softmax(z)
+            zg[row[:n], own] -= 1
+            z[row[:n], inner[at : at + batch]] -= 1
+            step = np.float32(rate / n)
+            dh = zg @ over.T
+            for g, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
+                if hi > lo:
+                    dh[lo:hi] += z[lo:hi] @ within[g].T
+                    within[g] -= step * (h[lo:hi].T @ z[lo:hi])
+            over -= step * (h.T @ zg)
+            slope = 1 - np.abs(h[:, :-1])
+            dh = dh[:, :-1] * slope * slope
+            dx = dh @ w1.T
+            w1 -= step * (x.T @ dh)
+            b1 -= step * dh.sum(axis=0)
+            cell = (c.reshape(-1, 1) * EMBEDDING + place).ravel()
+            emb -= (step * np.bincount(cell, dx.ravel(), emb.size)).reshape(emb.shape).astype(np.float32)
+
+
+def _softmax(z: np.ndarray) -> None:
+    """In place, over each row."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of the exponentials of each row."""
+    top = z.max(axis=1)
+    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
 
 
 @dataclass
@@ -173,14 +216,13 @@ def classes(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
 
 def contexts(tokens: np.ndarray, bounds: np.ndarray, where: np.ndarray) -> np.ndarray:
     """The classes around positions `where`; PAD beyond the text's first and last token."""
-    doc = np.searchsorted(bounds, where, side="right") - 1
-    lo, hi = bounds[doc], bounds[doc + 1]
-    out = np.full((len(where), 2 * WINDOW), PAD, np.int64)
-    for k, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-        at = where + d
-        ok = (at >= lo) & (at < hi)
-        out[ok, k] = tokens[at[ok]]
-    return out
+    # Each text between PADs of its own: a token's neighbours are those beside it.
+    size = np.diff(bounds)
+    shift = np.repeat(np.arange(1, len(size) + 1) * WINDOW, size)
+    padded = np.full(len(tokens) + (len(size) + 1) * WINDOW, PAD, np.int64)
+    padded[np.arange(len(tokens)) + shift] = tokens
+    near = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
+    return padded[(where + shift[where])[:, None] + near]
 
 
 def sampled_positions(bounds: np.ndarray, every: int, turn: int) -> np.ndarray:
@@ -193,17 +235,67 @@ def sampled_positions(bounds: np.ndarray, every: int, turn: int) -> np.ndarray:
     return bounds[text][of] + start[of] + (np.arange(len(of)) - (np.cumsum(n) - n)[of]) * every
 
 
-def fit(docs: DataFrame, rounds: int = 2, replica_positions: int = 200_000) -> tuple[Network, Lexicon, DataFrame]:
-    """Trains on every position of each document, one in `rounds` in each round.
+ROWS = "kind byte, row long, doc_id long, nameless boolean, tokens binary, shares double, word long, times long"
 
-    A replica averages in with the number of its positions; one task trains at most replica_positions at a time and
-    starts another replica beyond. Returns the network, the lexicon and the counts of all words. Runs jobs.
+
+def tokenised(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Reads the texts once for all that follows; stages a table.
+
+    Of kind 1 are the documents, with a byte for each word's class and the sum of the words' log-shares of their classes as far as the
+    lexicon goes; of kind 0 the words of a document that it lacks, and how often they occur there.
     """
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    counts, lexicon = vocabulary(docs)
+    words = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = words.value
+        spread = np.log(np.maximum(known.totals, 1))
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch["text"].array]
+            total, coded = np.zeros(len(texts)), []
+            rows = row + np.arange(len(texts))
+            row += len(texts)
+            for a, b in slabs(texts):
+                tokens, bounds, hashes, seen = classes(texts[a:b], known)
+                # Within the class: the word's count, which is joined later where the lexicon lacks it, over the class's.
+                logs = np.where(tokens >= FREQUENT, np.log(np.maximum(seen, 1)) - spread[tokens], 0)
+                cum = np.concatenate([[0], np.cumsum(logs)])
+                total[a:b] = cum[bounds[1:]] - cum[bounds[:-1]]
+                flat = tokens.astype(np.uint8).tobytes()
+                coded += [flat[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
+                rest = np.flatnonzero(seen == 0)
+                if len(rest):
+                    text = np.searchsorted(bounds, rest, side="right") - 1
+                    by = np.lexsort((hashes[rest], text))
+                    text, word = text[by], hashes[rest][by]
+                    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])]))
+                    yield pd.DataFrame({
+                        "kind": np.int8(0), "row": rows[a + text[first]], "doc_id": 0, "nameless": False, "tokens": b"", "shares": 0.0,
+                        "word": word[first].view(np.int64), "times": np.diff(np.append(first, len(text))),
+                    })
+            yield pd.DataFrame({
+                "kind": np.int8(1), "row": rows, "doc_id": batch["doc_id"].to_numpy(), "nameless": batch["nameless"].to_numpy(), "tokens": coded, "shares": total, "word": 0, "times": 0,
+            })
+
+    return staged(named(docs).select("doc_id", "nameless", "text").mapInPandas(run, ROWS), "tokens")
+
+
+def _tokens(coded: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs (start, stop) of documents, the classes of their words, and bounds."""
+    for a, b in slabs(coded, 200_000):
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in coded[a:b]])]).astype(np.int64)
+        yield a, b, np.frombuffer(b"".join(coded[a:b]), np.uint8).astype(np.int64), bounds
+
+
+def trained(rows: DataFrame, lexicon: Lexicon, rounds: int = 2, replica_positions: int = 200_000) -> Network:
+    """Trains on every position of each of the tokenised documents, one in `rounds` in each round.
+
+    A replica averages in with the number of its positions; one task trains at most replica_positions at a time and
+    starts another replica beyond. Runs jobs.
+    """
+    sc = rows.sparkSession.sparkContext
     net = Network.fresh(lexicon.totals)
-    words = sc.broadcast(lexicon)
     for turn in range(rounds):
         start = sc.broadcast(net.flat)
 
@@ -213,9 +305,7 @@ def fit(docs: DataFrame, rounds: int = 2, replica_positions: int = 200_000) -> t
             rng = np.random.default_rng(turn)
             mean, total = np.zeros(len(mine.flat)), 0
             for batch in batches:
-                texts = [t if isinstance(t, str) else "" for t in batch["text"].array]
-                for a, b in slabs(texts):
-                    tokens, bounds, _, _ = classes(texts[a:b], words.value)
+                for _, _, tokens, bounds in _tokens(list(batch["tokens"].array)):
                     where = sampled_positions(bounds, rounds, turn)
                     if not len(where):
                         continue
@@ -234,16 +324,20 @@ def fit(docs: DataFrame, rounds: int = 2, replica_positions: int = 200_000) -> t
             return pd.DataFrame({"part": [rows["part"].iloc[0]], "n": [total], "flat": [sum(np.asarray(f) * (n / total) for f, n in zip(rows["flat"], rows["n"]))]})
 
         schema = "part int, n double, flat array<double>"
-        parts = docs.select("text").mapInPandas(run, schema)
+        parts = rows.where("kind = 1").select("tokens").mapInPandas(run, schema)
         for width in LEVELS:
             parts = parts.withColumn("part", F.col("part") % width).groupBy("part").applyInPandas(average, schema)
         parts = parts.toPandas()
         if len(parts):
             net = Network(average(parts)["flat"].iloc[0].astype(np.float32))
-    return net, lexicon, counts
+    return net
 
 
-ROWS = "kind byte, row long, doc_id long, nameless boolean, n_tokens long, log_likelihood double, word long, times long"
+def fit(docs: DataFrame) -> tuple[Network, Lexicon, DataFrame]:
+    """The network, trained on every position of each document, the lexicon and the counts of all words. Runs jobs."""
+    small_batches(docs.sparkSession)
+    counts, lexicon = vocabulary(docs)
+    return trained(tokenised(docs, lexicon), lexicon), lexicon, counts
 
 
 def score(docs: DataFrame, net: Network, lexicon: Lexicon, counts: DataFrame) -> DataFrame:
@@ -253,51 +347,36 @@ def score(docs: DataFrame, net: Network, lexicon: Lexicon, counts: DataFrame) ->
     counts as half an occurrence. Repeated rows score alike; rows without doc_id are scored too; an empty table gives no
     rows; other columns are not read. Stages a table.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((net.flat, lexicon))
+    return _scored(tokenised(docs, lexicon), net, counts)
+
+
+def _scored(every: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """The same for documents that are tokenised."""
+    shared = every.sparkSession.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = Network(shared.value[0]), shared.value[1]
-        spread = np.log(np.maximum(known.totals, 1))
-        row = TaskContext.get().partitionId() << 36
+        model = Network(shared.value)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"].array]
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            rows = row + np.arange(len(texts))
-            row += len(texts)
-            for a, b in slabs(texts):
-                tokens, bounds, hashes, seen = classes(texts[a:b], known)
-                logs = np.empty(len(tokens))
-                for at in range(0, len(tokens), 4096):
-                    where = np.arange(at, min(at + 4096, len(tokens)))
-                    logs[where] = model.log_probabilities(contexts(tokens, bounds, where), tokens[where])
-                # Within the class: the word's count, which is joined later where the lexicon lacks it, over the class's.
-                shares = tokens >= FREQUENT
-                logs[shares] += np.log(np.maximum(seen[shares], 1)) - spread[tokens[shares]]
+            coded, total = list(batch["tokens"].array), batch["shares"].to_numpy().copy()
+            for a, b, tokens, bounds in _tokens(coded):
+                logs, around = np.empty(len(tokens)), contexts(tokens, bounds, np.arange(len(tokens)))
+                for at in range(0, len(tokens), 1024):
+                    logs[at : at + 1024] = model.log_probabilities(around[at : at + 1024], tokens[at : at + 1024])
                 cum = np.concatenate([[0], np.cumsum(logs)])
-                n[a:b], total[a:b] = np.diff(bounds), cum[bounds[1:]] - cum[bounds[:-1]]
-                rest = np.flatnonzero(seen == 0)
-                if len(rest):
-                    text = np.searchsorted(bounds, rest, side="right") - 1
-                    by = np.lexsort((hashes[rest], text))
-                    text, word = text[by], hashes[rest][by]
-                    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])]))
-                    yield pd.DataFrame({
-                        "kind": np.int8(0), "row": rows[a + text[first]], "doc_id": 0, "nameless": False, "n_tokens": 0, "log_likelihood": 0.0,
-                        "word": word[first].view(np.int64), "times": np.diff(np.append(first, len(text))),
-                    })
-            yield pd.DataFrame({
-                "kind": np.int8(1), "row": rows, "doc_id": batch["doc_id"].to_numpy(), "nameless": batch["nameless"].to_numpy(), "n_tokens": n, "log_likelihood": total, "word": 0, "times": 0,
-            })
+                total[a:b] += cum[bounds[1:]] - cum[bounds[:-1]]
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "nameless": batch["nameless"], "n_tokens": [len(t) for t in coded], "log_likelihood": total})
 
-    every = staged(named(docs).select("doc_id", "nameless", "text").mapInPandas(run, ROWS), "scored")
+    known = every.where("kind = 1").select("row", "doc_id", "nameless", "tokens", "shares").mapInPandas(run, "row long, doc_id long, nameless boolean, n_tokens long, log_likelihood double")
     rest = every.where("kind = 0").select("row", "word", "times").join(counts.select("word", "n"), "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0.5)))).alias("rest"))
-    out = every.where("kind = 1").join(rest, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0)))
+    out = known.join(rest, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0)))
     out = unnamed(out.select("doc_id", "nameless", "n_tokens", "log_likelihood"))
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """Fits on all documents and scores them; see `fit` and `score`."""
-    return score(docs, *fit(docs))
+    """Fits on all documents and scores them; see `fit` and `score`. The texts are read twice, for counts and for classes."""
+    small_batches(docs.sparkSession)
+    counts, lexicon = vocabulary(docs)
+    rows = tokenised(docs, lexicon)
+    return _scored(rows, trained(rows, lexicon), counts)
