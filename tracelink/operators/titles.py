@@ -54,7 +54,8 @@ def match_titles(papers: DataFrame, works: DataFrame, key: str, title: str, year
     right = known.select(F.col("t").alias("wt"), F.col("y").alias("at"), "w", "n").withColumn("work_key", F.xxhash64("wt", "at"))
     spots = lambda rows, title, at, key: rows.select(key, at, F.explode(neighbourhood(title, edits)).alias("h")).select(key, F.xxhash64("h", "at").alias("spot"))
     wide = left.withColumn("at", F.explode(F.sequence(F.col("y") - years, F.col("y") + years)))
-    pairs = spots(wide, "t", "at", "key").join(spots(right, "wt", "at", "work_key"), "spot").select("key", "work_key").distinct()
+    # Spark sizes a neighbourhood like its title, hundreds of times too small, and would broadcast it through the driver.
+    pairs = spots(wide, "t", "at", "key").join(spots(right, "wt", "at", "work_key").hint("merge"), "spot").select("key", "work_key").distinct()
     pairs = pairs.join(left, "key").join(right, "work_key").where(F.abs(F.col("at") - F.col("y")) <= years)
     near = pairs.withColumn("distance", F.levenshtein("t", "wt", edits)).where("distance >= 0")
     near = near.withColumn("gap", F.abs(F.col("at") - F.col("y")))
