@@ -43,6 +43,13 @@ BLOOM_BITS = 1 << 25
 BLOOM_RANGES = 256
 #: Groups of a signature with more sets are compared inside of tasks, so many sets against as many at a time.
 GROUP, BLOCK, SHINGLES = 8, 1024, 400_000
+#: Staged tables of more rows are never broadcast while components are found.
+FEW = 100_000
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Joined by a merge. Spark sizes a staged table by its file, which a broadcast exceeds tenfold on the driver, and what is exploded by its source."""
+    return rows.hint("merge")
 
 
 def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
@@ -222,19 +229,20 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are staged before they are joined: Spark splits the rows of a frequent node in a join of two plain shuffles.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen, rows = None, edges.count()
     while True:
+        held = apart if rows > FEW else lambda table: table
         both = _either(edges, ("u", "v"), ("v", "u"))
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(held(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staged(large, "large-star")
         first = staged(large.groupBy("u").agg(F.min("v").alias("m")), "first")
-        small = _either(large.join(first, "u"), ("v", "m"), ("u", "m")).where("u <> v")
+        small = _either(large.join(held(first), "u"), ("v", "m"), ("u", "m")).where("u <> v")
         edges = staged(small.distinct(), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        seen, rows = now, now[0]
 
 
 def _either(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -321,12 +329,12 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # Signatures are counted before anything else moves; from here on only those of several sets are joined.
     repeated = staged(rows.groupBy("sig").count().where("count > 1").select("sig"), "repeated")
     release(spark)
-    hits = staged(rows.join(repeated, "sig", "left_semi").distinct(), "hits")
+    hits = staged(rows.join(apart(repeated), "sig", "left_semi").distinct(), "hits")
     remove(spark, path)
     release(spark)
     groups = staged(hits.groupBy("sig").agg(F.count("*").alias("m"), F.min("sid").alias("first")).where("m > 1"), "groups")
     known = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("u").alias("u"), F.count("*").alias("copies"))
-    pairs = staged(_pairs(hits.join(groups.where(F.col("m") <= GROUP).select("sig"), "sig", "left_semi"), percent), "pairs")
+    pairs = staged(_pairs(hits.join(apart(groups.where(F.col("m") <= GROUP).select("sig")), "sig", "left_semi"), percent), "pairs")
     crowd = staged(hits.join(groups.where(F.col("m") > GROUP).select("sig", "first"), "sig").select("sid", "size", "first").distinct(), "crowd")
     clusters = staged(_spanned(crowd), "clusters")
     # In a large group all are held against one; what that connects need not be compared again.
@@ -335,7 +343,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(clusters.select(F.col("node").alias("sid"))).distinct()
     involved = staged(wanted.join(known, "sid").select("sid", "u"), "involved")
     # Rows of equal id and text share u; one text stands for a set, before anything is joined with it.
-    texts = docs.select("u", "text").where(_bloom(involved, "u")).dropDuplicates(["u"]).join(involved, "u")
+    texts = docs.select("u", "text").where(_bloom(involved, "u")).dropDuplicates(["u"]).join(apart(involved), "u")
     texts = staged(texts.select("sid", "text"), "texts")
 
     release(spark)
@@ -345,9 +353,9 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     release(spark)
     roots = components(few.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(many))
     known = known.drop("u")
-    least = roots.join(known.withColumnRenamed("sid", "node"), "node").groupBy("root").agg(F.min("doc_id").alias("low"))
+    least = apart(roots).join(known.withColumnRenamed("sid", "node"), "node").groupBy("root").agg(F.min("doc_id").alias("low"))
     least = roots.select("root").distinct().join(known.withColumnRenamed("sid", "root"), "root").select("root", F.col("doc_id").alias("own")).join(least, "root").select("root", F.least("own", "low").alias("component_id"))
-    class_of = known.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(least, "root", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), "copies")
+    class_of = known.join(apart(roots.withColumnRenamed("node", "sid")), "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(least, "root", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), "copies")
     out = sets.join(class_of, "sid", "left")
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
@@ -369,13 +377,13 @@ def _spanned(rows: DataFrame) -> DataFrame:
     """Clusters of the sets (sid, size, first) that large groups hold together: (node, root, size)."""
     sizes = rows.select(F.col("sid").alias("node"), "size").distinct()
     clusters = components(rows.select(F.col("sid").alias("a"), F.col("first").alias("b")))
-    return sizes.join(clusters, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sizes.join(apart(clusters), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _unsettled(clusters: DataFrame, found: DataFrame) -> DataFrame:
     """Clusters (node, root, size) that the components found so far leave in parts, with `rest`, whether a set is outside of
     its cluster's largest part."""
-    parts = clusters.join(found.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = clusters.join(apart(found.select("node", F.col("root").alias("part"))), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = staged(parts, "parts")
     largest = parts.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
     return parts.join(largest.where("parts > 1"), "root").select("node", "root", "size", (F.col("part") != F.col("main")).alias("rest"))
@@ -402,7 +410,8 @@ def _crowded(clusters: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     with_rest = each(F.col("rests"), lambda o: F.when(F.col("rest"), pair(F.least(block, o), F.greatest(block, o))).otherwise(pair(-1 - block, o)))
     with_main = F.when(F.col("rest"), each(F.col("mains"), lambda o: pair(-1 - o, block))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     rows = rows.select("root", "level", "block", "rest", (F.col("own") < F.col("level")).alias("below"), F.col("node").alias("sid"), F.explode(F.concat(with_rest, with_main)).alias("task"))
-    rows = rows.select("root", "level", "block", "rest", "below", "sid", "task.i", "task.j").join(texts, "sid")
+    rows = rows.select("root", "level", "block", "rest", "below", "sid", "task.i", "task.j")
+    rows = apart(rows).join(texts, "sid")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("sid").sort_values("sid", kind="stable")
